@@ -7,21 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import mixing
+from docledger.llm import html, lines, mixing, warc
+from docledger.llm._spark import Tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Tables(spark, 'archive').root}/warc"
+    return warc.archive_pages(table(spark, sf_dir, "pages"), path).drop("uri")
+
+
+def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("removed", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ";")
+    text = F.coalesce("text", F.lit(""))
+    done = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("kept_md5"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_revisits": op2_warc_revisits,
+    "op4_repeated_lines": op4_repeated_lines,
+    "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_revisits": warc.SQL,
+    "op4_repeated_lines": lines.SQL,
     "op9_mix_sources": mixing.SQL.format(docs="documents"),
 }
