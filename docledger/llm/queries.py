@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import html, lines, mixing, warc
+from docledger.llm import html, lines, mixing, suffix, warc
 from docledger.llm._spark import Tables
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Tables(spark, 'archive').root}/warc"
     return warc.archive_pages(table(spark, sf_dir, "pages"), path).drop("uri")
@@ -36,6 +41,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_revisits": op2_warc_revisits,
     "op4_repeated_lines": op4_repeated_lines,
     "op8_main_text": op8_main_text,
