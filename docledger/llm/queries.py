@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import html, lines, mixing, suffix, warc
+from docledger.llm import html, jaccard, lines, mixing, suffix, warc
 from docledger.llm._spark import Tables
 
 
@@ -32,6 +32,10 @@ def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("kept_md5"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_revisits": op2_warc_revisits,
     "op4_repeated_lines": op4_repeated_lines,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
 }
