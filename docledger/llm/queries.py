@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import html, jaccard, lines, mixing, suffix, warc
+from docledger.llm import html, jaccard, lines, mixing, mtree, suffix, warc
 from docledger.llm._spark import Tables
 
 
@@ -25,6 +25,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), path).drop("uri")
 
 
+def op3_mtree_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ";")
     text = F.coalesce("text", F.lit(""))
@@ -47,6 +51,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_mtree_top": op3_mtree_top,
     "op4_repeated_lines": op4_repeated_lines,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_main_text": op8_main_text,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_revisits": warc.SQL,
+    "op3_mtree_top": mtree.SQL,
     "op4_repeated_lines": lines.SQL,
     "op9_mix_sources": mixing.SQL.format(docs="documents"),
 }
