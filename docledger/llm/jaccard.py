@@ -27,6 +27,8 @@ LOWER[65:91] += 32
 class Words:
     """Hashes of the words (runs of other than ASCII white space, A-Z in lower case) and word n-grams of texts."""
 
+    breaks = SPACE
+
     def __init__(self, k: int) -> None:
         self.k = k
         self.table, inverse = constants()
@@ -35,7 +37,7 @@ class Words:
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each word, place where it starts, where it ends, and for each text the number of words before it), as texts stand one after the other."""
-        inside = ~SPACE[data]
+        inside = ~self.breaks[data]
         edge = np.empty(len(data) + 1, bool)
         edge[1:-1] = inside[1:] != inside[:-1]
         edge[:1], edge[-1:] = inside[:1], inside[-1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import html, jaccard, lines, mixing, mtree, suffix, warc
+from docledger.llm import decontam, html, jaccard, lines, mixing, mtree, suffix, warc
 from docledger.llm._spark import Tables
 
 
@@ -48,6 +48,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_revisits": op2_warc_revisits,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {
