@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import decontam, html, jaccard, lines, mixing, mtree, suffix, warc
+from docledger.llm import decontam, html, jaccard, langid, lines, mixing, mtree, quality, suffix, warc
 from docledger.llm._spark import Tables
 
 
@@ -36,6 +36,15 @@ def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("kept_md5"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents carry no URL: their source stands for the host, its part in one language for the path
+    return quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
@@ -57,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_mtree_top": op3_mtree_top,
     "op4_repeated_lines": op4_repeated_lines,
+    "op5_language_id": op5_language_id,
+    "op6_site_quality": op6_site_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
