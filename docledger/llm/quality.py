@@ -33,18 +33,26 @@ def features(words: AlnumWords, data: np.ndarray, offsets: np.ndarray) -> Iterat
         yield np.unique(slots[begin[i] : begin[i + 1]]), np.sqrt(counts / max(1, counts.sum()))
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, turns: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression with classes of equal weight, by accelerated gradient steps."""
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32) * len(y)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    step = 4 / (np.linalg.norm(x1[: min(len(x1), 512)], 2) ** 2 * len(x1) / min(len(x1), 512) * 1.5 * share.max() + ridge)
-    w = ahead = np.zeros(x1.shape[1], np.float32)
+def regression(slots: list[np.ndarray], dense: np.ndarray, y: np.ndarray, ridge: float = 2.0, turns: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of word slots and of dense columns, and the intercept, of a logistic regression with classes of equal weight; accelerated gradient steps on sparse rows."""
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+    slot = np.concatenate(slots)
+    seen = np.bincount(slot, minlength=1 << WORD_BITS) >= 3  # rarer words only tell single documents
+    row, slot = row[seen[slot]], slot[seen[slot]]
+    dense = np.hstack([dense, np.ones((len(dense), 1))])
+    times = lambda w: np.bincount(row, w[slot], len(y)) + dense @ w[1 << WORD_BITS :]
+    back = lambda g: np.concatenate([np.bincount(slot, g[row], 1 << WORD_BITS), dense.T @ g])
+    top = np.ones((1 << WORD_BITS) + dense.shape[1])
+    for _ in range(20):  # the largest eigenvalue bounds the step
+        top = back(share * times(top / np.linalg.norm(top)))
+    step = 1 / (np.linalg.norm(top) / 4 * 1.1 + ridge)
+    w = ahead = np.zeros(len(top))
     for n in range(turns):
-        grad = x1.T @ (share * (1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30))) - y)) + ridge * np.append(ahead[:-1], 0)
-        new = (ahead - step * grad).astype(np.float32)
-        ahead = new + n / (n + 3) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
+        grad = back(share * (1 / (1 + np.exp(-np.clip(times(ahead), -30, 30))) - y)) + ridge * np.append(ahead[:-1], 0)
+        new = ahead - step * grad
+        ahead, w = new + n / (n + 3) * (new - w), new
+    return w[: 1 << WORD_BITS], w[1 << WORD_BITS : -1], float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple | None:
@@ -70,13 +78,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple | None:
     good = np.array([x.kind == "good" for x in found])
     if not good.any() or good.all():
         return None
-    words = np.unpackbits(np.frombuffer(b"".join(x.words for x in found), np.uint8).reshape(len(found), -1), axis=1)
-    used = np.flatnonzero(words.sum(axis=0) >= 3)
+    slots = [np.flatnonzero(np.unpackbits(np.frombuffer(x.words, np.uint8))) for x in found]
     shapes = np.frombuffer(b"".join(x.shapes for x in found), np.float32).reshape(len(found), -1)
-    w, b = regression(np.hstack([words[:, used].astype(np.float32), 10 * shapes]), good.astype(np.float32))
-    by_word = np.zeros(1 << WORD_BITS, np.float32)
-    by_word[used] = w[: len(used)]
-    return by_word, 10 * w[len(used) :], b
+    by_word, by_shape, b = regression(slots, 10.0 * shapes, good.astype(float))
+    return by_word.astype(np.float32), (10 * by_shape).astype(np.float32), b
 
 
 def evidence(docs: DataFrame, fitted: tuple | None) -> DataFrame:
