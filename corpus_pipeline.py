@@ -3,11 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from docledger.llm import decontam, jaccard, langid, mixing, suffix
+from docledger.llm._spark import Tables
+
+LEAST_SCORE = 0.1
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those unlike any language that the labelled ones are in."""
+    found = langid.languages(docs, carry=("text", "lang", "source", "n_chars"))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose word 5-gram sets have a Jaccard coefficient of 0.8 or more, directly or through others, one stays."""
+    return jaccard.distinct(docs, k=5, num=80, den=100)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out what 50 bytes or more of an earlier document repeat, whole characters only; documents left blank by that go."""
+    cut = suffix.remove_repeats(docs, characters=True, carry=("lang", "source"))
+    text = F.decode("kept", "UTF-8")
+    return cut.filter((F.col("n_removed") == 0) | text.rlike(r"\S")).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    leaks = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = Tables(spark, "leaks").write(leaks.select(F.col("doc_id").alias("leaked")).distinct(), "documents")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document that it takes, with its whole copies and words."""
+    mix = mixing.mix_sources(docs).filter("taken > 0")
+    return mix.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.col("sampled").cast("long")).alias("copies"), "taken")
+
+
+STAGES = [
+    ("language", known_language),
+    ("near copies", without_near_copies),
+    ("repeats", without_repeats),
+    ("benchmarks", without_benchmarks),
+    ("mix", mixed_sources),
+]
+
+#: The regression of the first stage and the random walks of the fourth have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of a folder; each result is written as Parquet and read by the next stage."""
-    raise NotImplementedError
+    tables, docs, before = Tables(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for n, (_, stage) in enumerate(STAGES):
+        docs = tables.write(stage(spark, docs, sf_dir), str(n))
+        if before:
+            tables.drop(before)
+        before = str(n)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,21 +217,8 @@ def linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, tables: Tables,
     return out
 
 
-def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links documents whose sets of word n-grams have a Jaccard coefficient of num / den or more.
-
-    Returns id, n_shingles (size of the set), component_id (least id that links reach, the document itself included).
-    Words are runs of other than ASCII white space with A-Z in lower case; a text of fewer than k words has one n-gram
-    of all its words; a null text or one without words has none and links with nothing. Rows with the same set form one
-    node. Equal ids with different texts are separate documents. Other columns are not read.
-
-    1. Each document's incidence row is ordered by rarity; any two rows that link share a column in their prefixes of
-       n - ceil(n * num / den) + 1, at places that leave enough columns behind. Only prefixes are shuffled.
-    2. Each row is multiplied with one hub for each column of its prefix: the row in which that column comes first. In groups
-       of copies this links nearly all rows, in as many products as there are rows, and not all pairs.
-    3. What is left are pairs that share a prefix column and are not yet in one component; they are all multiplied, so
-       the components are exact.
-    """
+def joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, version, n, row, first) of each row, `first` being the least (doc, row) of its component; see `similar`."""
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -253,7 +240,7 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
 
     schema = T.StructType([texts.schema["doc"], *T._parse_datatype_string("version long, n long, one long, two long, prefix array<long>, sums binary").fields])
     sets = tables.write(texts.mapInArrow(measured, schema).withColumn("row", F.monotonically_increasing_id()), "sets")
-    nodes = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("row").alias("node"), F.min("doc").alias("least"))
+    nodes = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "row")).alias("first"))
     nodes = tables.write(nodes, "nodes")
     reps = tables.write(sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc", "version", "n", "prefix", "sums"), "reps")
     columns = reps.select("node", "n", F.posexplode("prefix").alias("place", "column"))
@@ -266,8 +253,8 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
     shared = columns.join(hubs, "column")
     starry = shared.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = linked(starry, texts, reps, tables, "star", k, num, den)
-    joined = components(links, tables, "joined")
-    rest = shared.filter("rows > 2").select("column", "node", "n", "place").join(joined, "node", "left").select("column", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    stars = components(links, tables, "stars")
+    rest = shared.filter("rows > 2").select("column", "node", "n", "place").join(stars, "node", "left").select("column", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     # of columns whose rows are all in one component nothing is left to join
     several = rest.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("column")
     rest = tables.write(rest.join(several, "column", "left_semi"), "rest")
@@ -280,9 +267,42 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
     more = linked(pairs, texts, reps, tables, "rest", k, num, den)
     whole = components(links.unionByName(more), tables, "whole")
     named = nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = tables.write(named.join(least, "component").select("n", "one", "two", "component_id"), "components")
+    firsts = named.groupBy("component").agg(F.min("first").alias("least"))
+    by_set = tables.write(named.join(firsts, "component").select("n", "one", "two", "least"), "components")
     for part in ("reps", "hubs", "rest", "nodes", "star-links", "rest-links"):
         tables.drop(part)
-    out = sets.select("doc", "n", "one", "two").join(by_set, ["n", "one", "two"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    own = F.struct(F.col("doc").isNull().alias("last"), "doc", "row")
+    return sets.select("doc", "version", "n", "one", "two", "row").join(by_set, ["n", "one", "two"], "left").select("doc", "version", "n", "row", F.coalesce("least", own).alias("first"))
+
+
+def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links documents whose sets of word n-grams have a Jaccard coefficient of num / den or more.
+
+    Returns id, n_shingles (size of the set), component_id (least id that links reach, the document itself included).
+    Words are runs of other than ASCII white space with A-Z in lower case; a text of fewer than k words has one n-gram
+    of all its words; a null text or one without words has none and links with nothing. Rows with the same set form one
+    node. Equal ids with different texts are separate documents. Other columns are not read.
+
+    1. Each document's incidence row is ordered by rarity; any two rows that link share a column in their prefixes of
+       n - ceil(n * num / den) + 1, at places that leave enough columns behind. Only prefixes are shuffled.
+    2. Each row is multiplied with one hub for each column of its prefix: the row in which that column comes first. In groups
+       of copies this links nearly all rows, in as many products as there are rows, and not all pairs.
+    3. What is left are pairs that share a prefix column and are not yet in one component; they are all multiplied, so
+       the components are exact.
+    """
+    out = joined(docs, k, num, den, id_col, text_col)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.doc").alias("component_id"))
+
+
+def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near copies: of each component of `similar`, the document of least id stays.
+
+    A text without words is like no other and stays. Rows equal in id and text are one document, of which one row stays.
+    """
+    found = joined(docs, k, num, den, id_col, text_col)
+    kept = found.filter(F.col("row") == F.col("first.row")).select(F.col("doc").alias("kept_doc"), F.col("version").alias("kept_version"), (F.col("n") == 0).alias("kept_empty"))
+    kept = Tables(docs.sparkSession, "distinct").write(kept, "kept").dropDuplicates(["kept_doc", "kept_version"])
+    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.withColumn("kept_row", version).join(kept, F.col(id_col).eqNullSafe(F.col("kept_doc")) & (F.col("kept_row") == F.col("kept_version")))
+    turn = Window.partitionBy("kept_doc", "kept_version").orderBy("kept_version")
+    return rows.withColumn("kept_turn", F.row_number().over(turn)).filter("kept_empty or kept_turn = 1").select(*(docs[c] for c in docs.columns))

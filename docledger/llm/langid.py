@@ -43,15 +43,14 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pc.utf8_lower(batch.column(at)))
+        yield batch.append_column("lower", pc.utf8_lower(batch.column(batch.schema.get_field_index("text"))))
 
 
 class Model:
     """One-versus-rest kernel ridge regression on the normalised presence kernel, through landmarks.
 
     The kernel of two texts is the number of n-grams they share over the root of the product of theirs. Texts are
-    mapped to the landmarks' span (Nyström), where ridge regression on -1 and 1 is solved for each language; both
+    mapped to the landmarks' span (Nyström), where ridge regression on 0 and 1 is solved for each language; both
     steps fold into one matrix, so that a batch of texts is scored by two matrix products.
     """
 
@@ -68,7 +67,7 @@ class Model:
         values, vectors = np.linalg.eigh(near[chosen].astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         mapped = near @ root
-        targets = np.where(which[:, None] == np.arange(len(self.names))[None], 1.0, -1.0)
+        targets = (which[:, None] == np.arange(len(self.names))[None]).astype(float)
         weight = 1 / np.bincount(which)[which]
         ridge = (mapped * weight[:, None]).T @ mapped + RIDGE * np.eye(len(root))
         self.weights = (root @ np.linalg.solve(ridge, (mapped * weight[:, None]).T @ targets)).astype(np.float32)
@@ -97,7 +96,7 @@ def learn(docs: DataFrame, per_language: int, landmarks: int, id_col: str, text_
     least = checkpoint(hashed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= per_language).select("lang", "h"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in byte_blocks(lowered(batches), "text", BLOCK):
+        for rows, data, offsets in byte_blocks(lowered(batches), "lower", BLOCK):
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([np.packbits(x).tobytes() for x in presence(data, offsets)], pa.binary())], names=["lang", "h", "flags"])
 
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(least), ["lang", "h"]).select("lang", "h", "text")  # at most `per_language` rows of 16 bytes each language
@@ -108,13 +107,13 @@ def learn(docs: DataFrame, per_language: int, landmarks: int, id_col: str, text_
     return model.names, model.marks, model.weights
 
 
-def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Predicts the language of every whole text: id, held_out, lang_pred, score.
+def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Predicts the language of every whole text: id, held_out, lang_pred, score, and behind them the columns named in `carry`.
 
     Learns from texts and non-null languages of rows whose crc32(id as text) mod 5 is not 0: at most `per_language` (400)
     distinct texts of each language, of which 96 are landmarks. From the texts only bit sets of 4 KiB are gathered, however
     long they are. Every text is then scored by all its n-grams of two to four bytes; the predicted language has the
-    highest regression value, and the score is that value, from -1 to 1, brought to 0 to 1.
+    highest regression value, and the score is that value within 0 and 1: near 0 for texts unlike any learned ones.
 
     A text that is null or has no letter is `und` with score 0, as are all texts if there is nothing to learn from. A null
     id counts as an empty text for the fold. Repeated rows and extra columns make no difference.
@@ -128,10 +127,10 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
             model = Model.__new__(Model)
             model.names, model.marks, model.weights = sent.value
             model.open()
-        for rows, data, offsets in byte_blocks(lowered(batches), "text", BLOCK):
+        for rows, data, offsets in byte_blocks(lowered(batches), "lower", BLOCK):
             count = rows.num_rows
             best, score = np.zeros(count, np.int64), np.zeros(count)
-            spoken = rows.column(3).to_numpy(zero_copy_only=False).astype(bool) if model else np.zeros(count, bool)
+            spoken = rows.column(2).to_numpy(zero_copy_only=False).astype(bool) if model else np.zeros(count, bool)
             held: list[np.ndarray] = []
             done = 0
             for i, flags in enumerate(presence(data, offsets) if model else ()):
@@ -139,12 +138,12 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
                 if len(held) == BATCH or i == count - 1:
                     values = model.scores(np.stack(held))
                     best[done : i + 1] = values.argmax(axis=1)
-                    score[done : i + 1] = np.clip((values.max(axis=1) + 1) / 2, 0, 1)
+                    score[done : i + 1] = np.clip(values.max(axis=1), 0, 1)
                     held, done = [], i + 1
             names = [model.names[b] if ok else "und" for b, ok in zip(best.tolist(), spoken.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0))], names=["id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0)), *rows.columns[4:-1]], names=schema.names)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), F.col(text_col).alias("text"), letters.alias("spoken"))
-    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields])
-    return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), letters.alias("spoken"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
+    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields, *rows.schema.fields[4:]])
+    return rows.mapInArrow(work, schema).toDF(id_col, *schema.names[1:4], *carry)

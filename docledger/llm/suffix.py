@@ -316,12 +316,12 @@ def sorted_contexts(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(work, "doc long, context long, from long, to long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Takes out of every document each byte covered by a string of `length` bytes that a document of smaller id also holds.
 
     Texts are UTF-8 bytes. Strings are judged on the input, may overlap, and never cross documents. Returns id, n_bytes,
     kept (binary: the other bytes), spans (array of start and end, the maximal runs taken out, in bytes of the text),
-    n_removed. With `characters`, a character of which only some bytes are covered stays whole.
+    n_removed, and behind them the columns named in `carry`. With `characters`, a character of which only some bytes are covered stays whole.
 
     1. Every window of `length` bytes belongs to the run of its anchor, the gram of least hash in it. One shuffle by anchor
        finds which contexts a smaller document also holds (there all windows go), and which anchors stand in several
@@ -386,11 +386,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False,
                 removed.append(int((edge[1::2] - edge[::2]).sum()))
                 kept.append((data[offsets[i] : offsets[i + 1]][~own_mask] if len(edge) else data[offsets[i] : offsets[i + 1]]).tobytes())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *rows.columns[4:]], names=["id", "n_bytes", "n_removed", "spans", "kept", *schema.names[5:]])
 
     joined = (
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"))
-        .join(judged.select("doc", "gone"), "doc", "left").join(partly, "doc", "left").select("id", "text", "gone", "partly")
+        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
+        .join(judged.select("doc", "gone"), "doc", "left").join(partly, "doc", "left").select("id", "text", "gone", "partly", *(f"carried{i}" for i in range(len(carry))))
     )
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").fields])
-    return joined.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").fields, *joined.schema.fields[4:]])
+    return joined.mapInArrow(cut, schema).toDF(id_col, *schema.names[1:5], *carry)
