@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm._spark import checkpoint
+from docledger.llm._spark import Tables, checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -58,18 +58,21 @@ def mix_sources(
     bins of the rank key first, and rows are only sorted within the one bin in which a source's sample ends.
     """
     wish = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    # tables of a row for each source or bin are written, so that Spark knows their size and need not deal documents out by source
+    tables = Tables(docs.sparkSession, "mix")
     sized = checkpoint(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), wish.alias("wish"))
         .withColumn("random", uniform(F.col("id"), seed))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished"))
-    targets = checkpoint(source_targets(sums.select("source", "source_size"), budget, weights, most))
-    plan = (
+    sums = tables.write(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished")), "sums")
+    targets = source_targets(sums.select("source", "source_size"), budget, weights, most)
+    plan = tables.write(
         targets.join(sums.select(F.col("source").alias("s"), "wished"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("quota", F.col("target") - F.col("copies") * F.col("source_size"))
-        .select("s", "source_size", "target", "copies", "quota", "wished")
+        .select("s", "source_size", "target", "copies", "quota", "wished"),
+        "plan",
     )
     chance = F.least(F.col("quota") * F.col("wish") / F.col("wished"), F.lit(1 - 1e-12))
     ranked = (
@@ -79,12 +82,13 @@ def mix_sources(
         .withColumn("bin", F.floor(F.lit(BINS) * (F.col("key") / (1 + F.col("key")))).cast("int"))
     )
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
+    bins = tables.write(
         ranked.filter(F.col("bin").isNotNull()).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("quota").alias("bin_quota"))
         .withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
         .withColumn("ends", F.col("before") + F.col("words") > F.col("bin_quota"))
         .withColumn("state", F.when(~F.col("ends"), 1).when(F.col("before") <= F.col("bin_quota"), 0).otherwise(-1))
-        .select(F.col("source").alias("s"), F.col("bin").alias("b"), "before", "state")
+        .select(F.col("source").alias("s"), F.col("bin").alias("b"), "before", "state"),
+        "bins",
     )
     # a bin is within the sample, holds its end, or is beyond it; only rows of the second kind are sorted
     binned = ranked.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")), "left").drop("s", "b")
@@ -92,13 +96,16 @@ def mix_sources(
     at_end = binned.filter("state = 0").withColumn("upto", F.col("before") + F.sum("size").over(rank)).withColumn("first", F.col("upto") <= F.col("quota")).drop("upto")
     others = binned.filter("state is null or state <> 0").withColumn("first", F.coalesce(F.col("state") == 1, F.lit(False)))
     chosen = checkpoint(at_end.unionByName(others).select("id", "source", "size", "source_size", "target", "copies", "quota", "first", "key", "row"))
-    missing = chosen.groupBy("source").agg(F.max("quota").alias("q"), F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("got")).select(F.col("source").alias("s"), (F.col("q") - F.col("got")).alias("missing"))
-    spare = (
+    missing = tables.write(chosen.groupBy("source").agg(F.max("quota").alias("q"), F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("got")).select(F.col("source").alias("s"), (F.col("q") - F.col("got")).alias("missing")), "missing")
+    spare = tables.write(
         chosen.filter(~F.col("first") & F.col("key").isNotNull() & (F.col("size") > 0))
         .join(missing, F.col("source").eqNullSafe(F.col("s"))).filter(F.col("size") < 2 * F.col("missing"))
         .groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "key", "id", "size", "row")).alias("best"))
-        .select(F.col("source").alias("s"), F.col("best.row").alias("extra"))
+        .select(F.col("source").alias("s"), F.col("best.row").alias("extra")),
+        "spare",
     )
+    for part in ("sums", "plan", "bins", "missing"):
+        tables.drop(part)
     sampled = F.col("first") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False))
     return chosen.join(spare, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", sampled.alias("sampled"), (F.col("size") * (F.col("copies") + sampled.cast("long"))).alias("taken")
