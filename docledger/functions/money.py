@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docledger.functions.text import CODES, MARKS, SPACES
+from docledger.functions.text import CODES, MARKS, SPACES, bound
 
 MONEY, EXACT = "decimal(18,2)", "decimal(18,4)"
 
@@ -21,18 +21,24 @@ def split_decimal(text: Column) -> Column:
     decimal point. One kind of separator whose last group has three digits, behind a first digit that is not 0, groups
     thousands; otherwise its last occurrence is the decimal point.
     """
-    bare = _bare(text)
-    plain = F.regexp_replace(bare, r"[^\d.,]", "")
-    grouped = plain.rlike(r"^[1-9][\d,]*,\d{3}$|^[1-9][\d.]*\.\d{3}$")
-    point = F.regexp_replace(F.regexp_replace(plain, r"[.,](?=.*[.,])", ""), ",", ".")
-    digits = F.when(grouped, F.regexp_replace(plain, "[.,]", "")).otherwise(point)
-    return F.when(bare.rlike(r"\d"), F.struct(bare.rlike(r"(?i)^\(.*\)$|^-|-$|cr$").alias("negative"), digits.alias("digits")))
+
+    def read(bare: Column) -> Column:
+        plain = F.regexp_replace(bare, r"[^\d.,]", "")
+        grouped = plain.rlike(r"^[1-9][\d,]*,\d{3}$|^[1-9][\d.]*\.\d{3}$")
+        point = F.regexp_replace(F.regexp_replace(plain, r"[.,](?=.*[.,])", ""), ",", ".")
+        digits = F.when(grouped, F.regexp_replace(plain, "[.,]", "")).otherwise(point)
+        return F.when(bare.rlike(r"\d"), F.struct(bare.rlike(r"(?i)^\(.*\)$|^-|-$|cr$").alias("negative"), digits.alias("digits")))
+
+    return bound(_bare(text), read)
 
 
 def _parsed(text: Column, kind: str) -> Column:
-    parts = split_decimal(text)
-    value = F.concat(F.lit("0"), parts["digits"]).try_cast(kind)  # rounds half up, null where it does not fit
-    return F.when(parts["negative"], -value).otherwise(value).cast(kind)
+
+    def value(parts: Column) -> Column:
+        amount = F.concat(F.lit("0"), parts["digits"]).try_cast(kind)  # rounds half up, null where it does not fit
+        return F.when(parts["negative"], -amount).otherwise(amount).cast(kind)
+
+    return bound(split_decimal(text), value)
 
 
 def parse_money(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ LEGAL_FORMS = (
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A body in which a value stands many times, but is computed once; keeps generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
@@ -92,13 +99,17 @@ def matches_all(tokens: Column, query: Column) -> Column:
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens)) == 0)
 
 
-def same_value(kind: str, expected: Column, actual: Column) -> Column:
-    """Whether two printed values agree: as amounts, as decimals, or as text in any case; null only with null."""
+def comparable(kind: str, value: Column) -> Column:
+    """What tells printed values apart: as amounts, as decimals, or as text in any case; and whether there is one at all."""
     from docledger.functions.money import parse_decimal, parse_money
 
-    read = {"money": parse_money, "decimal": parse_decimal}.get(kind)
-    value = (lambda x: read(x)) if read else (lambda x: F.lower(strip(x)))
-    return F.when(expected.isNull() | actual.isNull(), expected.isNull() & actual.isNull()).otherwise(value(expected).eqNullSafe(value(actual)))
+    read = {"money": parse_money, "decimal": parse_decimal}.get(kind, lambda x: F.lower(strip(x)))
+    return F.struct(value.isNull().alias("missing"), read(value).alias("value"))
+
+
+def same_value(kind: str, expected: Column, actual: Column) -> Column:
+    """Whether two printed values agree; null only with null."""
+    return comparable(kind, expected).eqNullSafe(comparable(kind, actual))
 
 
 def luminance(colour: Column) -> Column:

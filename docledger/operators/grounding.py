@@ -59,8 +59,9 @@ def candidates(values: DataFrame) -> DataFrame:
 
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount."""
-    token = lambda t: F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), text.normalize_words(t["text"]).alias("norm"), text.fuzzy_key(t["text"]).alias("key"), t["text"].rlike(MONEY_TOKEN).alias("money"))
-    return pages.select("document_id", "page_no", F.transform("tokens", token).alias("tokens"))
+    rows = pages.select("document_id", "page_no", F.posexplode("tokens").alias("n", "t")).withColumns({"norm": text.normalize_words(F.col("t.text")), "key": text.fuzzy_key(F.col("t.text")), "money": F.col("t.text").rlike(MONEY_TOKEN)})
+    token = F.struct("n", *(F.col(f"t.{c}").alias(c) for c in ("text", "x", "y", "w", "h", "line")), "norm", "key", "money")
+    return rows.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
 
 def first_word(column: Column) -> Column:
