@@ -17,7 +17,7 @@ BLOCK = 1 << 19
 SLOTS = 1 << 21
 PARTS = 32
 COLUMNS = 256
-PER_HUB = 512
+PER_HUB = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -166,7 +166,7 @@ def linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, tables: Tables,
     """Of pairs of nodes (a, b) those whose Jaccard coefficient is num / den or more.
 
     Rows of the incidence matrix are read again for the nodes in likely pairs only. The product is made in blocks: one
-    row (b) times the rows of up to 512 others, whose common columns are counted.
+    row (b) times the rows of about 64 others, whose common columns are counted.
     """
     pairs = tables.write(likely(pairs, reps, num, den), f"{name}-likely")
     wanted = reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "doc", "version")
