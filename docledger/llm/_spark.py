@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,6 +45,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def least_hashes(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Of each group the rows (group, key) with the `most` least hashes of distinct keys, or nearly so many.
+
+    The number of distinct keys, estimated by an aggregate that combines before the shuffle, tells below which hash about
+    twice as many lie; only those are sorted, so a group that holds most rows is not gathered.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 1)
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(key, 0.02).alias("keys")).withColumnRenamed(group, "of")
+    sizes = Tables(rows.sparkSession, "sizes").write(sizes, "groups")  # written, so that Spark knows how small it is
+    few = rows.join(sizes, F.col(group) == F.col("of")).filter(place / F.lit(float(1 << 63)) < F.lit(2.0 * most) / F.col("keys"))
+    order = Window.partitionBy(group).orderBy(place, key)
+    return few.select(group, key).distinct().withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).select(group, key)
+
+
 class Tables:
     """Intermediate Parquet tables in the shared folder, each dropped as soon as the next phase no longer reads it."""
 

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docledger.llm._spark import byte_blocks, checkpoint
+from docledger.llm._spark import byte_blocks, checkpoint, least_hashes
 
 BITS = 15
 GRAMS = (2, 3, 4)
@@ -41,9 +41,11 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield flags
 
 
-def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.append_column("lower", pc.utf8_lower(batch.column(batch.schema.get_field_index("text"))))
+def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the bytes of their texts in lower case."""
+    for rows, _, _ in byte_blocks(batches, "text", BLOCK):
+        lower = pc.utf8_lower(rows.column(rows.schema.get_field_index("text")))
+        yield from ((rows, data, offsets) for _, data, offsets in byte_blocks(iter([pa.RecordBatch.from_arrays([lower], names=["text"])]), "text", 1 << 62))
 
 
 class Model:
@@ -92,11 +94,11 @@ def fold(key: Column) -> Column:
 def learn(docs: DataFrame, per_language: int, landmarks: int, id_col: str, text_col: str, lang_col: str) -> tuple | None:
     """Fits a model on at most `per_language` texts of each language, those of least hash, of the folds that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != 0) & F.col("text").rlike(r"\p{L}"))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    least = checkpoint(hashed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= per_language).select("lang", "h"))
+    hashed = checkpoint(rows.select("lang", F.xxhash64("text").alias("h")))
+    least = checkpoint(least_hashes(hashed, "lang", "h", per_language))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in byte_blocks(lowered(batches), "lower", BLOCK):
+        for rows, data, offsets in lowered(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([np.packbits(x).tobytes() for x in presence(data, offsets)], pa.binary())], names=["lang", "h", "flags"])
 
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(least), ["lang", "h"]).select("lang", "h", "text")  # at most `per_language` rows of 16 bytes each language
@@ -127,7 +129,7 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
             model = Model.__new__(Model)
             model.names, model.marks, model.weights = sent.value
             model.open()
-        for rows, data, offsets in byte_blocks(lowered(batches), "lower", BLOCK):
+        for rows, data, offsets in lowered(batches):
             count = rows.num_rows
             best, score = np.zeros(count, np.int64), np.zeros(count)
             spoken = rows.column(2).to_numpy(zero_copy_only=False).astype(bool) if model else np.zeros(count, bool)
@@ -141,7 +143,7 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
                     score[done : i + 1] = np.clip(values.max(axis=1), 0, 1)
                     held, done = [], i + 1
             names = [model.names[b] if ok else "und" for b, ok in zip(best.tolist(), spoken.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0)), *rows.columns[4:-1]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0)), *rows.columns[4:]], names=schema.names)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), letters.alias("spoken"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
