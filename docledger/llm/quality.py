@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docledger.llm._spark import Tables, byte_blocks, checkpoint
+from docledger.llm._spark import Tables, byte_blocks, checkpoint, least_hashes
 from docledger.llm.decontam import AlnumWords
 from docledger.llm.suffix import mixed
 
@@ -33,7 +33,7 @@ def features(words: AlnumWords, data: np.ndarray, offsets: np.ndarray) -> Iterat
         yield np.unique(slots[begin[i] : begin[i + 1]]), np.sqrt(counts / max(1, counts.sum()))
 
 
-def regression(slots: list[np.ndarray], dense: np.ndarray, y: np.ndarray, ridge: float = 2.0, turns: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def regression(slots: list[np.ndarray], dense: np.ndarray, y: np.ndarray, ridge: float = 0.5, turns: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of word slots and of dense columns, and the intercept, of a logistic regression with classes of equal weight; accelerated gradient steps on sparse rows."""
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
@@ -59,8 +59,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple | None:
     """Fits the classifier of good texts on at most `per_class` labelled documents of each class (good, poor, toxic)."""
     marked = labels.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("id is not null and quality is not null")
     kind = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").otherwise("good")
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("id"), "id")
-    chosen = checkpoint(marked.withColumn("kind", kind).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select("id", "kind"))
+    chosen = checkpoint(least_hashes(marked.select(kind.alias("kind"), "id"), "kind", "id", per_class))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = AlnumWords(1)
