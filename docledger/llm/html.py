@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,7 +16,7 @@ SURGE = 86
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -83,6 +84,17 @@ class Blocks:
     def apart(tags: list[re.Match]) -> dict[int, int]:
         """Of tags that open an element apart from the article, the tag that closes it; all by index."""
         out: dict[int, int] = {}
+        ends, open_, articles = {}, {}, []
+        for i, m in enumerate(tags):
+            name = (m["name"] or "").lower()
+            if not name or name in VOID:
+                continue
+            if name in ("article", "main") and not m["end"]:
+                articles.append(i)
+            if not m["end"]:
+                open_.setdefault(name, []).append(i)
+            elif open_.get(name):
+                ends[open_[name].pop()] = i
         until = depth = 0
         for i, m in enumerate(tags):
             name = (m["name"] or "").lower()
@@ -97,19 +109,10 @@ class Blocks:
             marked = bool(words & MARKS) or bool(attrs and HIDDEN.search(attrs))
             if not (name in APART or name == "header" and not depth or marked):
                 continue
-            level, holds, end = 0, False, None
-            for j in range(i, len(tags)):
-                other = (tags[j]["name"] or "").lower()
-                if other == name:
-                    level += -1 if tags[j]["end"] else 1
-                    if not level:
-                        end = j
-                        break
-                elif other in ("article", "main") and not tags[j]["end"]:
-                    holds = True
-                    if name in ("nav", "footer", "header", "head"):
-                        end = j  # never closed: it ends where the article begins
-                        break
+            end, at = ends.get(i), bisect(articles, i)
+            holds = at < len(articles) and (end is None or articles[at] < end)
+            if holds and name in ("nav", "footer", "header", "head"):
+                end = articles[at]  # never closed: it ends where the article begins
             if name not in APART and (holds or end is None) or end is None and holds:
                 continue  # it holds the article, or nothing tells where it ends
             out[i] = until = len(tags) if end is None else end
