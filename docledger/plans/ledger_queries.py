@@ -131,7 +131,7 @@ QUERIES = {
     "q03_sweep_runs": over(lambda x: queue.sweep_runs(x.runs, x.jobs.filter("id % 2 = 0"), F.expr("timestamp '2024-01-20 00:00:00'"), 360).select("id", "status", "error")),
     "q04_fail": over(failed),
     "q05_defer": over(lambda x: queue.defer(x.jobs, F.col("id") % 5 == 0, now()).select("id", "status", "attempts")),
-    "q06_next_stage": over(lambda x: queue.next_stages(x.runs.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 13 == 0, "rejected").otherwise("queued")), x.runs.filter("id % 40 <> 3"))),
+    "q06_next_stage": over(lambda x: queue.next_stages(x.runs.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 13 == 0, "rejected").otherwise("queued")), x.runs.filter("id % 23 = document_id % 23"))),
     "q08_reusable": over(lambda x: queue.reusable(x.extractions, x.runs)),
     "q09_adopt": over(extraction_choice),
     "q12_retry": over(lambda x: queue.retry(x.jobs, x.runs, x.jobs.filter("id % 6 = 0"), now())[0].select("id", "status", "attempts")),
@@ -203,7 +203,7 @@ select id, case when id in (from won) then 'running' else status end as status,
     "q03_sweep_runs": CTES + ", s as (select r.*, r.status = 'running' and started_at < timestamp '2024-01-20 00:00:00' - interval 360 second and (job_id is null or exists (select 1 from jobs j where j.id = r.job_id and j.id % 2 = 0 and j.status in ('dead', 'succeeded'))) as old from runs r) select id, case when old then 'failed' else status end as status, case when old then 'stale' end as error from s",
     "q04_fail": CTES + f", s as (select *, id % 9 = 0 as bad, id % 9 = 0 and (id % 2 = 0 or attempts >= 3) as dead from jobs) select id, case when dead then 'dead' when bad then 'queued' else status end as status, attempts, cast(case when bad and not dead then {TIMED} + [30, 30, 60, 120][attempts + 1] else epoch(run_after) end as bigint) as run_after, case when bad then 'boom' else last_error end as last_error from s",
     "q05_defer": CTES + "select id, case when id % 5 = 0 then 'queued' else status end as status, case when id % 5 = 0 then greatest(0, attempts - 1) else attempts end as attempts from jobs",
-    "q06_next_stage": CTES + ", g as (select unnest(range(6)) as k, unnest(['parse', 'extract', 'ground', 'validate', 'reconcile', 'finalise']) as stage, unnest([140, 200, 5, 5, 200, 5]) as seconds), d as (select distinct document_id from runs where document_id % 13 <> 0) select document_id, arg_min(stage, k) as stage, arg_min(seconds, k) as seconds from d, g where not exists (select 1 from runs r where r.document_id = d.document_id and r.stage = g.stage and r.status = 'succeeded' and r.id % 40 <> 3) group by 1",
+    "q06_next_stage": CTES + ", g as (select unnest(range(6)) as k, unnest(['parse', 'extract', 'ground', 'validate', 'reconcile', 'finalise']) as stage, unnest([140, 200, 5, 5, 200, 5]) as seconds), d as (select distinct document_id from runs where document_id % 13 <> 0) select document_id, arg_min(stage, k) as stage, arg_min(seconds, k) as seconds from d, g where not exists (select 1 from runs r where r.document_id = d.document_id and r.stage = g.stage and r.status = 'succeeded' and r.id % 23 = r.document_id % 23) group by 1",
     "q08_reusable": CTES + ", e as (select distinct on (document_id) document_id, id, created_at from extractions where kind = 'initial' order by document_id, created_at desc, id desc), r as (select document_id, max(started_at) as begun from runs where stage = 'extract' and status = 'running' group by 1) select e.document_id, id as extraction_id from e join r using (document_id) where created_at > begun",
     "q09_adopt": CTES + ", e as (select distinct on (document_id, kind) document_id, kind, blocking from extractions order by document_id, kind, created_at desc, id desc) select a.document_id, a.blocking as before, b.blocking as after, a.document_id % 11 <> 0 and b.blocking < a.blocking as adopted from e a join e b on a.document_id = b.document_id and a.kind = 'initial' and b.kind = 'reconcile'",
     "q12_retry": CTES + "select id, case when id % 6 = 0 then 'queued' else status end as status, case when id % 6 = 0 then 0 else attempts end as attempts from jobs",
