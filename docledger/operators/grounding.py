@@ -60,7 +60,11 @@ def candidates(values: DataFrame) -> DataFrame:
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount."""
     rows = pages.select("document_id", "page_no", F.posexplode("tokens").alias("n", "t")).withColumns({"norm": text.normalize_words(F.col("t.text")), "key": text.fuzzy_key(F.col("t.text")), "money": F.col("t.text").rlike(MONEY_TOKEN)})
-    token = F.struct("n", *(F.col(f"t.{c}").alias(c) for c in ("text", "x", "y", "w", "h", "line")), "norm", "key", "money")
+    upto = Window.partitionBy("document_id", "page_no").orderBy("n")
+    spaced = lambda c: F.when(F.length(c) > 0, F.length(c) + 1).otherwise(0)
+    # lengths up to each token tell those of any window without its text
+    rows = rows.withColumns({"raw_to": F.sum(F.length("t.text") + 1).over(upto), "norm_to": F.sum(spaced("norm")).over(upto), "key_to": F.sum(F.length("key")).over(upto)})
+    token = F.struct("n", *(F.col(f"t.{c}").alias(c) for c in ("text", "x", "y", "w", "h", "line")), "norm", "key", "money", "raw_to", "norm_to", "key_to")
     return rows.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
 
@@ -83,11 +87,18 @@ def starts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All windows of one to min(12, words + 2) tokens from admitted places, with their texts."""
+    """Windows of one to min(12, words + 2) tokens from admitted places, with their texts, that may match by their lengths."""
     placed = starts(pages, wanted).join(wanted, ["document_id", "field_path", "ordinal"]).join(pages, ["document_id", "page_no"])
-    most = F.least(F.lit(MOST_TOKENS), F.col("words") + 2, F.size("tokens") - F.col("start"))
-    sized = placed.withColumn("size", F.explode(F.sequence(F.lit(1), most))).withColumn("own", F.slice("tokens", F.col("start") + 1, F.col("size"))).drop("tokens")
+    most = F.least(F.lit(MOST_TOKENS), F.col("words") + 2)
+    placed = placed.withColumn("ahead", F.slice("tokens", F.col("start") + 1, most)).drop("tokens")
+    sized = placed.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("ahead"))))
+    first, last = F.col("ahead")[0], F.element_at("ahead", F.col("size"))
+    span = lambda c, own: last[c] - first[c] + own
+    near = F.abs(span("key_to", F.length(first["key"])) - F.length("key")) <= F.greatest(F.lit(2), F.floor(F.length("key") * 0.25))
+    norm = span("norm_to", F.when(first["norm"] == "", 0).otherwise(F.length(first["norm"]) + 1)) == F.length("norm") + 1
+    sized = sized.filter((span("raw_to", F.length(first["text"])) == F.length("raw")) | norm | (F.col("amount").isNotNull() & (F.col("size") <= 3)) | (F.col("day").isNotNull() & (F.col("size") <= 4)) | (near & (F.length("key") >= 3)))
     part = lambda c: F.transform("own", lambda t: t[c])
+    sized = sized.withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
     return sized.withColumns({"w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), ""), "w_money": F.forall("own", lambda t: t["money"])})
 
 
