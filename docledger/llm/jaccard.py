@@ -306,3 +306,18 @@ def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     rows = docs.withColumn("kept_row", version).join(kept, F.col(id_col).eqNullSafe(F.col("kept_doc")) & (F.col("kept_row") == F.col("kept_version")))
     turn = Window.partitionBy("kept_doc", "kept_version").orderBy("kept_version")
     return rows.withColumn("kept_turn", F.row_number().over(turn)).filter("kept_empty or kept_turn = 1").select(*(docs[c] for c in docs.columns))
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] end as g
+  from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as doc_id, a as other from e union select r.doc_id, e.b from reach r join e on r.other = e.a),
+c as (select doc_id, min(other) as least from reach group by doc_id)
+select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(least, w.doc_id) as component_id from w left join n using (doc_id) left join c using (doc_id)
+"""

@@ -75,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix.SQL,
+    "op7_jaccard_join": jaccard.SQL,
     "op2_warc_revisits": warc.SQL,
     "op3_mtree_top": mtree.SQL,
     "op4_repeated_lines": lines.SQL,

@@ -15,6 +15,7 @@ from docledger.llm._spark import Tables, byte_blocks
 GRAM = 20
 PIECE = 1 << 20
 CHUNK = 2 << 20
+HOT = 2000
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 
@@ -316,6 +317,42 @@ def sorted_contexts(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(work, "doc long, context long, from long, to long")
 
 
+def single_windows(parts: DataFrame, length: int) -> DataFrame:
+    """(one, two, doc, context, at): each window of contexts by a 128-bit hash of its bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = []
+        for seed in (3, 4):
+            own = Anchors(length)
+            own.gram, own.table = length, constants(seed)[0]
+            hashes.append(own)
+        for rows, data, offsets in byte_blocks(batches, "bytes", PIECE // 2):
+            at = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            of = np.searchsorted(offsets, at, side="right") - 1
+            one, two = (mixed(x.grams(data))[at].view(np.int64) for x in hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(rows.column(1).to_numpy()[of]), pa.array(rows.column(2).to_numpy()[of]), pa.array(rows.column(3).to_numpy()[of] + at - offsets[of])], names=["one", "two", "doc", "context", "at"])
+
+    return parts.mapInArrow(work, "one long, two long, doc long, context long, at long")
+
+
+def split_groups(parts: DataFrame, length: int, tables: Tables) -> DataFrame:
+    """What `sorted_contexts` finds, for groups of any size.
+
+    A group of more than HOT contexts, such as those around a passage that a third of all documents quote, is not sorted
+    in one task: its windows are dealt out one by one, and meet their first document through an aggregate that combines
+    before the shuffle and a join whose hot keys adaptive execution can split.
+    """
+    parts = tables.write(parts, "parts")
+    hot = tables.write(parts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+    cold = sorted_contexts(parts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key"), length)
+    if hot.isEmpty():
+        return cold
+    windows = single_windows(parts.join(hot, "key", "left_semi").select("key", "doc", "context", "base", "bytes"), length)
+    least = tables.write(windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last"), "least")
+    found = windows.join(least, ["one", "two"]).filter("doc > first").select("doc", "context", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+    return cold.unionByName(found)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Takes out of every document each byte covered by a string of `length` bytes that a document of smaller id also holds.
 
@@ -346,8 +383,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False,
     )
     judged = tables.write(judged, "judged")
     parts = contexts_to_sort(own.join(judged.filter("size(sort) > 0"), "doc").select("doc", "text", "sort"), length)
-    partly = sorted_contexts(parts.repartition("key").sortWithinPartitions("key"), length)
+    partly = split_groups(parts, length, tables)
     partly = tables.write(partly.groupBy("doc").agg(F.collect_list(F.struct("context", "from", "to")).alias("partly")), "partly")
+    for part in ("parts", "hot", "least"):
+        tables.drop(part)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
@@ -394,3 +433,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, characters: bool = False,
     )
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").fields, *joined.schema.fields[4:]])
     return joined.mapInArrow(cut, schema).toDF(id_col, *schema.names[1:5], *carry)
+
+
+SQL = """
+with d as (select doc_id, coalesce(doc_id, 9223372036854775807) as r, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, r, unnest(range(0, greatest(0, length(h) // 2 - 49))) as p, h from d),
+x as (select doc_id, r, p, substr(h, 2 * p + 1, 100) as s from w),
+m as (select s, min(r) as least from x group by s having min(r) < max(r)),
+g as (select doc_id, p from x join m using (s) where r > least),
+i as (select doc_id, p, sum(case when p > before + 50 or before is null then 1 else 0 end) over (partition by doc_id order by p) as island from (select *, lag(p) over (partition by doc_id order by p) as before from g)),
+spans as (select doc_id, min(p) as a, max(p) + 50 as b from i group by doc_id, island),
+parts as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as from_ from spans),
+cut as (select doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans, max(b) as last, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' order by a) as kept from parts join d using (doc_id) group by doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(case when kept is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join cut using (doc_id)
+"""

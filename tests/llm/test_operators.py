@@ -50,7 +50,9 @@ def test_suffix_brute(spark):
     assert sorted(tuple(r) for r in QUERIES["op1_suffix_dedup"](spark, SMALL).collect()) == sorted(plain.repeats(rows))
 
 
-def test_suffix_awkward(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_suffix_awkward(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "PIECE", 1 << 10)  # texts longer than a piece, and many pieces
     monkeypatch.setattr(suffix, "CHUNK", 1 << 10)
     rows = awkward_texts()
