@@ -234,3 +234,41 @@ def complete(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     n, m = rows.select("name").distinct(), manifest.select("name").distinct()
     both = m.join(n.withColumn("scored", F.lit(1)), "name", "left").agg(F.count("*").alias("samples"), F.count("scored").alias("scored"))
     return both.withColumn("complete", (F.col("samples") > 0) & (F.col("samples") == F.col("scored")))
+
+
+# Views for an API
+
+
+def summaries(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Documents as a list shows them, newest first: times in ISO form, the attempts of the newest job."""
+    attempts = latest(jobs.select("document_id", "id", "created_at", "attempts"), ["document_id"]).select("document_id", "attempts")
+    iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return documents.join(attempts, "document_id", "left").select("document_id", "filename", "status", iso.alias("created_at"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def client_invoice(invoices: DataFrame) -> DataFrame:
+    """Invoices without what only the search needs."""
+    return invoices.drop("search_text", "vendor_key")
+
+
+def newest_first(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+    """Rows with their position from the newest on, within each key."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))))
+
+
+def global_rank(jobs: DataFrame, most: int) -> DataFrame:
+    """The first `most` queued jobs, oldest first, with their place behind all running ones; only they are ranked."""
+    running = jobs.filter("status = 'running'").agg(F.count("*").alias("running"))
+    first = jobs.filter("status = 'queued'").orderBy("created_at", "id").limit(most)
+    ranked = first.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))  # at most `most` rows
+    return ranked.join(F.broadcast(running)).select("id", (F.col("place") + F.col("running")).alias("global_rank"))  # one row
+
+
+def field_paths(issues: DataFrame) -> DataFrame:
+    """Of each document the distinct fields that its issues name, in order."""
+    return issue_fields(issues).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("field_path")), ",").alias("field_paths"))
+
+
+def health(usage: DataFrame, day: Column, cap_micros: int) -> DataFrame:
+    """One row: what the day has cost, and whether the budget still allows work."""
+    return spent_on(usage, day).withColumn("within", F.col("cost_micros") < cap_micros)

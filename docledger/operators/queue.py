@@ -137,3 +137,22 @@ def blocked_by_budget(usage: DataFrame, documents: DataFrame, day: Column, cap_m
 
     spent = spent_on(usage, day).withColumnRenamed("cost_micros", "spent")
     return documents.join(F.broadcast(spent)).withColumn("blocked", F.lit(not free) & (F.col("spent") >= cap_micros))  # one row
+
+
+def finalised(metadata: DataFrame, fields: DataFrame, invoices: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Invoices with the drafts of finished documents put over theirs, and documents then waiting for review."""
+    from docledger.operators.draft import header
+    from docledger.operators.ledger import set_status
+    from docledger.sources.tables import replaced
+
+    worst = metadata.groupBy("document_id").agg(F.max("risk").alias("risk"), F.count("*").alias("n_fields"))
+    drafts = header(fields).join(worst, "document_id", "left")
+    done = drafts.select("document_id").distinct()
+    waiting = set_status(documents.join(done, "document_id", "left_semi"), "needs_review")
+    return replaced(invoices, drafts.select(*invoices.columns)), documents.join(done, "document_id", "left_anti").unionByName(waiting, allowMissingColumns=True)
+
+
+def repaired(extractions: DataFrame, issues_of: DataFrame) -> DataFrame:
+    """The issues of each document's newest adopted extraction (issues_of: extraction_id and the issue), whatever was stored before."""
+    chosen = latest(extractions.filter("adopted").select("document_id", "id", "created_at"), ["document_id"]).select("document_id", F.col("id").alias("extraction_id"))
+    return chosen.join(issues_of.drop("document_id"), "extraction_id").drop("extraction_id")
