@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docledger.llm._spark import byte_blocks
-from docledger.llm.jaccard import BLOCK, Words
+from docledger.llm.jaccard import BLOCK, LOWER, Words
 from docledger.llm.suffix import mixed
 
 STEPS = 12
 SAMPLES = 6
 RATE = 0.2
-RECALL = 0.95
+RECALL = 0.99
+SHARED = 0.3
 LEAST_WORDS = 5
 FILTER = 18
 SLICE_BYTES = 32 << 20
@@ -42,7 +43,7 @@ class Sketch:
     starts the walk at its own place in the item; windows of documents start at every word.
     """
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, recall: float, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray, bytes]], rate: float, recall: float, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.items, self.rate = items, rate
         count = repetitions(rate, recall)
@@ -52,7 +53,7 @@ class Sketch:
             steps = np.sort(np.append(0, 1 + rng.choice(STEPS - 1, SAMPLES - 1, replace=False)))
             share = (r + rng.random()) / count
             by_size: dict[int, list] = {}
-            for n, (_, words) in enumerate(items):
+            for n, (_, words, _) in enumerate(items):
                 by_size.setdefault(min(STEPS, len(words)), []).append(n)
             for size, members in by_size.items():
                 taken = [int(s) for s in steps if s < size]  # a walk of fewer steps than words stays in the item
@@ -118,33 +119,47 @@ def edits(pattern: list[int], text: list[int]) -> list[int]:
     return out
 
 
-def matches(sketch: Sketch, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, first word, word after the last, edits) of items in texts, each verified exactly; of overlapping finds of an item the best."""
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words of a text in lower case, joined by single spaces."""
+    low = LOWER[data].tobytes()
+    return b" ".join(low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def located(pattern: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
+    """(begin, end, edits) of the stretch of a text nearest to a pattern, if it is near enough."""
+    ends = edits(pattern, text)
+    least = min(ends, default=most + 1)
+    if least > most:
+        return None
+    end = ends.index(least) + 1
+    return end - 1 - edits(pattern[::-1], text[:end][::-1]).index(least), end, least
+
+
+def matches(sketch: Sketch, words: np.ndarray, begin: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """(text, item, first word, word after the last, edits, their unit) of items in texts, each verified exactly, by words and else by characters."""
     found = sketch.candidates(words)
     of = np.searchsorted(begin, np.arange(len(words)), side="right") - 1
     best: dict[tuple[int, int], list] = {}
     for start, item in found.tolist():
-        pattern = sketch.items[item][1]
+        _, pattern, letters = sketch.items[item]
         n = len(pattern)
         most = int(sketch.rate * n)
         text = int(of[min(max(start, 0) + n // 2, len(words) - 1)])
-        lo, hi = max(int(begin[text]), start - most), min(int(begin[text + 1]), start + n + most)
+        lo, hi = max(int(begin[text]), start - most - 1), min(int(begin[text + 1]), start + n + most + 1)
         spans = best.setdefault((text, item), [])
-        if any(a <= start < b for a, b, _ in spans):
+        if any(a <= start < b for a, b, *_ in spans):
             continue
         region, own = words[lo:hi].tolist(), pattern.tolist()
-        if len(set(own) & set(region)) < len(set(own)) - most:
-            continue
-        ends = edits(own, region)
-        least = min(ends, default=n)
-        if least > most:
-            continue
-        end = ends.index(least) + 1
-        back = edits(own[::-1], region[:end][::-1])
-        spans.append((lo + end - 1 - back.index(least), lo + end, least))
+        shared = len(set(own) & set(region))
+        if shared >= len(set(own)) - most and (hit := located(own, region, most)):
+            spans.append((lo + hit[0], lo + hit[1], hit[2], "word"))
+        elif shared >= SHARED * len(set(own)):
+            text_of = spelled(data, starts[lo:hi], ends[lo:hi])
+            if hit := located(list(letters), list(text_of), int(sketch.rate * len(letters))):
+                spans.append((lo + text_of[: hit[0]].count(b" "), lo + text_of[: hit[1]].rstrip(b" ").count(b" ") + 1, hit[2], "character"))
     for (text, item), spans in best.items():
-        for a, b, e in spans:
-            yield text, item, a, b, e
+        for span in spans:
+            yield text, item, *span
 
 
 class AlnumWords(Words):
@@ -154,10 +169,10 @@ class AlnumWords(Words):
 
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Where documents hold items with at most `rate` of the item's words edited: id, item, start, end, edits, item_words.
+    """Where documents hold items with at most `rate` of the item's words edited, or else of its characters: id, item, start, end, edits, unit, item_words.
 
-    Edits are words inserted, left out or replaced; words are runs of letters and digits, case folded for A-Z, so
-    punctuation and white space don't count. Start and end are characters of the text. Items of which so many words are
+    Edits are words (or characters, as `unit` says) inserted, left out or replaced; words are runs of letters and digits, case folded for A-Z,
+    so punctuation and white space don't count. Start and end are characters of the text. Items of which so many words are
     edited are found with probability `recall` or more, items with fewer edits nearly always; whatever is returned is
     verified by exact edit distance. Items of fewer than `least` words are not searched for.
 
@@ -170,13 +185,17 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float =
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, ceil(size / (SLICE_BYTES / 2)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item", items.schema["item"].dataType), *T._parse_datatype_string("start long, end long, edits int, item_words int").fields])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item", items.schema["item"].dataType), *T._parse_datatype_string("start long, end long, edits int, unit string, item_words int").fields])
     out = None
     for part in range(slices):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == part).orderBy("item", "text").collect()
         words = AlnumWords(1)
-        known = [(row.item, words.hashes(np.frombuffer(row.text.encode(), np.uint8), np.array([0, len(row.text.encode())]))[0]) for row in rows if row.text]
-        known = [(item, own) for item, own in known if len(own) >= max(1, least)]
+        known = []
+        for row in rows:
+            data = np.frombuffer(row.text.encode(), np.uint8)
+            own, starts, ends, _ = words.hashes(data, np.array([0, len(data)]))
+            if len(own) >= max(1, least):
+                known.append((row.item, own, spelled(data, starts, ends)))
         sent = spark.sparkContext.broadcast(known)
 
         def scan(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
@@ -188,13 +207,13 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float =
                 if not len(own):
                     continue
                 rows = []
-                for text, item, a, b, e in matches(sketch, own, begin):
+                for text, item, a, b, e, unit in matches(sketch, own, begin, data, starts, ends):
                     place = offsets[text]
                     chars = lambda to: int(((data[place:to] & 0xC0) != 0x80).sum())  # noqa: B023, E731
-                    rows.append((text, sketch.items[item][0], chars(starts[a]), chars(ends[b - 1]), e, len(sketch.items[item][1])))
+                    rows.append((text, sketch.items[item][0], chars(starts[a]), chars(ends[b - 1]), e, unit, len(sketch.items[item][1])))
                 if rows:
-                    of, item, start, end, edited, n = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(item), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edited, pa.int32()), pa.array(n, pa.int32())], names=["id", "item", "start", "end", "edits", "item_words"])
+                    of, item, start, end, edited, unit, n = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(item), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edited, pa.int32()), pa.array(unit, pa.string()), pa.array(n, pa.int32())], names=["id", "item", "start", "end", "edits", "unit", "item_words"])
 
         found = texts.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)

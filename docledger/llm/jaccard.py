@@ -37,6 +37,9 @@ class Words:
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each word, place where it starts, where it ends, and for each text the number of words before it), as texts stand one after the other."""
+        if not len(data):
+            none = np.zeros(0, np.int64)
+            return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
         inside = ~self.breaks[data]
         edge = np.empty(len(data) + 1, bool)
         edge[1:-1] = inside[1:] != inside[:-1]

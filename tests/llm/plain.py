@@ -90,3 +90,27 @@ def lines(rows, least=24):
             kept.append(part)
         out[doc] = ("\n".join(kept), gone)
     return out
+
+
+def leaks(items, rows, rate=0.2):
+    """Pairs (document, item) of which the item is held with at most `rate` of its words, or of its characters, edited."""
+    from docledger.llm.decontam import edits
+
+    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())
+    low = lambda t: [w.lower() for w in split(t)]
+    out = set()
+    texts = [(doc, low(t)) for doc, t in rows]
+    for item, t in items:
+        own = low(t)
+        if len(own) < 5:
+            continue
+        for doc, words in texts:
+            if len(set(own) & set(words)) < 0.3 * len(set(own)):
+                continue
+            if min(edits(own, words), default=len(own)) <= int(rate * len(own)):
+                out.add((doc, item))
+            else:
+                letters = b" ".join(own)
+                if min(edits(list(letters), list(b" ".join(words))), default=len(letters)) <= int(rate * len(letters)):
+                    out.add((doc, item))
+    return out
