@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For our own actions: shuffle files go with the action, so that phases do not add up on disk, and Arrow batches are small, as rows hold whole texts.
+ACTION = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,20 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a finished action are removed with it, so that phases do not add up on disk."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def action(spark: SparkSession) -> Iterator[None]:
+    """Settings for an action of our own; those of the session come back after it."""
+    before = {k: spark.conf.get(k, None) for k in ACTION}
+    for k, v in ACTION.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage through a reliable checkpoint; Spark removes its files once no plan refers to them."""
     shared_dir(df.sparkSession)
-    with shuffle_files_go(df.sparkSession):
+    with action(df.sparkSession):
         return df.checkpoint()
 
 
@@ -67,7 +70,7 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with shuffle_files_go(self.spark):
+        with action(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
