@@ -94,8 +94,9 @@ def fold(key: Column) -> Column:
 def learn(docs: DataFrame, per_language: int, landmarks: int, id_col: str, text_col: str, lang_col: str) -> tuple | None:
     """Fits a model on at most `per_language` texts of each language, those of least hash, of the folds that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != 0) & F.col("text").rlike(r"\p{L}"))
-    hashed = checkpoint(rows.select("lang", F.xxhash64("text").alias("h")))
+    hashed = rows.select("lang", F.xxhash64("text").alias("h")).persist()
     least = checkpoint(least_hashes(hashed, "lang", "h", per_language))
+    hashed.unpersist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in lowered(batches):
@@ -143,9 +144,10 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
                     score[done : i + 1] = np.clip(values.max(axis=1), 0, 1)
                     held, done = [], i + 1
             names = [model.names[b] if ok else "und" for b, ok in zip(best.tolist(), spoken.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0)), *rows.columns[4:]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where(spoken, score, 0.0)), *(rows.column(rows.schema.get_field_index("text" if c == text_col else f"carried{i}")) for i, c in enumerate(carry))], names=schema.names)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), letters.alias("spoken"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
-    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields, *rows.schema.fields[4:]])
+    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col)) == 0).alias("held_out"), letters.alias("spoken"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry) if c != text_col))
+    back = [T.StructField(f"carried{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields, *back])
     return rows.mapInArrow(work, schema).toDF(id_col, *schema.names[1:4], *carry)
