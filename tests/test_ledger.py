@@ -228,3 +228,38 @@ def test_streams(spark, tmp_path):
     assert spark.table("unique").count() == 2
     assert {(r.day, r.cost_micros) for r in spark.table("spend").collect()} == {(date(2026, 9, 15), 12), (date(2026, 9, 16), 1)}
     assert {(r.address, r.requests) for r in spark.table("limit").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_providers(spark, tmp_path):
+    import pandas as pd
+
+    from docledger.sources import providers
+
+    docs = spark.createDataFrame([(1, "abc", b"x"), (2, "def", b"yy")], "document_id long, sha256 string, content binary")
+
+    def answer(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"document_id": batch.document_id, "sha256": batch.sha256, "kind": "initial", "result": [f"{len(c)}:{f}" for c, f in zip(batch.content, batch.focus, strict=True)], "model": "mock", "input_tokens": 1, "output_tokens": 2})
+
+    got = providers.extracted(docs, answer, focus="totals")
+    assert {(r.document_id, r.result) for r in got.collect()} == {(1, "1:totals"), (2, "2:totals")}
+    providers.record(got, f"{tmp_path}/rec")
+    assert spark.read.text(f"{tmp_path}/rec").count() == 2
+    again = providers.replayed(docs, got.filter("document_id = 1"), "initial")
+    assert {r.document_id: r.result for r in again.collect()} == {1: "1:totals", 2: None}
+    manifest = spark.createDataFrame([("a", "abc"), ("b", "def")], "name string, sha256 string")
+    done = spark.createDataFrame([("abc", "needs_review"), ("def", "processing")], "sha256 string, status string")
+    assert [r.name for r in providers.unsettled(manifest, done).collect()] == ["b"]
+
+
+def test_repair(spark):
+    extractions = spark.createDataFrame([(1, 10, True, 1), (1, 11, True, 2), (1, 12, False, 3)], "document_id long, id long, adopted boolean, created_at int")
+    stored = spark.createDataFrame([(1, 10, "V002"), (1, 11, "V003"), (1, 12, "V001")], "document_id long, extraction_id long, code string")
+    assert [(r.document_id, r.code) for r in queue.repaired(extractions, stored).collect()] == [(1, "V003")]
+
+
+def test_report(spark):
+    from docledger.operators import evaluate
+
+    rows = spark.createDataFrame([(1, 10, 10, 3, 3, "", "", 20, 20, True), (2, 10, 9, 3, 3, "V003", "", 20, 18, False)], "document_id long, fields int, fields_ok int, lines int, lines_ok int, missed string, extra string, values int, found int, passed boolean")
+    text = evaluate.report(rows)
+    assert "| 2 | 9/10 | 3/3 | 18/20 | V003 | - | no |" in text and text.endswith("1 of 2 pass.")
