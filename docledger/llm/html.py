@@ -39,7 +39,7 @@ class Blocks:
         self.text: list[str] = []
         self.linked = self.links = self.inside = 0
         tags = [m for m in TOKEN.finditer(page)]
-        skip_to = self.apart(tags)
+        skip_to = self.apart(tags, page)
         at, until = 0, -1
         for i, m in enumerate(tags):
             if m.start() > at:
@@ -81,8 +81,12 @@ class Blocks:
         self.linked = 0
 
     @staticmethod
-    def apart(tags: list[re.Match]) -> dict[int, int]:
-        """Of tags that open an element apart from the article, the tag that closes it; all by index."""
+    def apart(tags: list[re.Match], page: str) -> dict[int, int]:
+        """Of tags that open an element apart from the main text, the tag that closes it; all by index.
+
+        A mark on an article, or on an element that holds one, counts if the text elsewhere is more than its own. Where a
+        whole word of class, id or role is the mark, a quarter of that is enough, and so is an unmarked article elsewhere.
+        """
         out: dict[int, int] = {}
         ends, open_, articles = {}, {}, []
         for i, m in enumerate(tags):
@@ -95,6 +99,7 @@ class Blocks:
                 open_.setdefault(name, []).append(i)
             elif open_.get(name):
                 ends[open_[name].pop()] = i
+        doubtful: dict[int, tuple[int, bool]] = {}
         until = depth = 0
         for i, m in enumerate(tags):
             name = (m["name"] or "").lower()
@@ -102,33 +107,81 @@ class Blocks:
                 continue
             if name in ("article", "main"):
                 depth = max(0, depth + (-1 if m["end"] else 1))
-            if m["end"] or name in ("html", "body", "article", "main", "h1", "p"):
+            if m["end"] or name in ("html", "body", "h1", "p"):
                 continue
             attrs = m["attrs"] or ""
-            words = {w for x in ATTRIBUTE.findall(attrs) for w in re.split(r"[\s_-]+", "".join(x).lower())} if "=" in attrs else set()
-            marked = bool(words & MARKS) or bool(attrs and HIDDEN.search(attrs))
+            whole = {w for x in ATTRIBUTE.findall(attrs) for w in "".join(x).lower().split()} if "=" in attrs else set()
+            words = {w for x in whole for w in re.split(r"[_-]+", x)}
+            hidden = bool(attrs and HIDDEN.search(attrs))
+            marked = hidden or bool(words & MARKS)
             if not (name in APART or name == "header" and not depth or marked):
                 continue
             end, at = ends.get(i), bisect(articles, i)
             holds = at < len(articles) and (end is None or articles[at] < end)
             if holds and name in ("nav", "footer", "header", "head"):
                 end = articles[at]  # never closed: it ends where the article begins
+            if marked and end is not None and name not in APART and (holds or name in ("article", "main")):
+                doubtful[i] = end, hidden or bool(whole & MARKS)
+                continue
             if name not in APART and (holds or end is None) or end is None and holds:
                 continue  # it holds the article, or nothing tells where it ends
             out[i] = until = len(tags) if end is None else end
-        return out
+        return Blocks.settled(tags, page, out, ends, doubtful) if doubtful else out
 
+    @staticmethod
+    def settled(tags: list[re.Match], page: str, out: dict[int, int], ends: dict[int, int], doubtful: dict[int, tuple[int, bool]]) -> dict[int, int]:
+        """Adds to `out` those of the doubtful elements that the rest of the page shows to be apart."""
+        own, inner, article = {-1: 0}, dict.fromkeys(doubtful, 0), {-1: 0}
+        path, until, links, at, clear = [-1], -1, 0, 0, []
+        for i, m in enumerate(tags):
+            if until < 0 and not links:
+                n = len(page[at : m.start()].strip())
+                own[path[-1]] += n
+                for x in path[1:]:
+                    inner[x] += n
+                if any(depth == len(path) for _, depth in clear):
+                    article[path[-1]] += n
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if i >= until:
+                until = out.get(i, -1)
+            while len(path) > 1 and i >= doubtful[path[-1]][0]:
+                path.pop()
+            clear = [x for x in clear if i < x[0]]
+            if i in doubtful:
+                path.append(i)
+                own[i] = article[i] = 0
+            if name in ("article", "main") and i in ends and not doubtful.get(i, (0, False))[1]:
+                clear.append((ends[i], len(path)))
+            if name == "a":
+                links = 0 if m["end"] else 1
+            elif name in BLOCKS and name not in ("li", "p"):
+                links = 0
+        if until < 0 and not links:
+            own[-1] += len(page[at:].strip())
+        open_: list[int] = []
+        around: dict[int, list[int]] = {}
+        clear_own, clear_article = dict(own), dict(article)  # by whole words alone: text under other marks is that of what holds it
+        for i, (_, exact) in doubtful.items():
+            while open_ and i >= doubtful[open_[-1]][0]:
+                open_.pop()
+            around[i] = [-1, *open_]
+            if not exact:
+                holder = next((x for x in reversed(open_) if doubtful[x][1]), -1)
+                clear_own[holder] += clear_own.pop(i)
+                clear_article[holder] += clear_article.pop(i)
+            open_.append(i)
+        for i, (end, exact) in doubtful.items():
+            if any(x in out for x in around[i][1:]):
+                continue
+            rest = sum((clear_own if exact else own).get(x, 0) for x in around[i])
+            if rest >= SURGE and (rest > inner[i] or exact and (rest * 4 >= inner[i] or sum(clear_article.get(x, 0) for x in around[i]) >= SURGE)):
+                out[i] = end
+        return out
 
-def kept(blocks: list[tuple[str, int, bool, bool]]) -> list[str]:
-    """The blocks between the surge and the dive of text length over sliding windows of blocks.
 
-    Blocks that stand apart have no weight and are never kept. Where a page marks its article, other blocks have no
-    weight and the article's edges are the surge and the dive, however short its text.
-    """
-    marked = any(inside and not apart for _, _, apart, inside in blocks)
-    if marked:
-        return [text for text, _, apart, inside in blocks if inside and not apart]
-    weights = [0 if apart or n * 2 < len(text) else n for text, n, apart, _ in blocks]
+def text_runs(weights: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(first block, block after the last, text) of all stretches from a surge of the window sums to the next dive."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = min(SURGE, max(sums, default=0) / 2)
     runs: list[tuple[int, int, int]] = []
@@ -140,8 +193,28 @@ def kept(blocks: list[tuple[str, int, bool, bool]]) -> list[str]:
         j = i
         while j < len(weights) and (weights[j] or sums[j] > surge):
             j += 1  # the dive: no text in this block and little in the next ones
-        runs.append((i, j, sum(weights[i:j])))
+        runs.append((i, j, sum(n for n, w in zip(sizes[i:j], weights[i:j], strict=True) if w)))
         i = j
+    return runs
+
+
+def kept(blocks: list[tuple[str, int, bool, bool]]) -> list[str]:
+    """The blocks between the surge and the dive of text length over sliding windows of blocks.
+
+    Blocks that stand apart have no weight and are never kept. Where the articles of a page hold as much text as the
+    longest stretch outside them, or none outside would surge, their blocks weigh a surge more each and other blocks nothing, so surge and dive fall
+    on an article's edges, however short its text; else the articles' blocks weigh what others do.
+    """
+    weights = [0 if apart or n * 2 < len(text) else n for text, n, apart, _ in blocks]
+    sizes = [n for _, n, *_ in blocks]
+    if any(inside and not apart for _, _, apart, inside in blocks):
+        outside = [0 if inside else w for w, (*_, inside) in zip(weights, blocks, strict=True)]
+        longest = max((n for *_, n in text_runs(outside, sizes)), default=0)
+        if longest <= max(SURGE, sum(len(text) for text, _, apart, inside in blocks if inside and not apart)):
+            blocks = [b for b in blocks if not (b[2] and b[3])]  # what stands apart within an article does not part it
+            sizes = [len(text) for text, *_ in blocks]
+            weights = [n + SURGE if inside else 0 for n, (*_, inside) in zip(sizes, blocks, strict=True)]
+    runs = text_runs(weights, sizes)
     least = max((n for *_, n in runs), default=0) * 0.25
     return [blocks[k][0] for i, j, n in runs if n >= least for k in range(i, j) if weights[k]]
 
@@ -157,7 +230,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Markup is stripped into blocks, the lengths of block texts without links are summed over windows of three blocks,
     and the blocks between the point where the sums surge and the point where they dive are kept. Elements that HTML
     or their class, id or role mark as menu, header, footer, sidebar, notice, advert, form or comments weigh nothing
-    and are left out; where the page has an article or main element, its edges are the surge and the dive. Character
+    and are left out, articles among them where the main text is elsewhere. Blocks of an article or main element weigh
+    more, unless a longer stretch of text is outside. Character
     references are decoded, white space within a block becomes one space, blocks are joined by a blank line in page
     order. A null or empty page gives an empty text; repeated rows and extra columns make no difference. Each page is
     worked on alone, so nothing is shuffled.

@@ -251,6 +251,19 @@ def test_html_without_article():
     assert text.count("\n\n") == 12 and "Short." in text and "Menu" not in text and "Imprint" not in text
 
 
+def test_html_articles_elsewhere():
+    story = "".join(f"<p>Paragraph {i} of the story goes on for quite a while, as stories do when they are told.</p>" for i in range(6))
+    teaser = "<article><h3>More</h3><p>Another story that you may want to read next.</p></article>"
+    comment = "<article class=comment><p>I have read this and must say that it is not at all what I had thought of.</p></article>"
+    want = "\n\n".join(f"Paragraph {i} of the story goes on for quite a while, as stories do when they are told." for i in range(6))
+    for main in (f"<div>{story}</div>", f"<article>{story}</article>", f"<article class='post has-sidebar'>{story}</article>", f"<div class=has-sidebar><article>{story}</article></div>"):
+        for more in ("", f"<div class=related>{teaser}</div>", f"<section id=comments>{comment * 3}</section>", f"<section id=comments>{comment * 12}</section>", comment):
+            assert html.extract(f"<body>{main}{more}</body>") == want, (main, more)
+    assert html.extract(f"<body><div>{story}</div>{teaser}</body>").startswith(want)  # nothing marks the teaser
+    assert html.extract(f"<div class=modal><article>{story}</article></div>") == want
+    assert html.extract(f"<article><p>Short.</p></article><div><a href=x>{'Menu ' * 40}</a></div><p>Imprint</p>") == "Short."
+
+
 def test_html_rows(spark):
     frame = plain.clashing(spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "x " * 200_000)], "page_id long, url string, html string"))
     got = html.main_text(frame).collect()
