@@ -46,15 +46,15 @@ def word_pages(x: Ledger) -> DataFrame:
 
 
 def invoice_pages(x: Ledger) -> DataFrame:
-    """A printed page for each of some invoices: a line for each item, then the sums."""
-    own = lines(x).filter("document_id % 40 = 1")
+    """A printed page for each invoice: a line for each item, then the sums."""
+    own = lines(x)
     rows = own.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat_ws(" ", "description", F.col("quantity").cast("int").cast("string"), "shown").alias("line")))).alias("rows"), F.sum("cents").alias("sum"))
     body = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\nSubtotal "), printed(F.col("sum"), F.lit(0)), F.lit("\nTotal "), printed(F.col("sum"), F.lit(0)))
     return tokens.text_pages(rows.select("document_id", F.lit(1).alias("page_no"), body.alias("text")))
 
 
 def invoice_values(x: Ledger) -> DataFrame:
-    own = lines(x).filter("document_id % 40 = 1")
+    own = lines(x)
     path = lambda name: F.concat(F.lit("lineItems."), "idx", F.lit(f".{name}"))
     cells = F.array(F.struct(path("description").alias("field_path"), F.lit("text").alias("kind"), F.col("description").alias("value")), F.struct(path("amount").alias("field_path"), F.lit("money").alias("kind"), money.from_cents(F.col("cents")).cast("string").alias("value")))
     items = own.select("document_id", F.explode(cells).alias("x")).select("document_id", "x.*")

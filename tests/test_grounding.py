@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docledger.operators import grounding, tokens
+from docledger.plans import function_queries
+from docledger.plans.derived import Ledger
 
 CASES = [
     # page lines, path, kind, value, source text, (method, score, line, start, end) or None
@@ -67,6 +69,22 @@ def test_claims(spark, labels):
     assert got == {"total": (15, 16), "subtotal": (11, 12), "lineItems.0.description": (0, 2), "lineItems.0.quantity": (2, 3), "lineItems.0.unitPrice": (3, 4), "lineItems.0.amount": (4, 5), "lineItems.1.description": (5, 7), "lineItems.1.quantity": (7, 8), "lineItems.1.unitPrice": (8, 9), "lineItems.1.amount": (9, 10)}
 
 
+def test_all_invoices(spark):
+    """Every line of every invoice is grounded where it was printed, and so are the sums."""
+    small = "/root/testdata/sf0.001"
+    want, page, lines = {}, {}, {}
+    for r in function_queries.lines(Ledger(spark, small)).select("document_id", "idx", "description", "quantity", "shown").orderBy("document_id", "idx").collect():
+        at, n = page.get(r.document_id, 0), len(r.description.split())
+        want[r.document_id, f"lineItems.{r.idx}.description"] = (at, at + n, "exact")
+        page[r.document_id] = at + n + 1 + len(r.shown.split())
+        lines[r.document_id] = lines.get(r.document_id, 0) + 1
+    got = {(r.document_id, r.field_path): (r.start, r.end, r.method) for r in function_queries.QUERIES["g11_ground_document"](spark, small).collect()}
+    assert {k: v for k, v in got.items() if k[1].endswith("description")} == want
+    sums = {(d, f): (n + 1 + 2 * k, n + 2 + 2 * k) for d, n in page.items() for k, f in enumerate(("subtotal", "total"))}
+    assert {k for k in got if k[1] in ("total", "subtotal")} == set(sums)
+    assert all(got[k][:2] == v for k, v in sums.items() if lines[k[0]] > 1)  # a single line's amount is its sum, too
+
+
 def test_lines(spark):
     rows = [(0, [("b", 0.5, 0.1, 0.1, 0.02), ("a", 0.1, 0.105, 0.1, 0.02), ("c", 0.1, 0.2, 0.1, 0.02)]), (1, [("small", 0.3, 0.14, 0.1, 0.02), ("TALL", 0.1, 0.1, 0.1, 0.06)]), (2, [])]
     frame = spark.createDataFrame(rows, "i int, t array<struct<text:string,x:double,y:double,w:double,h:double>>")
