@@ -43,19 +43,28 @@ def assign_lines(tokens: Column) -> Column:
     """Tokens (text, x, y, w, h) with the line that they stand on, in reading order.
 
     By their lower edges, then x, each token goes on the line of the one before unless its edge is further from that of the
-    line's first token than half the taller of both. The anchor moves with the lines, so this is a fold and not a window.
+    line's first token than half the taller of both. The anchor moves with the lines, so this is a fold and not a window; it
+    keeps only where each line begins, so that no token is copied for those after it.
     """
     sorted_ = F.array_sort(F.transform(tokens, lambda t, i: F.struct((t["y"] + t["h"]).alias("base"), t["x"].alias("x"), i.alias("i"), t.alias("t"))))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("base"), F.lit(0.0).alias("h"), F.array().cast(f"array<struct<line:int,x:double,i:int,t:{BOX}>>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("begins"), F.lit(0).alias("n"))
 
     def step(state: Column, token: Column) -> Column:
         new = state["base"].isNull() | (F.abs(token["base"] - state["base"]) > F.greatest(token["t"]["h"], state["h"]) * 0.5)
-        line = F.when(new, state["line"] + 1).otherwise(state["line"])
-        placed = F.struct(line.alias("line"), token["x"].alias("x"), F.size(state["out"]).alias("i"), token["t"].cast(BOX).alias("t"))
-        return F.struct(line.alias("line"), F.when(new, token["base"]).otherwise(state["base"]).alias("base"), F.when(new, token["t"]["h"]).otherwise(state["h"]).alias("h"), F.concat(state["out"], F.array(placed)).alias("out"))
+        begins = F.when(new, F.concat(state["begins"], F.array(state["n"]))).otherwise(state["begins"])
+        return F.struct(F.when(new, token["base"]).otherwise(state["base"]).alias("base"), F.when(new, token["t"]["h"]).otherwise(state["h"]).alias("h"), begins.alias("begins"), (state["n"] + 1).alias("n"))
 
-    lined = F.array_sort(F.aggregate(sorted_, start, step)["out"])
-    return F.transform(lined, lambda p: F.struct(*(p["t"][c].alias(c) for c in ("text", "x", "y", "w", "h")), p["line"].alias("line")))
+    def placed(all_: Column, begins: Column) -> Column:
+        def row(begin: Column, line: Column) -> Column:
+            end = F.coalesce(F.get(begins, line + 1), F.size(all_))
+            own = F.array_sort(F.transform(F.slice(all_, begin + 1, end - begin), lambda t, i: F.struct(t["x"].alias("x"), i.alias("i"), t["t"].cast(BOX).alias("t"))))
+            return F.transform(own, lambda p: F.struct(*(p["t"][c].alias(c) for c in ("text", "x", "y", "w", "h")), line.alias("line")))
+
+        return F.flatten(F.transform(begins, row))
+
+    # an array of one element names what is used more than once, so that it is made once
+    folded = F.transform(F.array(sorted_), lambda all_: F.struct(all_.alias("all"), F.aggregate(all_, start, step)["begins"].alias("begins")))
+    return F.transform(folded, lambda x: placed(x["all"], x["begins"]))[0]
 
 
 def words_of_item(text: Column, box: Column) -> Column:

@@ -115,7 +115,7 @@ QUERIES = {
     "f16_normalize_text": over(lambda x: lines(x).select("document_id", "idx", text.normalize_text(F.when(F.col("idx") == 0, F.concat(F.lit(" #"), "description", F.lit("-X! "))).otherwise(F.col("shown"))).alias("normal"))),
     "f17_fuzzy_key": over(lambda x: lines(x).select("document_id", "idx", text.fuzzy_key(F.concat(F.lit("Eur "), "description", F.lit(" $9"))).alias("key"))),
     "f18_vendor_key": over(lambda x: names(x).select("p_partkey", text.vendor_key(F.col("shown")).alias("key"))),
-    "f21_lines": over(lambda x: word_pages(x).select("document_id", tokens.assign_lines(F.transform(F.slice("tokens", 1, 200), lambda t: F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h"))))).alias("t")).select("document_id", F.array_max(F.transform("t", lambda t: t["line"])).alias("last_line"), F.size("t").alias("n"))),
+    "f21_lines": over(lambda x: word_pages(x).select("document_id", tokens.assign_lines(F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h"))))).alias("t")).select("document_id", F.array_max(F.transform("t", lambda t: t["line"])).alias("last_line"), F.size("t").alias("n"))),
     "f22_sanitize": over(lambda x: x.read("pages").select("page_id", text.sanitize_filename(F.concat("url", F.lit("/a\tb"), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 3 == 0, F.repeat(F.lit("y"), 200)).otherwise(""), F.lit(".pdf"))).alias("name"))),
     "f26_same_value": over(lambda x: lines(x).select("document_id", "idx", text.same_value("money", F.col("shown"), F.col("amount").cast("string")).alias("same"))),
     "f29_criticality": over(lambda x: x.groundings.select("document_id", "field_path", risk.criticality(F.col("field_path")).alias("weight"))),

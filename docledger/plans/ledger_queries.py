@@ -59,7 +59,7 @@ def pages(x: Ledger) -> DataFrame:
 def ingest(x: Ledger) -> DataFrame:
     from docledger.sources.ingest import outcomes
 
-    files = x.read("documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("workspace_id"), F.concat(F.lit("dir/f"), "doc_id", F.lit(".pdf")).alias("filename"), F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(F.concat(F.when(F.col("doc_id") % 5 != 0, "%PDF-").otherwise("text:"), F.substring("text", 1, 3000))).cast("binary").alias("content"))
+    files = x.read("documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("workspace_id"), F.concat(F.lit("dir/f"), "doc_id", F.lit(".pdf")).alias("filename"), F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(F.concat(F.when(F.col("doc_id") % 5 != 0, "%PDF-").otherwise("text:"), F.col("text"))).cast("binary").alias("content"))
     return outcomes(files, most_bytes=2500, capacity=25).select("file_id", "outcome", "reason")
 
 

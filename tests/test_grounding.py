@@ -1,5 +1,7 @@
 """Grounding cases: pages of plain lines, values looked for, and where they have to be found."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,30 @@ def test_lines(spark):
     assert got == {0: [(0, "a"), (0, "b"), (1, "c")], 1: [(0, "TALL"), (0, "small")], 2: []}
 
 
+def test_whole_texts(spark):
+    small = "/root/testdata/sf0.001"
+    texts = {r.doc_id: [[w for w in line.split(" ") if w] for line in r.text.split("\n")] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.document_id: (r.n, r.last_line) for r in function_queries.QUERIES["f21_lines"](spark, small).collect()}
+    assert got == {i: (sum(map(len, rows)), sum(map(bool, rows)) - 1 if any(rows) else None) for i, rows in texts.items()}
+    assert max(n for n, _ in got.values()) > 200
+
+
+def test_lines_fold(spark):
+    """The same as folding token by token, on tokens of all heights and in any order."""
+    rng = random.Random(3)
+    rows = [(i, [(f"w{n}", rng.randrange(4) / 4, rng.randrange(20) / 64, 0.1, rng.choice([1, 2, 4, 8]) / 64) for n in range(rng.choice([1, 5, 40]))]) for i in range(40)]
+    frame = spark.createDataFrame([*rows, (99, None)], "i int, t array<struct<text:string,x:double,y:double,w:double,h:double>>")
+    want = {99: None}
+    for i, words in rows:
+        line, base, height, out = -1, None, 0.0, []
+        for n, (low, x, _, t) in enumerate(sorted((t[2] + t[4], t[1], k, t) for k, t in enumerate(words))):
+            if base is None or abs(low - base) > max(t[4], height) * 0.5:
+                line, base, height = line + 1, low, t[4]
+            out.append((line, x, n, t[0]))
+        want[i] = [(a, d) for a, _, _, d in sorted(out)]
+    assert {r.i: r.t and [(t.line, t.text) for t in r.t] for r in frame.select("i", tokens.assign_lines(F.col("t")).alias("t")).collect()} == want
+
+
 def test_ocr(spark):
     words = [("Total", 90.0, 100.0, 200.0, 160.0, 220.0), ("1,764.48", 70.0, 400.0, 200.0, 500.0, 220.0), (" ", 5.0, 0.0, 0.0, 1.0, 1.0), ("edge", 80.0, 900.0, 900.0, 1100.0, 920.0)]
     frame = spark.createDataFrame([(1, 1, 1000.0, 2000.0, words)], "document_id long, page_no int, width double, height double, words array<struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>>")
