@@ -1,4 +1,4 @@
-"""Finds benchmark items in documents, small edits allowed: CGK embedding, bit sampling, exact verification."""
+"""Finds benchmark items in documents, small edits allowed: CGK embedding, bit sampling, stretches that edits leave whole, exact verification."""
 
 from __future__ import annotations
 
@@ -21,9 +21,13 @@ RATE = 0.2
 RECALL = 0.99
 SHARED = 0.3
 LEAST_WORDS = 5
+WALKED = 5
+SEED = 8
 FILTER = 18
 SLICE_BYTES = 32 << 20
 FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Thai and Lao, Burmese, Khmer, Chinese and Japanese, compatibility and full-width forms; Chinese beyond U+20000 comes with them.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF))
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -35,17 +39,60 @@ def repetitions(rate: float, recall: float) -> int:
     return ceil(log(1 - recall) / log(1 - alike))
 
 
+class Seeds:
+    """Stretches of which any allowed edits of an item leave at least one as it was.
+
+    An item that may have k words edited is cut into k + 1 stretches, and an edit touches at most one of them; up to 8
+    words of each are looked for. So items of any length are found for certain, also where walks meet an edit at once.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray, bytes]], rate: float) -> None:
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for n, (_, words, _) in enumerate(items):
+            parts = min(len(words), int(rate * len(words)) + 1)
+            cuts = [len(words) * i // parts for i in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                size = min(SEED, b - a)
+                by_size.setdefault(size, []).append((int(self.keys(words[a : a + size], size)[0]), n, a))
+        self.tables = []
+        for size, rows in by_size.items():
+            keys, members, begins = zip(*sorted(rows), strict=True)
+            table, filter_ = np.array(keys, np.uint64), np.zeros(1 << FILTER, bool)
+            filter_[(table >> np.uint64(64 - FILTER)).astype(np.int64)] = True
+            self.tables.append((size, filter_, table, members, begins))
+
+    @staticmethod
+    def keys(words: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all stretches of so many words."""
+        key = np.zeros(max(0, len(words) - size + 1), np.uint64)
+        for t in range(size):
+            key = key * FOLD + words[t : t + len(key)]
+        return mixed(key * FOLD)
+
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(word at which the item would begin, item) wherever one of an item's stretches stands."""
+        found = []
+        for size, filter_, table, members, begins in self.tables:
+            keys = self.keys(words, size)
+            at = np.flatnonzero(filter_[(keys >> np.uint64(64 - FILTER)).astype(np.int64)])
+            lo, hi = np.searchsorted(table, keys[at]), np.searchsorted(table, keys[at], side="right")
+            for i in np.flatnonzero(hi > lo):
+                for j in range(lo[i], hi[i]):
+                    found.append((int(at[i]) - begins[j], members[j]))
+        return found
+
+
 class Sketch:
     """Bit samples of the CGK embeddings of items.
 
     The embedding copies a word for each step of a walk and moves to the next word if a random bit of (step, word) says so,
-    so that after an edit both walks fall into step again. Repetition r draws its own bits and its own sampled steps, and
+    so that after an edit both walks fall into step again. Items of fewer than 5 words have no walk, only seeds. Repetition r draws its own bits and its own sampled steps, and
     starts the walk at its own place in the item; windows of documents start at every word.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray, bytes]], rate: float, recall: float, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.items, self.rate = items, rate
+        self.items, self.rate, self.seeds = items, rate, Seeds(items, rate)
         count = repetitions(rate, recall)
         self.draws = []
         for r in range(count):
@@ -54,7 +101,8 @@ class Sketch:
             share = (r + rng.random()) / count
             by_size: dict[int, list] = {}
             for n, (_, words, _) in enumerate(items):
-                by_size.setdefault(min(STEPS, len(words)), []).append(n)
+                if len(words) >= WALKED:
+                    by_size.setdefault(min(STEPS, len(words)), []).append(n)
             for size, members in by_size.items():
                 taken = [int(s) for s in steps if s < size]  # a walk of fewer steps than words stays in the item
                 begins = [int(share * (len(items[n][1]) - size + 1)) for n in members]
@@ -76,8 +124,8 @@ class Sketch:
                 self.draws.append((salt, taken, filters, table[order, -1], np.array(members)[order], np.array(begins)[order]))
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Rows (word at which the item would begin, item) of all windows with an equal sample."""
-        found, salted, symbols = [], None, words
+        """Rows (word at which the item would begin, item) of all windows with an equal sample, or with a whole stretch of the item."""
+        found, salted, symbols = self.seeds.candidates(words), None, words
         for salt, steps, filters, keys, members, begins in self.draws:
             if salt != salted:
                 symbols, salted = np.concatenate([mixed(words ^ salt), np.zeros(STEPS + 1, np.uint64)]), salt
@@ -163,18 +211,30 @@ def matches(sketch: Sketch, words: np.ndarray, begin: np.ndarray, data: np.ndarr
 
 
 class AlnumWords(Words):
-    """Words are runs of ASCII letters and digits and of other than ASCII characters."""
+    """Words are runs of ASCII letters and digits and of other than ASCII characters; in scripts without spaces each character is one."""
 
     breaks = BREAK
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(data >= 0xE0)
+        if not len(at):
+            return at
+        padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        code = (padded[at] & 15) << 12 | (padded[at + 1] & 63) << 6 | padded[at + 2] & 63
+        three = (padded[at] < 0xF0) & np.any([(a <= code) & (code <= b) for a, b in UNSPACED], axis=0)
+        four = (padded[at] == 0xF0) & (padded[at + 1] >= 0xA0)
+        return np.concatenate([at[three], at[three] + 3, at[four], at[four] + 4])
+
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Where documents hold items with at most `rate` of the item's words edited, or else of its characters: id, item, start, end, edits, unit, item_words.
 
     Edits are words (or characters, as `unit` says) inserted, left out or replaced; words are runs of letters and digits, case folded for A-Z,
-    so punctuation and white space don't count. Start and end are characters of the text. Items of which so many words are
-    edited are found with probability `recall` or more, items with fewer edits nearly always; whatever is returned is
-    verified by exact edit distance. Items of fewer than `least` words are not searched for.
+    so punctuation and white space don't count; in scripts without spaces each character is a word. Start and end are
+    characters of the text. Items of which at most so many words are edited are all found, those that only agree by
+    characters with a probability for which `recall` sets the number of walks; whatever is returned is verified by exact
+    edit distance. Items of fewer than 5 words (at the default rate) are looked for as they are. Items of fewer than
+    `least` words are not searched for: by default those without any letter or digit.
 
     Items are searched for in slices of at most 32 MiB of their text, as they travel to all tasks; documents are only
     scanned, nothing is shuffled. Null or empty texts hold nothing. Repeated rows give repeated answers, items with equal

@@ -351,6 +351,24 @@ def test_leaks_edited(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 6, 9, 10, 12, 15, 20, 40])
+def test_leaks_by_size(size):
+    """Of items of each length with as many words edited as allowed, 0.99 and more are found, at the begin of a text, too."""
+    import numpy as np
+
+    rng = random.Random(size)
+    items = [(n, f"item {n}", np.array([rng.randrange(1 << 62) for _ in range(size)], np.uint64)) for n in range(200)]
+    sketch = decontam.Sketch([(n, own, b"") for n, _, own in items], decontam.RATE, decontam.RECALL)
+    found = 0
+    for n, _, own in items:
+        words = own.tolist()
+        for at in rng.sample(range(size), int(decontam.RATE * size)) if n % 2 else range(int(decontam.RATE * size)):
+            words[at : at + 1] = rng.choice([[rng.randrange(1 << 62)], [], [words[at], rng.randrange(1 << 62)]]) if at < len(words) else []
+        got = sketch.candidates(np.array(words + [rng.randrange(1 << 62) for _ in range(30)], np.uint64))
+        found += any(item == n and abs(start) <= size // 5 + 1 for start, item in got.tolist())
+    assert found >= 0.99 * len(items)
+
+
 def test_only_empty_texts(spark):
     frame = spark.createDataFrame([(1, None, "en", "s", 1), (2, "", "en", "s", 1), (3, "", None, None, None)], DOCS)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
