@@ -20,7 +20,7 @@ SAMPLES = 6
 RATE = 0.2
 RECALL = 0.99
 SHARED = 0.3
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 WALKED = 5
 SEED = 8
 FILTER = 18

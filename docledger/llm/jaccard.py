@@ -35,6 +35,10 @@ class Words:
         self.inverse = inverse
         self.up, self.down = powers(BASE, 2 * BLOCK), powers(inverse, 2 * BLOCK)
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places within runs at which a word ends and the next begins."""
+        return np.zeros(0, np.int64)
+
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each word, place where it starts, where it ends, and for each text the number of words before it), as texts stand one after the other."""
         if not len(data):
@@ -44,7 +48,7 @@ class Words:
         edge = np.empty(len(data) + 1, bool)
         edge[1:-1] = inside[1:] != inside[:-1]
         edge[:1], edge[-1:] = inside[:1], inside[-1:]
-        bounds = offsets[1:-1]
+        bounds = np.concatenate([offsets[1:-1], self.cuts(data)])
         bounds = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
         glued = bounds[inside[bounds] & inside[bounds - 1]]  # a word ends with its text
         edge[glued] = False

@@ -369,6 +369,16 @@ def test_leaks_by_size(size):
     assert found >= 0.99 * len(items)
 
 
+def test_leaks_short(spark):
+    """Items of a few words, and in scripts without spaces, are found wherever they stand."""
+    items = [(1, "blue"), (2, "two small words"), (3, "四季の変化は美しい"), (4, "猫"), (5, "ภาษาไทย"), (6, "été"), (7, "𠀀𠀁"), (8, "?!")]
+    rows = [(10, "The BLUE sky, and two  small words."), (11, "日本の四季の変化は美しいと思う猫です"), (12, "เรียนภาษาไทยวันนี้ l'été?!"), (13, "bluer two words small"), (14, "x𠀀𠀁y"), (15, "四季の変化も美しい")]
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(10, 1), (10, 2), (11, 3), (11, 4), (12, 5), (12, 6), (14, 7), (15, 3)}
+    text = dict(rows)
+    assert {text[r.doc_id][r.start : r.end].lower() for r in found if r.edits == 0} == {"blue", "two  small words", "四季の変化は美しい", "猫", "ภาษาไทย", "été", "𠀀𠀁"}
+
+
 def test_only_empty_texts(spark):
     frame = spark.createDataFrame([(1, None, "en", "s", 1), (2, "", "en", "s", 1), (3, "", None, None, None)], DOCS)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
