@@ -17,12 +17,17 @@ ACTION = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset in local mode, one of our own.
+
+    On a cluster a folder of the driver's machine would be another on each executor, so there the setting has to be made.
+    """
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
-    if found := spark.sparkContext._jsc.sc().getCheckpointDir().nonEmpty():
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    assert not found
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.nonEmpty():
+        return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="docledger-")
     spark.sparkContext.setCheckpointDir(path)
     return path

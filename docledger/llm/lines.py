@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing normalised lines."""
+"""Substring deduplication by hashing normalised lines and the sentences in them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 from docledger.llm._spark import Tables
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
-LEAST_CHARS = 24
+#: A sentence: up to its line's end, or to marks that white space follows (in Chinese and Japanese, anything), with the white space behind it.
+SENTENCE = re.compile(r"(?:[^\n.!?。！？]+|[.!?]+[^\x20\x09-\x0D.!?。！？])*+[.!?。！？]*+[\x20\x09-\x0D]*+")
+FEEDS = re.compile(r"\n[\x20\x09-\x0D]*\Z")
+LEAST_CHARS = 20
+FLUSH = 100_000
 SPAN = "array<struct<start:long,end:long>>"
 
 
@@ -22,39 +26,63 @@ def normalise(unit: str) -> str:
     return BLANKS.sub(" ", unit).strip(" ").lower()
 
 
-def units(docs: DataFrame, least: int, separator: str) -> DataFrame:
-    """(id, version, unit, digest, start, stop) of all units of at least `least` characters once normalised."""
+def units(text: str, least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of a text's units in order, without gaps: sentences, joined until they have `least` characters besides white space."""
+    start = chars = 0
+    for m in SENTENCE.finditer(text):
+        chars += len(BLANKS.sub("", m[0]))
+        if chars >= least and m.end() > start:
+            yield start, m.end()
+            start, chars = m.end(), 0
+    if start < len(text):
+        yield start, len(text)
+
+
+def spans(docs: DataFrame, least: int) -> DataFrame:
+    """(id, version, unit, digest, start, stop) of all units that are not blank."""
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("version long, unit long, digest binary, start long, stop long").fields])
+
+    def batch_of(ids: pa.Array, versions: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        row, unit, digest, start, stop = zip(*rows, strict=True)
+        at = pa.array(row, pa.int32())
+        return pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(unit, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=schema.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions, texts = batch.columns
             rows: list[tuple] = []
-            size = 0
             for i, text in enumerate(texts.to_pylist()):
-                at = 0
-                for n, unit in enumerate((text or "").split(separator)):
-                    if len(unit) >= least and len(key := normalise(unit)) >= least:
-                        rows.append((i, n, hashlib.blake2b(key.encode(), digest_size=16).digest(), at, at + len(unit)))
-                        size += 1
-                    at += len(unit) + len(separator)
-                if size >= 100_000 or i == len(texts) - 1:
-                    if rows:
-                        of, n_, digest, start, stop = zip(*rows, strict=True)
-                        of = pa.array(of, pa.int32())
-                        yield pa.RecordBatch.from_arrays([ids.take(of), versions.take(of), pa.array(n_, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["id", "version", "unit", "digest", "start", "stop"])
-                    rows, size = [], 0
-
-    schema = T.StructType([docs.schema["id"], T.StructField("version", T.LongType()), T.StructField("unit", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+                for n, (a, b) in enumerate(units(text or "", least)):
+                    if key := normalise(unit := text[a:b]):
+                        b = a + len(FEEDS.sub("", unit)) if a and text[a - 1] != "\n" else b  # the line before ends here
+                        rows.append((i, n, hashlib.blake2b(key.encode(), digest_size=16).digest(), a, b))
+                        if len(rows) >= FLUSH:
+                            yield batch_of(ids, versions, rows)
+                            rows = []
+            if rows:
+                yield batch_of(ids, versions, rows)
+
     return docs.mapInArrow(cut, schema)
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r"""Removes every line (or, with separator "\n\n", paragraph) that has occurred before in the corpus.
+def without(text: str, cuts: list[dict]) -> str:
+    parts, at = [], 0
+    for cut in cuts:
+        parts.append(text[at : cut["start"]])
+        at = cut["end"]
+    return "".join([*parts, text[at:]])
 
-    Units are compared by a 128-bit digest after white space is made uniform and case is folded; of equal units the one
-    of the smallest id, then the first within its document, stays. Units of under `least` normalised characters (blank
-    and very short lines) are neither counted as repeats nor removed. Returns id, text (what is left, units joined by
-    the separator), n_units, removed (the spans taken out, in characters of the original text).
+
+def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    r"""Removes every line, and every sentence within a line, that has occurred before in the corpus.
+
+    A unit ends with a line or a sentence, once it has `least` characters besides white space: shorter ones are joined to
+    what follows, so that no part of a text is left out and a lone word is no unit (with 0, each line and sentence is one).
+    A repeated line is found by its sentences; so is a passage that begins or ends inside lines, but for the parts of
+    sentences at its ends. Units are compared by a 128-bit digest after white space is made uniform and case is folded;
+    of equal units the one of the smallest id, then the first within its document, stays. Returns id, text (what is
+    left), n_units (not blank), removed (the spans taken out, in characters of the original text; of a unit that does
+    not begin its line the line feeds behind it stay).
 
     A null text has no units and stays null; an empty one stays empty. Null ids rank last. Rows with the same id and
     text are one document and get the same result; equal ids with different texts rank by a hash of the text. Extra
@@ -63,49 +91,43 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, separator:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    found = units(docs, least, separator)
+    found = spans(docs, least)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "version", "unit")
     tables = Tables(spark, "lines")
-    repeated = tables.write(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "repeated")
-    dropped = (
-        found.join(repeated, "digest").filter(place != F.col("first"))
-        .groupBy("id", "version").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("start", F.col("stop").alias("end"))))).alias("removed"))
-    )
+    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    repeated = tables.write(firsts.filter("n > 1").select("digest", "first"), "repeated")
+    removed = F.array_sort(F.collect_set(F.struct("start", F.col("stop").alias("end"))))
+    dropped = found.join(repeated, "digest").filter(place != F.col("first")).groupBy("id", "version").agg(removed.alias("removed"))
     dropped = tables.write(dropped.withColumnsRenamed({"id": "i", "version": "v"}), "dropped")
     tables.drop("repeated")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, spans = batch.columns
+            ids, texts, cuts = batch.columns
             left, counts = [], []
-            for text, cuts in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-                counts.append(len(text.split(separator)) if text else 0)
-                if not cuts:
-                    left.append(text)
-                    continue
-                gone, parts, at = {c["start"] for c in cuts}, [], 0
-                for unit in text.split(separator):
-                    if at not in gone or not unit:
-                        parts.append(unit)
-                    at += len(unit) + len(separator)
-                left.append(separator.join(parts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(left, pa.string()), pa.array(counts, pa.int64()), spans], names=["id", "text", "n_units", "removed"])
-
-    joined = docs.join(dropped, F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left").select("id", "text", F.coalesce("removed", F.from_json(F.lit("[]"), SPAN)).alias("removed"))
+            for text, own in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
+                counts.append(sum(1 for a, b in units(text or "", least) if not BLANKS.fullmatch(text, a, b)))
+                left.append(without(text, own) if own else text)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(left, pa.string()), pa.array(counts, pa.int64()), cuts], names=schema.names)
+
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v"))
+    joined = docs.join(dropped, same, "left").select("id", "text", F.coalesce("removed", F.from_json(F.lit("[]"), SPAN)).alias("removed"))
     schema = T.StructType([docs.schema["id"], T.StructField("text", T.StringType()), T.StructField("n_units", T.LongType()), T.StructField("removed", joined.schema["removed"].dataType)])
     return joined.mapInArrow(kept, schema).withColumnRenamed("id", id_col)
 
 
 SQL = r"""
-with cut as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
-lines as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as n from cut),
-placed as (select *, sum(length(part) + 1) over (partition by doc_id order by n) - length(part) - 1 as s,
-    lower(trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as key from lines),
-ranked as (select *, length(key) >= 24 and row_number() over (partition by key order by doc_id nulls last, n) > 1 as gone from placed),
-done as (select doc_id,
-    count(*) filter (where gone) as n_removed,
-    coalesce(string_agg(cast(s as bigint) || '-' || cast(s + length(part) as bigint), ';' order by n) filter (where gone), '') as removed,
-    coalesce(string_agg(part, chr(10) order by n) filter (where not gone), '') as kept from ranked group by doc_id)
-select c.doc_id, case when c.text = '' then 0 else cast(len(c.parts) as bigint) end as n_units, d.n_removed, d.removed, cast(length(d.kept) as bigint) as n_chars, md5(d.kept) as kept_md5
-from cut c join done d on c.doc_id is not distinct from d.doc_id
+with cut as (select doc_id, coalesce(text, '') as text,
+    list_filter(regexp_extract_all(coalesce(text, ''), '(?:[^\n.!?。！？]+|[.!?]+[^\x20\x09-\x0D.!?。！？])*[.!?。！？]*[\x20\x09-\x0D]*'), lambda x: x <> '') as us from documents),
+counted as (select doc_id, text, list_transform(us, lambda x: [struct_pack(u := x, n := length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))]) as us from cut where us <> []),
+joined as (select doc_id, text, list_reduce(us, lambda done, x: case when done[-1].n >= 20 then list_concat(done, x) else list_concat(done[:-2], [struct_pack(u := concat(done[-1].u, x[1].u), n := done[-1].n + x[1].n)]) end) as us from counted),
+units as (select doc_id, text, unnest(us).u as u, generate_subscripts(us, 1) as k from joined),
+placed as (select *, sum(length(u)) over (partition by doc_id order by k) - length(u) as a, lower(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as key from units),
+ranked as (select *, key <> '' and row_number() over (partition by key order by doc_id nulls last, k) > 1 as gone,
+    case when a > 0 and lag(u) over (partition by doc_id order by k) not like '%' || chr(10) then regexp_replace(u, '\n[\x20\x09-\x0D]*$', '') else u end as own from placed),
+done as (select doc_id, count(*) filter (where key <> '') as n_units, count(*) filter (where gone) as n_removed,
+    coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(own) as bigint), ';' order by a) filter (where gone), '') as removed,
+    coalesce(string_agg(case when gone then substr(u, length(own) + 1) else u end, '' order by a), '') as kept from ranked group by doc_id)
+select c.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed, cast(length(coalesce(kept, '')) as bigint) as n_chars, md5(coalesce(kept, '')) as kept_md5
+from cut c left join done d on c.doc_id is not distinct from d.doc_id
 """

@@ -75,20 +75,53 @@ def top(rows, k=20, every=20, scale=64):
     return out
 
 
-def lines(rows, least=24):
-    """(doc, kept text, number of lines taken out) of documents with different ids."""
+BLANK, MARKS, FULL = " \t\n\v\f\r", ".!?", "。！？"
+
+
+def units(text, least=20):
+    """(start, end) of sentences, joined until they have so many characters besides white space."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        while i < len(text) and text[i] != "\n" and text[i] not in FULL:
+            if text[i] in MARKS:
+                k = i
+                while k < len(text) and text[k] in MARKS:
+                    k += 1
+                if k == len(text) or text[k] in BLANK or text[k] in FULL:
+                    break
+                i = k
+            i += 1
+        while i < len(text) and text[i] in MARKS + FULL:
+            i += 1
+        while i < len(text) and text[i] in BLANK:
+            i += 1
+        if sum(c not in BLANK for c in text[start:i]) >= least or i == len(text):
+            out.append((start, i))
+            start = i
+    return out
+
+
+def lines(rows, least=20):
+    """(doc, kept text, number of units taken out) of documents with different ids."""
     seen, out = set(), {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, gone = [], 0
-        for part in (text or "").split("\n"):
-            unit = re.sub(r"[\x20\x09-\x0D]+", " ", part).strip(" ").lower()
-            if len(unit) >= least and unit in seen:
+        text, kept, gone = text or "", "", 0
+        for a, b in units(text, least):
+            key = " ".join(text[a:b].translate(str.maketrans(BLANK, " " * 6)).split(" ")).strip(" ").lower()
+            while "  " in key:
+                key = key.replace("  ", " ")
+            if key and key in seen:
                 gone += 1
-                continue
-            if len(unit) >= least:
-                seen.add(unit)
-            kept.append(part)
-        out[doc] = ("\n".join(kept), gone)
+                end = b
+                if a and text[a - 1] != "\n":
+                    blank = len(text[a:b]) - len(text[a:b].rstrip(BLANK))
+                    feed = text.find("\n", b - blank, b)
+                    end = b if feed < 0 else feed
+                kept += text[end:b]
+            else:
+                seen.add(key)
+                kept += text[a:b]
+        out[doc] = (kept, gone)
     return out
 
 

@@ -126,15 +126,26 @@ def test_mtree(spark, monkeypatch):
 
 def test_lines(spark):
     line = "This line is long enough to count.  "
-    rows = [(3, f"{line}\nshort\n{line}"), (1, f"other text here that is long enough\n{line.upper()}"), (2, None), (4, ""), (5, "short"), (None, f"x\n{line}\n"), (6, "y" * 100_000)]
+    rows = [(3, f"{line}\nshort\n{line}"), (1, f"other text here that is long enough\n{line.upper()}"), (2, None), (4, ""), (5, "short"), (None, f"x\n{line}\n"), (6, "y" * 100_000), (7, " \n\n"), (8, "a. " * 50_000)]
     frame = plain.clashing(spark.createDataFrame(texts(rows), DOCS))
     got = {r.doc_id: (r.text, len(r.removed)) for r in lines.remove_repeated_lines(frame).collect()}
-    assert {k: (t or "", n) for k, (t, n) in got.items()} == plain.lines(rows) and got[2][0] is None
+    assert {k: (t or "", n) for k, (t, n) in got.items()} == plain.lines(rows) and got[2][0] is None and got[3] == ("short\n" + line, 1)
     repeated = lines.remove_repeated_lines(frame.union(frame)).collect()
     assert len(repeated) == 2 * len(rows) and {r.doc_id: (r.text, len(r.removed)) for r in repeated} == got
     assert lines.remove_repeated_lines(frame.limit(0)).count() == 0
     spans = next(r for r in lines.remove_repeated_lines(frame).collect() if r.doc_id == 3).removed
-    assert [rows[0][1][s.start : s.end] for s in spans] == [line, line]
+    assert [rows[0][1][s.start : s.end] for s in spans] == [line + "\n"]
+    every = {r.doc_id: r.text for r in lines.remove_repeated_lines(frame, least=0).collect()}
+    assert every == {k: v[0] if k != 2 else None for k, v in plain.lines(rows, 0).items()} and every[5] == "" and every[8] == "a. "
+
+
+def test_lines_brute(spark):
+    """Passages that begin and end inside lines, in scripts with and without spaces."""
+    rng = random.Random(9)
+    sentences = ["One two three four five six.", "Really? ", "3.14 is not 2.71!", "It was late...", "四季の変化は美しい。", "春が来た！", "No end here", "See www.example.org for more.", "\n", "\n\n", "  "]
+    rows = [(n, "".join(rng.choice(sentences) + rng.choice(["", " ", "\n", " \n "]) for _ in range(rng.randrange(12)))) for n in range(300)]
+    got = {r.doc_id: (r.text, len(r.removed)) for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain.lines(rows)
 
 
 def test_languages(spark):
