@@ -13,27 +13,29 @@ from pyspark.sql import types as T
 
 from docledger.llm._spark import Tables
 
+BLANK = " \t\n\v\f\r"
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: A sentence: up to its line's end, or to marks that white space follows (in Chinese and Japanese, anything), with the white space behind it.
 SENTENCE = re.compile(r"(?:[^\n.!?。！？]+|[.!?]+[^\x20\x09-\x0D.!?。！？])*+[.!?。！？]*+[\x20\x09-\x0D]*+")
 FEEDS = re.compile(r"\n[\x20\x09-\x0D]*\Z")
-LEAST_CHARS = 20
+LEAST_CHARS = 24
 FLUSH = 100_000
 SPAN = "array<struct<start:long,end:long>>"
 
 
-def normalise(unit: str) -> str:
-    return BLANKS.sub(" ", unit).strip(" ").lower()
+def normalise(unit: str) -> bytes:
+    """In lower case and with single spaces; bytes are split at ASCII white space only."""
+    return b" ".join(unit.lower().encode().split())
 
 
 def units(text: str, least: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of a text's units in order, without gaps: sentences, joined until they have `least` characters besides white space."""
-    start = chars = 0
+    """(start, end) of a text's units in order, without gaps: sentences, joined until they have `least` characters."""
+    start = 0
     for m in SENTENCE.finditer(text):
-        chars += len(BLANKS.sub("", m[0]))
-        if chars >= least and m.end() > start:
-            yield start, m.end()
-            start, chars = m.end(), 0
+        end = m.end()
+        if end - start >= least and end > start:
+            yield start, end
+            start = end
     if start < len(text):
         yield start, len(text)
 
@@ -55,7 +57,7 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
                 for n, (a, b) in enumerate(units(text or "", least)):
                     if key := normalise(unit := text[a:b]):
                         b = a + len(FEEDS.sub("", unit)) if a and text[a - 1] != "\n" else b  # the line before ends here
-                        rows.append((i, n, hashlib.blake2b(key.encode(), digest_size=16).digest(), a, b))
+                        rows.append((i, n, hashlib.blake2b(key, digest_size=16).digest(), a, b))
                         if len(rows) >= FLUSH:
                             yield batch_of(ids, versions, rows)
                             rows = []
@@ -76,7 +78,7 @@ def without(text: str, cuts: list[dict]) -> str:
 def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Removes every line, and every sentence within a line, that has occurred before in the corpus.
 
-    A unit ends with a line or a sentence, once it has `least` characters besides white space: shorter ones are joined to
+    A unit ends with a line or a sentence, once it has `least` characters: shorter ones are joined to
     what follows, so that no part of a text is left out and a lone word is no unit (with 0, each line and sentence is one).
     A repeated line is found by its sentences; so is a passage that begins or ends inside lines, but for the parts of
     sentences at its ends. Units are compared by a 128-bit digest after white space is made uniform and case is folded;
@@ -106,7 +108,7 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str
             ids, texts, cuts = batch.columns
             left, counts = [], []
             for text, own in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-                counts.append(sum(1 for a, b in units(text or "", least) if not BLANKS.fullmatch(text, a, b)))
+                counts.append(sum(1 for a, b in units(text or "", least) if text[a] not in BLANK or not BLANKS.fullmatch(text, a, b)))
                 left.append(without(text, own) if own else text)
             yield pa.RecordBatch.from_arrays([ids, pa.array(left, pa.string()), pa.array(counts, pa.int64()), cuts], names=schema.names)
 
@@ -119,8 +121,8 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str
 SQL = r"""
 with cut as (select doc_id, coalesce(text, '') as text,
     list_filter(regexp_extract_all(coalesce(text, ''), '(?:[^\n.!?。！？]+|[.!?]+[^\x20\x09-\x0D.!?。！？])*[.!?。！？]*[\x20\x09-\x0D]*'), lambda x: x <> '') as us from documents),
-counted as (select doc_id, text, list_transform(us, lambda x: [struct_pack(u := x, n := length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))]) as us from cut where us <> []),
-joined as (select doc_id, text, list_reduce(us, lambda done, x: case when done[-1].n >= 20 then list_concat(done, x) else list_concat(done[:-2], [struct_pack(u := concat(done[-1].u, x[1].u), n := done[-1].n + x[1].n)]) end) as us from counted),
+counted as (select doc_id, text, list_transform(us, lambda x: [struct_pack(u := x, n := length(x))]) as us from cut where us <> []),
+joined as (select doc_id, text, list_reduce(us, lambda done, x: case when done[-1].n >= 24 then list_concat(done, x) else list_concat(done[:-2], [struct_pack(u := concat(done[-1].u, x[1].u), n := done[-1].n + x[1].n)]) end) as us from counted),
 units as (select doc_id, text, unnest(us).u as u, generate_subscripts(us, 1) as k from joined),
 placed as (select *, sum(length(u)) over (partition by doc_id order by k) - length(u) as a, lower(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as key from units),
 ranked as (select *, key <> '' and row_number() over (partition by key order by doc_id nulls last, k) > 1 as gone,

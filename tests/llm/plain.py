@@ -78,8 +78,8 @@ def top(rows, k=20, every=20, scale=64):
 BLANK, MARKS, FULL = " \t\n\v\f\r", ".!?", "。！？"
 
 
-def units(text, least=20):
-    """(start, end) of sentences, joined until they have so many characters besides white space."""
+def units(text, least=24):
+    """(start, end) of sentences, joined until they have so many characters."""
     out, start, i = [], 0, 0
     while i < len(text):
         while i < len(text) and text[i] != "\n" and text[i] not in FULL:
@@ -95,13 +95,13 @@ def units(text, least=20):
             i += 1
         while i < len(text) and text[i] in BLANK:
             i += 1
-        if sum(c not in BLANK for c in text[start:i]) >= least or i == len(text):
+        if i - start >= least or i == len(text):
             out.append((start, i))
             start = i
     return out
 
 
-def lines(rows, least=20):
+def lines(rows, least=24):
     """(doc, kept text, number of units taken out) of documents with different ids."""
     seen, out = set(), {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
