@@ -22,7 +22,8 @@ TOKEN = re.compile(
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no article text, and words of class, id and role that mark such elements.
-APART = frozenset("nav footer aside form dialog menu select button head object audio video canvas map".split())
+CERTAIN = frozenset("nav footer aside menu select button head object audio video canvas map".split())
+APART = CERTAIN | {"form", "dialog"}
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies contentinfo disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signin signup social sponsor sponsored subscribe subscription toolbar widget".split()
@@ -36,6 +37,8 @@ class Blocks:
 
     def __init__(self, page: str) -> None:
         self.found: list[tuple[str, int, bool, bool]] = []
+        self.titles: set[int] = set()
+        self.title = False
         self.text: list[str] = []
         self.linked = self.links = self.inside = 0
         tags = [m for m in TOKEN.finditer(page)]
@@ -56,6 +59,7 @@ class Blocks:
                 until = skip_to[i]
             if name in BLOCKS:
                 self.close(until > -1)
+                self.title = name == "h1" and not m["end"]
                 self.inside = max(0, self.inside + (-1 if m["end"] else 1)) if name in ("article", "main") else self.inside
                 if name not in ("li", "p"):
                     self.links = 0
@@ -76,6 +80,8 @@ class Blocks:
         if self.text:
             block = " ".join("".join(self.text).split())
             if block:
+                if self.title:
+                    self.titles.add(len(self.found))
                 self.found.append((block, max(0, len(block) - self.linked), apart, self.inside > 0))
             self.text = []
         self.linked = 0
@@ -84,8 +90,9 @@ class Blocks:
     def apart(tags: list[re.Match], page: str) -> dict[int, int]:
         """Of tags that open an element apart from the main text, the tag that closes it; all by index.
 
-        A mark on an article, or on an element that holds one, counts if the text elsewhere is more than its own. Where a
-        whole word of class, id or role is the mark, a quarter of that is enough, and so is an unmarked article elsewhere.
+        A mark in class, id or role, and a form, dialog or header, count if the text elsewhere is more than the element's own;
+        where a whole word of class, id or role is the mark, a quarter of that is enough, and so is an unmarked article
+        elsewhere. If the element holds an article, the text elsewhere has to be enough for a surge, too.
         """
         out: dict[int, int] = {}
         ends, open_, articles = {}, {}, []
@@ -99,7 +106,7 @@ class Blocks:
                 open_.setdefault(name, []).append(i)
             elif open_.get(name):
                 ends[open_[name].pop()] = i
-        doubtful: dict[int, tuple[int, bool]] = {}
+        doubtful: dict[int, tuple[int, bool, bool]] = {}
         until = depth = 0
         for i, m in enumerate(tags):
             name = (m["name"] or "").lower()
@@ -120,8 +127,8 @@ class Blocks:
             holds = at < len(articles) and (end is None or articles[at] < end)
             if holds and name in ("nav", "footer", "header", "head"):
                 end = articles[at]  # never closed: it ends where the article begins
-            if marked and end is not None and name not in APART and (holds or name in ("article", "main")):
-                doubtful[i] = end, hidden or bool(whole & MARKS)
+            if end is not None and name not in CERTAIN:
+                doubtful[i] = end, hidden or bool(whole & MARKS) or not marked, holds or name in ("article", "main")
                 continue
             if name not in APART and (holds or end is None) or end is None and holds:
                 continue  # it holds the article, or nothing tells where it ends
@@ -129,7 +136,7 @@ class Blocks:
         return Blocks.settled(tags, page, out, ends, doubtful) if doubtful else out
 
     @staticmethod
-    def settled(tags: list[re.Match], page: str, out: dict[int, int], ends: dict[int, int], doubtful: dict[int, tuple[int, bool]]) -> dict[int, int]:
+    def settled(tags: list[re.Match], page: str, out: dict[int, int], ends: dict[int, int], doubtful: dict[int, tuple[int, bool, bool]]) -> dict[int, int]:
         """Adds to `out` those of the doubtful elements that the rest of the page shows to be apart."""
         own, inner, article = {-1: 0}, dict.fromkeys(doubtful, 0), {-1: 0}
         path, until, links, at, clear = [-1], -1, 0, 0, []
@@ -151,7 +158,7 @@ class Blocks:
             if i in doubtful:
                 path.append(i)
                 own[i] = article[i] = 0
-            if name in ("article", "main") and i in ends and not doubtful.get(i, (0, False))[1]:
+            if name in ("article", "main") and i in ends and not doubtful.get(i, (0, False, False))[1]:
                 clear.append((ends[i], len(path)))
             if name == "a":
                 links = 0 if m["end"] else 1
@@ -162,7 +169,7 @@ class Blocks:
         open_: list[int] = []
         around: dict[int, list[int]] = {}
         clear_own, clear_article = dict(own), dict(article)  # by whole words alone: text under other marks is that of what holds it
-        for i, (_, exact) in doubtful.items():
+        for i, (_, exact, _) in doubtful.items():
             while open_ and i >= doubtful[open_[-1]][0]:
                 open_.pop()
             around[i] = [-1, *open_]
@@ -171,20 +178,20 @@ class Blocks:
                 clear_own[holder] += clear_own.pop(i)
                 clear_article[holder] += clear_article.pop(i)
             open_.append(i)
-        for i, (end, exact) in doubtful.items():
+        for i, (end, exact, holds) in doubtful.items():
             if any(x in out for x in around[i][1:]):
                 continue
             rest = sum((clear_own if exact else own).get(x, 0) for x in around[i])
-            if rest >= SURGE and (rest > inner[i] or exact and (rest * 4 >= inner[i] or sum(clear_article.get(x, 0) for x in around[i]) >= SURGE)):
+            if (rest >= SURGE or not holds) and (rest > inner[i] or exact and (rest * 4 >= inner[i] or sum(clear_article.get(x, 0) for x in around[i]) >= SURGE)):
                 out[i] = end
         return out
 
 
-def text_runs(weights: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
-    """(first block, block after the last, text) of all stretches from a surge of the window sums to the next dive."""
+def text_runs(weights: list[int]) -> list[tuple[int, int]]:
+    """(first block, block after the last) of all stretches from a surge of the window sums to the next dive."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = min(SURGE, max(sums, default=0) / 2)
-    runs: list[tuple[int, int, int]] = []
+    runs: list[tuple[int, int]] = []
     i = 0
     while i < len(weights):
         if not weights[i] or sums[i] <= surge:
@@ -193,45 +200,48 @@ def text_runs(weights: list[int], sizes: list[int]) -> list[tuple[int, int, int]
         j = i
         while j < len(weights) and (weights[j] or sums[j] > surge):
             j += 1  # the dive: no text in this block and little in the next ones
-        runs.append((i, j, sum(n for n, w in zip(sizes[i:j], weights[i:j], strict=True) if w)))
+        runs.append((i, j))
         i = j
     return runs
 
 
-def kept(blocks: list[tuple[str, int, bool, bool]]) -> list[str]:
+def kept(blocks: list[tuple[str, int, bool, bool]], titles: set[int] = frozenset()) -> list[str]:
     """The blocks between the surge and the dive of text length over sliding windows of blocks.
 
-    Blocks that stand apart have no weight and are never kept. Where the articles of a page hold as much text as the
-    longest stretch outside them, or none outside would surge, their blocks weigh a surge more each and other blocks nothing, so surge and dive fall
-    on an article's edges, however short its text; else the articles' blocks weigh what others do.
+    A block weighs its text that is no link, or nothing if that is the smaller part or the block stands apart. Where the
+    articles of a page hold as much text as the longest stretch outside them, or none outside would surge, their blocks
+    weigh a surge more each and other blocks nothing, so surge and dive fall on an article's edges, however short its
+    text; a title (h1) right before an article weighs as its blocks do. All but blocks apart is kept between surge and dive.
     """
     weights = [0 if apart or n * 2 < len(text) else n for text, n, apart, _ in blocks]
-    sizes = [n for _, n, *_ in blocks]
     if any(inside and not apart for _, _, apart, inside in blocks):
         outside = [0 if inside else w for w, (*_, inside) in zip(weights, blocks, strict=True)]
-        longest = max((n for *_, n in text_runs(outside, sizes)), default=0)
+        longest = max((sum(outside[i:j]) for i, j in text_runs(outside)), default=0)
         if longest <= max(SURGE, sum(len(text) for text, _, apart, inside in blocks if inside and not apart)):
+            near = {k for k in titles if not blocks[k][2] and next((b[3] for b in blocks[k + 1 :] if not b[2]), False)}
+            blocks = [(text, n, apart, inside or k in near) for k, (text, n, apart, inside) in enumerate(blocks)]
             blocks = [b for b in blocks if not (b[2] and b[3])]  # what stands apart within an article does not part it
-            sizes = [len(text) for text, *_ in blocks]
-            weights = [n + SURGE if inside else 0 for n, (*_, inside) in zip(sizes, blocks, strict=True)]
-    runs = text_runs(weights, sizes)
-    least = max((n for *_, n in runs), default=0) * 0.25
-    return [blocks[k][0] for i, j, n in runs if n >= least for k in range(i, j) if weights[k]]
+            weights = [len(text) + SURGE if inside else 0 for text, _, _, inside in blocks]
+            return [blocks[k][0] for i, j in text_runs(weights) for k in range(i, j) if weights[k]]
+    return [blocks[k][0] for i, j in text_runs(weights) for k in range(i, j) if not blocks[k][2]]
 
 
 def extract(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
-    return "\n\n".join(kept(Blocks(page).found)) if page else ""
+    if not page:
+        return ""
+    blocks = Blocks(page)
+    return "\n\n".join(kept(blocks.found, blocks.titles))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Extracts the main text of pages: id, url, text, n_chars.
 
     Markup is stripped into blocks, the lengths of block texts without links are summed over windows of three blocks,
-    and the blocks between the point where the sums surge and the point where they dive are kept. Elements that HTML
-    or their class, id or role mark as menu, header, footer, sidebar, notice, advert, form or comments weigh nothing
-    and are left out, articles among them where the main text is elsewhere. Blocks of an article or main element weigh
-    more, unless a longer stretch of text is outside. Character
+    and the blocks between points where the sums surge and points where they dive are kept. Elements that HTML or their
+    class, id or role mark as menu, header, footer, sidebar, notice, advert, form or comments weigh nothing and are left
+    out, unless what is elsewhere on the page is little beside them. Blocks of an article or main element weigh more,
+    unless a longer stretch of text is outside. Character
     references are decoded, white space within a block becomes one space, blocks are joined by a blank line in page
     order. A null or empty page gives an empty text; repeated rows and extra columns make no difference. Each page is
     worked on alone, so nothing is shuffled.

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -147,3 +148,36 @@ def leaks(items, rows, rate=0.2):
                 if min(edits(list(letters), list(b" ".join(words))), default=len(letters)) <= int(rate * len(letters)):
                     out.add((doc, item))
     return out
+
+
+class Article(HTMLParser):
+    """The blocks of a page's article element, read with the standard parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.depth = [], "", 0
+        self.feed(page)
+        self.close()
+
+    def cut(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1", "div", "ul", "li"):
+            self.cut()
+        self.depth += tag == "article"
+        self.text += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "div", "ul", "li"):
+            self.cut() if self.depth else None
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.text += data if self.depth else ""
+
+
+def article(page):
+    return "\n\n".join(Article(page or "").blocks)

@@ -275,6 +275,40 @@ def test_html_articles_elsewhere():
     assert html.extract(f"<article><p>Short.</p></article><div><a href=x>{'Menu ' * 40}</a></div><p>Imprint</p>") == "Short."
 
 
+def test_html_brute():
+    """Pages give what the standard parser finds in their article; without the article's tags, all but short blocks before the surge."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [x["html"] for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    assert all(html.extract(page) == plain.article(page) for page in pages)
+    bare = [re.sub("</?article>", "", page or "") for page in pages]
+    pairs = [(html.extract(page), plain.article(whole)) for page, whole in zip(bare, pages, strict=True)]
+    assert sum(got == want for got, want in pairs) >= 0.95 * len(pairs)
+    assert all(want.endswith(got) and len(want) - len(got) < html.SURGE for got, want in pairs)
+
+
+@pytest.mark.parametrize("mark", ["share-price", "social-science", "search-results", "ad-hoc", "notice", "comment", "sponsored"])
+def test_html_marked_article(mark):
+    """A mark around most of a page's text does not make it go."""
+    story = "".join(f"<p>Paragraph {i} of the story goes on for quite a while, as stories do when they are told.</p>" for i in range(6))
+    want = "\n\n".join(f"Paragraph {i} of the story goes on for quite a while, as stories do when they are told." for i in range(6))
+    for name in ("div", "section", "article", "form"):
+        for more in ("", "<p>Imprint</p>", "<div class=ad>Buy now</div>"):
+            assert want in html.extract(f"<body><nav><a href=x>Menu</a></nav><{name} class='{mark}'>{story}</{name}>{more}</body>"), (name, more)
+    assert html.extract(f"<body><div>{story}</div><div class='{mark}'><p>Something else of some length that one may read.</p></div></body>") == want
+
+
+def test_html_around_the_article():
+    story = "".join(f"<p>Paragraph {i} of the story goes on for quite a while, as stories do when they are told.</p>" for i in range(6))
+    want = "\n\n".join(f"Paragraph {i} of the story goes on for quite a while, as stories do when they are told." for i in range(6))
+    assert html.extract(f"<header>Site</header><h1>Title</h1><article>{story}</article>") == f"Title\n\n{want}"
+    assert html.extract(f"<main><p>Short.</p></main><div>{story}</div>") == want
+    assert html.extract(f"<div>{story}<p>See <a href=x>this longer story about it</a></p>{story}</div>").count("\n\n") == 12
+    assert html.extract(f"<form action=y id=page><div>{story}</div><input name=q></form>") == want
+
+
 def test_html_rows(spark):
     frame = plain.clashing(spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "x " * 200_000)], "page_id long, url string, html string"))
     got = html.main_text(frame).collect()
