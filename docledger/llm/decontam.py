@@ -1,9 +1,9 @@
-"""Finds benchmark items in documents, small edits allowed: CGK embedding, bit sampling, stretches that edits leave whole, exact verification."""
+"""Finds benchmark items in documents, small edits allowed: CGK embedding by characters, bit sampling, exact verification."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +15,15 @@ from docledger.llm._spark import byte_blocks
 from docledger.llm.jaccard import BLOCK, LOWER, Words
 from docledger.llm.suffix import mixed
 
-STEPS = 12
-SAMPLES = 6
 RATE = 0.2
-RECALL = 0.99
-SHARED = 0.3
-LEAST_WORDS = 1
-WALKED = 5
+RECALL = 0.9
 SEED = 8
-FILTER = 18
+LEAST_REACH, MOST_REACH = 6, 14
+GRAM = 4
+#: How far alignments of neighbouring stretches lie apart, by inserted and left out characters.
+SLACK = 4
+FILTER = 20
+CHUNK = 1 << 15
 SLICE_BYTES = 32 << 20
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Thai and Lao, Burmese, Khmer, Chinese and Japanese, compatibility and full-width forms; Chinese beyond U+20000 comes with them.
@@ -32,11 +32,20 @@ BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def repetitions(rate: float, recall: float) -> int:
-    """So many independent samples find an item whose words are edited at this rate with this probability: one succeeds
-    if the words that the walk meets, one for two steps, are as they were."""
-    alike = (1 - rate) ** (STEPS / 2 + 1)
-    return ceil(log(1 - recall) / log(1 - alike))
+def reach(size: int, rate: float, recall: float) -> int:
+    """Over how many characters a walk may go, so that two walks of an item of this size meet no edit with this probability.
+
+    Edits at this rate leave about rate * size + 1 stretches, each of so many characters with a probability of
+    (1 - rate) to that power; two stretches have to be that long.
+    """
+    if rate <= 0:
+        return MOST_REACH
+    stretches = rate * size + 1
+    for n in range(MOST_REACH, LEAST_REACH, -1):
+        long = (1 - rate) ** n
+        if (1 - long) ** stretches + stretches * long * (1 - long) ** (stretches - 1) <= 1 - recall:
+            return n
+    return LEAST_REACH
 
 
 class Seeds:
@@ -83,68 +92,122 @@ class Seeds:
 
 
 class Sketch:
-    """Bit samples of the CGK embeddings of items.
-
-    The embedding copies a word for each step of a walk and moves to the next word if a random bit of (step, word) says so,
-    so that after an edit both walks fall into step again. Items of fewer than 5 words have no walk, only seeds. Repetition r draws its own bits and its own sampled steps, and
-    starts the walk at its own place in the item; windows of documents start at every word.
+    """Bit samples of the CGK embeddings of items, read as characters: words in lower case with single spaces.
+
+    The embedding writes the character it stands on at each step of a walk, and moves on if a random bit of (step,
+    character) says so; after an edit two walks fall into step again, so that edits become differences at single steps.
+    A sample is the steps of a walk but for a random quarter. An item's window is walked from each of its characters and
+    so is the document; each begin is a repetition with places of its own. An item is a candidate where two walks that
+    begin at different places agree, in samples of one alignment. How far walks go follows from the item's size, the rate
+    of edits and the recall asked for.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray, bytes]], rate: float, recall: float, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.items, self.rate, self.seeds = items, rate, Seeds(items, rate)
-        count = repetitions(rate, recall)
-        self.draws = []
-        for r in range(count):
-            salt = rng.integers(0, 1 << 64, dtype=np.uint64)
-            steps = np.sort(np.append(0, 1 + rng.choice(STEPS - 1, SAMPLES - 1, replace=False)))
-            share = (r + rng.random()) / count
-            by_size: dict[int, list] = {}
-            for n, (_, words, _) in enumerate(items):
-                if len(words) >= WALKED:
-                    by_size.setdefault(min(STEPS, len(words)), []).append(n)
-            for size, members in by_size.items():
-                taken = [int(s) for s in steps if s < size]  # a walk of fewer steps than words stays in the item
-                begins = [int(share * (len(items[n][1]) - size + 1)) for n in members]
-                keys: list[list[int]] = []
-                for n, begin in zip(members, begins, strict=True):
-                    symbols = mixed(items[n][1] ^ salt)
-                    at, key, own = begin, 0, []
-                    for step in range(taken[-1] + 1):
-                        if step in taken:
-                            key = (key * int(FOLD) + int(symbols[at])) % (1 << 64)
-                            own.append(key)
-                        at += int(symbols[at]) >> step & 1
-                    keys.append(own)
-                table = np.array(keys, np.uint64)
-                filters = np.zeros((len(taken), 1 << FILTER), bool)  # of all windows, those that go on after each sampled step
-                for t in range(len(taken)):
-                    filters[t, (mixed(table[:, t]) >> np.uint64(64 - FILTER)).astype(np.int64)] = True
-                order = np.argsort(table[:, -1], kind="stable")
-                self.draws.append((salt, taken, filters, table[order, -1], np.array(members)[order], np.array(begins)[order]))
-
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Rows (word at which the item would begin, item) of all windows with an equal sample, or with a whole stretch of the item."""
-        found, salted, symbols = self.seeds.candidates(words), None, words
-        for salt, steps, filters, keys, members, begins in self.draws:
-            if salt != salted:
-                symbols, salted = np.concatenate([mixed(words ^ salt), np.zeros(STEPS + 1, np.uint64)]), salt
-            at = start = np.arange(len(words))
-            key = np.zeros(len(words), np.uint64)
-            taken = 0
-            for step in range(steps[-1] + 1):
+        self.symbols = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.steps = 2 * MOST_REACH
+        self.sampled = np.ones(self.steps, bool)
+        self.sampled[1 + rng.permutation(self.steps - 1)[: self.steps // 4]] = False
+        by_reach: dict[int, list[int]] = {}
+        for n, (_, _, letters) in enumerate(items):
+            by_reach.setdefault(reach(len(letters), rate, recall), []).append(n)
+        self.ends: dict[int, tuple] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        for far, members in by_reach.items():
+            texts = [np.frombuffer(items[n][2], np.uint8) for n in members]
+            data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+            left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+            keys, item, begin = [], [], []
+            for at, key, stop in self.walks(data, 2 * far):
+                whole = stop < left[at]  # a walk stays in its item
+                keys.append(key[whole])
+                of = np.searchsorted(offsets, at[whole], side="right") - 1
+                item.append(np.array(members)[of])
+                begin.append(at[whole] - offsets[of])
+            table, item, begin = np.concatenate(keys), np.concatenate(item), np.concatenate(begin)
+            order = np.argsort(table, kind="stable")
+            self.ends[2 * far] = table[order], item[order], begin[order]
+            for step in (LEAST_REACH + 2, 2 * LEAST_REACH - 1):  # of all walks, those that go on after so many steps
+                passed = self.filters.setdefault(step, np.zeros(1 << FILTER, bool))
+                for _, key, _ in self.walks(data, step):
+                    passed[self.slot(key)] = True
+        for end, (table, _, _) in self.ends.items():
+            self.filters[end] = np.zeros(1 << FILTER, bool)
+            self.filters[end][self.slot(table)] = True
+        self.grams: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+    def walks(self, data: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begins, keys, places reached, relative to the begin) of walks of so many steps from all characters."""
+        for _, begin, key, at in self.walked(data, {steps}, {}):
+            yield begin, key, at - begin
+
+    def walked(self, data: np.ndarray, ends: set[int], filters: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(steps, begins, keys, places) of all walks after the numbers of steps in `ends`; those that a filter knows nothing of are given up."""
+        last = max(ends)
+        for start in range(0, len(data), CHUNK):
+            symbols = self.symbols[data[start : start + CHUNK + last]]
+            symbols = np.concatenate([symbols, np.zeros(last + 1, np.uint64)])
+            begin = at = np.arange(min(CHUNK, len(data) - start))
+            key = np.zeros(len(at), np.uint64)
+            for step in range(last):
                 symbol = symbols[at]
-                if step == steps[taken]:
+                if self.sampled[step]:
                     key = key * FOLD + symbol
-                    keep = np.flatnonzero(filters[taken][(mixed(key) >> np.uint64(64 - FILTER)).astype(np.int64)])
-                    at, start, key, symbol = at[keep], start[keep], key[keep], symbol[keep]
-                    taken += 1
                 at = at + ((symbol >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            for i in np.flatnonzero(hi > lo):
-                for j in range(lo[i], hi[i]):
-                    found.append((start[i] - begins[j], members[j]))
-        return np.unique(np.array(found, np.int64), axis=0) if found else np.zeros((0, 2), np.int64)
+                if step + 1 in ends:
+                    known = np.flatnonzero(filters[step + 1][self.slot(key)]) if step + 1 in filters else slice(None)
+                    yield step + 1, start + begin[known], key[known], start + at[known]
+                elif step + 1 in filters:
+                    known = np.flatnonzero(filters[step + 1][self.slot(key)])
+                    begin, key, at = begin[known], key[known], at[known]
+
+    def candidates(self, data: np.ndarray) -> np.ndarray:
+        """Rows (character at which the item would begin, item), one for each alignment in which two walks agree."""
+        found = []
+        for end, begin, key, _ in self.walked(data, set(self.ends), self.filters) if self.ends else ():
+            table, item, own = self.ends[end]
+            lo, hi = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
+            count = hi - lo
+            row = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            found.append(np.stack([item[row], np.repeat(begin, count) - own[row], own[row]], axis=1))
+        if not found:
+            return np.zeros((0, 2), np.int64)
+        hits = np.concatenate(found)
+        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+        new = np.flatnonzero((np.diff(hits[:, 0], prepend=-1) != 0) | (np.diff(hits[:, 1], prepend=0) > SLACK))
+        if not len(new):
+            return np.zeros((0, 2), np.int64)
+        several = np.maximum.reduceat(hits[:, 2], new) - np.minimum.reduceat(hits[:, 2], new) >= LEAST_REACH
+        ends = np.append(new[1:], len(hits))
+        middle = hits[(new + ends - 1) // 2][several]
+        width = (hits[ends - 1, 1] - hits[new, 1])[several]
+        return np.stack([middle[:, 1], middle[:, 0], width], axis=1)
+
+    def may_hold(self, item: int, region: np.ndarray) -> bool:
+        """Whether enough of an item's 4-grams are there: an edit takes away four at most."""
+        letters = self.items[item][2]
+        need = len(letters) - GRAM + 1 - GRAM * int(self.rate * len(letters))
+        if need <= 0:
+            return True
+        if item not in self.grams:
+            self.grams[item] = np.zeros(1 << 16, bool)
+            self.grams[item][four(np.frombuffer(letters, np.uint8))] = True
+        seen = np.cumsum(self.grams[item][four(region)], dtype=np.int32)
+        span = len(letters) + int(self.rate * len(letters)) - GRAM + 1  # no stretch within the edits allowed has more
+        if len(seen) > span:
+            seen[span:] = (seen[span:] - seen[:-span]).copy()
+        return int(seen.max(initial=0)) >= need
+
+
+def four(data: np.ndarray) -> np.ndarray:
+    """The 4-grams of bytes, hashed to 16 bits."""
+    x = data.astype(np.uint32)
+    return ((x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
 def edits(pattern: list[int], text: list[int]) -> list[int]:
@@ -167,10 +230,14 @@ def edits(pattern: list[int], text: list[int]) -> list[int]:
     return out
 
 
-def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """Words of a text in lower case, joined by single spaces."""
-    low = LOWER[data].tobytes()
-    return b" ".join(low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts in lower case, each with a space behind it, and the places where they begin."""
+    sizes = ends - starts + 1
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) + np.repeat(starts - begins, sizes)
+    out = LOWER[data[np.minimum(place, len(data) - 1)]]
+    out[begins + sizes - 1] = 32
+    return out, begins
 
 
 def located(pattern: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
@@ -185,26 +252,35 @@ def located(pattern: list[int], text: list[int], most: int) -> tuple[int, int, i
 
 def matches(sketch: Sketch, words: np.ndarray, begin: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int, str]]:
     """(text, item, first word, word after the last, edits, their unit) of items in texts, each verified exactly, by words and else by characters."""
-    found = sketch.candidates(words)
-    of = np.searchsorted(begin, np.arange(len(words)), side="right") - 1
     best: dict[tuple[int, int], list] = {}
-    for start, item in found.tolist():
-        _, pattern, letters = sketch.items[item]
+    of = lambda word: int(np.searchsorted(begin, word, side="right")) - 1
+    for start, item in sorted(set(sketch.seeds.candidates(words))):
+        _, pattern, _ = sketch.items[item]
         n = len(pattern)
         most = int(sketch.rate * n)
-        text = int(of[min(max(start, 0) + n // 2, len(words) - 1)])
+        text = of(min(max(start, 0) + n // 2, len(words) - 1))
         lo, hi = max(int(begin[text]), start - most - 1), min(int(begin[text + 1]), start + n + most + 1)
         spans = best.setdefault((text, item), [])
         if any(a <= start < b for a, b, *_ in spans):
             continue
         region, own = words[lo:hi].tolist(), pattern.tolist()
-        shared = len(set(own) & set(region))
-        if shared >= len(set(own)) - most and (hit := located(own, region, most)):
+        # an edit takes away one of an item's different words at most
+        if len(set(own) & set(region)) >= len(set(own)) - most and (hit := located(own, region, most)):
             spans.append((lo + hit[0], lo + hit[1], hit[2], "word"))
-        elif shared >= SHARED * len(set(own)):
-            text_of = spelled(data, starts[lo:hi], ends[lo:hi])
-            if hit := located(list(letters), list(text_of), int(sketch.rate * len(letters))):
-                spans.append((lo + text_of[: hit[0]].count(b" "), lo + text_of[: hit[1]].rstrip(b" ").count(b" ") + 1, hit[2], "character"))
+    letters, at = spelled(data, starts, ends)
+    bounds = np.append(at, len(letters))[begin]  # where texts begin
+    for start, item, width in sketch.candidates(letters).tolist():
+        own = sketch.items[item][2]
+        n, most = len(own), int(sketch.rate * len(own))
+        text = int(np.searchsorted(bounds, min(max(start, 0) + n // 2, len(letters) - 1), side="right")) - 1
+        lo, hi = max(int(bounds[text]), start - most - width), min(int(bounds[text + 1]), start + n + most + width)
+        spans = best.setdefault((text, item), [])
+        word = int(np.searchsorted(at, max(start, 0) + n // 2, side="right")) - 1
+        if any(a <= word < b for a, b, *_ in spans) or not sketch.may_hold(item, letters[lo:hi]):
+            continue
+        if hit := located(list(own), letters[lo:hi].tolist(), most):
+            first, last = (int(np.searchsorted(at, lo + x, side="right")) - 1 for x in (hit[0], max(hit[0], hit[1] - 1)))
+            spans.append((first, last + 1, hit[2], "character"))
     for (text, item), spans in best.items():
         for span in spans:
             yield text, item, *span
@@ -226,15 +302,15 @@ class AlnumWords(Words):
         return np.concatenate([at[three], at[three] + 3, at[four], at[four] + 4])
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Where documents hold items with at most `rate` of the item's words edited, or else of its characters: id, item, start, end, edits, unit, item_words.
 
     Edits are words (or characters, as `unit` says) inserted, left out or replaced; words are runs of letters and digits, case folded for A-Z,
     so punctuation and white space don't count; in scripts without spaces each character is a word. Start and end are
-    characters of the text. Items of which at most so many words are edited are all found, those that only agree by
-    characters with a probability for which `recall` sets the number of walks; whatever is returned is verified by exact
-    edit distance. Items of fewer than 5 words (at the default rate) are looked for as they are. Items of fewer than
-    `least` words are not searched for: by default those without any letter or digit.
+    characters of the text. Items of which at most so many words are edited are all found, by stretches of words that
+    the edits leave whole. Those that only agree by characters are found by samples of CGK walks, which reach `recall`
+    for items of some 70 characters or more; whatever is returned is verified by exact edit distance. Items of fewer
+    than 5 words (at the default rate) are looked for as they are. Items without any letter or digit are not searched for.
 
     Items are searched for in slices of at most 32 MiB of their text, as they travel to all tasks; documents are only
     scanned, nothing is shuffled. Null or empty texts hold nothing. Repeated rows give repeated answers, items with equal
@@ -254,8 +330,8 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float =
         for row in rows:
             data = np.frombuffer(row.text.encode(), np.uint8)
             own, starts, ends, _ = words.hashes(data, np.array([0, len(data)]))
-            if len(own) >= max(1, least):
-                known.append((row.item, own, spelled(data, starts, ends)))
+            if len(own):
+                known.append((row.item, own, spelled(data, starts, ends)[0][:-1].tobytes()))
         sent = spark.sparkContext.broadcast(known)
 
         def scan(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
@@ -126,27 +127,28 @@ def lines(rows, least=24):
     return out
 
 
+def nearest(pattern, text):
+    """The least number of edits between a pattern and any stretch of a text, by the full table."""
+    at = np.arange(len(text) + 1)
+    text, row = np.array(text), np.zeros(len(text) + 1, np.int64)
+    for n, x in enumerate(pattern, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (text != x)) if len(text) else row[1:]
+        row = np.minimum.accumulate(np.append(n, best) - at) + at
+    return int(row.min())
+
+
 def leaks(items, rows, rate=0.2):
     """Pairs (document, item) of which the item is held with at most `rate` of its words, or of its characters, edited."""
-    from docledger.llm.decontam import edits
-
-    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())
-    low = lambda t: [w.lower() for w in split(t)]
+    low = lambda t: [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())]
+    number = {}
     out = set()
-    texts = [(doc, low(t)) for doc, t in rows]
-    for item, t in items:
-        own = low(t)
-        if len(own) < 5:
-            continue
-        for doc, words in texts:
-            if len(set(own) & set(words)) < 0.3 * len(set(own)):
-                continue
-            if min(edits(own, words), default=len(own)) <= int(rate * len(own)):
+    for doc, t in rows:
+        words = low(t)
+        letters = list(b" ".join(words))
+        for item, own in ((i, low(x)) for i, x in items):
+            name = lambda ws: [number.setdefault(w, len(number)) for w in ws]
+            if own and (nearest(name(own), name(words)) <= int(rate * len(own)) or nearest(list(b" ".join(own)), letters) <= int(rate * len(b" ".join(own)))):
                 out.add((doc, item))
-            else:
-                letters = b" ".join(own)
-                if min(edits(list(letters), list(b" ".join(words))), default=len(letters)) <= int(rate * len(letters)):
-                    out.add((doc, item))
     return out
 
 

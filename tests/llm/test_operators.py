@@ -388,12 +388,37 @@ def test_edits():
         assert decontam.edits(a, b) == [min(distance(a, b[i:j]) for i in range(j + 1)) for j in range(1, len(b) + 1)]
 
 
+def edited(rng, text, changes):
+    """A text with so many characters replaced, left out or put in."""
+    own = list(text)
+    for _ in range(changes):
+        at = rng.randrange(len(own))
+        own[at : at + 1] = rng.choice([["q"], [], [own[at], "q"], [" "]])
+    return "".join(own)
+
+
 def test_leaks(spark):
     items = rows_of(spark, "benchmark", ["item_id", "text"])
     rows = rows_of(spark, "documents", ["doc_id", "text"])
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_benchmark_leaks"](spark, SMALL).collect()}
     assert {(d, i) for d, t in rows for i, item in items if item in t} <= got
-    assert got == plain.leaks(items, rows)
+    short = [(d, t) for d, t in rows if len(t) <= 800]
+    assert {(d, i) for d, i in got if d in dict(short)} == plain.leaks(items, short)
+    rng = random.Random(3)
+    cut = [(n, f"{t} " + edited(rng, items[n % len(items)][1], rng.randrange(len(items[n % len(items)][1]) // 3))) for n, (_, t) in enumerate(short[:40])]
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(cut, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain.leaks(items, cut)
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_leaks_by_characters(spark, rate):
+    """Of items with as many characters edited as allowed, 0.9 and more are found."""
+    rng = random.Random(rate)
+    items, texts_ = rows_of(spark, "benchmark", ["item_id", "text"]), [t for _, t in rows_of(spark, "documents", ["doc_id", "text"])]
+    rows = [(n, f"{rng.choice(texts_)[:300]} {edited(rng, items[n % len(items)][1], int(rate * len(items[n % len(items)][1])))} {rng.choice(texts_)[:300]}") for n in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((n, items[n % len(items)][0]) in got for n, _ in rows) >= 0.9 * len(rows)
 
 
 def test_leaks_edited(spark):
@@ -417,29 +442,26 @@ def test_leaks_edited(spark):
     found = decontam.leaks(docs, bench).collect()
     got = {(r.doc_id, r.item_id) for r in found}
     assert sum((n, i) in got for n, i in edited.items()) >= 0.95 * len(edited)
-    odd = [(n, "".join(c if rng.random() > 0.04 else "q" for c in items[n % len(items)][1])) for n in range(100)]
-    found_odd = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(odd, "doc_id long, text string"), bench).collect()}
-    assert sum((n, items[n % len(items)][0]) in found_odd for n, _ in odd) >= 90
     assert (None, items[0][0]) in got and sum(r.doc_id == 903 and r.item_id == items[0][0] for r in found) == 2
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("size", [5, 6, 9, 10, 12, 15, 20, 40])
 def test_leaks_by_size(size):
-    """Of items of each length with as many words edited as allowed, 0.99 and more are found, at the begin of a text, too."""
+    """Items of each length with as many words edited as allowed are all found, at the begin of a text, too."""
     import numpy as np
 
     rng = random.Random(size)
     items = [(n, f"item {n}", np.array([rng.randrange(1 << 62) for _ in range(size)], np.uint64)) for n in range(200)]
-    sketch = decontam.Sketch([(n, own, b"") for n, _, own in items], decontam.RATE, decontam.RECALL)
+    sketch = decontam.Seeds([(n, own, b"") for n, _, own in items], decontam.RATE)
     found = 0
     for n, _, own in items:
         words = own.tolist()
         for at in rng.sample(range(size), int(decontam.RATE * size)) if n % 2 else range(int(decontam.RATE * size)):
             words[at : at + 1] = rng.choice([[rng.randrange(1 << 62)], [], [words[at], rng.randrange(1 << 62)]]) if at < len(words) else []
         got = sketch.candidates(np.array(words + [rng.randrange(1 << 62) for _ in range(30)], np.uint64))
-        found += any(item == n and abs(start) <= size // 5 + 1 for start, item in got.tolist())
-    assert found >= 0.99 * len(items)
+        found += any(item == n and abs(start) <= size // 5 + 1 for start, item in got)
+    assert found == len(items)
 
 
 def test_leaks_short(spark):
