@@ -1,13 +1,16 @@
 """Grounding: where on its pages each extracted value is printed.
 
-Candidates meet page positions through equi-joins on what a match may begin with; windows of tokens are scored by Column
-expressions, the rest by string alignment in an Arrow UDF. Only the choice among a document's scored windows, in which
-fields claim tokens one after the other, is made document by document.
+Windows of tokens are spelled out once, with the amount or day that they read as, and meet the candidates of their document
+through an equi-join on what both spell; near matches meet on what they begin with, and are scored by string alignment
+in an Arrow UDF. Only the choice among a document's scored windows, in which fields claim tokens one after the other,
+is made document by document.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,55 +75,92 @@ def first_word(column: Column) -> Column:
     return F.split(column, " ")[0]
 
 
-def starts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(document_id, field_path, ordinal, page_no, start): where a window for a candidate may begin."""
-    tokens = pages.select("document_id", "page_no", F.posexplode("tokens").alias("start", "t"))
-    month = F.array_contains(F.array(*map(F.lit, dates.MONTHS)), F.col("t.norm"))
-    mark = lambda kind, value, when=None: F.when(F.lit(True) if when is None else when, F.concat(F.lit(kind), value))
-    none = F.lit("")
-    own = F.array(mark("r", F.col("t.text")), mark("n", first_word(F.col("t.norm")), F.col("t.norm") != ""), mark("k", F.substring("t.key", 1, 1), F.col("t.key") != ""), mark("d", none, F.col("t.text").rlike(r"\d")), mark("m", none, month))
-    amount, day = F.col("amount").isNotNull(), F.col("day").isNotNull()
-    sought = F.array(mark("r", first_word(F.col("raw"))), mark("n", first_word(F.col("norm")), F.col("norm") != ""), mark("k", F.substring("key", 1, 1), F.length("key") >= 3), mark("d", none, amount | day), mark("m", none, day))
-    index = tokens.select("document_id", "page_no", "start", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("sign"))
-    needs = wanted.select("document_id", "field_path", "ordinal", F.explode(F.filter(sought, lambda x: x.isNotNull())).alias("sign"))
-    return index.join(needs, ["document_id", "sign"]).select("document_id", "field_path", "ordinal", "page_no", "start").distinct()
+def ahead(tokens: Column, most: Column) -> Column:
+    """For each token the next `most` tokens, itself included."""
+    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.slice(tokens, i + 1, most)))
 
 
 def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows of one to min(12, words + 2) tokens from admitted places, with their texts, that may match by their lengths."""
-    placed = starts(pages, wanted).join(wanted, ["document_id", "field_path", "ordinal"]).join(pages, ["document_id", "page_no"])
-    most = F.least(F.lit(MOST_TOKENS), F.col("words") + 2)
-    placed = placed.withColumn("ahead", F.slice("tokens", F.col("start") + 1, most)).drop("tokens")
-    sized = placed.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("ahead"))))
-    first, last = F.col("ahead")[0], F.element_at("ahead", F.col("size"))
-    span = lambda c, own: last[c] - first[c] + own
-    near = F.abs(span("key_to", F.length(first["key"])) - F.length("key")) <= F.greatest(F.lit(2), F.floor(F.length("key") * 0.25))
-    norm = span("norm_to", F.when(first["norm"] == "", 0).otherwise(F.length(first["norm"]) + 1)) == F.length("norm") + 1
-    sized = sized.filter((span("raw_to", F.length(first["text"])) == F.length("raw")) | norm | (F.col("amount").isNotNull() & (F.col("size") <= 3)) | (F.col("day").isNotNull() & (F.col("size") <= 4)) | (near & (F.length("key") >= 3)))
+    """Windows of one to min(12, words + 2) tokens, by the longest candidate of the document, and what they spell.
+
+    Amounts and days are only read in documents that have a candidate of the kind: amounts in up to three tokens, days
+    in up to four of which the first has a digit or is a month.
+    """
+    sought = wanted.groupBy("document_id").agg(F.least(F.lit(MOST_TOKENS), F.max("words") + 2).alias("most"), F.max(F.col("amount").isNotNull()).alias("amounts"), F.max(F.col("day").isNotNull()).alias("days"))
+    rows = pages.join(sought, "document_id").select("document_id", "page_no", "amounts", "days", F.posexplode(ahead(F.col("tokens"), F.col("most"))).alias("start", "ahead"))
+    sized = rows.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("ahead")))).withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
     part = lambda c: F.transform("own", lambda t: t[c])
-    sized = sized.withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
-    return sized.withColumns({"w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), ""), "w_money": F.forall("own", lambda t: t["money"])})
+    spelled = sized.withColumns({"first": F.col("own")[0], "w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), "")})
+    spelled = spelled.withColumns({"digit": F.col("first.text").rlike(r"\d"), "month": F.array_contains(F.array(*map(F.lit, dates.MONTHS)), F.col("first.norm"))})
+    shaped = F.col("amounts") & (F.col("size") <= 3) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
+    dated = F.col("days") & (F.col("size") <= 4) & (F.col("digit") | F.col("month"))
+    read = spelled.withColumns({"w_amount": F.when(shaped, money.parse_money(F.col("w_raw"))), "w_day": F.when(dated, dates.parse_date(F.col("w_raw")))}).drop("amounts", "days")
+    slim = lambda t, *names: F.struct(*(t[c].alias(c) for c in names))
+    return read.withColumns({"first": slim(F.col("first"), "text", "norm", "key"), "own": F.transform("own", lambda t: slim(t, "x", "y", "w", "h", "line"))})
+
+
+def sign(kind: str, value: Column, when: Column | None = None) -> Column:
+    marked = F.concat(F.lit(kind), value)
+    return marked if when is None else F.when(when, marked)
 
 
-def scored(found: DataFrame) -> DataFrame:
-    """Windows that match their candidate, with score and method: exact, normalized, or fuzzy where the strings nearly agree."""
-    amount = (F.col("size") <= 3) & F.col("w_money") & text.is_money_shaped(F.col("w_raw")) & (money.parse_money(F.col("w_raw")) == F.col("amount"))
-    day = (F.col("size") <= 4) & (dates.parse_date(F.col("w_raw")) == F.col("day"))
-    normal = ((F.col("norm") != "") & (F.col("w_norm") == F.col("norm"))) | F.coalesce(amount, F.lit(False)) | F.coalesce(day, F.lit(False))
-    rows = found.withColumn("method", F.when(F.col("w_raw") == F.col("raw"), "exact").when(normal, "normalized"))
+def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Windows that match a candidate, with score and method: exact, normalized, or fuzzy where the strings nearly agree.
+
+    Both sides carry signs of what they spell (r raw, n normal form, a amount, d day) and of how a near match may begin
+    (R, N: the first word, K: the first character of the key, F: a digit for amounts and days, M: a month for days), the
+    latter with the key's length, as keys of too different lengths are not alike enough. A pair that meets by several
+    signs counts at the first.
+    """
+    none = F.lit("")
+    amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
+    sized = lambda x, n: F.concat(x, F.lit(" "), n.cast("string"))
+    long, own_long = F.length("w_key"), F.length("key")
+    like = F.sequence(F.ceil(own_long * LEAST_SIMILAR - 1e-9), F.floor(own_long / LEAST_SIMILAR + 1e-9))
+    begins_own = F.array(sign("R", F.col("first.text")), sign("N", first_word(F.col("first.norm")), F.col("first.norm") != ""), sign("K", F.substring("first.key", 1, 1), F.col("first.key") != ""), sign("F", none, F.col("digit")), sign("M", none, F.col("month")))
+    begins_wanted = F.array(sign("R", first_word(F.col("raw"))), sign("N", first_word(F.col("norm")), F.col("norm") != ""), sign("K", F.substring("key", 1, 1)), sign("F", none, amount | day), sign("M", none, day))
+    of_window = F.concat(
+        F.array(sign("r", F.col("w_raw")), sign("n", F.col("w_norm"), F.col("w_norm") != ""), sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string"))),
+        F.when(long >= 3, F.transform(begins_own, lambda x: sized(x, long))).otherwise(F.array().cast("array<string>")),
+    )
+    of_wanted = F.concat(
+        F.array(sign("r", F.col("raw")), sign("n", F.col("norm"), F.col("norm") != ""), sign("a", F.col("amount").cast("string")), sign("d", F.col("day").cast("string"))),
+        F.when(keyed, F.flatten(F.transform(begins_wanted, lambda x: F.transform(like, lambda n: sized(x, n))))).otherwise(F.array().cast("array<string>")),
+    )
+    signs = lambda rows, own: rows.withColumn("sign", F.explode(F.filter(own, lambda x: x.isNotNull())))
+    met = signs(found, of_window).join(signs(wanted, of_wanted), ["document_id", "sign"]).filter(F.col("size") <= F.col("words") + 2)
+    begins = {
+        "R": F.col("first.text") == first_word(F.col("raw")),
+        "N": (F.col("first.norm") != "") & (F.col("norm") != "") & (first_word(F.col("first.norm")) == first_word(F.col("norm"))),
+        "K": (F.col("first.key") != "") & keyed & (F.substring("first.key", 1, 1) == F.substring("key", 1, 1)),
+        "F": F.col("digit") & (amount | day),
+        "M": F.col("month") & day,
+    }
+    spells = {
+        "r": F.col("w_raw") == F.col("raw"),
+        "n": (F.col("norm") != "") & (F.col("w_norm") == F.col("norm")),
+        "a": F.coalesce(F.col("w_amount") == F.col("amount"), F.lit(False)),
+        "d": F.coalesce(F.col("w_day") == F.col("day"), F.lit(False)),
+    }
+    first = lambda tests: F.coalesce(*(F.when(test, kind) for kind, test in tests.items()))
+    met = met.withColumns({"begins": first(begins), "spells": first(spells)}).filter(F.col("begins").isNotNull() & (F.substring("sign", 1, 1) == F.coalesce("spells", "begins")))
     n, m = F.length("key"), F.length("w_key")
-    near = (n >= 3) & (F.abs(m - n) <= F.greatest(F.lit(2), F.floor(n * 0.25)))
+    near = keyed & (F.abs(m - n) <= F.greatest(F.lit(2), F.floor(n * 0.25)))
     # alignment edits are at least half the Levenshtein edits, so windows beyond twice the bound need no UDF
-    close = rows.filter(F.col("method").isNull() & near).filter(F.levenshtein("w_key", "key") <= 2 * (1 - LEAST_SIMILAR) * F.greatest(n, m) + 1e-9)
-    fuzzy_rows = close.withColumn("similar", fuzzy.similarity(F.col("w_key"), F.col("key"))).filter(F.col("similar") >= LEAST_SIMILAR).withColumn("method", F.lit("fuzzy")).withColumn("score", F.col("similar") * FUZZY_SHARE).drop("similar")
-    return rows.filter("method is not null").withColumn("score", F.when(F.col("method") == "exact", 1.0).otherwise(0.9)).unionByName(fuzzy_rows)
+    close = near & (F.levenshtein("w_key", "key") <= 2 * (1 - LEAST_SIMILAR) * F.greatest(n, m) + 1e-9)
+    sure = F.col("spells").isNotNull()
+    tried = met.filter(sure | close).withColumn("similar", fuzzy.similarity(F.when(~sure, F.col("w_key")), F.col("key"))).filter(sure | (F.col("similar") >= LEAST_SIMILAR))
+    method = F.when(F.col("spells") == "r", "exact").when(sure, "normalized").otherwise("fuzzy")
+    score = F.when(F.col("spells") == "r", 1.0).when(sure, 0.9).otherwise(F.col("similar") * FUZZY_SHARE)
+    return tried.withColumns({"method": method, "score": score}).drop("similar")
 
 
 def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(document_id, page_no, field, cx, cy): centres of the labels (field, label) printed on pages."""
     phrases = labels.select("field", text.normalize_words(F.col("label")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " "))).withColumn("word", first_word(F.col("phrase")))
-    tokens = pages.select("document_id", "page_no", "tokens", F.posexplode("tokens").alias("start", "t")).withColumn("word", first_word(F.col("t.norm")))
-    hits = tokens.join(F.broadcast(phrases), "word").withColumn("own", F.slice("tokens", F.col("start") + 1, F.col("n")))  # a fixed list of some fifty labels
+    slim = F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in ("norm", "x", "y", "w", "h"))))
+    tokens = pages.select("document_id", "page_no", F.explode(ahead(slim, F.lit(MOST_TOKENS))).alias("ahead")).withColumn("word", first_word(F.col("ahead")[0]["norm"]))
+    hits = tokens.join(F.broadcast(phrases), "word").withColumn("own", F.slice("ahead", F.lit(1), F.col("n")))  # a fixed list of some fifty labels
     hits = hits.filter(F.array_join(F.transform("own", lambda t: t["norm"]), " ") == F.col("phrase")).withColumn("box", box_of(F.col("own")))
     return hits.select("document_id", "page_no", "field", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"))
 
@@ -128,7 +168,8 @@ def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def matches(pages: DataFrame, values: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """All places of all values: score, method, box, line, and the distance to the field's nearest label (null without one)."""
     ready = prepared(pages)
-    found = scored(windows(ready, candidates(values))).withColumn("box", box_of(F.col("own")))
+    wanted = candidates(values)
+    found = scored(windows(ready, wanted), wanted).withColumn("box", box_of(F.col("own")))
     rows = found.select("document_id", "field_path", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), F.col("own")[0]["line"].alias("line"), F.col("own")[0]["x"].alias("x"), "box")
     if labels is None:
         return rows.withColumn("label_distance", F.lit(None).cast("double"))
@@ -155,7 +196,7 @@ def best_places(found: DataFrame, preferred: DataFrame | None = None) -> DataFra
 CHOSEN = "field_path string, page int, start int, end int, score double, method string, matched_text string, line int, x double, y double, w double, h double"
 
 
-def choose(rows: pd.DataFrame) -> pd.DataFrame:
+def choose(rows: list[dict]) -> list[dict]:
     """Places of one document's values; each claims its tokens from later ones.
 
     Header fields come in a fixed order, amounts first. Then line items, row by row: a description claims its tokens from
@@ -163,14 +204,16 @@ def choose(rows: pd.DataFrame) -> pd.DataFrame:
     the right and others to the left. A quantity is only looked for once something else has fixed the row.
     """
     out: list[dict] = []
-    by_path = {path: own.to_dict("records") for path, own in rows.groupby("field_path")}
+    by_path: dict[str, list[dict]] = {}
+    for row in rows:
+        by_path.setdefault(row["field_path"], []).append(row)
 
     def take(path: str, taken: list, near: tuple | None = None, side: int = 0) -> dict | None:
         def key(m: dict) -> tuple:
             far = abs(m["line"] - near[1]) if near and m["page_no"] == near[0] else float("inf")
             before = 0 if near and near[2] is not None and m["page_no"] == near[0] and m["start"] >= near[2] else 1
-            label = float("inf") if pd.isna(m["label_distance"]) else m["label_distance"]
-            page = m["page"] if not pd.isna(m["page"]) else near[0] if near else None
+            label = float("inf") if m["label_distance"] is None else m["label_distance"]
+            page = m["page"] if m["page"] is not None else near[0] if near else None
             return (-m["score"], m["page_no"] != page, m["end"] - m["start"], far, before if near and near[2] is not None else 0, label, side * m["x"], m["page_no"], m["start"], m["ordinal"])
 
         free = [m for m in by_path.get(path, ()) if not any(m["page_no"] == p and m["start"] < b and m["end"] > a for p, a, b in taken)]
@@ -196,7 +239,7 @@ def choose(rows: pd.DataFrame) -> pd.DataFrame:
             found = take(f"lineItems.{row}.{cell}", taken, near, -1 if cell == "amount" else 1)
             if found and near is None:
                 near = (found["page_no"], found["line"], None)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CHOSEN.split(", ")])
+    return out
 
 
 def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,12 +247,17 @@ def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
     found = matches(pages, values, labels).join(values.select("document_id", "field_path", "page"), ["document_id", "field_path"])
     kind = found.schema["document_id"].dataType.simpleString()
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chosen = choose(rows)
-        chosen.insert(0, "document_id", key[0])
-        return chosen
+    kinds = [(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (c.split() for c in CHOSEN.split(", "))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [choose(rows) for rows in batch.column(1).to_pylist()]
+            of = pa.array([i for i, own in enumerate(chosen) for _ in own], pa.int32())
+            every = [x for own in chosen for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *(pa.array([x[n] for x in every], t) for n, t in kinds)], names=["document_id", *(n for n, _ in kinds)])
 
-    return found.groupBy("document_id").applyInPandas(work, f"document_id {kind}, {CHOSEN}")
+    own = F.struct("field_path", "ordinal", "page_no", "start", "end", "score", "method", "matched_text", "line", "x", "box", "label_distance", "page")
+    return found.groupBy("document_id").agg(F.collect_list(own).alias("rows")).mapInArrow(work, f"document_id {kind}, {CHOSEN}")
 
 
 def count_values(values: DataFrame) -> DataFrame:
