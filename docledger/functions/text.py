@@ -85,7 +85,7 @@ def format_bytes(size: Column) -> Column:
 
 def trim_zeros(decimal: Column) -> Column:
     """Drops zeros at the end of a fraction only: 38.5000 is 38.5, 100 stays 100."""
-    return F.regexp_replace(F.regexp_replace(decimal, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(decimal.contains("."), F.rtrim(F.rtrim(decimal, F.lit("0")), F.lit("."))).otherwise(decimal)
 
 
 def search_tokens(text: Column) -> Column:

@@ -39,6 +39,11 @@ def page_summaries(pages: DataFrame) -> DataFrame:
     return pages.select(*(c for c in pages.columns if c != "tokens"))
 
 
+def open_issues(issues: DataFrame) -> DataFrame:
+    """Issues that nobody has resolved or dismissed."""
+    return issues.filter(F.col("status") == "open")
+
+
 def in_flight(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col("status").isin(*IN_FLIGHT))
 

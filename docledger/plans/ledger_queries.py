@@ -89,7 +89,7 @@ def searched(x: Ledger) -> DataFrame:
 
 QUERIES = {
     "s01_ingest_outcome": over(ingest),
-    "p01_workspace_lookup": over(lambda x: ledger.in_workspace(x.invoices, 3).filter("document_id % 7 = 0").select("document_id", "total")),
+    "p01_workspace_lookup": over(lambda x: ledger.in_workspace(x.invoices, 3).select("document_id", "total")),
     "p05_stage_done": over(lambda x: ledger.stage_done(x.runs)),
     "p10_in_flight": over(lambda x: ledger.in_flight(with_status(x)).select("document_id", "status")),
     "p11_paused": over(lambda x: ledger.paused(with_status(x)).select("document_id")),
@@ -140,12 +140,12 @@ QUERIES = {
 TIMED = f"epoch({NOW})"
 ORACLE_SQL = {
     "s01_ingest_outcome": """
-with f as (select doc_id as file_id, source as ws, case when doc_id % 17 = 0 then '' else case when doc_id % 5 <> 0 then '%PDF-' else 'text:' end || text[1:3000] end as c from documents),
+with f as (select doc_id as file_id, source as ws, case when doc_id % 17 = 0 then '' else case when doc_id % 5 <> 0 then '%PDF-' else 'text:' end || text end as c from documents),
 g as (select file_id, ws, case when c = '' then 'empty' when octet_length(encode(c)) > 2500 then 'too_large' when c not like '\\%PDF-%' escape '\\' then 'unsupported_type' end as why, sha256(c) as h from f),
 d as (select *, why is null and row_number() over (partition by ws, h, why is null order by file_id) > 1 as dup from g),
 k as (select *, why is null and not dup and sum(case when why is null and not dup then 1 else 0 end) over (partition by ws order by file_id) > 25 as over_cap from d)
 select file_id, case when why is not null or over_cap then 'rejected' when dup then 'duplicate' else 'accepted' end as outcome, case when why is not null then why when over_cap then 'workspace_full' end as reason from k""",
-    "p01_workspace_lookup": CTES + "select document_id, cast(total_c / 100.0 as decimal(18,2)) as total from invoices where workspace_id = 3 and document_id % 7 = 0",
+    "p01_workspace_lookup": CTES + "select document_id, cast(total_c / 100.0 as decimal(18,2)) as total from invoices where workspace_id = 3",
     "p05_stage_done": CTES + "select document_id, stage, count(*) filter (where status = 'succeeded') > 0 as done from runs group by all",
     "p10_in_flight": CTES + f", {STATUS} select document_id, status from st where status in ('queued', 'processing')",
     "p11_paused": CTES + f", {STATUS} select document_id from st where status = 'queued' and failure_code = 'budget_paused'",

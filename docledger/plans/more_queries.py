@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docledger.functions import money, text
+from docledger.functions import dates, money, text
 from docledger.operators import grounding, ledger, queue, rules, tokens
 from docledger.plans.derived import CTES, Ledger
 from docledger.plans.function_queries import WORDS, word_pages
 from docledger.plans.ledger_queries import ISSUES, STATUS, issues, over, with_status
-from docledger.sources import tables
+from docledger.sources import providers, tables
 
 DAY = "date '2024-01-10'"
 
@@ -21,11 +22,41 @@ def uploads(x: Ledger):
 
 def image_pages(x: Ledger):
     n = F.col("document_id")
-    return word_pages(x).select((n % 200).alias("document_id"), F.floor(n / 200).cast("int").alias("page_no"), F.slice("tokens", 1, (n % 60).cast("int")).alias("tokens"), F.when(n % 200 % 9 == 0, "image/png").otherwise("application/pdf").alias("mime"), (n % 4 != 1).alias("has_image"))
+    return word_pages(x).select((n % 200).alias("document_id"), F.floor(n / 200).cast("int").alias("page_no"), "tokens", F.when(n % 200 % 9 == 0, "image/png").otherwise("application/pdf").alias("mime"), (n % 4 != 1).alias("has_image"))
 
 
 PAGES = f"""{WORDS}, a as (select document_id, flatten(list(ws order by line)) as ws from t group by 1),
-p as (select document_id % 200 as d, document_id // 200 as page_no, len(list_filter(ws[1:document_id % 60], lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) >= 20 as is_text, document_id % 4 <> 1 as has_image, case when document_id % 200 % 9 = 0 then 'image/png' else 'application/pdf' end as mime from a)"""
+p as (select document_id % 200 as d, document_id // 200 as page_no, len(list_filter(ws, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) >= 20 as is_text, document_id % 4 <> 1 as has_image, case when document_id % 200 % 9 = 0 then 'image/png' else 'application/pdf' end as mime from a)"""
+
+
+def reviewed() -> Column:
+    """What reviewers did about the issues of a document."""
+    n = F.col("document_id")
+    return F.when(n % 3 == 0, "open").when(n % 3 == 1, "resolved").otherwise("dismissed")
+
+
+def iso_forms(x: Ledger):
+    """Days as they are, in another order, outside the calendar, and what is no day."""
+    n, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    shown = F.when(n % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(n % 4 == 1, F.date_format(day, "dd.MM.yyyy")).when(n % 4 == 2, F.date_format(day, "yyyy-02-31"))
+    return x.read("orders").select(n.alias("id"), shown.alias("shown"), F.when(n % 3 == 0, "2024-02-29").otherwise(F.date_format(day, "yyyy-MM-dd")).alias("iso"))
+
+
+def repaired(x: Ledger):
+    codes = F.explode(F.split(F.when(F.col("id") % 5 == 0, "V001,V002").when(F.col("id") % 5 == 1, "V003"), ",")).alias("code")
+    return queue.repaired(x.extractions, x.extractions.select(F.col("id").alias("extraction_id"), codes)).select("document_id", "code")
+
+
+def replays(x: Ledger):
+    docs = uploads(x).select("document_id", "sha256")
+    kept = docs.filter("document_id % 3 <> 0").select("sha256", F.when(F.col("document_id") % 2 == 0, "initial").otherwise("reconcile").alias("kind"), F.concat(F.lit("r"), F.lpad(F.col("document_id").cast("string"), 9, "0")).alias("result"))
+    return providers.replayed(docs, kept, "initial").select("document_id", "result")
+
+
+def waiting(x: Ledger):
+    status = F.element_at(F.array(*map(F.lit, ("queued", "processing", "needs_review", "verified", "failed", "rejected"))), (F.col("document_id") % 6 + 1).cast("int"))
+    docs = uploads(x).select("document_id", "sha256")
+    return providers.unsettled(docs, docs.withColumn("status", status)).select("document_id")
 
 
 def items(x: Ledger):
@@ -37,7 +68,7 @@ def items(x: Ledger):
 def ocr(x: Ledger):
     n = F.col("doc_id")
     word = lambda w, i: F.struct(w.alias("text"), (F.length(w) % 10 * 10.0).cast("double").alias("confidence"), (i * 10.0).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i * 10.0 + 8).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
-    pages = x.read("documents").select(n.alias("document_id"), F.lit(1).alias("page_no"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), F.transform(F.slice(F.split(F.regexp_replace("text", r"\n", " "), " "), 1, 50), word).alias("words"))
+    pages = x.read("documents").select(n.alias("document_id"), F.lit(1).alias("page_no"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), F.transform(F.split(F.regexp_replace("text", r"\n", " "), " "), word).alias("words"))
     return tokens.ocr_pages(pages).select("document_id", F.size("tokens").alias("n"), F.round("ocr_mean_confidence", 9).alias("confidence"))
 
 
@@ -48,7 +79,7 @@ def recordings(x: Ledger):
 
 
 def finalised(x: Ledger):
-    fields = x.fields.filter("document_id % 5 = 0")
+    fields = x.fields
     metadata = fields.select("document_id", F.lit(0.5).alias("risk"))
     old = x.invoices.select("document_id", "vendor_name", F.lit(None).cast("decimal(18,2)").alias("total"))
     new, _ = queue.finalised(metadata, fields, old, x.invoices.select("document_id").withColumn("status", F.lit("processing")))
@@ -66,7 +97,7 @@ QUERIES = {
     "p06_page_summaries": over(lambda x: ledger.page_summaries(word_pages(x)).select("document_id", "page_no")),
     "p07_summaries": over(lambda x: ledger.summaries(with_status(x).join(x.jobs.select("document_id", "created_at"), "document_id").withColumn("filename", F.concat(F.lit("inv-"), "document_id")), x.jobs)),
     "p08_client_invoice": over(lambda x: ledger.client_invoice(x.invoices).select("document_id", "vendor_name", "invoice_number", "total")),
-    "p09_open_issues": over(lambda x: issues(x).filter("document_id % 3 = 0").select("document_id", "code")),
+    "p09_open_issues": over(lambda x: ledger.open_issues(issues(x).withColumn("status", reviewed())).select("document_id", "code")),
     "p14_kind": over(lambda x: tokens.document_kinds(image_pages(x)).select("document_id", "kind")),
     "p15_ocr_pick": over(lambda x: tokens.pages_to_read(image_pages(x)).select("document_id", "page_no")),
     "p16_set_status": over(lambda x: ledger.set_status(with_status(x), "failed", "parse_failed", "No text").select("document_id", "status", "failure_code", "failure_message")),
@@ -92,12 +123,19 @@ QUERIES = {
     "s14_insert_absent": over(lambda x: tables.inserted_if_absent(x.read("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("owner"), F.lit(0).cast("long").alias("at")), x.read("orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("at")), ["owner"], "at")),
     "s16_api_json": over(lambda x: tables.api_json(x.read("nation").select("n_nationkey", F.nullif("n_name", F.lit("CHINA")).alias("n_name")))),
     "u03_answers": over(recordings),
+    "u04_replay": over(replays),
+    "e03_unsettled": over(waiting),
+    "f14_iso_date": over(lambda x: iso_forms(x).select("id", dates.is_iso_date(F.col("shown")).alias("iso"), dates.date_equals(F.col("shown"), F.col("iso")).alias("same"))),
+    "f14b_draft_date": over(lambda x: iso_forms(x).select("id", dates.draft_date(F.col("shown")).alias("day"))),
+    "q10_repair": over(repaired),
     "q11_finalise": over(finalised),
     "q13_duration": over(lambda x: queue.with_duration(x.runs.withColumn("finished_at", F.timestamp_add("SECOND", F.col("id") % 90, F.col("started_at")))).select("id", "duration_ms")),
-    "q14_budget_guard": over(lambda x: queue.blocked_by_budget(x.usage, x.invoices.filter("document_id % 100 = 0").select("document_id"), F.expr(DAY), 1_000_000, False).select("document_id", "blocked")),
+    "q14_budget_guard": over(lambda x: queue.blocked_by_budget(x.usage, x.invoices.select("document_id"), F.expr(DAY), 1_000_000, False).select("document_id", "blocked")),
     "x01_health": over(lambda x: ledger.health(x.usage, F.expr(DAY), 1_000_000_000_000)),
 }
 
+ISO = "with s as (select o_orderkey as id, o_orderkey % 4 as k, cast(o_orderdate as date) as day, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%d.%m.%Y') when 2 then strftime(o_orderdate, '%Y') || '-02-31' end as shown from orders)"
+
 ORACLE_SQL = {
     "p03_by_digest": "with d as (select doc_id, source, sha256(text) as h from documents) select doc_id as document_id from d where (source, h) in (select (source, h) from d where doc_id % 10 = 0)",
     "p04_active": "select doc_id as document_id from documents where doc_id % 6 <> 0",
@@ -110,7 +148,7 @@ ORACLE_SQL = {
     "p16_set_status": CTES + "select document_id, 'failed' as status, 'parse_failed' as failure_code, 'No text' as failure_message from invoices",
     "j07_running_counts": CTES + "select workspace_id, count(*) filter (where status = 'running') as running from jobs group by 1",
     "j11_field_grounding": CTES + "select i.document_id, f.field_path, g.method from invoices i cross join (select unnest(['vendorName', 'invoiceNumber', 'issueDate', 'dueDate', 'currency', 'subtotal', 'tax', 'shipping', 'discount', 'total']) as field_path) f left join groundings g on g.document_id = i.document_id and g.field_path = f.field_path",
-    "a11_mean_confidence": "with w as (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' ')[1:50], lambda x: x <> '') as ws from documents) select doc_id as document_id, cast(len(ws) as integer) as n, round(case when len(ws) = 0 then 0 else list_avg(list_transform(ws, lambda x: (length(x) % 10) / 10.0::double)) end, 9) as confidence from w",
+    "a11_mean_confidence": "with w as (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') as ws from documents) select doc_id as document_id, cast(len(ws) as integer) as n, round(case when len(ws) = 0 then 0 else list_avg(list_transform(ws, lambda x: (length(x) % 10) / 10.0::double)) end, 9) as confidence from w",
     "a16_upload_tally": "select source as workspace_id, case when doc_id % 3 = 0 then 'accepted' else 'rejected' end as kind, count(*) as n from documents group by 1, 2",
     "w02_global_rank": CTES + "select id, (select count(*) from jobs where status = 'running') + row_number() over (order by created_at, id) as global_rank from jobs where status = 'queued' order by created_at, id limit 300",
     "w04_newest_initial": CTES + "select document_id, arg_max(id, (created_at, id)) as id from extractions where kind = 'initial' group by 1",
@@ -132,8 +170,13 @@ l as (select n_nationkey, list_transform(ch, lambda x: case when x <= 0.04045 th
     "s14_insert_absent": "select c_custkey as owner, cast(0 as bigint) as at from customer where c_custkey % 2 = 0 union all select o_custkey, min(o_orderkey) from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0) group by 1",
     "s16_api_json": "select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":' || case when n_name = 'CHINA' then 'null' else '\"' || n_name || '\"' end || '}' as json from nation",
     "u03_answers": "with d as (select doc_id, sha256(text) as h from documents) select doc_id as document_id, case when h in (select h from d where doc_id % 3 = 0) then 'recording' when h in (select h from d where doc_id % 2 = 0) then 'truth' else 'none' end as origin from d",
-    "q11_finalise": CTES + "select document_id, vendor_name, case when document_id % 5 = 0 then cast(total_c / 100.0 as decimal(18,2)) end as total from invoices",
+    "u04_replay": "with d as (select doc_id, sha256(text) as h from documents), r as (select h, 'r' || lpad(min(doc_id)::varchar, 9, '0') as result from d where doc_id % 3 <> 0 and doc_id % 2 = 0 group by 1) select doc_id as document_id, result from d left join r on r.h = d.h",
+    "e03_unsettled": "with d as (select doc_id, sha256(text) as h from documents) select doc_id as document_id from d where h is null or h not in (select h from d where doc_id % 6 >= 2 and h is not null)",
+    "f14_iso_date": f"{ISO} select id, shown is not null and k = 0 as iso, k < 2 and not (id % 3 = 0 and day <> date '2024-02-29') as same from s",
+    "f14b_draft_date": f"{ISO} select id, case when k = 0 then day end as day from s",
+    "q10_repair": CTES + ", e as (select document_id, arg_max(id, (created_at, id)) as id from extractions where adopted group by 1) select document_id, unnest(case id % 5 when 0 then ['V001', 'V002'] when 1 then ['V003'] else [] end) as code from e",
+    "q11_finalise": CTES + "select document_id, vendor_name, cast(total_c / 100.0 as decimal(18,2)) as total from invoices",
     "q13_duration": CTES + "select id, (id % 90) * 1000 as duration_ms from runs",
-    "q14_budget_guard": CTES + f"select document_id, (select coalesce(sum(cost_micros), 0) from usage where cast(created_at as date) = {DAY}) >= 1000000 as blocked from invoices where document_id % 100 = 0",
+    "q14_budget_guard": CTES + f"select document_id, (select coalesce(sum(cost_micros), 0) from usage where cast(created_at as date) = {DAY}) >= 1000000 as blocked from invoices",
     "x01_health": CTES + f"select cast(coalesce(sum(cost_micros), 0) as bigint) as cost_micros, coalesce(sum(cost_micros), 0) < 1000000000000 as within from usage where cast(created_at as date) = {DAY}",
 }

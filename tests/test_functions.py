@@ -16,6 +16,7 @@ MONEY = {
 EXACT = {"0.0125": "0.0125", "2,160": "2160.0000", "1.234,5": "1234.5000", "0.00005": "0.0001", "(2.5)": "-2.5000", "each": None, "0,125": "0.1250", "00.125": "0.1250", "1.500": "1500.0000"}
 DATES = {
     "2026-08-03": "2026-08-03", "Aug 3, 2026": "2026-08-03", "August 3rd, 2026": "2026-08-03", "3 Aug 2026": "2026-08-03", "03 August 2026": "2026-08-03", "03.08.2026": "2026-08-03", "2026/08/03": "2026-08-03", "21/07/2026": "2026-07-21", "07/21/2026": "2026-07-21",
+    "2026-08/03": "2026-08-03", "3-8-2026": "2026-08-03", "3 8 2026": None, "2026 8 3": None, "3-Aug-2026": None, "3 Aug": None, "1.2.3.2026": None, "13/13/2026": None, "May,5,2026": "2026-05-05", "26/08/03": None,
     "Sep 2, 2026": "2026-09-02", "31/02/2026": None, "hello": None, "": None, "1/1/1899": None, "Foo 3 2026": None, "Sept 2 2026": "2026-09-02", "2024-02-29": "2024-02-29",
 }
 
