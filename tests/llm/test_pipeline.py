@@ -93,7 +93,7 @@ def test_awkward_rows(spark):
     assert {(9001, ""), (9002, ""), (9003, " \n\t "), (9004, "12 34 !!")} <= cut
     assert 9006 in {d for d, _ in cut} and 9007 not in {d for d, _ in cut}
     clean = stages["benchmarks"](spark, docs, SMALL)
-    assert ids(clean) == [9001, 9002, 9003, 9004, 9005, 9006, 9006, 9007, 9008, None]
+    assert ids(clean) == [9001, 9002, 9003, 9004, 9005, 9006, 9006, 9007, 9008]  # the null id of a leak takes its other row along
     mixed = stages["mix"](spark, docs, SMALL).collect()
     assert not {9001, 9002, 9003} & {r.doc_id for r in mixed} and all(0 < r.taken <= 2 * r.size for r in mixed)
     docs.unpersist()
