@@ -67,6 +67,34 @@ def least_hashes(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     return few.select(group, key).distinct().withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).select(group, key)
 
 
+class Ranges:
+    """Rows sorted into ranges over all tasks, and the place of each row in its group, without a window over a group.
+
+    A reliable checkpoint keeps which rows a partition has, and their order. The driver gets one count for each partition
+    and group in it: as groups are contiguous, no more than partitions and groups together.
+    """
+
+    def __init__(self, rows: DataFrame, group: str, *order: str) -> None:
+        keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+        self.rows = checkpoint(rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
+        counts = self.rows.groupBy(F.spark_partition_id().alias("part"), F.col(group).alias("of")).agg(F.count("*").alias("n"))
+        #: Rows of each group, and for each partition the number of rows of a group before it.
+        self.totals: dict = {}
+        self.before: dict[int, dict] = {}
+        for part, of, n in sorted(counts.collect(), key=lambda r: r[0]):
+            self.before.setdefault(part, {})[of] = self.totals.get(of, 0)
+            self.totals[of] = self.totals.get(of, 0) + n
+
+
+def runs(values: list) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    start = 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] != values[start]:
+            yield start, i
+            start = i
+
+
 class Tables:
     """Intermediate Parquet tables in the shared folder, each dropped as soon as the next phase no longer reads it."""
 

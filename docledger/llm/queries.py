@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import decontam, html, jaccard, langid, lines, mixing, mtree, quality, suffix, warc
+from docledger.llm import decontam, html, jaccard, langid, lines, merkle, mixing, mtree, packing, quality, suffix, warc, whitening
 from docledger.llm._spark import Tables
 
 
@@ -61,6 +61,23 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "".join(map(chr, range(65, 91)))
+    tampered = {"text": F.translate("text", upper, upper.lower())}
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0).drop("n_siblings")
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc_revisits": op2_warc_revisits,
@@ -72,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_mix_sources": op9_mix_sources,
     "op10_benchmark_leaks": op10_benchmark_leaks,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
