@@ -1,22 +1,22 @@
 """Grounding: where on its pages each extracted value is printed.
 
-Windows of tokens are spelled out once, with the amount or day that they read as, and meet the candidates of their document
-through an equi-join on what both spell; near matches meet on what they begin with, and are scored by string alignment
-in an Arrow UDF. Only the choice among a document's scored windows, in which fields claim tokens one after the other,
-is made document by document.
+Tokens and candidates meet in an index of beginnings (first word, normal form, first character, digit, month) before any
+window is spelled, so that windows are only made where a candidate may start. Windows then meet the candidates of their
+document on what they spell, or on a part of it that so few edits leave whole. Values claim their tokens in rounds
+over all documents at once. All of it is joins, aggregates and Column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, fuzzy, money, text
 from docledger.operators.tokens import box_of
 from docledger.plans.derived import FIELDS, MONEY_FIELDS
+from docledger.shared import checkpoint
 
 MOST_TOKENS = 12
 LEAST_SIMILAR, FUZZY_SHARE = 0.85, 0.8
@@ -61,78 +61,135 @@ def candidates(values: DataFrame) -> DataFrame:
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount."""
-    rows = pages.select("document_id", "page_no", F.posexplode("tokens").alias("n", "t")).withColumns({"norm": text.normalize_words(F.col("t.text")), "key": text.fuzzy_key(F.col("t.text")), "money": F.col("t.text").rlike(MONEY_TOKEN)})
-    upto = Window.partitionBy("document_id", "page_no").orderBy("n")
-    spaced = lambda c: F.when(F.length(c) > 0, F.length(c) + 1).otherwise(0)
-    # lengths up to each token tell those of any window without its text
-    rows = rows.withColumns({"raw_to": F.sum(F.length("t.text") + 1).over(upto), "norm_to": F.sum(spaced("norm")).over(upto), "key_to": F.sum(F.length("key")).over(upto)})
-    token = F.struct("n", *(F.col(f"t.{c}").alias(c) for c in ("text", "x", "y", "w", "h", "line")), "norm", "key", "money", "raw_to", "norm_to", "key_to")
-    return rows.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
+
+    def token(t: Column) -> Column:
+        word = t["text"]
+        norm = F.when(word.rlike(f"[{text.SPACES}]"), text.normalize_words(word)).otherwise(text.normalize_text(word))
+        known = bound_fields(norm=norm, key=text.fuzzy_key(word))
+        return text.bound(
+            known,
+            lambda k: F.struct(
+                *(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), k["norm"].alias("norm"), k["key"].alias("key"),
+                word.rlike(MONEY_TOKEN).alias("money"), word.rlike(r"\d").alias("digit"), k["norm"].isin(*dates.MONTHS).alias("month"),
+            ),
+        )
+
+    return pages.select("document_id", "page_no", F.transform("tokens", token).alias("tokens"))
+
+
+def bound_fields(**fields: Column) -> Column:
+    return F.struct(*(value.alias(name) for name, value in fields.items()))
 
 
 def first_word(column: Column) -> Column:
     return F.split(column, " ")[0]
 
 
-def ahead(tokens: Column, most: Column) -> Column:
-    """For each token the next `most` tokens, itself included."""
-    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.slice(tokens, i + 1, most)))
+def sign(kind: str, value: Column, when: Column | None = None) -> Column:
+    marked = F.concat(F.lit(kind), value)
+    return marked if when is None else F.when(when, marked)
+
+
+def beginnings(raw: Column, norm: Column, key: Column, digit: Column, month: Column) -> Column:
+    """What a token begins with, or a candidate has to: R the word as printed, N its normal form, K the key's first character, F a digit, M a month."""
+    none = F.lit("")
+    own = F.array(sign("R", raw), sign("N", norm, norm != ""), sign("K", F.substring(key, 1, 1), key != ""), sign("F", none, digit), sign("M", none, month))
+    return F.filter(own, lambda x: x.isNotNull())
+
+
+def starts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Places at which a candidate of the document may begin: (document_id, page_no, starts: array of n, most, amounts, days, raw, norm).
+
+    `most` is how many tokens a window from there may have (the words of the longest candidate that begins so, and two, at
+    most 12); amounts, days, raw and norm tell whether a candidate admitted there is an amount, a day, or was admitted by its first word.
+    """
+    amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
+    begins = beginnings(first_word(F.col("raw")), first_word(F.col("norm")), F.when(keyed, F.col("key")).otherwise(""), amount | day, day)
+    sought = (
+        wanted.select("document_id", F.explode(begins).alias("sign"), F.least(F.lit(MOST_TOKENS), F.col("words") + 2).alias("most"), amount.alias("amounts"), day.alias("days"))
+        .groupBy("document_id", "sign")
+        .agg(F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"))
+    )
+    index = lambda t, n: F.struct(n.alias("n"), beginnings(t["text"], first_word(t["norm"]), t["key"], t["digit"], t["month"]).alias("signs"))
+    tokens = pages.select("document_id", "page_no", F.explode(F.transform("tokens", index)).alias("t")).select("document_id", "page_no", "t.n", F.explode("t.signs").alias("sign"))
+    met = tokens.join(sought, ["document_id", "sign"]).repartition("document_id", "page_no")
+    kind = F.substring("sign", 1, 1)
+    flags = [F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.bool_or(kind == "R").alias("raw"), F.bool_or(kind == "N").alias("norm")]
+    return met.groupBy("document_id", "page_no", "n").agg(*flags).groupBy("document_id", "page_no").agg(F.collect_list(F.struct("n", "most", "amounts", "days", "raw", "norm")).alias("starts"))
 
 
 def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows of one to min(12, words + 2) tokens, by the longest candidate of the document, and what they spell.
+    """Windows from admitted starts, of as many tokens as a candidate admitted there allows, and what they spell.
 
-    Amounts and days are only read in documents that have a candidate of the kind: amounts in up to three tokens, days
-    in up to four of which the first has a digit or is a month.
+    Amounts and days are only read where a candidate of the kind is admitted: amounts in up to three tokens, days in up to
+    four.
     """
-    sought = wanted.groupBy("document_id").agg(F.least(F.lit(MOST_TOKENS), F.max("words") + 2).alias("most"), F.max(F.col("amount").isNotNull()).alias("amounts"), F.max(F.col("day").isNotNull()).alias("days"))
-    rows = pages.join(sought, "document_id").select("document_id", "page_no", "amounts", "days", F.posexplode(ahead(F.col("tokens"), F.col("most"))).alias("start", "ahead"))
-    sized = rows.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("ahead")))).withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
+    ahead = F.transform("starts", lambda s: F.struct(s.alias("s"), F.slice("tokens", s["n"] + 1, s["most"]).alias("ahead")))
+    rows = pages.join(starts(pages, wanted), ["document_id", "page_no"]).select("document_id", "page_no", F.explode(ahead).alias("x")).select("document_id", "page_no", "x.s", "x.ahead")
+    sized = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("size")).withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
     part = lambda c: F.transform("own", lambda t: t[c])
     spelled = sized.withColumns({"first": F.col("own")[0], "w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), "")})
-    spelled = spelled.withColumns({"digit": F.col("first.text").rlike(r"\d"), "month": F.array_contains(F.array(*map(F.lit, dates.MONTHS)), F.col("first.norm"))})
-    shaped = F.col("amounts") & (F.col("size") <= 3) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
-    dated = F.col("days") & (F.col("size") <= 4) & (F.col("digit") | F.col("month"))
-    read = spelled.withColumns({"w_amount": F.when(shaped, money.parse_money(F.col("w_raw"))), "w_day": F.when(dated, dates.parse_date(F.col("w_raw")))}).drop("amounts", "days")
-    slim = lambda t, *names: F.struct(*(t[c].alias(c) for c in names))
-    return read.withColumns({"first": slim(F.col("first"), "text", "norm", "key"), "own": F.transform("own", lambda t: slim(t, "x", "y", "w", "h", "line"))})
+    shaped = F.col("s.amounts") & (F.col("size") <= 3) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
+    dated = F.col("s.days") & (F.col("size") <= 4)
+    return spelled.select(
+        "document_id", "page_no", F.col("s.n").alias("start"), "size", F.col("s.raw").alias("by_raw"), F.col("s.norm").alias("by_norm"), "w_raw", "w_norm", "w_key",
+        F.col("first.text").alias("first_text"), F.col("first.norm").alias("first_norm"), F.col("first.key").alias("first_key"), F.col("first.digit").alias("digit"), F.col("first.month").alias("month"),
+        F.col("first.line").alias("line"), F.col("first.x").alias("x"), box_of(F.col("own")).alias("box"),
+        F.when(shaped, money.parse_money(F.col("w_raw"))).alias("w_amount"), F.when(dated, dates.parse_date(F.col("w_raw"))).alias("w_day"),
+    )
 
 
-def sign(kind: str, value: Column, when: Column | None = None) -> Column:
-    marked = F.concat(F.lit(kind), value)
-    return marked if when is None else F.when(when, marked)
+def edits(longest: Column) -> Column:
+    """How many edits leave keys of which the longer one has that length similar enough."""
+    return F.floor(longest * (1 - LEAST_SIMILAR) + 1e-9)
+
+
+ONE_EDIT, MORE_EDITS = 7, 14
+assert int(ONE_EDIT * (1 - LEAST_SIMILAR) + 1e-9) == 1 and int((MORE_EDITS - 1) * (1 - LEAST_SIMILAR) + 1e-9) == 1 and int((ONE_EDIT - 1) * (1 - LEAST_SIMILAR) + 1e-9) == 0
+
+
+def halves(key: Column, length: Column) -> list[Column]:
+    """Beginning and end of a key that meets one of a length. One edit, even a swap in the middle, leaves one of them whole."""
+    part = F.floor((length - 2) / 2).cast("int")
+    tag = F.concat(length.cast("string"), F.lit(" "))
+    return [F.concat(F.lit("p"), tag, F.substring(key, F.lit(1), part)), F.concat(F.lit("s"), tag, F.right(key, part))]
 
 
 def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """Windows that match a candidate, with score and method: exact, normalized, or fuzzy where the strings nearly agree.
 
-    Both sides carry signs of what they spell (r raw, n normal form, a amount, d day) and of how a near match may begin
-    (R, N: the first word, K: the first character of the key, F: a digit for amounts and days, M: a month for days), the
-    latter with the key's length, as keys of too different lengths are not alike enough. A pair that meets by several
-    signs counts at the first.
+    Both sides carry signs of what they spell: r raw, n normal form, a amount, d day, and for near matches of their keys k
+    a short key, which has to agree whole; p and s the beginning or end of one that may have one edit; for longer ones how
+    they begin, with the length. A pair that meets by several signs counts at the first.
     """
-    none = F.lit("")
+    empty = F.array().cast("array<string>")
     amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
-    sized = lambda x, n: F.concat(x, F.lit(" "), n.cast("string"))
-    long, own_long = F.length("w_key"), F.length("key")
-    like = F.sequence(F.ceil(own_long * LEAST_SIMILAR - 1e-9), F.floor(own_long / LEAST_SIMILAR + 1e-9))
-    begins_own = F.array(sign("R", F.col("first.text")), sign("N", first_word(F.col("first.norm")), F.col("first.norm") != ""), sign("K", F.substring("first.key", 1, 1), F.col("first.key") != ""), sign("F", none, F.col("digit")), sign("M", none, F.col("month")))
-    begins_wanted = F.array(sign("R", first_word(F.col("raw"))), sign("N", first_word(F.col("norm")), F.col("norm") != ""), sign("K", F.substring("key", 1, 1)), sign("F", none, amount | day), sign("M", none, day))
+    n, m = F.length("key"), F.length("w_key")
+    sized = lambda signs, length: F.transform(signs, lambda x: F.concat(x, F.lit(" "), length.cast("string")))
     of_window = F.concat(
-        F.array(sign("r", F.col("w_raw")), sign("n", F.col("w_norm"), F.col("w_norm") != ""), sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string"))),
-        F.when(long >= 3, F.transform(begins_own, lambda x: sized(x, long))).otherwise(F.array().cast("array<string>")),
-    )
+        F.array(
+            sign("r", F.col("w_raw"), F.col("by_raw")), sign("n", F.col("w_norm"), (F.col("w_norm") != "") & (F.col("by_norm") | (F.col("first_norm") == ""))),
+            sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string")), sign("k", F.col("w_key"), (m >= 3) & (m < ONE_EDIT)),
+        ),
+        F.when((m >= ONE_EDIT - 1) & (m < MORE_EDITS), F.array(*halves(F.col("w_key"), m))).otherwise(empty),
+        F.when(m >= MORE_EDITS * LEAST_SIMILAR, sized(beginnings(F.col("first_text"), first_word(F.col("first_norm")), F.col("first_key"), F.col("digit"), F.col("month")), m)).otherwise(empty),
+    )
+    like = F.sequence(F.ceil(n * LEAST_SIMILAR - 1e-9).cast("int"), F.floor(n / LEAST_SIMILAR + 1e-9).cast("int"))
+    one = F.filter(F.array(n - 1, n, n + 1), lambda x: (F.greatest(x, n) >= ONE_EDIT) & (F.greatest(x, n) < MORE_EDITS))
+    more = F.filter(like, lambda x: F.greatest(x, n) >= MORE_EDITS)
+    begins_wanted = beginnings(first_word(F.col("raw")), first_word(F.col("norm")), F.col("key"), amount | day, day)
     of_wanted = F.concat(
-        F.array(sign("r", F.col("raw")), sign("n", F.col("norm"), F.col("norm") != ""), sign("a", F.col("amount").cast("string")), sign("d", F.col("day").cast("string"))),
-        F.when(keyed, F.flatten(F.transform(begins_wanted, lambda x: F.transform(like, lambda n: sized(x, n))))).otherwise(F.array().cast("array<string>")),
+        F.array(sign("r", F.col("raw")), sign("n", F.col("norm"), F.col("norm") != ""), sign("a", F.col("amount").cast("string")), sign("d", F.col("day").cast("string")), sign("k", F.col("key"), keyed & (n < ONE_EDIT))),
+        F.when(keyed, F.flatten(F.transform(one, lambda x: F.array(*halves(F.col("key"), x))))).otherwise(empty),
+        F.when(keyed, F.flatten(F.transform(more, lambda x: sized(begins_wanted, x)))).otherwise(empty),
     )
     signs = lambda rows, own: rows.withColumn("sign", F.explode(F.filter(own, lambda x: x.isNotNull())))
     met = signs(found, of_window).join(signs(wanted, of_wanted), ["document_id", "sign"]).filter(F.col("size") <= F.col("words") + 2)
     begins = {
-        "R": F.col("first.text") == first_word(F.col("raw")),
-        "N": (F.col("first.norm") != "") & (F.col("norm") != "") & (first_word(F.col("first.norm")) == first_word(F.col("norm"))),
-        "K": (F.col("first.key") != "") & keyed & (F.substring("first.key", 1, 1) == F.substring("key", 1, 1)),
+        "R": F.col("first_text") == first_word(F.col("raw")),
+        "N": (F.col("first_norm") != "") & (F.col("norm") != "") & (first_word(F.col("first_norm")) == first_word(F.col("norm"))),
+        "K": (F.col("first_key") != "") & keyed & (F.substring("first_key", 1, 1) == F.substring("key", 1, 1)),
         "F": F.col("digit") & (amount | day),
         "M": F.col("month") & day,
     }
@@ -143,23 +200,32 @@ def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
         "d": F.coalesce(F.col("w_day") == F.col("day"), F.lit(False)),
     }
     first = lambda tests: F.coalesce(*(F.when(test, kind) for kind, test in tests.items()))
-    met = met.withColumns({"begins": first(begins), "spells": first(spells)}).filter(F.col("begins").isNotNull() & (F.substring("sign", 1, 1) == F.coalesce("spells", "begins")))
-    n, m = F.length("key"), F.length("w_key")
-    near = keyed & (F.abs(m - n) <= F.greatest(F.lit(2), F.floor(n * 0.25)))
-    # alignment edits are at least half the Levenshtein edits, so windows beyond twice the bound need no UDF
-    close = near & (F.levenshtein("w_key", "key") <= 2 * (1 - LEAST_SIMILAR) * F.greatest(n, m) + 1e-9)
+    longest, part = F.greatest(n, m), F.floor((m - 2) / 2).cast("int")
+    halved = F.when(F.substring(F.col("w_key"), F.lit(1), part) == F.substring(F.col("key"), F.lit(1), part), "p").when(F.right("w_key", part) == F.right("key", part), "s")
+    nearly = F.when(longest < ONE_EDIT, "k").when(longest < MORE_EDITS, halved).otherwise(F.col("begins"))
+    met = met.withColumns({"begins": first(begins), "spells": first(spells)}).filter(F.col("begins").isNotNull())
+    met = met.filter(F.substring("sign", 1, 1) == F.coalesce("spells", nearly))
     sure = F.col("spells").isNotNull()
-    tried = met.filter(sure | close).withColumn("similar", fuzzy.similarity(F.when(~sure, F.col("w_key")), F.col("key"))).filter(sure | (F.col("similar") >= LEAST_SIMILAR))
+    near = keyed & (F.abs(m - n) <= F.greatest(F.lit(2), F.floor(n * 0.25)))
+    # alignment has at least half as many edits as without swaps
+    close = near & (F.levenshtein("w_key", "key") <= 2 * edits(longest))
+    tried = met.filter(sure | close).withColumn("similar", F.when(~sure, 1 - fuzzy.osa_column(F.col("w_key"), F.col("key")) / longest)).filter(sure | (F.col("similar") >= LEAST_SIMILAR))
     method = F.when(F.col("spells") == "r", "exact").when(sure, "normalized").otherwise("fuzzy")
     score = F.when(F.col("spells") == "r", 1.0).when(sure, 0.9).otherwise(F.col("similar") * FUZZY_SHARE)
     return tried.withColumns({"method": method, "score": score}).drop("similar")
 
 
 def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(document_id, page_no, field, cx, cy): centres of the labels (field, label) printed on pages."""
+    """(document_id, page_no, field, cx, cy): centres of the labels (field, label: a fixed list) printed on pages.
+
+    Tokens are only followed where a label's first word stands.
+    """
     phrases = labels.select("field", text.normalize_words(F.col("label")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " "))).withColumn("word", first_word(F.col("phrase")))
-    slim = F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in ("norm", "x", "y", "w", "h"))))
-    tokens = pages.select("document_id", "page_no", F.explode(ahead(slim, F.lit(MOST_TOKENS))).alias("ahead")).withColumn("word", first_word(F.col("ahead")[0]["norm"]))
+    words = [r.word for r in phrases.select("word").distinct().collect()]
+    begun = F.filter(F.transform("tokens", lambda t, i: F.when(first_word(t["norm"]).isin(words), i)), lambda i: i.isNotNull())
+    slim = lambda t: F.struct(*(t[c].alias(c) for c in ("norm", "x", "y", "w", "h")))
+    ahead = F.transform(begun, lambda i: F.transform(F.slice("tokens", i + 1, F.lit(MOST_TOKENS)), slim))
+    tokens = pages.select("document_id", "page_no", F.explode(ahead).alias("ahead")).withColumn("word", first_word(F.col("ahead")[0]["norm"]))
     hits = tokens.join(F.broadcast(phrases), "word").withColumn("own", F.slice("ahead", F.lit(1), F.col("n")))  # a fixed list of some fifty labels
     hits = hits.filter(F.array_join(F.transform("own", lambda t: t["norm"]), " ") == F.col("phrase")).withColumn("box", box_of(F.col("own")))
     return hits.select("document_id", "page_no", "field", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"))
@@ -169,8 +235,8 @@ def matches(pages: DataFrame, values: DataFrame, labels: DataFrame | None = None
     """All places of all values: score, method, box, line, and the distance to the field's nearest label (null without one)."""
     ready = prepared(pages)
     wanted = candidates(values)
-    found = scored(windows(ready, wanted), wanted).withColumn("box", box_of(F.col("own")))
-    rows = found.select("document_id", "field_path", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), F.col("own")[0]["line"].alias("line"), F.col("own")[0]["x"].alias("x"), "box")
+    found = scored(windows(ready, wanted), wanted)
+    rows = found.select("document_id", "field_path", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), "line", "x", "box")
     if labels is None:
         return rows.withColumn("label_distance", F.lit(None).cast("double"))
     centres = label_centres(ready, labels).groupBy("document_id", "page_no", F.col("field").alias("field_path")).agg(F.collect_list(F.struct("cx", "cy")).alias("centres"))
@@ -193,71 +259,94 @@ def best_places(found: DataFrame, preferred: DataFrame | None = None) -> DataFra
     return found.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place", "preferred").withColumn("score", F.floor(F.col("score") * 1000 + 0.5) / 1000)
 
 
-CHOSEN = "field_path string, page int, start int, end int, score double, method string, matched_text string, line int, x double, y double, w double, h double"
+PLACE = ("page_no", "start", "end", "score", "method", "matched_text", "line", "box")
+
 
+def preference(page: Column, *more: Column) -> Column:
+    """What is least for the best place: score, the preferred page, fewer tokens, then further terms, page order."""
+    far = F.lit(float("inf"))
+    return F.struct(-F.col("score"), ~F.coalesce(F.col("page_no") == page, F.lit(False)), F.col("end") - F.col("start"), *more, F.coalesce("label_distance", far), *(F.col(c) for c in ("page_no", "start", "ordinal")))
 
-def choose(rows: list[dict]) -> list[dict]:
-    """Places of one document's values; each claims its tokens from later ones.
 
-    Header fields come in a fixed order, amounts first. Then line items, row by row: a description claims its tokens from
-    later descriptions; the row's cells, which may only not share tokens within the row, are drawn to its line, amounts to
-    the right and others to the left. A quantity is only looked for once something else has fixed the row.
+def best(places: DataFrame, *keys: str) -> DataFrame:
+    """The place of least rank for each key, with its keys; combines before the shuffle."""
+    return places.groupBy(*keys).agg(F.min_by(F.struct(*PLACE), "rank").alias("place")).select(*keys, *(f"place.{c}" for c in PLACE))
+
+
+def overlapping(one: str, other: str) -> Column:
+    return (F.col(f"{one}.page_no") == F.col(f"{other}.page_no")) & (F.col(f"{one}.start") < F.col(f"{other}.end")) & (F.col(f"{one}.end") > F.col(f"{other}.start"))
+
+
+def claimed(places: DataFrame) -> DataFrame:
+    """The places (document_id, claim, turn, field_path, rank, ...) that fields get, each claiming its tokens from those of later turns.
+
+    All documents at once: in each round every open field has its best free place, and gets it unless a field of an earlier
+    turn may still want one of its tokens. The first open field of a document always gets its place, and so do all that do not
+    stand in each other's way, so that there are as many rounds as fields wait for one another. Places that overlap what was
+    given are then free no longer.
     """
-    out: list[dict] = []
-    by_path: dict[str, list[dict]] = {}
-    for row in rows:
-        by_path.setdefault(row["field_path"], []).append(row)
-
-    def take(path: str, taken: list, near: tuple | None = None, side: int = 0) -> dict | None:
-        def key(m: dict) -> tuple:
-            far = abs(m["line"] - near[1]) if near and m["page_no"] == near[0] else float("inf")
-            before = 0 if near and near[2] is not None and m["page_no"] == near[0] and m["start"] >= near[2] else 1
-            label = float("inf") if m["label_distance"] is None else m["label_distance"]
-            page = m["page"] if m["page"] is not None else near[0] if near else None
-            return (-m["score"], m["page_no"] != page, m["end"] - m["start"], far, before if near and near[2] is not None else 0, label, side * m["x"], m["page_no"], m["start"], m["ordinal"])
-
-        free = [m for m in by_path.get(path, ()) if not any(m["page_no"] == p and m["start"] < b and m["end"] > a for p, a, b in taken)]
-        if not free:
-            return None
-        m = min(free, key=key)
-        taken.append((m["page_no"], m["start"], m["end"]))
-        box = m["box"]
-        out.append({"field_path": path, "page": m["page_no"], "start": m["start"], "end": m["end"], "score": int(m["score"] * 1000 + 0.5) / 1000, "method": m["method"], "matched_text": m["matched_text"], "line": m["line"], **{c: box[c] for c in "xywh"}})
-        return m
-
-    header: list = []
-    for name in ORDER:
-        take(name, header)
-    used: list = []
-    for row in sorted({int(p.split(".")[1]) for p in by_path if p.startswith("lineItems.")}):
-        description = take(f"lineItems.{row}.description", used)
-        taken = used[-1:] if description else []
-        near = (description["page_no"], description["line"], description["end"]) if description else None
-        for cell in ("quantity", "unitPrice", "amount") if description else ("amount", "unitPrice", "quantity"):
-            if cell == "quantity" and near is None:
-                continue
-            found = take(f"lineItems.{row}.{cell}", taken, near, -1 if cell == "amount" else 1)
-            if found and near is None:
-                near = (found["page_no"], found["line"], None)
-    return out
+    keys = ["document_id", "claim"]
+    tokens = lambda rows: rows.withColumn("token", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    open_, given = checkpoint(places), []
+    while not open_.isEmpty():
+        wanted = best(open_, *keys, "turn", "field_path")
+        # the earliest field that may still want a token
+        first = tokens(open_).groupBy(*keys, "page_no", "token").agg(F.min("turn").alias("first"))
+        waits = tokens(wanted).join(first, [*keys, "page_no", "token"]).groupBy(*keys, "turn").agg(F.bool_or(F.col("first") < F.col("turn")).alias("waits"))
+        now = checkpoint(wanted.join(waits.filter("not waits").drop("waits"), [*keys, "turn"]))
+        given.append(now)
+        left = open_.join(now.select(*keys, "turn"), [*keys, "turn"], "left_anti")
+        same = reduce(Column.__and__, (F.col(f"o.{k}") == F.col(f"g.{k}") for k in keys))
+        open_ = checkpoint(left.alias("o").join(now.alias("g"), same & overlapping("o", "g"), "left_anti"))
+    return reduce(DataFrame.unionByName, given) if given else best(open_, *keys, "turn", "field_path")
 
 
-def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
-    """Grounds all values (document_id, field_path, kind, value, source_text, page) of all documents: one row for each that is found."""
-    found = matches(pages, values, labels).join(values.select("document_id", "field_path", "page"), ["document_id", "field_path"])
-    kind = found.schema["document_id"].dataType.simpleString()
+CELLS = ("quantity", "unitPrice", "amount")
 
-    kinds = [(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (c.split() for c in CHOSEN.split(", "))]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chosen = [choose(rows) for rows in batch.column(1).to_pylist()]
-            of = pa.array([i for i, own in enumerate(chosen) for _ in own], pa.int32())
-            every = [x for own in chosen for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *(pa.array([x[n] for x in every], t) for n, t in kinds)], names=["document_id", *(n for n, _ in kinds)])
+def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
+    """Grounds all values (document_id, field_path, kind, value, source_text, page) of all documents: one row for each that is found.
 
-    own = F.struct("field_path", "ordinal", "page_no", "start", "end", "score", "method", "matched_text", "line", "x", "box", "label_distance", "page")
-    return found.groupBy("document_id").agg(F.collect_list(own).alias("rows")).mapInArrow(work, f"document_id {kind}, {CHOSEN}")
+    Header fields claim their tokens in a fixed order, amounts first, and descriptions of line items in that of their rows.
+    Then the cells of a row, which may only not share tokens within the row, are drawn to its description's line, amounts to the
+    right and others to the left. Without a description the amount goes first, and whatever is found first fixes
+    the row; a quantity is only looked for once something has. Eager: places are written and claimed in rounds.
+    """
+    found = matches(pages, values, labels).join(values.select("document_id", "field_path", "page"), ["document_id", "field_path"])
+    parts = F.split("field_path", r"\.")
+    turns = F.create_map(*(F.lit(x) for i, name in enumerate(ORDER) for x in (name, i)))
+    found = checkpoint(found.withColumns({"row": F.when(F.size(parts) == 3, parts[1].cast("int")), "cell": F.element_at(parts, -1)}))
+    header = found.filter(F.col("row").isNull()).withColumns({"claim": F.lit("header"), "turn": F.try_element_at(turns, F.col("field_path"))}).filter("turn is not null")
+    texts = found.filter((F.col("row").isNotNull()) & (F.col("cell") == "description")).withColumns({"claim": F.lit("rows"), "turn": F.col("row"), "label_distance": F.lit(None).cast("double")})
+    texts = texts.select(*header.columns)
+    given = claimed(header.unionByName(texts).withColumn("rank", preference(F.col("page"))))
+    cells = found.filter(F.col("row").isNotNull() & F.col("cell").isin(*CELLS))
+    rows = cells.select("document_id", "row").distinct()
+    described = given.filter("claim = 'rows'").select("document_id", F.col("turn").alias("row"), F.struct(F.col("page_no").alias("page"), F.col("line").alias("line"), F.col("end").alias("after")).alias("anchor"), F.array(F.struct("page_no", "start", "end")).alias("taken"))
+    state = checkpoint(rows.join(described, ["document_id", "row"], "left").withColumn("described", F.col("anchor").isNotNull()))
+    out = [given.drop("claim", "turn")]
+    for step, cell in enumerate(CELLS):
+        own = F.when(F.col("described"), cell).otherwise(CELLS[-1 - step])
+        anchor = F.col("anchor")
+        near = cells.join(state, ["document_id", "row"]).filter((F.col("cell") == own) & ((F.col("cell") != "quantity") | anchor.isNotNull()))
+        clear = ~F.exists(F.coalesce("taken", F.array().cast("array<struct<page_no:int,start:int,end:int>>")), lambda t: (t["page_no"] == F.col("page_no")) & (F.col("start") < t["end"]) & (F.col("end") > t["start"]))
+        there = F.coalesce(anchor["page"] == F.col("page_no"), F.lit(False))
+        far = F.when(there, F.abs(F.col("line") - anchor["line"]).cast("double")).otherwise(float("inf"))
+        before = F.when(anchor["after"].isNotNull(), ~(there & (F.col("start") >= anchor["after"]))).otherwise(False)
+        side = F.when(F.col("cell") == "amount", -F.col("x")).otherwise(F.col("x"))
+        rank = F.struct(-F.col("score"), ~F.coalesce(F.col("page_no") == F.coalesce("page", anchor["page"]), F.lit(False)), F.col("end") - F.col("start"), far, before, side, "page_no", "start", "ordinal")
+        chosen = checkpoint(best(near.filter(clear).withColumn("rank", rank), "document_id", "row", "field_path"))
+        out.append(chosen.drop("row"))
+        taken = chosen.select("document_id", "row", F.struct(F.col("page_no").alias("page"), "line", F.lit(None).cast("int").alias("after")).alias("fixed"), F.struct("page_no", "start", "end").alias("own"))
+        state = checkpoint(
+            state.join(taken, ["document_id", "row"], "left").select(
+                "document_id", "row", "described", F.coalesce("anchor", "fixed").alias("anchor"),
+                F.when(F.col("own").isNull(), F.col("taken")).otherwise(F.concat(F.coalesce("taken", F.array().cast("array<struct<page_no:int,start:int,end:int>>")), F.array("own"))).alias("taken"),
+            )
+        )
+    places = reduce(DataFrame.unionByName, out)
+    score = F.floor(F.col("score") * 1000 + 0.5) / 1000
+    return places.select("document_id", "field_path", F.col("page_no").alias("page"), "start", "end", score.alias("score"), "method", "matched_text", "line", *(F.col(f"box.{c}").alias(c) for c in "xywh"))
 
 
 def count_values(values: DataFrame) -> DataFrame:
