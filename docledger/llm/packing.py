@@ -9,10 +9,12 @@ are made, and turned into places, where the documents are.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,55 +26,108 @@ from docledger.llm._spark import Ranges, Tables, byte_blocks, runs
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a task remembers.
-WORDS = 200_000
-#: What the vocabulary's own splitter makes of ASCII text in lower case; words of other texts are cut at these spaces only.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-SPACES = str.maketrans("\t\n\r", "   ")
+#: Words whose ids a worker remembers, and bytes of text that it takes at a time.
+WORDS, BYTES = 500_000, 16 << 20
+#: Letters and digits below U+0250, where no version of Unicode, normal form or case rule makes a difference but for LONGER.
+LETTERS, NUMBERS, BLANKS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+LONGER = "\u0130"  # becomes two characters in lower case
+LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+OTHER = re.compile(f"[^\\x00-\u024f]|{LONGER}")
+WORD_END = "</w>"
 
 
 class Words:
     """Ids of texts, word by word.
 
-    The vocabulary never joins characters across white space, and, in ASCII text, never across its splitter's words; so a
-    text's ids are those of its words in turn, and words are remembered.
+    The vocabulary never joins characters across white space, so a text's ids are those of what stands between ASCII spaces.
+    Each such string is looked up once for many texts. Latin ones are cut into the words of the vocabulary's own splitter,
+    of which there are fewer, and those are remembered; others are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what looks like a special token is text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if text.isascii():
-            return ASCII_WORD.findall(text.lower())
-        out = []
-        for word in text.translate(SPACES).split(" "):
-            if word.isascii():
-                out += ASCII_WORD.findall(word.lower())
-            else:
-                out.append(word)
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of Latin words: many at a time, apart by the tokens that end a word."""
+        ids = np.array([i for own in self.encode([" ".join(words[at : at + 64]) for at in range(0, len(words), 64)]) for i in own], "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(words):
+            data = ids.tobytes()
+            self.known.update(zip(words, (data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        else:
+            self.known.update((word, np.array(own, "<u4").tobytes()) for word, own in zip(words, self.encode(words), strict=True))
+
+    def strings(self, strings: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of strings without spaces, one after the other, and how many each has."""
         if len(self.known) > WORDS:
             self.known.clear()
-        words = [self.split(text) for text in texts]
-        found = [list(map(self.known.get, own)) for own in words]
-        open_ = [i for i, own in enumerate(found) if None in own]
-        new = list({word for i in open_ for word, ids in zip(words[i], found[i], strict=True) if ids is None})
-        for word, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(made.ids, "<u4").tobytes()
-        for i in open_:
-            found[i] = list(map(self.known.__getitem__, words[i]))
-        return [b"".join(own) for own in found]
+        words: list[str] = []
+        upto = [0]
+        for x in strings:
+            if x.isascii() and x.isalpha():
+                words.append(x.lower())
+            elif OTHER.search(x):
+                words.append(x)
+            else:
+                words += LATIN_WORD.findall(x.lower())
+            upto.append(len(words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = {word for word, ids in zip(words, found, strict=True) if ids is None}
+            other = [word for word in new if OTHER.search(word)]
+            if latin := list(new.difference(other)):
+                self.learn(latin)
+            self.known.update((word, np.array(ids, "<u4").tobytes()) for word, ids in zip(other, self.encode(other), strict=True))
+            found = list(map(self.known.__getitem__, words))
+        sizes = np.cumsum([0, *map(len, found)]) // 4
+        return b"".join(found), np.diff(sizes[upto])
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Little-endian unsigned 32-bit ids of texts (their bytes, and where each begins and ends), and where each text's begin and end."""
+        blank = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        inner = offsets[1:-1][offsets[1:-1] < len(data)]
+        begins[inner] = ~blank[inner]  # a text begins a string of its own
+        at = np.flatnonzero(begins)
+        full = np.concatenate(([0], np.cumsum(~blank)))  # bytes before each place that are not blank
+        places = np.append(full[at], full[-1]).astype(np.int64)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data[~blank])])
+        coded = column.dictionary_encode()
+        made, sizes = self.strings(coded.dictionary.cast(pa.large_string()).to_pylist())
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), pa.array(np.frombuffer(made, "<u4")))
+        each = coded.indices.to_numpy()
+        upto = np.concatenate(([0], np.cumsum(sizes[each])))
+        return lists.take(coded.indices).flatten().to_numpy(), upto[np.searchsorted(at, offsets)]
+
+
+@cache
+def words_of(path: str) -> Words:
+    """Kept by a worker from task to task."""
+    return Words(path)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a number of bytes."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= limit:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting = []
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -82,14 +137,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     names = ["uid", "id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uid = Words(path), TaskContext.get().partitionId() << 40
-        for batch, _, _ in byte_blocks(batches, "text"):
+        words, uid = words_of(path), TaskContext.get().partitionId() << 40
+        for batch, data, offsets in byte_blocks(gathered(batches, BYTES), "text", BYTES):
             rows: list[list] = [[] for _ in names[2:]]
             of = []
-            for at, ids in enumerate(words.ids([x or "" for x in batch.column(1).to_pylist()])):
-                ids += last
-                for start in range(0, len(ids) // 4, capacity):
-                    own = ids[4 * start : 4 * (start + capacity)]
+            ids, upto = words.ids(data, offsets)
+            for at in range(batch.num_rows):
+                own_ids = ids[upto[at] : upto[at + 1]].tobytes() + last
+                for start in range(0, len(own_ids) // 4, capacity):
+                    own = own_ids[4 * start : 4 * (start + capacity)]
                     of.append(at)
                     for column, value in zip(rows, (start // capacity, start, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32)), strict=False):
                         column.append(value)

@@ -275,9 +275,11 @@ def test_words(spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     tokenizer.encode_special_tokens = True
     rng = random.Random(8)
-    texts = ["".join(rng.choice("aB'stredm 1.,\t\n\r\x0b\x0c\x1c\x85éÉßΣςİ½́‍日") for _ in range(rng.randrange(40))) for _ in range(3000)]
-    got = packing.Words(VOCABULARY).ids(texts)
-    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(rng.choice("aB'stredm 1.,\t\n\r\x0b\x0c\x1c\x85\xa0éÉßµªſǅɏΣςİ½²́‍日") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for own in (texts, texts[:1], [""], ["", "a", ""], ["a", "", "b"]):
+        coded = [x.encode() for x in own]
+        ids, upto = packing.Words(VOCABULARY).ids(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+        assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)] == [e.ids for e in tokenizer.encode_batch(own, add_special_tokens=False)]
 
 
 def test_manifest_sql(spark):
