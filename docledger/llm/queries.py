@@ -67,8 +67,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upper = "".join(map(chr, range(65, 91)))
-    tampered = {"text": F.translate("text", upper, upper.lower())}
+    tampered = {"text": F.translate("text", merkle.UPPERCASE, merkle.UPPERCASE.lower())}
     return merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0).drop("n_siblings")
 
 
@@ -101,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mtree_top": mtree.SQL,
     "op4_repeated_lines": lines.SQL,
     "op9_mix_sources": mixing.SQL.format(docs="documents"),
+    "op12_merkle_manifest": merkle.SQL,
 }
