@@ -27,7 +27,7 @@ from docledger.llm._spark import Ranges, Tables, byte_blocks, runs
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers, and bytes of text that it takes at a time.
-WORDS, BYTES = 500_000, 16 << 20
+WORDS, BYTES = 400_000, 8 << 20
 #: Letters and digits below U+0250, where no version of Unicode, normal form or case rule makes a difference but for LONGER.
 LETTERS, NUMBERS, BLANKS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 LONGER = "\u0130"  # becomes two characters in lower case
