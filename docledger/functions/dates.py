@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docledger.functions.text import bound, collapse
+from docledger.functions.text import SPACES, bound, collapse
 
 #: English month names and their short forms.
 MONTHS = {
@@ -15,13 +15,13 @@ MONTHS = {
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A calendar date from 1900 to 2200, else null."""
-    out = F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
-    return F.when((F.year(out) >= 1900) & (F.year(out) <= 2200), out)
+    """A calendar date from 1900 to 2200, else null; the parts as text."""
+    out = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
+    return F.when(year.between("1900", "2200"), out)
 
 
 def month_number(word: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    names = F.create_map(*(F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))))
     return F.try_element_at(names, F.lower(word))
 
 
@@ -33,23 +33,28 @@ def parse_date(text: Column, month_first: Column | bool = False) -> Column:
     """
     hint = F.lit(month_first) if isinstance(month_first, bool) else month_first
     printed = collapse(F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), ",", " "))
-    pieces = F.split(printed, "[-/. ]")
     name = lambda p: F.when(p.rlike(r"^\d{4}$"), "Y").when(p.rlike(r"^\d{1,2}$"), "n").when(p.rlike("^[A-Za-z]+$"), "w").otherwise("?")
-    cut = F.struct(pieces.alias("pieces"), F.transform(pieces, name).alias("names"), F.length(F.regexp_replace(printed, "[^ ]", "")).alias("spaces"))
 
     def read(x: Column) -> Column:
-        of = lambda kind: F.filter(x["pieces"], lambda p: name(p) == kind)
-        small = F.transform(of("n"), lambda p: p.cast("int"))
-        one, two = F.get(small, 0), F.get(small, 1)
-        row = F.array_join(x["names"], "")
-        worded = row.isin("wnY", "nwY") & (x["spaces"] == 2)
-        year_first, year_last = (row == "Ynn") & (x["spaces"] == 0), (row == "nnY") & (x["spaces"] == 0)
-        month_leads = year_first | (year_last & ((two > 12) | (hint & (one <= 12))))
-        month = F.when(worded, month_number(F.get(of("w"), 0))).when(month_leads, one).otherwise(two)
-        day = F.when(worded | ~F.coalesce(month_leads, F.lit(False)), one).otherwise(two)
-        return F.when(worded | year_first | year_last, _date(F.get(of("Y"), 0), month, day))
-
-    return bound(cut, read)
+        a, b, c = (F.get(x["pieces"], i) for i in range(3))
+        row, spaced = x["row"], x["printed"].rlike("^[^ ]+ [^ ]+ [^ ]+$")
+        tight, one, two = ~x["printed"].contains(" "), a.try_cast("int"), b.try_cast("int")
+        month_leads = (two > 12) | (hint & (one <= 12))
+        return (
+            F.when((row == "wnY") & spaced, _date(c, month_number(a), b))
+            .when((row == "nwY") & spaced, _date(c, month_number(b), a))
+            .when((row == "Ynn") & tight, _date(a, b, c))
+            .when((row == "nnY") & tight & month_leads, _date(c, a, b))
+            .when((row == "nnY") & tight, _date(c, b, a))
+        )
+
+    # three pieces, of which one is a year of four digits: most strings are none of that
+    gap = f"[-/.,{SPACES}]"
+    likely = text.rlike(r"\d{4}") & text.rlike(f"^{gap}*[^{gap[1:]}+(?:{gap}+[^{gap[1:]}+){{2}}{gap}*$")
+    row = lambda p: F.concat(*(name(F.get(p, i)) for i in range(3)))
+    named = lambda x: F.struct(x["printed"].alias("printed"), x["pieces"].alias("pieces"), F.when(F.size(x["pieces"]) == 3, row(x["pieces"])).alias("row"))
+    cut = bound(printed, lambda p: F.struct(p.alias("printed"), F.split(p, "[-/. ]").alias("pieces")))
+    return F.when(likely, bound(bound(cut, named), read))
 
 
 def is_iso_date(text: Column) -> Column:

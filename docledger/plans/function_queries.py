@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from docledger.functions import dates, fuzzy, money, risk, text
 from docledger.operators import evaluate, grounding, ledger, tokens
+from docledger.plans import grounding_sql
 from docledger.plans.derived import CTES, Ledger
+from docledger.plans.grounding_sql import STYLED
 from docledger.plans.ledger_queries import ISSUES, issues, over
 from docledger.plans.rule_queries import amount, swap
 from docledger.sources import ingest, tables
@@ -77,12 +79,27 @@ def ground_exact(x: Ledger) -> DataFrame:
 
 
 def windows(x: Ledger) -> DataFrame:
-    """How many windows of each invoice page read as an amount or a day, and how long windows get."""
+    """How many windows begin where a candidate of the invoice may, how long they get, and how many read as an amount."""
     values = invoice_values(x)
     found = grounding.windows(grounding.prepared(invoice_pages(x)), grounding.candidates(values))
     return found.groupBy("document_id").agg(F.count("*").alias("n"), F.max("size").alias("longest"), F.count("w_amount").alias("amounts"))
 
 
+def printed_labels(x: Ledger) -> DataFrame:
+    """How often the labels of each field are printed on each invoice, and where the first one is."""
+    found = grounding.label_centres(grounding.prepared(invoice_pages(x)), grounding.label_table(x.spark))
+    return found.groupBy("document_id", "field").agg(F.count("*").alias("n"), F.round(F.min("cy"), 6).alias("cy"))
+
+
+def reading_order(x: Ledger) -> DataFrame:
+    """All tokens of each document in reading order, with the line of each; tokens come mixed, and their lines are uneven."""
+    uneven = F.transform("tokens", lambda t, i: F.struct(t["text"].alias("text"), t["x"].alias("x"), (t["y"] + (i * 7 % 5) * 0.0009).alias("y"), t["w"].alias("w"), t["h"].alias("h")))
+    mixed = F.array_sort(F.transform(uneven, lambda t: F.struct(F.xxhash64(t).alias("k"), t.alias("t"))))
+    placed = word_pages(x).select("document_id", tokens.assign_lines(F.transform(mixed, lambda p: p["t"])).alias("t"))
+    shown = F.array_join(F.transform("t", lambda t: F.concat(t["line"].cast("string"), F.lit(" "), t["text"])), "\n")
+    return placed.select("document_id", F.size("t").alias("n"), F.array_max(F.transform("t", lambda t: t["line"])).alias("last_line"), F.md5(shown).alias("order_md5"))
+
+
 def evaluation(x: Ledger) -> DataFrame:
     truth = x.fields.select("document_id", "field_path", "value")
     got = x.fields.select("document_id", "field_path", F.when((F.col("document_id") % 4 == 0) & (F.col("field_path") == "total"), F.lit("1.00")).otherwise(F.concat(F.lit(" "), F.upper("value"))).alias("value"))
@@ -116,7 +133,7 @@ QUERIES = {
     "f16_normalize_text": over(lambda x: lines(x).select("document_id", "idx", text.normalize_text(F.when(F.col("idx") == 0, F.concat(F.lit(" #"), "description", F.lit("-X! "))).otherwise(F.col("shown"))).alias("normal"))),
     "f17_fuzzy_key": over(lambda x: lines(x).select("document_id", "idx", text.fuzzy_key(F.concat(F.lit("Eur "), "description", F.lit(" $9"))).alias("key"))),
     "f18_vendor_key": over(lambda x: names(x).select("p_partkey", text.vendor_key(F.col("shown")).alias("key"))),
-    "f21_lines": over(lambda x: word_pages(x).select("document_id", tokens.assign_lines(F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h"))))).alias("t")).select("document_id", F.array_max(F.transform("t", lambda t: t["line"])).alias("last_line"), F.size("t").alias("n"))),
+    "f21_lines": over(reading_order),
     "f22_sanitize": over(lambda x: x.read("pages").select("page_id", text.sanitize_filename(F.concat("url", F.lit("/a\tb"), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 3 == 0, F.repeat(F.lit("y"), 200)).otherwise(""), F.lit(".pdf"))).alias("name"))),
     "f26_same_value": over(lambda x: lines(x).select("document_id", "idx", text.same_value("money", F.col("shown"), F.col("amount").cast("string")).alias("same"))),
     "f29_criticality": over(lambda x: x.groundings.select("document_id", "field_path", risk.criticality(F.col("field_path")).alias("weight"))),
@@ -129,23 +146,36 @@ QUERIES = {
     "g01_candidates": over(lambda x: grounding.candidates(lines(x).select("document_id", F.col("idx").cast("string").alias("field_path"), F.lit("money").alias("kind"), money.from_cents(F.col("cents")).cast("string").alias("value"), F.when(F.col("idx") % 2 == 0, F.col("shown")).otherwise("1.00").alias("source_text"))).select("document_id", "field_path", "ordinal", "raw")),
     "g02_source_agrees": over(lambda x: lines(x).select("document_id", "idx", grounding.source_agrees(F.lit("money"), F.col("amount").cast("string"), F.col("shown")).alias("agrees"))),
     "g05_windows": over(windows),
+    "g09_labels": over(printed_labels),
     "g10_ground_exact": over(ground_exact),
     "g11_ground_document": over(ground_document),
     "e01_evaluation": over(evaluation),
 }
 
 SHOWN = "case when (document_id + idx) % 7 in (5, 6) then -cents else cents end"
-STYLED = """styled as (select *, (document_id + idx) % 7 as st, format('{:,}', cents // 100) as g, lpad(cast(cents % 100 as varchar), 2, '0') as c from lines),
-shown as (select *, case st when 0 then g || '.' || c when 1 then replace(g, ',', '.') || ',' || c when 2 then replace(g, ',', ' ') || ',' || c when 3 then '$' || g || '.' || c when 4 then replace(g, ',', '.') || ',' || c || ' €' when 5 then '(' || g || '.' || c || ')' else 'USD ' || g || '.' || c || '-' end as shown from styled)"""
 WORDS = "w as (select doc_id as document_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents), t as (select document_id, line, list_filter(string_split(l, ' '), lambda x: x <> '') as ws from w)"
 
-ORACLE_SQL = {
+SHOWN_NAME = "lower(upper(p_name) || ['', ' Inc.', ' GmbH', ', Ltd.', ' Co. Ltd', ' Pvt. Ltd.'][p_partkey % 6 + 1])"
+
+ORACLE_SQL = grounding_sql.ORACLE_SQL | {
     "f02_parse_money": CTES + f"select document_id, idx, cast(({SHOWN}) / 100.0 as decimal(18,2)) as value from lines",
     "f03_parse_decimal": CTES + "select document_id, idx, cast(price_e4 / 10000.0 as decimal(18,4)) as value from lines",
     "f05_mul_to_cents": CTES + "select document_id, idx, (qty * price_e4 + 50) // 100 as cents from lines",
     "f06_digit_swaps": """with o as (select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as varchar) as s from orders), i as (select o_orderkey, s, unnest(range(1, length(s))) as i from o)
 select distinct o_orderkey, s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:] as swap from i where s[i:i] between '0' and '9' and s[i+1:i+1] between '0' and '9' and s[i:i] <> s[i+1:i+1] and not regexp_matches(s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:], '^-?0[0-9]')""",
     "f07_is_swap": CTES + f"select document_id, {swap(amount('subtotal_c'), amount('s'))} as swap from invoices join sums using (document_id) where subtotal_c is not null",
+    "f21_lines": f"""with {WORDS}, o as (select document_id, dense_rank() over (partition by document_id order by line) - 1 as line, ws from t where len(ws) > 0),
+a as (select document_id, cast(sum(len(ws)) as integer) as n, cast(max(line) as integer) as last_line, md5(string_agg(array_to_string(list_transform(ws, lambda x: line || ' ' || x), chr(10)), chr(10) order by line)) as order_md5 from o group by 1)
+select d.doc_id as document_id, coalesce(n, 0)::integer as n, last_line, coalesce(order_md5, md5('')) as order_md5 from documents d left join a on a.document_id = d.doc_id""",
+    "f15_osa": f"""with recursive p as (select p_partkey, {SHOWN_NAME} as a, reverse(p_name) as b from part),
+q as (select distinct a, b, length(b) as m from p),
+d as (
+  select a, b, m, 0 as i, range(m + 1) as last, cast([] as bigint[]) as before from q
+  union all
+  select a, b, m, i + 1, list_reduce(range(1, m + 1), lambda now, j: list_append(now, least(last[j + 1] + 1, now[j] + 1, last[j] + (a[i + 1] <> b[j])::bigint,
+      case when i > 0 and j > 1 and a[i + 1] = b[j - 1] and a[i] = b[j] then before[j - 1] + 1 else 1000000 end)), [cast(i + 1 as bigint)]), last
+  from d where i < length(a))
+select p_partkey, cast(last[m + 1] as integer) as distance from p join d on d.a = p.a and d.b = p.b and d.i = length(d.a)""",
     "f22_sanitize": "select page_id, 'ab' || (page_id % 7) || case when page_id % 3 = 0 then repeat('y', 113) else '' end || '.pdf' as name from pages",
     "f08_money_shaped": CTES + "select document_id, idx, idx > 1 as shaped from lines",
     "f13_parse_date": "select o_orderkey as id, case when o_orderkey % 7 <> 6 then cast(o_orderdate as date) end as day, case when day(o_orderdate) > 12 then cast(o_orderdate as date) else make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) end as month_first from orders",

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, money, text
-from docledger.operators import grounding, ledger, queue, rules, tokens
+from docledger.operators import ledger, queue, rules, tokens
 from docledger.plans.derived import CTES, Ledger
 from docledger.plans.function_queries import WORDS, word_pages
 from docledger.plans.ledger_queries import ISSUES, STATUS, issues, over, with_status
@@ -86,11 +86,6 @@ def finalised(x: Ledger):
     return new
 
 
-def labels(x: Ledger):
-    pages = grounding.prepared(tokens.text_pages(x.read("nation").select(F.col("n_nationkey").alias("document_id"), F.lit(1).alias("page_no"), F.concat(F.lit("Total due "), "n_name", F.lit("\nTax Total")).alias("text"))))
-    return grounding.label_centres(pages, grounding.label_table(x.spark)).groupBy("document_id", "field").agg(F.count("*").alias("n"), F.round(F.min("cy"), 6).alias("cy"))
-
-
 QUERIES = {
     "p03_by_digest": over(lambda x: ledger.by_digest(uploads(x), uploads(x).filter("document_id % 10 = 0")).select("document_id")),
     "p04_active": over(lambda x: ledger.active(uploads(x)).select("document_id")),
@@ -118,7 +113,6 @@ QUERIES = {
     "f23_list_words": over(lambda x: x.read("nation").groupBy("n_regionkey").agg(text.list_words(F.array_sort(F.collect_list("n_name"))).alias("names"), text.format_bytes(F.sum(F.col("n_nationkey") * 999)).alias("bytes"))),
     "f25_currency": over(lambda x: x.invoices.select("document_id", "currency")),
     "f27_contrast": over(lambda x: x.read("nation").select("n_nationkey", F.round(text.contrast_ratio(F.concat(F.lit("#"), F.lpad(F.hex(F.col("n_nationkey") * 671088), 6, "0")), F.lit("#ffffff")), 6).alias("ratio"))),
-    "g09_labels": over(labels),
     "s12_replace": over(lambda x: tables.replaced(x.lines.select("document_id", "idx"), x.lines.filter("document_id % 4 = 0").select("document_id", (F.col("idx") + 100).alias("idx")))),
     "s14_insert_absent": over(lambda x: tables.inserted_if_absent(x.read("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("owner"), F.lit(0).cast("long").alias("at")), x.read("orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("at")), ["owner"], "at")),
     "s16_api_json": over(lambda x: tables.api_json(x.read("nation").select("n_nationkey", F.nullif("n_name", F.lit("CHINA")).alias("n_name")))),
