@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import money
+from docledger.operators.ranks import ranked
 from docledger.operators.rules import severity_rank
 
 IN_FLIGHT = ("queued", "processing")
@@ -188,10 +189,15 @@ def search_text(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def workspace_rank(jobs: DataFrame) -> DataFrame:
-    """Queued jobs with their place in the workspace, behind its running ones."""
+    """Queued jobs with their place in the workspace, behind its running ones; a workspace may hold most of the jobs."""
+    placed = ranked(jobs.filter("status = 'queued'"), ["workspace_id"], [F.col("created_at"), F.col("id")], "place")
+    return behind_running(placed, jobs)
+
+
+def behind_running(placed: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs with a place in their workspace, moved behind its running ones."""
     running = jobs.filter("status = 'running'").groupBy("workspace_id").agg(F.count("*").alias("running"))
-    place = F.row_number().over(Window.partitionBy("workspace_id").orderBy("created_at", "id"))
-    return jobs.filter("status = 'queued'").withColumn("place", place).join(running, "workspace_id", "left").withColumn("workspace_rank", F.col("place") + F.coalesce("running", F.lit(0))).drop("place", "running")
+    return placed.join(running, "workspace_id", "left").withColumn("workspace_rank", F.col("place") + F.coalesce("running", F.lit(0))).drop("place", "running")
 
 
 def issue_order(issues: DataFrame) -> DataFrame:
@@ -257,8 +263,8 @@ def client_invoice(invoices: DataFrame) -> DataFrame:
 
 
 def newest_first(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
-    """Rows with their position from the newest on, within each key."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))))
+    """Rows with their position from the newest on, within each key, of which one may hold most rows."""
+    return ranked(rows, keys, [F.desc(at), F.desc(tie)], "position")
 
 
 def global_rank(jobs: DataFrame, most: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions.risk import backoff_seconds
-from docledger.operators.ledger import latest, workspace_rank
+from docledger.operators.ledger import behind_running, latest
 
 #: The stages in order, and the seconds that each is allowed.
 STAGES = {"parse": 140, "extract": 200, "ground": 5, "validate": 5, "reconcile": 200, "finalise": 5}
@@ -20,19 +20,26 @@ def later(now: Column, seconds: Column) -> Column:
 def claimable(jobs: DataFrame, now: Column, limit: int, per_workspace: int, overall: int) -> DataFrame:
     """Ids of the jobs a runner may claim: due, oldest first, within the caps on running jobs.
 
-    A job that its workspace's cap blocks still takes a place in the overall order. Only the first `overall` places
-    matter for that order, so they are found by a limit and not by a window over all jobs.
+    A job that its workspace's cap blocks still takes a place in the overall order, so only the first `overall` jobs can be
+    claimed. They are found by a limit; all jobs of their workspaces that come before them are among them, too, so that their
+    places in both orders follow from these rows alone.
     """
-    due = jobs.filter((F.col("status") != "queued") | (F.col("run_after") <= now))
-    ranked = workspace_rank(due)
-    running = jobs.filter("status = 'running'").agg(F.count("*").alias("running"))
-    first = ranked.orderBy("created_at", "id").limit(overall)
-    placed = first.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id"))).join(F.broadcast(running))  # at most `overall` rows, and one
-    return placed.filter((F.col("workspace_rank") <= per_workspace) & (F.col("place") + F.col("running") <= overall)).orderBy("created_at", "id").limit(limit).select("id")
+    due = jobs.filter((F.col("status") == "queued") & (F.col("run_after") <= now))
+    running = jobs.filter("status = 'running'").agg(F.count("*").alias("all_running"))
+    first = due.orderBy("created_at", "id").limit(overall).select("id", "workspace_id", "created_at")
+    order = Window.orderBy("created_at", "id")  # at most `overall` rows, as in the next
+    placed = first.withColumns({"overall_place": F.row_number().over(order), "place": F.row_number().over(Window.partitionBy("workspace_id").orderBy("created_at", "id"))})
+    ranked = behind_running(placed, jobs).join(F.broadcast(running))  # one row
+    return ranked.filter((F.col("workspace_rank") <= per_workspace) & (F.col("overall_place") + F.col("all_running") <= overall)).orderBy("created_at", "id").limit(limit).select("id")
 
 
 def claim(jobs: DataFrame, runner: str, now: Column, limit: int, per_workspace: int, overall: int) -> DataFrame:
-    won = claimable(jobs, now, limit, per_workspace, overall).withColumn("won", F.lit(True))
+    return taken(jobs, claimable(jobs, now, limit, per_workspace, overall), runner, now)
+
+
+def taken(jobs: DataFrame, won: DataFrame, runner: str, now: Column) -> DataFrame:
+    """Jobs of which those that were claimed (won: id) run."""
+    won = won.select("id", F.lit(True).alias("won"))
     mine = F.coalesce(F.col("won"), F.lit(False))
     return jobs.join(F.broadcast(won), "id", "left").withColumns(  # at most `limit` rows
         {"status": F.when(mine, "running").otherwise(F.col("status")), "attempts": F.col("attempts") + mine.cast("int"), "locked_at": F.when(mine, now).otherwise(F.col("locked_at")), "locked_by": F.when(mine, F.lit(runner)).otherwise(F.col("locked_by"))}
@@ -61,20 +68,35 @@ def sweep_runs(runs: DataFrame, jobs: DataFrame, now: Column, stale_seconds: int
 
 def fail(jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     """Applies failures (id, error, fatal): dead if fatal or out of attempts, else queued with backoff."""
+    return failing(jobs.join(failures.select("id", "error", "fatal"), "id", "left"), now).drop("error", "fatal")
+
+
+def failing(jobs: DataFrame, now: Column) -> DataFrame:
+    """The same for jobs that carry their error, null if they did not fail."""
     bad = F.col("error").isNotNull()
     dead = bad & (F.col("fatal") | (F.col("attempts") >= F.col("max_attempts")))
-    return (
-        jobs.join(failures.select("id", "error", "fatal"), "id", "left")
-        .withColumns(
-            {
-                "status": F.when(dead, "dead").when(bad, "queued").otherwise(F.col("status")), "run_after": F.when(bad & ~dead, later(now, backoff_seconds(F.col("attempts")))).otherwise(F.col("run_after")),
-                "last_error": F.when(bad, F.substring("error", 1, 2000)).otherwise(F.col("last_error")), "locked_at": F.when(~bad, F.col("locked_at")), "locked_by": F.when(~bad, F.col("locked_by")),
-            }
-        )
-        .drop("error", "fatal")
+    return jobs.withColumns(
+        {
+            "status": F.when(dead, "dead").when(bad, "queued").otherwise(F.col("status")), "run_after": F.when(bad & ~dead, later(now, backoff_seconds(F.col("attempts")))).otherwise(F.col("run_after")),
+            "last_error": F.when(bad, F.substring("error", 1, 2000)).otherwise(F.col("last_error")), "locked_at": F.when(~bad, F.col("locked_at")), "locked_by": F.when(~bad, F.col("locked_by")),
+        }
     )
 
 
+def settle(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Applies what came of running jobs: outcomes (id, attempts, kind, error, fatal, until), kind succeeded, failed, or deferred.
+
+    An outcome counts only for the attempt that it belongs to: one that comes after the job's lock went stale, or a second
+    time, changes nothing. Jobs without an outcome go on running until their lock is stale.
+    """
+    came = outcomes.select("id", F.col("attempts").alias("attempt"), "kind", "error", "fatal", "until")
+    own = (F.col("status") == "running") & (F.col("attempt") == F.col("attempts"))
+    rows = jobs.join(came, "id", "left").withColumn("kind", F.when(own, F.col("kind")))
+    is_ = lambda kind: F.coalesce(F.col("kind") == kind, F.lit(False))
+    rows = failing(rows.withColumns({"error": F.when(is_("failed"), F.coalesce("error", F.lit(""))), "fatal": F.coalesce("fatal", F.lit(False))}), now)
+    return defer(finish(rows, is_("succeeded")), is_("deferred"), F.col("until")).select(*jobs.columns)
+
+
 def defer(jobs: DataFrame, which: Column, until: Column) -> DataFrame:
     """Puts jobs off without charging the attempt."""
     return jobs.withColumns({"attempts": F.when(which, F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts")), "run_after": F.when(which, until).otherwise(F.col("run_after")), "status": F.when(which, "queued").otherwise(F.col("status")), "locked_at": F.when(~which, F.col("locked_at")), "locked_by": F.when(~which, F.col("locked_by"))})
