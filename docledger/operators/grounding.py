@@ -63,25 +63,22 @@ def candidates(values: DataFrame) -> DataFrame:
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
 
+    def made(t: Column, norm: Column, key: Column, money_: Column, digit: Column) -> Column:
+        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), norm.isin(*dates.MONTHS).alias("month"))
+
     def token(t: Column) -> Column:
         word = t["text"]
-        norm = F.when(word.rlike(f"[{text.SPACES}]"), text.normalize_words(word)).otherwise(text.normalize_text(word))
-        known = bound_fields(norm=norm, key=text.fuzzy_key(word))
-        return text.bound(
-            known,
-            lambda k: F.struct(
-                *(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), k["norm"].alias("norm"), k["key"].alias("key"),
-                word.rlike(MONEY_TOKEN).alias("money"), word.rlike(r"\d").alias("digit"), k["norm"].isin(*dates.MONTHS).alias("month"),
-            ),
-        )
+        lower = F.lower(word)
+        norm = F.when(word.rlike(f"[{text.SPACES}]"), text.normalize_words(word)).when(word.rlike(r"\d"), text.normalize_text(word)).otherwise(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")))
+        named = lambda n: F.struct(n.alias("norm"))
+        other = text.bound(named(norm), lambda k: made(t, k["norm"], text.fuzzy_key(word), word.rlike(MONEY_TOKEN), word.rlike(r"\d")))
+        # most words are plain letters
+        plain = text.bound(lower, lambda low: made(t, low, F.when(low.isin(*text.CODES), "").otherwise(low), low.isin(*text.CODES), F.lit(False)))
+        return F.when(word.rlike("^[A-Za-z]+$"), plain).otherwise(other)
 
     return pages.select("document_id", "page_no", F.transform("tokens", token).alias("tokens"))
 
 
-def bound_fields(**fields: Column) -> Column:
-    return F.struct(*(value.alias(name) for name, value in fields.items()))
-
-
 def first_word(column: Column) -> Column:
     return F.split(column, " ")[0]
 
@@ -94,29 +91,34 @@ def sign(kind: str, value: Column, when: Column | None = None) -> Column:
 def beginnings(raw: Column, norm: Column, key: Column, digit: Column, month: Column) -> Column:
     """What a token begins with, or a candidate has to: R the word as printed, N its normal form, K the key's first character, F a digit, M a month."""
     none = F.lit("")
-    own = F.array(sign("R", raw), sign("N", norm, norm != ""), sign("K", F.substring(key, 1, 1), key != ""), sign("F", none, digit), sign("M", none, month))
-    return F.filter(own, lambda x: x.isNotNull())
+    return F.array(sign("R", raw), sign("N", norm, norm != ""), sign("K", F.substring(key, 1, 1), key != ""), sign("F", none, digit), sign("M", none, month))
+
+
+def with_sign(rows: DataFrame, signs: Column, *columns: str) -> DataFrame:
+    """Rows, or some columns of them, once for each sign that is not null."""
+    return rows.select(*(columns or ["*"]), F.explode(signs).alias("sign")).filter("sign is not null")
 
 
 def starts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Places at which a candidate of the document may begin: (document_id, page_no, starts: array of n, most, amounts, days, raw, norm).
+    """Places at which a candidate of the document may begin: (document_id, page_no, starts: array of n, most, amounts, days, shortest, longest, raw, norm).
 
     `most` is how many tokens a window from there may have (the words of the longest candidate that begins so, and two, at
-    most 12); amounts, days, raw and norm tell whether a candidate admitted there is an amount, a day, or was admitted by its first word.
+    most 12); amounts, days, raw and norm tell whether a candidate admitted there is an amount, a day, or was admitted by its first word;
+    shortest and longest how long their keys are, null if too short for near matches.
     """
     amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
     begins = beginnings(first_word(F.col("raw")), first_word(F.col("norm")), F.when(keyed, F.col("key")).otherwise(""), amount | day, day)
     sought = (
-        wanted.select("document_id", F.explode(begins).alias("sign"), F.least(F.lit(MOST_TOKENS), F.col("words") + 2).alias("most"), amount.alias("amounts"), day.alias("days"))
+        with_sign(wanted, begins).select("document_id", "sign", F.least(F.lit(MOST_TOKENS), F.col("words") + 2).alias("most"), amount.alias("amounts"), day.alias("days"), F.when(keyed, F.length("key")).alias("length"))
         .groupBy("document_id", "sign")
-        .agg(F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"))
+        .agg(F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
     )
-    index = lambda t, n: F.struct(n.alias("n"), beginnings(t["text"], first_word(t["norm"]), t["key"], t["digit"], t["month"]).alias("signs"))
-    tokens = pages.select("document_id", "page_no", F.explode(F.transform("tokens", index)).alias("t")).select("document_id", "page_no", "t.n", F.explode("t.signs").alias("sign"))
+    each = pages.select("document_id", "page_no", F.posexplode("tokens").alias("n", "t"))
+    tokens = with_sign(each, beginnings(F.col("t.text"), first_word(F.col("t.norm")), F.col("t.key"), F.col("t.digit"), F.col("t.month")), "document_id", "page_no", "n")
     met = tokens.join(sought, ["document_id", "sign"]).repartition("document_id", "page_no")
     kind = F.substring("sign", 1, 1)
-    flags = [F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.bool_or(kind == "R").alias("raw"), F.bool_or(kind == "N").alias("norm")]
-    return met.groupBy("document_id", "page_no", "n").agg(*flags).groupBy("document_id", "page_no").agg(F.collect_list(F.struct("n", "most", "amounts", "days", "raw", "norm")).alias("starts"))
+    flags = [F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), F.bool_or(kind == "R").alias("raw"), F.bool_or(kind == "N").alias("norm")]
+    return met.groupBy("document_id", "page_no", "n").agg(*flags).groupBy("document_id", "page_no").agg(F.collect_list(F.struct("n", "most", "amounts", "days", "shortest", "longest", "raw", "norm")).alias("starts"))
 
 
 def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     shaped = F.col("s.amounts") & (F.col("size") <= 3) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
     dated = F.col("s.days") & (F.col("size") <= 4)
     return spelled.select(
-        "document_id", "page_no", F.col("s.n").alias("start"), "size", F.col("s.raw").alias("by_raw"), F.col("s.norm").alias("by_norm"), "w_raw", "w_norm", "w_key",
+        "document_id", "page_no", F.col("s.n").alias("start"), "size", F.col("s.raw").alias("by_raw"), F.col("s.norm").alias("by_norm"), F.col("s.shortest").alias("shortest"), F.col("s.longest").alias("longest"), "w_raw", "w_norm", "w_key",
         F.col("first.text").alias("first_text"), F.col("first.norm").alias("first_norm"), F.col("first.key").alias("first_key"), F.col("first.digit").alias("digit"), F.col("first.month").alias("month"),
         F.col("first.line").alias("line"), F.col("first.x").alias("x"), box_of(F.col("own")).alias("box"),
         F.when(shaped, money.parse_money(F.col("w_raw"))).alias("w_amount"), F.when(dated, dates.parse_date(F.col("w_raw"))).alias("w_day"),
@@ -167,13 +169,15 @@ def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
     amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
     n, m = F.length("key"), F.length("w_key")
     sized = lambda signs, length: F.transform(signs, lambda x: F.concat(x, F.lit(" "), length.cast("string")))
+    # keys of lengths that no candidate admitted there comes near need no signs
+    may = F.coalesce((m >= F.ceil(F.col("shortest") * LEAST_SIMILAR - 1e-9)) & (m <= F.floor(F.col("longest") / LEAST_SIMILAR + 1e-9)), F.lit(False))
     of_window = F.concat(
         F.array(
             sign("r", F.col("w_raw"), F.col("by_raw")), sign("n", F.col("w_norm"), (F.col("w_norm") != "") & (F.col("by_norm") | (F.col("first_norm") == ""))),
-            sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string")), sign("k", F.col("w_key"), (m >= 3) & (m < ONE_EDIT)),
+            sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string")), sign("k", F.col("w_key"), may & (m < ONE_EDIT)),
         ),
-        F.when((m >= ONE_EDIT - 1) & (m < MORE_EDITS), F.array(*halves(F.col("w_key"), m))).otherwise(empty),
-        F.when(m >= MORE_EDITS * LEAST_SIMILAR, sized(beginnings(F.col("first_text"), first_word(F.col("first_norm")), F.col("first_key"), F.col("digit"), F.col("month")), m)).otherwise(empty),
+        F.when(may & (m >= ONE_EDIT - 1) & (m < MORE_EDITS), F.array(*halves(F.col("w_key"), m))).otherwise(empty),
+        F.when(may & (m >= MORE_EDITS * LEAST_SIMILAR), sized(beginnings(F.col("first_text"), first_word(F.col("first_norm")), F.col("first_key"), F.col("digit"), F.col("month")), m)).otherwise(empty),
     )
     like = F.sequence(F.ceil(n * LEAST_SIMILAR - 1e-9).cast("int"), F.floor(n / LEAST_SIMILAR + 1e-9).cast("int"))
     one = F.filter(F.array(n - 1, n, n + 1), lambda x: (F.greatest(x, n) >= ONE_EDIT) & (F.greatest(x, n) < MORE_EDITS))
@@ -184,8 +188,7 @@ def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(keyed, F.flatten(F.transform(one, lambda x: F.array(*halves(F.col("key"), x))))).otherwise(empty),
         F.when(keyed, F.flatten(F.transform(more, lambda x: sized(begins_wanted, x)))).otherwise(empty),
     )
-    signs = lambda rows, own: rows.withColumn("sign", F.explode(F.filter(own, lambda x: x.isNotNull())))
-    met = signs(found, of_window).join(signs(wanted, of_wanted), ["document_id", "sign"]).filter(F.col("size") <= F.col("words") + 2)
+    met = with_sign(found, of_window).drop("shortest", "longest").join(with_sign(wanted, of_wanted), ["document_id", "sign"]).filter(F.col("size") <= F.col("words") + 2)
     begins = {
         "R": F.col("first_text") == first_word(F.col("raw")),
         "N": (F.col("first_norm") != "") & (F.col("norm") != "") & (first_word(F.col("first_norm")) == first_word(F.col("norm"))),
