@@ -10,6 +10,7 @@ from docledger.operators import draft, ledger, queue, rules
 from docledger.plans.derived import CTES, Ledger
 from docledger.plans.rule_queries import ORACLE_SQL as RULE_SQL
 from docledger.plans.rule_queries import amount
+from docledger.streaming import drain
 
 NOW = "timestamp '2001-01-01 00:00:00'"
 
@@ -69,10 +70,30 @@ def merged(x: Ledger) -> DataFrame:
     return ledger.merged_workspace(own, 2, 1).select("document_id", "workspace_id")
 
 
+def stage_runs(x: Ledger) -> DataFrame:
+    """All runs; each document fails at one stage or two, so that documents stop at different ones."""
+    return x.runs.withColumn("status", F.when((F.col("document_id") + F.col("id") % 6) % 4 == 0, "failed").otherwise(F.col("status")))
+
+
 def claimed(x: Ledger) -> DataFrame:
     return queue.claim(x.jobs, "runner-1", now(), 40, 60, 500).select("id", "status", "attempts", "locked_by")
 
 
+def outcomes(jobs: DataFrame) -> DataFrame:
+    """What comes of claimed jobs, by their ids: some fail, some for good, some are put off, some say nothing; the others succeed."""
+    n = F.col("id")
+    kind = F.when(n % 7 == 0, "failed").when(n % 11 == 0, "deferred").otherwise("succeeded")
+    return jobs.filter(n % 13 != 0).select("id", "attempts", kind.alias("kind"), F.when(n % 7 == 0, "boom").alias("error"), (n % 21 == 0).alias("fatal"), F.timestamp_add("HOUR", F.lit(1), now()).alias("until"))
+
+
+DRAIN = drain.Limits(claim=120, per_workspace=30, overall=400, claims=4)
+
+
+def drained(x: Ledger) -> DataFrame:
+    jobs, _, _ = drain.drain_jobs(x.jobs, outcomes, now(), "runner-1", DRAIN)
+    return jobs.select("id", "status", "attempts", F.unix_seconds("run_after").alias("run_after"), "last_error", "locked_by")
+
+
 def failed(x: Ledger) -> DataFrame:
     bad = x.jobs.filter("id % 9 = 0").select("id", F.lit("boom").alias("error"), (F.col("id") % 2 == 0).alias("fatal"))
     return queue.fail(x.jobs, bad, now()).select("id", "status", "attempts", F.unix_seconds("run_after").alias("run_after"), "last_error")
@@ -127,17 +148,34 @@ QUERIES = {
     "f30_field_risk": over(lambda x: risky(x).select("document_id", "field_path", F.round("risk", 9).alias("risk"), "band", "score")),
     "a12_finalise_stats": over(lambda x: ledger.finalise_stats(risky(x), issues(x))),
     "q01_claim": over(claimed),
+    "q07_drain": over(drained),
     "q02_sweep": over(lambda x: queue.sweep(x.jobs, now(), 360).select("id", "status", F.unix_seconds("run_after").alias("run_after"), "last_error", "locked_by")),
     "q03_sweep_runs": over(lambda x: queue.sweep_runs(x.runs, x.jobs.filter("id % 2 = 0"), F.expr("timestamp '2024-01-20 00:00:00'"), 360).select("id", "status", "error")),
     "q04_fail": over(failed),
     "q05_defer": over(lambda x: queue.defer(x.jobs, F.col("id") % 5 == 0, now()).select("id", "status", "attempts")),
-    "q06_next_stage": over(lambda x: queue.next_stages(x.runs.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 13 == 0, "rejected").otherwise("queued")), x.runs.filter("id % 23 = document_id % 23"))),
+    "q06_next_stage": over(lambda x: queue.next_stages(x.runs.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 13 == 0, "rejected").otherwise("queued")), stage_runs(x))),
     "q08_reusable": over(lambda x: queue.reusable(x.extractions, x.runs)),
     "q09_adopt": over(extraction_choice),
     "q12_retry": over(lambda x: queue.retry(x.jobs, x.runs, x.jobs.filter("id % 6 = 0"), now())[0].select("id", "status", "attempts")),
 }
 
 TIMED = f"epoch({NOW})"
+def drain_sql() -> str:
+    """The states of the jobs after the sweep and each claim, one after the other."""
+    states = [f"""s0 as (select id, workspace_id, case when stale and attempts >= 3 then 'dead' when stale then 'queued' else status end as status, attempts, created_at,
+  cast(case when stale then {TIMED} + [30, 30, 60, 120][attempts + 1] else epoch(run_after) end as bigint) as run_after, case when stale then coalesce(last_error, 'stale lock recovered') else last_error end as last_error,
+  case when status = 'running' and not stale then 'runner' end as locked_by from (select *, status = 'running' and created_at < {NOW} - interval 360 second as stale from jobs))"""]
+    for i in range(DRAIN.claims):
+        states.append(f"""r{i} as (select id, created_at, (select count(*) from s{i} r where r.status = 'running' and r.workspace_id = j.workspace_id) + row_number() over (partition by workspace_id order by created_at, id) as wr,
+   (select count(*) from s{i} where status = 'running') + row_number() over (order by created_at, id) as gr from s{i} j where status = 'queued' and run_after <= {TIMED}),
+w{i} as (select id from r{i} where wr <= {DRAIN.per_workspace} and gr <= {DRAIN.overall} order by created_at, id limit {DRAIN.claim}),
+s{i + 1} as (select id, workspace_id, case when not won then status when id % 13 = 0 then 'running' when id % 7 = 0 then case when id % 21 = 0 or attempts + 1 >= 3 then 'dead' else 'queued' end when id % 11 = 0 then 'queued' else 'succeeded' end as status,
+  case when not won or (id % 11 = 0 and id % 7 <> 0 and id % 13 <> 0) then attempts else attempts + 1 end as attempts, created_at,
+  case when not won or id % 13 = 0 then run_after when id % 7 = 0 then case when id % 21 = 0 or attempts + 1 >= 3 then run_after else {TIMED} + [30, 30, 60, 120][attempts + 2] end when id % 11 = 0 then {TIMED} + 3600 else run_after end as run_after,
+  case when won and id % 13 <> 0 and id % 7 = 0 then 'boom' else last_error end as last_error, case when not won then locked_by when id % 13 = 0 then 'runner-1' end as locked_by from (select *, id in (from w{i}) as won from s{i}))""")
+    return CTES + ", " + ",\n".join(states) + f" select id, status, attempts, cast(run_after as bigint) as run_after, last_error, locked_by from s{DRAIN.claims}"
+
+
 ORACLE_SQL = {
     "s01_ingest_outcome": """
 with f as (select doc_id as file_id, source as ws, case when doc_id % 17 = 0 then '' else case when doc_id % 5 <> 0 then '%PDF-' else 'text:' end || text end as c from documents),
@@ -199,11 +237,12 @@ select document_id, count(*) as pages, count(*) filter (where src = 'pdf') as te
    (select count(*) from jobs where status = 'running') + row_number() over (order by created_at, id) as gr from jobs j where status = 'queued' and run_after <= {NOW}),
 won as (select id from ranked where wr <= 60 and gr <= 500 order by created_at, id limit 40)
 select id, case when id in (from won) then 'running' else status end as status, attempts + case when id in (from won) then 1 else 0 end as attempts, case when id in (from won) then 'runner-1' when status = 'running' then 'runner' end as locked_by from jobs""",
+    "q07_drain": drain_sql(),
     "q02_sweep": CTES + f", s as (select *, status = 'running' and created_at < {NOW} - interval 360 second as stale from jobs) select id, case when stale and attempts >= 3 then 'dead' when stale then 'queued' else status end as status, cast(case when stale then {TIMED} + [30, 30, 60, 120][attempts + 1] else epoch(run_after) end as bigint) as run_after, case when stale then coalesce(last_error, 'stale lock recovered') else last_error end as last_error, case when status = 'running' and not stale then 'runner' end as locked_by from s",
     "q03_sweep_runs": CTES + ", s as (select r.*, r.status = 'running' and started_at < timestamp '2024-01-20 00:00:00' - interval 360 second and (job_id is null or exists (select 1 from jobs j where j.id = r.job_id and j.id % 2 = 0 and j.status in ('dead', 'succeeded'))) as old from runs r) select id, case when old then 'failed' else status end as status, case when old then 'stale' end as error from s",
     "q04_fail": CTES + f", s as (select *, id % 9 = 0 as bad, id % 9 = 0 and (id % 2 = 0 or attempts >= 3) as dead from jobs) select id, case when dead then 'dead' when bad then 'queued' else status end as status, attempts, cast(case when bad and not dead then {TIMED} + [30, 30, 60, 120][attempts + 1] else epoch(run_after) end as bigint) as run_after, case when bad then 'boom' else last_error end as last_error from s",
     "q05_defer": CTES + "select id, case when id % 5 = 0 then 'queued' else status end as status, case when id % 5 = 0 then greatest(0, attempts - 1) else attempts end as attempts from jobs",
-    "q06_next_stage": CTES + ", g as (select unnest(range(6)) as k, unnest(['parse', 'extract', 'ground', 'validate', 'reconcile', 'finalise']) as stage, unnest([140, 200, 5, 5, 200, 5]) as seconds), d as (select distinct document_id from runs where document_id % 13 <> 0) select document_id, arg_min(stage, k) as stage, arg_min(seconds, k) as seconds from d, g where not exists (select 1 from runs r where r.document_id = d.document_id and r.stage = g.stage and r.status = 'succeeded' and r.id % 23 = r.document_id % 23) group by 1",
+    "q06_next_stage": CTES + ", g as (select unnest(range(6)) as k, unnest(['parse', 'extract', 'ground', 'validate', 'reconcile', 'finalise']) as stage, unnest([140, 200, 5, 5, 200, 5]) as seconds), d as (select distinct document_id from runs where document_id % 13 <> 0) select document_id, arg_min(stage, k) as stage, arg_min(seconds, k) as seconds from d, g where not exists (select 1 from runs r where r.document_id = d.document_id and r.stage = g.stage and r.status = 'succeeded' and (r.document_id + r.id % 6) % 4 <> 0) group by 1",
     "q08_reusable": CTES + ", e as (select distinct on (document_id) document_id, id, created_at from extractions where kind = 'initial' order by document_id, created_at desc, id desc), r as (select document_id, max(started_at) as begun from runs where stage = 'extract' and status = 'running' group by 1) select e.document_id, id as extraction_id from e join r using (document_id) where created_at > begun",
     "q09_adopt": CTES + ", e as (select distinct on (document_id, kind) document_id, kind, blocking from extractions order by document_id, kind, created_at desc, id desc) select a.document_id, a.blocking as before, b.blocking as after, a.document_id % 11 <> 0 and b.blocking < a.blocking as adopted from e a join e b on a.document_id = b.document_id and a.kind = 'initial' and b.kind = 'reconcile'",
     "q12_retry": CTES + "select id, case when id % 6 = 0 then 'queued' else status end as status, case when id % 6 = 0 then 0 else attempts end as attempts from jobs",

@@ -1,16 +1,20 @@
 """Queries against their SQL on the smallest tables, state machines of the queue, sources, sinks and streams."""
 
 import json
+import random
+import time
 from datetime import date, datetime
 from decimal import Decimal
 
 import duckdb
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docledger.operators import draft, ledger, queue, rules
+from docledger.operators import draft, ledger, queue, ranks, rules
 from docledger.plans import catalogue
+from docledger.shared import checkpoint
 from docledger.sources import ingest, tables
 from docledger.streaming import drain
 
@@ -263,3 +267,94 @@ def test_report(spark):
     rows = spark.createDataFrame([(1, 10, 10, 3, 3, "", "", 20, 20, True), (2, 10, 9, 3, 3, "V003", "", 20, 18, False)], "document_id long, fields int, fields_ok int, lines int, lines_ok int, missed string, extra string, values int, found int, passed boolean")
     text = evaluate.report(rows)
     assert "| 2 | 9/10 | 3/3 | 18/20 | V003 | - | no |" in text and text.endswith("1 of 2 pass.")
+
+
+def arriving(spark, path, batches):
+    """Files of arriving jobs, one for each batch, in order."""
+    shape = "id long, document_id long, workspace_id long, at timestamp"
+    for n, ids in enumerate(batches):
+        rows = [(i, i, i % 3, datetime(2026, 1, 1, 12, 10 * n)) for i in ids]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.1)  # files are taken by their times
+    return drain.read_stream(spark, path, shape, files_per_batch=1)
+
+
+def came(jobs):
+    """Outcomes by id: 0 succeeds, 1 fails, 2 fails for good, 3 is put off, 4 says nothing; at the second attempt all succeed."""
+    kind = F.when(F.col("attempts") > 1, "succeeded").otherwise(F.element_at(F.array(*map(F.lit, ("succeeded", "failed", "failed", "deferred", "silent"))), (F.col("id") % 5 + 1).cast("int")))
+    return jobs.withColumn("kind", kind).filter("kind <> 'silent'").select("id", "attempts", "kind", F.lit("boom").alias("error"), (F.col("id") % 5 == 2).alias("fatal"), F.timestamp_add("MINUTE", F.lit(5), F.col("locked_at")).alias("until"))
+
+
+LIMITS = drain.Limits(claim=4, per_workspace=3, overall=7, stale_seconds=900)
+
+
+def test_drain_queue(spark, tmp_path):
+    """A stream that stops in the middle, and is started again, ends in the table that sweeps, claims and outcomes give one by one."""
+    batches = [range(20), [*range(20, 25), 3, 4], [], range(40, 45), [50], [51]]
+    stream = arriving(spark, f"{tmp_path}/in", [b for b in batches if b])
+    calls = []
+
+    def breaking(jobs):
+        calls.append(1)
+        if len(calls) == 9:
+            raise RuntimeError("lost")
+        return came(jobs)
+
+    query = drain.drain_queue(stream, breaking, f"{tmp_path}/jobs", f"{tmp_path}/state", LIMITS)
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(240)
+    assert len(calls) == 9
+    drain.drain_queue(stream, came, f"{tmp_path}/jobs", f"{tmp_path}/state", LIMITS).awaitTermination(240)
+    jobs = spark.createDataFrame([], drain.JOBS)
+    for n, ids in enumerate(b for b in batches if b):
+        now = F.lit(datetime(2026, 1, 1, 12, 10 * n))
+        new = spark.createDataFrame([(i, i, i % 3) for i in ids], "id long, document_id long, workspace_id long").join(jobs.select("id"), "id", "left_anti")
+        jobs = checkpoint(queue.sweep(queue.enqueue(jobs, new, now).select(*jobs.columns), now, 900))
+        while True:
+            after = checkpoint(queue.claim(jobs, f"batch {n}", now, 4, 3, 7))
+            won = after.filter("status = 'running'").join(jobs.filter("status = 'running'").select("id"), "id", "left_anti")
+            if won.isEmpty():
+                break
+            jobs = checkpoint(queue.settle(after, came(won), now))
+    want = sorted(map(repr, jobs.collect()))
+    got = sorted(map(repr, spark.read.schema(drain.JOBS).parquet(f"{tmp_path}/jobs/batch=4").collect()))
+    assert got == want
+    ends = {r.id: (r.status, r.attempts) for r in jobs.collect()}
+    assert ends[0] == ("succeeded", 1) and ends[2] == ("dead", 1) and ends[1] == ("succeeded", 2) and ends[4] == ("succeeded", 2)
+
+
+def test_drain_caps(spark):
+    """Running jobs count towards the caps; silent ones stay running until their lock is stale; late outcomes change nothing."""
+    now = F.lit(datetime(2026, 1, 1, 12))
+    ids = spark.createDataFrame([(i, i, 0) for i in range(10)], "id long, document_id long, workspace_id long")
+    jobs = queue.enqueue(spark.createDataFrame([], drain.JOBS), ids, now).select(*[f.split()[0] for f in drain.JOBS.split(", ")])
+    silent = lambda rows: came(rows).filter("false")
+    held, claimed, swept = drain.drain_jobs(jobs, silent, now, limits=drain.Limits(claim=9, per_workspace=3, overall=5))
+    assert (claimed, swept) == (3, 0) and held.filter("status = 'running'").count() == 3
+    later = F.lit(datetime(2026, 1, 1, 13))
+    late = held.filter("status = 'running'").select("id", "attempts", F.lit("succeeded").alias("kind"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("fatal"), F.lit(None).cast("timestamp").alias("until"))
+    again, claimed, swept = drain.drain_jobs(held, silent, later, limits=drain.Limits(claim=9, per_workspace=3, overall=5))
+    assert swept == 3 and claimed == 3
+    assert queue.settle(again, late, later).filter("status = 'succeeded'").isEmpty()
+    parked = lambda rows: came(rows).withColumn("kind", F.lit("parked"))
+    rest, claimed, _ = drain.drain_jobs(jobs, parked, now, limits=drain.Limits(claim=2, per_workspace=3, overall=5))
+    assert claimed == 2 and rest.filter("status = 'queued' and attempts = 0").count() == 10
+    assert drain.drain_jobs(spark.createDataFrame([], drain.JOBS), came, now)[1:] == (0, 0)
+
+
+def test_ranks(spark):
+    """Places in groups, of which one has nine tenths of the rows, as a window gives them; no range holds over three times its share."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1] * 9 + [2, None]), rng.randrange(50), i) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "k long, at long, id long")
+    for order in ([F.col("at"), F.col("id")], [F.desc("at"), F.desc("id")]):
+        want = frame.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+        assert ranks.ranked(frame, ["k"], order, "place").exceptAll(want).isEmpty()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.ranked(frame, ["k"], order, "place").withColumn("part", F.spark_partition_id())
+        sizes = [n for (n,) in frame.repartitionByRange("k", "at", "id").groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) <= 3 * sum(sizes) / len(sizes) and got.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranks.ranked(frame.limit(0), ["k"], order, "place").count() == 0
