@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.functions import risk, text
-from docledger.operators import draft, ledger, queue, rules
+from docledger.functions import money, risk, text
+from docledger.operators import draft, ledger, queue, reconcile, rules
 from docledger.plans.derived import CTES, Ledger
 from docledger.plans.rule_queries import ORACLE_SQL as RULE_SQL
 from docledger.plans.rule_queries import amount
@@ -46,6 +48,30 @@ def with_status(x: Ledger) -> DataFrame:
 STATUS = "st as (select document_id, workspace_id, ['queued', 'processing', 'needs_review', 'failed', 'rejected'][document_id % 5 + 1] as status, case when document_id % 15 = 0 then 'budget_paused' end as failure_code from invoices)"
 
 
+def arithmetic_issues(x: Ledger, invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    found = [rules.missing_fields(invoices), rules.line_sum_differs(invoices, lines), rules.total_differs(invoices, lines), rules.not_located(invoices, lines, x.groundings)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def second_look(x: Ledger, asked: DataFrame) -> reconcile.Answer:
+    """A second reading of documents: most subtotals and totals come out right, some as before; a few documents turn out to be no invoices."""
+    n, cent = F.col("document_id"), lambda c: F.coalesce(F.col(c), F.lit(0).cast(money.MONEY))
+    sums = x.lines.groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("printed_sum"))
+    own = x.invoices.join(asked.select("document_id"), "document_id", "left_semi").join(sums, "document_id", "left")
+    own = own.withColumn("subtotal", F.when((n % 4 != 3) & F.col("printed_sum").isNotNull(), F.col("printed_sum")).otherwise(F.col("subtotal")))
+    right = (F.coalesce("subtotal", "printed_sum") + cent("tax") + cent("shipping") - F.abs(cent("discount"))).cast(money.MONEY)
+    own = own.withColumn("total", F.when((n % 5 != 2) & right.isNotNull(), right).otherwise(F.col("total"))).drop("printed_sum")
+    return reconcile.Answer(own, x.lines.join(asked.select("document_id"), "document_id", "left_semi"), own.select("document_id", F.when(n % 11 == 0, "other").otherwise("invoice").alias("doc_type")))
+
+
+def reconciled(x: Ledger) -> DataFrame:
+    """What came of second looks, and how many blocking issues and which total each document is left with."""
+    validate = lambda invoices, lines: arithmetic_issues(x, invoices, lines)
+    done = reconcile.reconcile(reconcile.Answer(x.invoices, x.lines), validate(x.invoices, x.lines), lambda asked: second_look(x, asked), validate)
+    left = reconcile.blocking(done.looks.select("document_id"), done.issues).withColumnRenamed("blocking", "left")
+    return done.looks.select("document_id", "before", "after", "adopted").join(left, "document_id").join(done.answer.invoices.select("document_id", F.col("total").cast("string").alias("total")), "document_id")
+
+
 def extraction_choice(x: Ledger) -> DataFrame:
     newest = lambda kind: ledger.latest(x.extractions.filter(F.col("kind") == kind).select("document_id", "id", "created_at", "blocking"), ["document_id"])
     second = newest("reconcile").withColumn("doc_type", F.when(F.col("document_id") % 11 == 0, "other").otherwise("invoice"))
@@ -156,10 +182,27 @@ QUERIES = {
     "q06_next_stage": over(lambda x: queue.next_stages(x.runs.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 13 == 0, "rejected").otherwise("queued")), stage_runs(x))),
     "q08_reusable": over(lambda x: queue.reusable(x.extractions, x.runs)),
     "q09_adopt": over(extraction_choice),
+    "q09_reconcile": over(reconciled),
     "q12_retry": over(lambda x: queue.retry(x.jobs, x.runs, x.jobs.filter("id % 6 = 0"), now())[0].select("id", "status", "attempts")),
 }
 
 TIMED = f"epoch({NOW})"
+def reconcile_sql() -> str:
+    """The same rules over the first and over the second reading."""
+    again = """sums2 as (select document_id, cast(sum(amount_c) as bigint) as printed_sum from lines group by 1),
+subtotals2 as (select i.*, printed_sum, case when i.document_id % 4 <> 3 and printed_sum is not null then printed_sum else subtotal_c end as sub2 from invoices1 i left join sums2 using (document_id)),
+totals2 as (select *, coalesce(sub2, printed_sum) + coalesce(tax_c, 0) + coalesce(shipping_c, 0) - abs(coalesce(discount_c, 0)) as right2 from subtotals2),
+invoices as (select * exclude (printed_sum, sub2, right2) replace (sub2 as subtotal_c, case when document_id % 5 <> 2 and right2 is not null then right2 else total_c end as total_c) from totals2),
+jobs as ("""
+    second = CTES.replace("\ninvoices as (", "\ninvoices1 as (").replace("jobs as (", again)
+    rows = lambda ctes: " union all ".join(f"select document_id, code, severity from ({RULE_SQL[k].replace(CTES, ctes)})" for k in ("r01_missing_fields", "r02_line_sum_differs", "r03_total_differs", "r10_not_located"))
+    counts = lambda name: f"(select document_id, count(*) filter (where severity = 'blocking') as n from {name} group by 1)"
+    return CTES + f""", one as ({rows(CTES)}), two as ({rows(second)}), read2 as ({second} select document_id, total_c as second_c from invoices),
+asked as (select distinct document_id from one where code in ('V002', 'V003') and severity = 'blocking'),
+seen as (select a.document_id, b.n as before, coalesce(c.n, 0) as after, a.document_id % 11 <> 0 and coalesce(c.n, 0) < b.n as adopted from asked a join {counts('one')} b using (document_id) left join {counts('two')} c using (document_id))
+select document_id, before, after, adopted, case when adopted then after else before end as left, case when adopted then {amount('second_c')} else {amount('total_c')} end as total from seen join invoices using (document_id) join read2 using (document_id)"""
+
+
 def drain_sql() -> str:
     """The states of the jobs after the sweep and each claim, one after the other."""
     states = [f"""s0 as (select id, workspace_id, case when stale and attempts >= 3 then 'dead' when stale then 'queued' else status end as status, attempts, created_at,
@@ -244,6 +287,7 @@ select id, case when id in (from won) then 'running' else status end as status,
     "q05_defer": CTES + "select id, case when id % 5 = 0 then 'queued' else status end as status, case when id % 5 = 0 then greatest(0, attempts - 1) else attempts end as attempts from jobs",
     "q06_next_stage": CTES + ", g as (select unnest(range(6)) as k, unnest(['parse', 'extract', 'ground', 'validate', 'reconcile', 'finalise']) as stage, unnest([140, 200, 5, 5, 200, 5]) as seconds), d as (select distinct document_id from runs where document_id % 13 <> 0) select document_id, arg_min(stage, k) as stage, arg_min(seconds, k) as seconds from d, g where not exists (select 1 from runs r where r.document_id = d.document_id and r.stage = g.stage and r.status = 'succeeded' and (r.document_id + r.id % 6) % 4 <> 0) group by 1",
     "q08_reusable": CTES + ", e as (select distinct on (document_id) document_id, id, created_at from extractions where kind = 'initial' order by document_id, created_at desc, id desc), r as (select document_id, max(started_at) as begun from runs where stage = 'extract' and status = 'running' group by 1) select e.document_id, id as extraction_id from e join r using (document_id) where created_at > begun",
+    "q09_reconcile": reconcile_sql(),
     "q09_adopt": CTES + ", e as (select distinct on (document_id, kind) document_id, kind, blocking from extractions order by document_id, kind, created_at desc, id desc) select a.document_id, a.blocking as before, b.blocking as after, a.document_id % 11 <> 0 and b.blocking < a.blocking as adopted from e a join e b on a.document_id = b.document_id and a.kind = 'initial' and b.kind = 'reconcile'",
     "q12_retry": CTES + "select id, case when id % 6 = 0 then 'queued' else status end as status, case when id % 6 = 0 then 0 else attempts end as attempts from jobs",
 }

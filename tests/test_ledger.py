@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docledger.operators import draft, ledger, queue, ranks, rules
+from docledger.operators import draft, ledger, queue, ranks, reconcile, rules
 from docledger.plans import catalogue
 from docledger.shared import checkpoint
 from docledger.sources import ingest, tables
@@ -358,3 +358,48 @@ def test_ranks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ranks.ranked(frame.limit(0), ["k"], order, "place").count() == 0
+
+
+def test_reconcile(spark):
+    """Second answers are adopted only with fewer blocking issues; skipped and unanswered documents keep their first; again changes nothing."""
+    header = lambda n, subtotal, total, number="A": (n, f"v{n}", f"{number}{n}", date(2026, 9, 1), date(2026, 9, 30), "USD", Decimal(subtotal), Decimal("0.00"), None, None, Decimal(total), 1, f"{n}.pdf", f"v{n}")
+    line = lambda n, amount: (n, 0, "x", Decimal("1"), Decimal(amount), Decimal(amount))
+    first = reconcile.Answer(
+        spark.createDataFrame([header(1, "10.00", "10.00"), *(header(n, "15.00", "11.00") for n in (2, 3, 4, 5, 6, 7, 8))], HEADER),
+        spark.createDataFrame([line(n, "10.00") for n in range(1, 9)], LINES),
+    )
+    answers = {2: ("10.00", "10.00", "invoice", "10.00"), 3: ("15.00", "11.00", "invoice", "10.00"), 4: ("10.00", "10.00", "other", "10.00"), 5: ("15.00", "15.00", "invoice", "10.00"), 6: ("10.00", "10.00", "invoice", "10.00"), 8: ("20.00", "20.00", "invoice", "20.00")}
+
+    def validate(invoices, lines):
+        return rules.line_sum_differs(invoices, lines).unionByName(rules.total_differs(invoices, lines)).unionByName(rules.duplicate_invoice(invoices))
+
+    asked = []
+
+    def look(focus):
+        rows = {r.document_id: r for r in focus.collect()}
+        asked.append(set(rows))
+        assert all("subtotal" in r.field_paths and "total" in r.field_paths and "but the total reads 11.00." in r.reason for r in rows.values() if len(rows) == 6)
+        own = {n: a for n, a in answers.items() if n in rows}
+        return reconcile.Answer(
+            spark.createDataFrame([header(n, a[0], a[1]) for n, a in own.items()], HEADER), spark.createDataFrame([line(n, a[3]) for n, a in own.items()], LINES), spark.createDataFrame([(n, a[2]) for n, a in own.items()], "document_id long, doc_type string")
+        )
+
+    issues = validate(first.invoices, first.lines)
+    before = spark.createDataFrame([(6,)], "document_id long")
+    done = reconcile.reconcile(first, issues, look, validate, looked=before)
+    looks = {r.document_id: (r.before, r.after, r.adopted, r.skipped) for r in done.looks.collect()}
+    assert asked == [{2, 3, 4, 5, 7, 8}]
+    assert looks == {2: (2, 0, True, None), 3: (2, 2, False, None), 4: (2, 0, False, None), 5: (2, 1, True, None), 6: (None, None, False, "already_reconciled"), 7: (None, None, False, "no_answer"), 8: (2, 0, True, None)}
+    assert {r.document_id: str(r.total) for r in done.answer.invoices.collect()} == {1: "10.00", 2: "10.00", 3: "11.00", 4: "11.00", 5: "15.00", 6: "11.00", 7: "11.00", 8: "20.00"}
+    assert {r.document_id: str(r.amount) for r in done.answer.lines.collect()}[8] == "20.00" and done.answer.lines.count() == 8
+    assert sorted((r.document_id, r.code) for r in done.issues.collect()) == [(3, "V002"), (3, "V003"), (4, "V002"), (4, "V003"), (5, "V002"), (6, "V002"), (6, "V003"), (7, "V002"), (7, "V003")]
+    again = reconcile.reconcile(done.answer, done.issues, look, validate, looked=done.looks)
+    assert again.looks.filter("adopted").isEmpty() and again.answer.invoices.exceptAll(done.answer.invoices).isEmpty()
+    paused = reconcile.reconcile(first, issues, look, validate, paused=F.col("document_id") == 2)
+    assert {r.document_id: r.skipped for r in paused.looks.collect()}[2] == "budget_paused"
+    answers[5] = ("10.00", "10.00", "invoice", "10.00")
+    asked.clear()
+    twice = reconcile.reconcile(done.answer, done.issues, look, validate, rounds=3)
+    assert {r.document_id for r in twice.looks.filter("adopted").collect()} == {5, 6} and len(asked) == 2
+    none = reconcile.reconcile(reconcile.Answer(first.invoices.limit(0), first.lines.limit(0)), issues.limit(0), lambda f: reconcile.Answer(first.invoices.limit(0), first.lines.limit(0)), validate)
+    assert none.looks.isEmpty() and none.issues.isEmpty()
