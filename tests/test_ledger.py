@@ -42,7 +42,7 @@ def test_sql(spark, name):
 
 
 def invoice(i, **own):
-    base = {"vendor_name": "Acme Inc.", "invoice_number": f"A-{i}", "issue_date": date(2026, 8, 3), "due_date": date(2026, 9, 2), "currency": "USD", "subtotal": None, "tax": None, "shipping": None, "discount": None, "total": None, "workspace_id": 1, "filename": f"{i}.pdf", "vendor_key": "acme"} | own
+    base = {"vendor_name": "Vela Inc.", "invoice_number": f"A-{i}", "issue_date": date(2026, 8, 3), "due_date": date(2026, 9, 2), "currency": "USD", "subtotal": None, "tax": None, "shipping": None, "discount": None, "total": None, "workspace_id": 1, "filename": f"{i}.pdf", "vendor_key": "vela"} | own
     money = {k: None if base[k] is None else Decimal(base[k]) for k in ("subtotal", "tax", "shipping", "discount", "total")}
     return (i, *((base | money)[c.split()[0]] for c in HEADER.split(", ")[1:]))
 
@@ -52,28 +52,29 @@ def found(issues):
 
 
 def test_line_sums(spark):
-    heads = [invoice(1, subtotal="745.00"), invoice(2, subtotal="754.00"), invoice(3, subtotal="754.03"), invoice(4, subtotal="754.05"), invoice(5, subtotal="754.06"), invoice(6, subtotal="10.00"), invoice(7)]
-    items = [(i, n, "x", None, None, Decimal(a)) for i in range(1, 6) for n, a in enumerate(("426.00" if i == 2 else "462.00", "292.00"))] + [(6, 0, "x", None, None, None)]
+    """Two lines of 517.00 and 164.00, and subtotals that differ by a swap, a swapped line, and little by little."""
+    heads = [invoice(1, subtotal="618.00"), invoice(2, subtotal="681.00"), invoice(3, subtotal="681.03"), invoice(4, subtotal="681.05"), invoice(5, subtotal="681.06"), invoice(6, subtotal="10.00"), invoice(7)]
+    items = [(i, n, "x", None, None, Decimal(a)) for i in range(1, 6) for n, a in enumerate(("571.00" if i == 2 else "517.00", "164.00"))] + [(6, 0, "x", None, None, None)]
     got = found(rules.line_sum_differs(spark.createDataFrame(heads, HEADER), spark.createDataFrame(items, LINES)))
-    assert got == {(1, "subtotal", "754.00"), (2, "lineItems.0.amount", "462.00"), (5, None, None)}
+    assert got == {(1, "subtotal", "681.00"), (2, "lineItems.0.amount", "517.00"), (5, None, None)}
 
 
 def test_totals(spark):
     heads = [
-        invoice(1, subtotal="754.00", tax="37.70", total="719.70"), invoice(2, subtotal="1630.00", total="1764.48"), invoice(3, subtotal="1000.00", discount="50.00", total="950.00"), invoice(4, subtotal="1000.00", discount="-50.00", total="950.00"),
-        invoice(5, subtotal="100.00", total="100.05"), invoice(6, subtotal="100.00", total="99.94"), invoice(7, total="5.00"), invoice(8, subtotal="754.00", tax="37.70", total="791.70"),
+        invoice(1, subtotal="638.00", tax="44.66", total="862.66"), invoice(2, subtotal="2200.00", total="2341.35"), invoice(3, subtotal="300.00", discount="45.00", total="255.00"), invoice(4, subtotal="300.00", discount="-45.00", total="255.00"),
+        invoice(5, subtotal="60.00", total="60.05"), invoice(6, subtotal="60.00", total="59.94"), invoice(7, total="5.00"), invoice(8, subtotal="638.00", tax="44.66", total="682.66"),
     ]
     issues = rules.total_differs(spark.createDataFrame(heads, HEADER), spark.createDataFrame([], LINES))
-    assert found(issues) == {(1, "total", "791.70"), (2, "tax", "134.48"), (6, None, None)}
+    assert found(issues) == {(1, "total", "682.66"), (2, "tax", "141.35"), (6, None, None)}
     first = issues.filter("document_id = 1").first()
-    assert first.field_paths == ["total", "subtotal", "tax"] and first.message == "The subtotal and tax add up to 791.70 but the total reads 719.70."
+    assert first.field_paths == ["total", "subtotal", "tax"] and first.message == "The subtotal and tax add up to 682.66 but the total reads 862.66."
 
 
 def test_products(spark):
-    items = [(1, 0, "m", Decimal("40000"), Decimal("0.0125"), Decimal("500.00")), (1, 1, "m", Decimal("12"), Decimal("38.5"), Decimal("426.00")), (1, 2, "m", Decimal("1"), Decimal("1.02"), Decimal("1.00")), (1, 3, "m", Decimal("1"), Decimal("1.03"), Decimal("1.00")), (1, 4, "m", None, Decimal("1"), Decimal("9"))]
+    items = [(1, 0, "m", Decimal("30000"), Decimal("0.0175"), Decimal("525.00")), (1, 1, "m", Decimal("14"), Decimal("27.5"), Decimal("358.00")), (1, 2, "m", Decimal("1"), Decimal("1.02"), Decimal("1.00")), (1, 3, "m", Decimal("1"), Decimal("1.03"), Decimal("1.00")), (1, 4, "m", None, Decimal("1"), Decimal("9"))]
     issues = rules.line_product_differs(spark.createDataFrame(items, LINES))
-    assert found(issues) == {(1, "lineItems.1.amount", "462.00"), (1, "lineItems.3.amount", "1.03")}
-    assert "Line 2: 12 times 38.5 is 462.00, not 426.00." in {r.message for r in issues.collect()}
+    assert found(issues) == {(1, "lineItems.1.amount", "385.00"), (1, "lineItems.3.amount", "1.03")}
+    assert "Line 2: 14 times 27.5 is 385.00, not 358.00." in {r.message for r in issues.collect()}
 
 
 def test_dates_and_symbols(spark):
