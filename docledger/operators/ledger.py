@@ -216,10 +216,9 @@ def first_files(files: DataFrame, most: int = 5) -> DataFrame:
 
 def missed_and_extra(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(document_id, code, kind): codes expected and not there, and there but not expected."""
-    codes = ["document_id", "code"]
-    missed = expected.select(*codes).subtract(actual.select(*codes))
-    extra = actual.select(*codes).subtract(expected.select(*codes))
-    return missed.withColumn("kind", F.lit("missed")).unionByName(extra.withColumn("kind", F.lit("extra")))
+    side = lambda rows, is_expected: rows.select("document_id", "code", F.lit(is_expected).alias("expected"))
+    seen = side(expected, True).unionByName(side(actual, False)).groupBy("document_id", "code").agg(F.bool_or("expected").alias("expected"), F.bool_and("expected").alias("missed"))
+    return seen.filter(F.col("missed") | ~F.col("expected")).select("document_id", "code", F.when(F.col("missed"), "missed").otherwise("extra").alias("kind"))
 
 
 def merged_workspace(documents: DataFrame, source: int, target: int) -> DataFrame:

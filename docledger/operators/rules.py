@@ -17,14 +17,47 @@ SEVERITIES = ("blocking", "warning", "info")
 LOW_CONFIDENCE = 0.6
 
 
-def issue(rows: DataFrame, code: str, severity: Column | str, paths: Column, message: Column, path: Column | None = None, value: Column | None = None, reason: Column | None = None, place: Column | None = None) -> DataFrame:
-    null = F.lit(None).cast("string")
-    return rows.select(
-        "document_id", F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), paths.alias("field_paths"), message.alias("message"),
-        (null if path is None else path).alias("suggest_path"), (null if value is None else value.cast("string")).alias("suggest_value"), (null if reason is None else reason).alias("suggest_reason"), (F.lit(0) if place is None else place).cast("int").alias("place"),
+ISSUE = "struct<code:string,severity:string,field_paths:array<string>,message:string,suggest_path:string,suggest_value:string,suggest_reason:string,place:int>"
+
+
+def issue(code: str, severity: Column | str, paths: Column, message: Column, path: Column | None = None, value: Column | None = None, reason: Column | None = None, place: Column | None = None) -> Column:
+    """One issue, as a struct."""
+    text_ = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    return F.struct(
+        F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), paths.cast("array<string>").alias("field_paths"), message.alias("message"),
+        text_(path).alias("suggest_path"), text_(value).alias("suggest_value"), text_(reason).alias("suggest_reason"), (F.lit(0) if place is None else place).cast("int").alias("place"),
     )
 
 
+def nothing() -> Column:
+    return F.array().cast(f"array<{ISSUE}>")
+
+
+def if_(wrong: Column, found: Column) -> Column:
+    """The issue where something is wrong, in an array that is empty elsewhere."""
+    return F.when(F.coalesce(wrong, F.lit(False)), F.array(found)).otherwise(nothing())
+
+
+def every(issues: Column) -> Column:
+    return F.coalesce(issues, nothing())
+
+
+def listed(rows: DataFrame, *issues: Column) -> DataFrame:
+    """One row for each issue of documents, of whatever rules are given, all evaluated in one pass over the rows."""
+    return rows.select("document_id", F.explode(F.concat(*issues) if len(issues) > 1 else issues[0]).alias("x")).select("document_id", "x.*")
+
+
+def gathered(invoices: DataFrame, lines: DataFrame, groundings: DataFrame | None = None) -> DataFrame:
+    """Invoices with all that the rules look at: their lines in order (items), the amounts among them with sum and number, and which fields are located."""
+    amount = F.col("amount")
+    own = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", "quantity", "unit_price", "amount"))).alias("items"), F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count(amount).alias("n_lines"))
+    own = own.withColumn("amounts", F.filter("items", lambda x: x["amount"].isNotNull()))
+    rows = invoices.join(own, "document_id", "left")
+    if groundings is not None:
+        rows = rows.join(groundings.groupBy("document_id").agg(F.collect_set("field_path").alias("located")), "document_id", "left")
+    return rows
+
+
 def say(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -38,70 +71,108 @@ def line_sums(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("amount").isNotNull()).groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("idx", "amount"))).alias("items"))
 
 
-def missing_fields(invoices: DataFrame) -> DataFrame:
+def missing_issues(columns_there: list[str]) -> Column:
     """V001: a required field is empty, or was printed but could not be read."""
     columns = {"vendorName": ("vendor_name", None, ""), "invoiceNumber": ("invoice_number", None, ""), "issueDate": ("issue_date", "printed_issue_date", "a date"), "currency": ("currency", None, ""), "total": ("total", "printed_total", "an amount")}
     found = []
     for n, (path, label) in enumerate(REQUIRED):
         own, printed, reads_as = columns[path]
-        shown = F.col(printed) if printed in invoices.columns else F.lit(None).cast("string")
+        shown = F.col(printed) if printed in columns_there else F.lit(None).cast("string")
         message = F.coalesce(say(f"{label} could not be read as {reads_as} (printed as ", shown, ")."), F.lit(f"{label} is missing or could not be read."))
-        found.append(F.when(F.col(own).isNull(), F.struct(F.lit(path).alias("path"), message.alias("message"), F.lit(n).alias("place"))))
-    rows = invoices.select("document_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
-    return issue(rows, "V001", "blocking", F.array("x.path"), F.col("x.message"), place=F.col("x.place"))
+        found.append(if_(F.col(own).isNull(), issue("V001", "blocking", F.array(F.lit(path)), message, place=F.lit(n))))
+    return F.concat(*found)
 
 
-def line_sum_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+def missing_fields(invoices: DataFrame) -> DataFrame:
+    return listed(invoices, missing_issues(invoices.columns))
+
+
+def line_sum_issues() -> Column:
     """V002: line amounts do not add up to the subtotal, by more than a cent a line and five cents at least."""
-    rows = invoices.filter(F.col("subtotal").isNotNull()).select("document_id", "subtotal").join(line_sums(lines), "document_id")
-    rows = rows.filter(F.abs(money.to_cents(F.col("line_sum")) - money.to_cents(F.col("subtotal"))) > F.greatest(F.lit(5), F.col("n_lines")))
-    whole = money.is_digit_swap(F.col("subtotal"), F.col("line_sum"))
-    need = lambda x: (F.col("subtotal") - (F.col("line_sum") - x["amount"])).cast(money.MONEY)
-    fits = F.filter("items", lambda x: (need(x) > 0) & money.is_digit_swap(x["amount"], need(x)))
-    rows = rows.withColumns({"whole": whole, "line": F.when(~whole, F.try_element_at(fits, F.lit(1)))})
-    path = F.when(F.col("whole"), F.lit("subtotal")).otherwise(line_path(F.col("line.idx")))
-    value = F.when(F.col("whole"), F.col("line_sum")).otherwise((F.col("subtotal") - (F.col("line_sum") - F.col("line.amount"))).cast(money.MONEY))
-    reason = F.when(F.col("whole"), F.lit("Two adjacent digits in the subtotal look swapped.")).otherwise(say("Two adjacent digits in line ", F.col("line.idx") + 1, " look swapped."))
-    paths = F.concat(F.array(F.lit("subtotal")), F.transform("items", lambda x: line_path(x["idx"])))
-    return issue(rows, "V002", "blocking", paths, say("The line items add up to ", F.col("line_sum"), " but the subtotal reads ", F.col("subtotal"), "."), path, value, reason)
+    subtotal, total = F.col("subtotal"), F.col("line_sum")
+    off = F.abs(money.to_cents(total) - money.to_cents(subtotal)) > F.greatest(F.lit(5), F.col("n_lines"))
+    need = lambda x: (subtotal - (total - x["amount"])).cast(money.MONEY)
+    fits = F.filter("amounts", lambda x: (need(x) > 0) & money.is_digit_swap(x["amount"], need(x)))
+    whole = money.is_digit_swap(subtotal, total)
+    paths = F.concat(F.array(F.lit("subtotal")), F.transform("amounts", lambda x: line_path(x["idx"])))
 
+    def made(x: Column) -> Column:
+        line = x["line"]
+        path = F.when(x["whole"], F.lit("subtotal")).otherwise(line_path(line["idx"]))
+        value = F.when(x["whole"], total).otherwise(need(line))
+        reason = F.when(x["whole"], F.lit("Two adjacent digits in the subtotal look swapped.")).otherwise(say("Two adjacent digits in line ", line["idx"] + 1, " look swapped."))
+        return issue("V002", "blocking", paths, say("The line items add up to ", total, " but the subtotal reads ", subtotal, "."), path, value, reason)
 
-def total_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    known = text.bound(whole, lambda w: F.struct(w.alias("whole"), F.when(~w, F.try_element_at(fits, F.lit(1))).alias("line")))
+    return if_(off, text.bound(known, made))
+
+
+def line_sum_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    return listed(gathered(invoices, lines), line_sum_issues())
+
+
+def total_issues() -> Column:
     """V003: subtotal (or lines), tax and shipping less the discount are not the total, by more than five cents."""
-    rows = invoices.filter(F.col("total").isNotNull()).select("document_id", *MONEY_FIELDS).join(line_sums(lines), "document_id", "left").withColumn("base", F.coalesce("subtotal", "line_sum")).filter("base is not null")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(money.MONEY))
-    rows = rows.withColumn("expected", (F.col("base") + zero("tax") + zero("shipping") - F.abs(zero("discount"))).cast(money.MONEY)).filter(F.abs(F.col("expected") - F.col("total")) > 0.05)
-    kept = lambda c, name=None: F.when(F.col(c).isNotNull(), F.array(F.lit(name or c))).otherwise(F.array().cast("array<string>"))
+    sum_ = (F.coalesce("subtotal", "line_sum") + zero("tax") + zero("shipping") - F.abs(zero("discount"))).cast(money.MONEY)
+    kept = lambda c: F.when(F.col(c).isNotNull(), F.array(F.lit(c))).otherwise(F.array().cast("array<string>"))
     extras = F.concat(kept("tax"), kept("shipping"), kept("discount"))
-    from_lines = F.coalesce(F.transform("items", lambda x: line_path(x["idx"])), F.array().cast("array<string>"))
+    from_lines = F.coalesce(F.transform("amounts", lambda x: line_path(x["idx"])), F.array().cast("array<string>"))
     paths = F.concat(F.array(F.lit("total")), F.when(F.col("subtotal").isNotNull(), F.array(F.lit("subtotal"))).otherwise(from_lines), extras)
     basis = F.when(F.col("subtotal").isNotNull(), "subtotal").otherwise("line items")
     named = F.concat(F.array(basis), extras)
-    clause = F.when((F.size(named) == 1) & (basis == "subtotal"), say("The subtotal is ", F.col("expected"))).otherwise(say("The ", text.list_words(named), " add up to ", F.col("expected")))
-    swap = money.is_digit_swap(F.col("total"), F.col("expected"))
-    untaxed = F.col("tax").isNull() & (F.col("total") > F.col("expected"))
-    path = F.when(swap, "total").when(untaxed, "tax")
-    value = F.when(swap, F.col("expected")).when(untaxed, (F.col("total") - F.col("expected")).cast(money.MONEY))
-    reason = F.when(swap, "Two adjacent digits in the total look swapped.").when(untaxed, "The difference looks like a tax amount that was not extracted.")
-    return issue(rows, "V003", "blocking", paths, say(clause, " but the total reads ", F.col("total"), "."), path, value, reason)
 
+    def made(expected: Column) -> Column:
+        clause = F.when((F.size(named) == 1) & (basis == "subtotal"), say("The subtotal is ", expected)).otherwise(say("The ", text.list_words(named), " add up to ", expected))
+        swap = money.is_digit_swap(F.col("total"), expected)
+        untaxed = F.col("tax").isNull() & (F.col("total") > expected)
+        path = F.when(swap, "total").when(untaxed, "tax")
+        value = F.when(swap, expected).when(untaxed, (F.col("total") - expected).cast(money.MONEY))
+        reason = F.when(swap, "Two adjacent digits in the total look swapped.").when(untaxed, "The difference looks like a tax amount that was not extracted.")
+        return issue("V003", "blocking", paths, say(clause, " but the total reads ", F.col("total"), "."), path, value, reason)
 
-def line_product_differs(lines: DataFrame) -> DataFrame:
+    return if_(F.abs(sum_ - F.col("total")) > 0.05, text.bound(sum_, made))
+
+
+def total_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    return listed(gathered(invoices, lines), total_issues())
+
+
+def product_of(line: Column) -> Column:
+    return money.times(line["quantity"], line["unit_price"])
+
+
+def product_differs(line: Column) -> Column:
+    return F.coalesce(F.abs(product_of(line) - line["amount"]) > 0.02, F.lit(False))
+
+
+def product_issue(line: Column) -> Column:
     """V004: quantity times unit price is not the line's amount, by more than two cents."""
-    product = money.times(F.col("quantity"), F.col("unit_price"))
-    rows = lines.withColumn("product", product).filter(F.abs(F.col("product") - F.col("amount")) > 0.02)
-    paths = F.array(line_path(F.col("idx")), line_path(F.col("idx"), "quantity"), line_path(F.col("idx"), "unitPrice"))
-    plain = lambda c: text.trim_zeros(F.col(c).cast("string"))
-    message = say("Line ", F.col("idx") + 1, ": ", plain("quantity"), " times ", plain("unit_price"), " is ", F.col("product"), ", not ", F.col("amount"), ".")
-    return issue(rows, "V004", "warning", paths, message, line_path(F.col("idx")), F.col("product"), F.lit("Quantity times unit price."), F.col("idx"))
+    idx, plain = line["idx"], lambda c: text.trim_zeros(line[c].cast("string"))
+    paths = F.array(line_path(idx), line_path(idx, "quantity"), line_path(idx, "unitPrice"))
+    message = say("Line ", idx + 1, ": ", plain("quantity"), " times ", plain("unit_price"), " is ", product_of(line), ", not ", line["amount"], ".")
+    return issue("V004", "warning", paths, message, line_path(idx), product_of(line), F.lit("Quantity times unit price."), idx)
+
+
+def product_issues() -> Column:
+    return every(F.transform(F.filter("items", product_differs), product_issue))
+
+
+def line_product_differs(lines: DataFrame) -> DataFrame:
+    line = F.struct("idx", "quantity", "unit_price", "amount")
+    return lines.filter(product_differs(line)).select("document_id", product_issue(line).alias("x")).select("document_id", "x.*")
+
+
+def due_issues() -> Column:
+    """V005."""
+    return if_(F.col("due_date") < F.col("issue_date"), issue("V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ").")))
 
 
 def due_before_issue(invoices: DataFrame) -> DataFrame:
-    rows = invoices.filter(F.col("due_date") < F.col("issue_date"))
-    return issue(rows, "V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ")."))
+    return listed(invoices, due_issues())
 
 
-def odd_issue_date(invoices: DataFrame, today: date) -> DataFrame:
+def odd_date_issues(today: date) -> Column:
     """V006: more than ten years ago, or more than 30 days ahead. A 29 February ten years from a common year counts as 1 March."""
     try:
         early = today.replace(year=today.year - 10)
@@ -109,16 +180,28 @@ def odd_issue_date(invoices: DataFrame, today: date) -> DataFrame:
         early = date(today.year - 10, 3, 1)
     old, late = F.col("issue_date") < F.lit(early), F.col("issue_date") > F.lit(today + timedelta(days=30))
     rest = F.when(old, " is more than ten years ago.").otherwise(" is more than 30 days in the future.")
-    return issue(invoices.filter(old | late), "V006", "warning", F.array(F.lit("issueDate")), say("The issue date (", F.col("issue_date"), ")", rest))
+    return if_(old | late, issue("V006", "warning", F.array(F.lit("issueDate")), say("The issue date (", F.col("issue_date"), ")", rest)))
 
 
-def odd_symbol(invoices: DataFrame, printed: Column) -> DataFrame:
+def odd_issue_date(invoices: DataFrame, today: date) -> DataFrame:
+    return listed(invoices, odd_date_issues(today))
+
+
+def symbol_issues(printed: Column) -> Column:
     """V007: one kind of symbol stands by the amounts, and it is not the currency's."""
     kinds = F.array(*(F.struct(F.lit(s).alias("symbol"), F.array(*map(F.lit, codes)).alias("codes")) for s, codes in SYMBOLS))
-    rows = invoices.filter("currency is not null").withColumn("printed", printed).withColumn("seen", F.filter(kinds, lambda x: F.contains(F.col("printed"), x["symbol"])))
-    rows = rows.filter(F.size("seen") == 1).withColumn("kind", F.col("seen")[0]).filter(~F.expr("array_contains(kind.codes, currency)"))
-    message = say('Amounts are printed with "', F.col("kind.symbol"), '" but the currency reads ', F.col("currency"), ".")
-    return issue(rows, "V007", "warning", F.array(F.lit("currency")), message, F.lit("currency"), F.col("kind.codes")[0], F.lit("The symbol printed next to the amounts."))
+
+    def made(seen: Column) -> Column:
+        kind = seen[0]
+        message = say('Amounts are printed with "', kind["symbol"], '" but the currency reads ', F.col("currency"), ".")
+        found = issue("V007", "warning", F.array(F.lit("currency")), message, F.lit("currency"), kind["codes"][0], F.lit("The symbol printed next to the amounts."))
+        return if_((F.size(seen) == 1) & ~F.array_contains(kind["codes"], F.col("currency")), found)
+
+    return F.when(F.col("currency").isNotNull(), text.bound(F.filter(kinds, lambda x: F.contains(printed, x["symbol"])), made)).otherwise(nothing())
+
+
+def odd_symbol(invoices: DataFrame, printed: Column) -> DataFrame:
+    return listed(invoices, symbol_issues(printed))
 
 
 def duplicates(invoices: DataFrame) -> DataFrame:
@@ -136,35 +219,55 @@ def duplicates(invoices: DataFrame) -> DataFrame:
     return keyed.join(pairs, key).select("document_id", other["document_id"].alias("other_id"), other["filename"].alias("other_filename"))
 
 
-def duplicate_invoice(invoices: DataFrame) -> DataFrame:
+def duplicate_issues() -> Column:
+    """V008, of rows with another document's id and name."""
     message = say("Another document in this workspace has the same vendor and invoice number: ", F.col("other_filename"), ".")
-    return issue(duplicates(invoices), "V008", "warning", F.array(F.lit("invoiceNumber"), F.lit("vendorName")), message, F.lit("duplicate"), F.col("other_id"), F.col("other_filename"))
+    return if_(F.col("other_id").isNotNull(), issue("V008", "warning", F.array(F.lit("invoiceNumber"), F.lit("vendorName")), message, F.lit("duplicate"), F.col("other_id"), F.col("other_filename")))
+
+
+def duplicate_invoice(invoices: DataFrame) -> DataFrame:
+    return listed(duplicates(invoices), duplicate_issues())
+
+
+def negative_issues() -> Column:
+    """V009."""
+    return if_(F.col("total") < 0, issue("V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note.")))
 
 
 def negative_total(invoices: DataFrame) -> DataFrame:
-    return issue(invoices.filter("total < 0"), "V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note."))
+    return listed(invoices, negative_issues())
 
 
-def not_located(invoices: DataFrame, lines: DataFrame, groundings: DataFrame) -> DataFrame:
+def located_issues() -> Column:
     """V010: an amount that was not found on the document; blocking for the header, a warning for lines."""
-    amounts = F.array(*(F.struct(F.lit(n).alias("place"), F.lit(c).alias("path"), F.lit(c.capitalize()).alias("label"), F.col(c).alias("value")) for n, c in enumerate(MONEY_FIELDS)))
-    header = invoices.select("document_id", F.explode(amounts).alias("x")).select("document_id", "x.*", F.lit("blocking").alias("severity"))
-    own = lines.select("document_id", (F.col("idx") + len(MONEY_FIELDS)).alias("place"), line_path(F.col("idx")).alias("path"), say("Line ", F.col("idx") + 1, " amount").alias("label"), F.col("amount").alias("value"), F.lit("warning").alias("severity"))
-    rows = header.unionByName(own).filter("value is not null").join(groundings.select("document_id", F.col("field_path").alias("path")), ["document_id", "path"], "left_anti")
-    return issue(rows, "V010", F.col("severity"), F.array("path"), say(F.col("label"), " (", F.col("value"), ") could not be found on the document."), place=F.col("place"))
+    kind = lambda path, label, value, severity, place: F.struct(path.alias("path"), label.alias("label"), value.alias("value"), F.lit(severity).alias("severity"), place.cast("int").alias("place"))
+    header = F.array(*(kind(F.lit(c), F.lit(c.capitalize()), F.col(c), "blocking", F.lit(n)) for n, c in enumerate(MONEY_FIELDS)))
+    own = F.transform("amounts", lambda x: kind(line_path(x["idx"]), say("Line ", x["idx"] + 1, " amount"), x["amount"], "warning", x["idx"] + len(MONEY_FIELDS)))
+    values = F.concat(header, F.coalesce(own, F.filter(header, lambda x: F.lit(False))))
+    located = F.coalesce("located", F.array().cast("array<string>"))
+    lost = F.filter(values, lambda x: x["value"].isNotNull() & ~F.array_contains(located, x["path"]))
+    return F.transform(lost, lambda x: issue("V010", x["severity"], F.array(x["path"]), say(x["label"], " (", x["value"], ") could not be found on the document."), place=x["place"]))
+
+
+def not_located(invoices: DataFrame, lines: DataFrame, groundings: DataFrame) -> DataFrame:
+    return listed(gathered(invoices, lines, groundings), located_issues())
 
 
 def not_an_invoice(documents: DataFrame) -> DataFrame:
     """V011: for documents of type `other` the only issue; they are rejected."""
-    return issue(documents.filter(F.col("doc_type") == "other"), "V011", "blocking", F.array().cast("array<string>"), F.lit("This document does not look like an invoice."))
+    return listed(documents, if_(F.col("doc_type") == "other", issue("V011", "blocking", F.array(), F.lit("This document does not look like an invoice."))))
+
+
+def read_issue(page: Column) -> Column:
+    """V012: a page read by OCR with a measured confidence under 0.6."""
+    share = F.floor(page["ocr_mean_confidence"] * 100 + 0.5).cast("int")
+    message = say("Text on page ", page["page_no"], " was read by OCR with low confidence (", share, "%). Check values from this page carefully.")
+    return issue("V012", "warning", F.array(), message, place=page["page_no"])
 
 
 def badly_read(pages: DataFrame) -> DataFrame:
-    """V012: pages read by OCR with a measured confidence under 0.6."""
     rows = pages.filter((F.col("text_source") == "ocr") & (F.col("ocr_mean_confidence") < LOW_CONFIDENCE))
-    share = F.floor(F.col("ocr_mean_confidence") * 100 + 0.5).cast("int")
-    message = say("Text on page ", F.col("page_no"), " was read by OCR with low confidence (", share, "%). Check values from this page carefully.")
-    return issue(rows, "V012", "warning", F.array().cast("array<string>"), message, place=F.col("page_no"))
+    return rows.select("document_id", read_issue(F.struct("page_no", "ocr_mean_confidence")).alias("x")).select("document_id", "x.*")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -172,13 +275,17 @@ def severity_rank(severity: Column) -> Column:
 
 
 def validate(invoices: DataFrame, lines: DataFrame, groundings: DataFrame, today: date, printed: Column, pages: DataFrame | None = None) -> DataFrame:
-    """All issues of invoices with their place in each document's list: by severity, code and order of detection."""
-    from pyspark.sql import Window
-
-    found = [missing_fields(invoices), line_sum_differs(invoices, lines), total_differs(invoices, lines), line_product_differs(lines), due_before_issue(invoices), odd_issue_date(invoices, today), odd_symbol(invoices, printed), duplicate_invoice(invoices), negative_total(invoices), not_located(invoices, lines, groundings)]
-    found += [badly_read(pages)] if pages is not None else []
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    order = Window.partitionBy("document_id").orderBy(severity_rank(F.col("severity")), "code", "place")
-    return every.withColumn("ordinal", F.row_number().over(order))
+    """All issues of invoices with their place in each document's list: by severity, code and order of detection.
+
+    Everything that the rules need of a document is brought together once, then all of them are evaluated on that row; what is
+    gathered is one document's lines, located fields and badly read pages.
+    """
+    rows = gathered(invoices, lines, groundings).join(duplicates(invoices), "document_id", "left")
+    found = [missing_issues(invoices.columns), line_sum_issues(), total_issues(), product_issues(), due_issues(), odd_date_issues(today), symbol_issues(printed), duplicate_issues(), negative_issues(), located_issues()]
+    if pages is not None:
+        bad = pages.filter((F.col("text_source") == "ocr") & (F.col("ocr_mean_confidence") < LOW_CONFIDENCE))
+        rows = rows.join(bad.groupBy("document_id").agg(F.collect_list(F.struct("page_no", "ocr_mean_confidence")).alias("bad_pages")), "document_id", "left")
+        found.append(every(F.transform("bad_pages", read_issue)))
+    order = lambda x: F.struct(severity_rank(x["severity"]).alias("rank"), x["code"].alias("code"), x["place"].alias("place"), x.alias("issue"))
+    ranked = F.array_sort(F.transform(F.concat(*found), order))
+    return rows.select("document_id", F.posexplode(ranked).alias("n", "x")).select("document_id", "x.issue.*", (F.col("n") + 1).alias("ordinal"))

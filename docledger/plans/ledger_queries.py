@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,8 @@ def now():
 
 
 def issues(x: Ledger) -> DataFrame:
-    found = [rules.line_sum_differs(x.invoices, x.lines), rules.line_product_differs(x.lines), rules.due_before_issue(x.invoices), rules.negative_total(x.invoices), rules.not_located(x.invoices, x.lines, x.groundings)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    rows = rules.gathered(x.invoices, x.lines, x.groundings)
+    return rules.listed(rows, rules.line_sum_issues(), rules.product_issues(), rules.due_issues(), rules.negative_issues(), rules.located_issues())
 
 
 ISSUES = "issues as (" + " union all ".join(f"select document_id, code, severity, field_paths from ({RULE_SQL[k]})" for k in ("r02_line_sum_differs", "r04_line_product_differs", "r05_due_before_issue", "r09_negative_total", "r10_not_located")) + ")"
@@ -49,8 +44,8 @@ STATUS = "st as (select document_id, workspace_id, ['queued', 'processing', 'nee
 
 
 def arithmetic_issues(x: Ledger, invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    found = [rules.missing_fields(invoices), rules.line_sum_differs(invoices, lines), rules.total_differs(invoices, lines), rules.not_located(invoices, lines, x.groundings)]
-    return reduce(DataFrame.unionByName, found)
+    rows = rules.gathered(invoices, lines, x.groundings)
+    return rules.listed(rows, rules.missing_issues(invoices.columns), rules.line_sum_issues(), rules.total_issues(), rules.located_issues())
 
 
 def second_look(x: Ledger, asked: DataFrame) -> reconcile.Answer:
