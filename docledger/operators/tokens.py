@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.functions.text import SPACES, strip
+from docledger.functions.text import SPACES, bound, strip
 
 LEAST_READABLE, MOST_OCR_PAGES = 20, 5
 BOX = "struct<text:string,x:double,y:double,w:double,h:double>"
@@ -67,22 +67,37 @@ def assign_lines(tokens: Column) -> Column:
     return F.transform(folded, lambda x: placed(x["all"], x["begins"]))[0]
 
 
+def prefix_sums(values: Column) -> Column:
+    """For each value the sum of those before it. Sums of one, two, four and so on are added up, so that no value is added for each later one."""
+    n = F.size(values)
+    reach = lambda k: F.least(F.pow(F.lit(2), k).cast("int"), n)
+    moved = lambda sums, by: F.concat(F.array_repeat(F.lit(0), by), F.slice(sums, F.lit(1), F.greatest(n - by, F.lit(0))))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+    return F.aggregate(steps, moved(values, F.least(F.lit(1), n)), lambda sums, k: F.zip_with(sums, moved(sums, reach(k)), lambda a, b: a + b))
+
+
 def words_of_item(text: Column, box: Column) -> Column:
     """Tokens of one printed item (box: x, y, w, h as fractions of the page): each word takes its share of the width by characters."""
-    length = F.length(text)
-    pieces = F.split(text, f"(?<=[{SPACES}])(?=[^{SPACES}])")
-    before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))
     word = lambda p: F.regexp_replace(p, f"[{SPACES}]+", "")
     lead = lambda p: F.length(p) - F.length(F.regexp_replace(p, f"^[{SPACES}]+", ""))
+    none = F.array().cast(f"array<{BOX}>")
+
+    def item(known: Column) -> Column:
+        x, y, w, h = (known["box"][c] for c in "xywh")
+
+        def token(p: Column, before: Column) -> Column:
+            left = clamp(x + w * (before + lead(p)) / known["length"])
+            right = clamp(x + w * (before + lead(p) + F.length(word(p))) / known["length"])
+            top, bottom = clamp(y), clamp(y + h)
+            return F.struct(word(p).alias("text"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
 
-    def token(p: Column, i: Column) -> Column:
-        left = clamp(box["x"] + box["w"] * (before(i) + lead(p)) / length)
-        right = clamp(box["x"] + box["w"] * (before(i) + lead(p) + F.length(word(p))) / length)
-        top, bottom = clamp(box["y"]), clamp(box["y"] + box["h"])
-        return F.struct(word(p).alias("text"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+        kept = F.filter(F.zip_with(known["pieces"], prefix_sums(known["sizes"]), token), lambda t: t["text"] != "")
+        return F.when(known["blank"] | (w <= 0) | (h <= 0), none).otherwise(kept.cast(f"array<{BOX}>"))
 
-    kept = F.filter(F.transform(pieces, token), lambda t: t["text"] != "")
-    return F.when((strip(text) == "") | (box["w"] <= 0) | (box["h"] <= 0), F.array().cast(f"array<{BOX}>")).otherwise(kept.cast(f"array<{BOX}>"))
+    # what is used for each word is made once
+    cut = lambda t: F.struct(F.split(t, f"(?<=[{SPACES}])(?=[^{SPACES}])").alias("pieces"), F.length(t).alias("length"), (strip(t) == "").alias("blank"))
+    sized = lambda c: F.struct(c["pieces"].alias("pieces"), F.transform(c["pieces"], F.length).alias("sizes"), c["length"].alias("length"), c["blank"].alias("blank"), box.alias("box"))
+    return bound(bound(bound(text, cut), sized), item)
 
 
 def ocr_pages(blocks: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions import money, risk, text
-from docledger.operators import draft, ledger, queue, reconcile, rules
+from docledger.operators import draft, ledger, queue, reconcile, rules, search
 from docledger.plans.derived import CTES, Ledger
 from docledger.plans.rule_queries import ORACLE_SQL as RULE_SQL
 from docledger.plans.rule_queries import amount
+from docledger.shared import shared_dir
 from docledger.streaming import drain
 
 NOW = "timestamp '2001-01-01 00:00:00'"
@@ -125,8 +128,13 @@ def risky(x: Ledger) -> DataFrame:
 
 
 def searched(x: Ledger) -> DataFrame:
-    words = text.search_tokens(F.col("text"))
-    return x.read("documents").select("doc_id", F.size(words).cast("bigint").alias("n_words"), text.matches_all(words, F.lit("The of-and")).alias("found"))
+    docs = x.read("documents").select(F.col("doc_id").alias("document_id"), "text")
+    path = f"{shared_dir(x.spark)}/postings-{uuid.uuid4().hex}"
+    search.write_postings(docs, F.col("text"), path)
+    index = search.read_postings(x.spark, path)
+    found = search.matching(index, "The of-and").withColumn("found", F.lit(True))
+    rows = docs.select("document_id").join(search.counted(index), "document_id", "left").join(found, "document_id", "left")
+    return rows.select(F.col("document_id").alias("doc_id"), F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 QUERIES = {

@@ -60,9 +60,12 @@ def waiting(x: Ledger):
 
 
 def items(x: Ledger):
+    """Each document's whole text as one printed item: its words, and a digest of them with their places in millionths."""
     box = F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.5).alias("w"), F.lit(0.02).alias("h"))
-    own = x.read("nation").select("n_nationkey", F.posexplode(tokens.words_of_item(F.concat_ws(" ", "n_name", F.lit("and"), "n_name"), box)).alias("n", "t"))
-    return own.select("n_nationkey", "n", "t.text", F.round("t.x", 6).alias("x"), F.round("t.w", 6).alias("w"))
+    own = x.read("documents").select("doc_id", tokens.words_of_item(F.regexp_replace("text", f"[{text.SPACES}]", " "), box).alias("t"))
+    millionths = lambda c: F.floor(c * 1e6 + 0.5).cast("bigint").cast("string")
+    shown = F.array_join(F.transform("t", lambda t: F.concat_ws(" ", t["text"], millionths(t["x"]), millionths(t["w"]))), "\n")
+    return own.select("doc_id", F.size("t").alias("n"), F.md5(shown).alias("places_md5"))
 
 
 def ocr(x: Ledger):
@@ -153,9 +156,11 @@ ORACLE_SQL = {
     "t05_complete": "select count(*) as samples, count(*) filter (where n_nationkey < 20) as scored, false as complete from nation",
     "f04_cents": CTES + "select document_id, idx, amount_c as cents from lines where amount_c is not null",
     "f09_trim_zeros": CTES + "select document_id, idx, case when price_e4 % 10000 = 0 then cast(price_e4 // 10000 as varchar) else (price_e4 // 10000) || '.' || rtrim(lpad(cast(price_e4 % 10000 as varchar), 4, '0'), '0') end as shown from lines",
-    "f19_item_words": """with s as (select n_nationkey, n_name || ' and ' || n_name as t from nation), w as (select n_nationkey, t, unnest(string_split(t, ' ')) as text, generate_subscripts(string_split(t, ' '), 1) - 1 as n from s),
-p as (select *, coalesce(sum(length(text) + 1) over (partition by n_nationkey order by n rows between unbounded preceding and 1 preceding), 0) as before from w)
-select n_nationkey, cast(n as integer) as n, text, round((0.1 + 0.5 * before / length(t))::double, 6) as x, round((0.5 * length(text) / length(t))::double, 6) as w from p""",
+    "f19_item_words": r"""with s as (select doc_id, regexp_replace(text, '[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]', ' ', 'g') as t from documents),
+w as (select doc_id, length(t) as l, unnest(string_split(t, ' ')) as word, generate_subscripts(string_split(t, ' '), 1) as k from s),
+p as (select *, coalesce(sum(length(word) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as before from w),
+x as (select doc_id, k, word, 0.1::double + 0.5::double * before / l as x0, 0.1::double + 0.5::double * (before + length(word)) / l as x1 from p where word <> '')
+select s.doc_id, cast(count(word) as integer) as n, md5(coalesce(string_agg(word || ' ' || floor(x0 * 1e6 + 0.5)::bigint || ' ' || floor((x1 - x0) * 1e6 + 0.5)::bigint, chr(10) order by k), '')) as places_md5 from s left join x on x.doc_id = s.doc_id group by s.doc_id""",
     "f23_list_words": "with g as (select n_regionkey, list(n_name order by n_name) as l, sum(n_nationkey * 999) as b from nation group by 1) select n_regionkey, array_to_string(l[:-2], ', ') || ' and ' || l[-1] as names, case when b < 1024 then b || ' B' else cast(round(b / 1024.0) as bigint) || ' KB' end as bytes from g",
     "f25_currency": CTES + "select document_id, currency from invoices",
     "f27_contrast": """with c as (select n_nationkey, n_nationkey * 671088 as v from nation), p as (select n_nationkey, [(v // 65536) % 256 / 255.0::double, (v // 256) % 256 / 255.0::double, v % 256 / 255.0::double] as ch from c),

@@ -12,10 +12,10 @@ from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docledger.operators import draft, ledger, queue, ranks, reconcile, rules
+from docledger.operators import draft, ledger, queue, ranks, reconcile, rules, search
 from docledger.plans import catalogue
 from docledger.shared import checkpoint
-from docledger.sources import ingest, tables
+from docledger.sources import commits, ingest, tables
 from docledger.streaming import drain
 
 SMALL = "/root/testdata/sf0.001"
@@ -404,3 +404,57 @@ def test_reconcile(spark):
     assert {r.document_id for r in twice.looks.filter("adopted").collect()} == {5, 6} and len(asked) == 2
     none = reconcile.reconcile(reconcile.Answer(first.invoices.limit(0), first.lines.limit(0)), issues.limit(0), lambda f: reconcile.Answer(first.invoices.limit(0), first.lines.limit(0)), validate)
     assert none.looks.isEmpty() and none.issues.isEmpty()
+
+
+def test_commits(spark, tmp_path):
+    """Readers see all tables of a commit or none; of two writers the second has to start again."""
+    store = commits.Tables(spark, f"{tmp_path}/store")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    seen = lambda: {n: sorted(r.v for r in t.collect()) for n, t in store.read().items()}
+    assert seen() == {} and store.version() == 0
+    assert store.commit({"a": rows(1), "b": rows(2)}, 0) == 1 and seen() == {"a": [1], "b": [2]}
+    broken = rows(5).select(F.raise_error(F.lit("lost")).cast("long").alias("v"))
+    with pytest.raises(PySparkException):
+        store.commit({"a": rows(3), "b": broken}, 1)
+    assert seen() == {"a": [1], "b": [2]} and store.version() == 1
+    old = store.read()
+    assert store.commit({"b": rows(4)}, 1) == 2 and seen() == {"a": [1], "b": [4]}
+    assert [r.v for r in old["b"].collect()] == [2]  # who began to read goes on with the old version
+    with pytest.raises(commits.Conflict):
+        store.commit({"a": rows(9)}, 1)
+    assert seen() == {"a": [1], "b": [4]}
+    tries = []
+
+    def change(tables_):
+        tries.append(1)
+        if len(tries) == 1:
+            store.commit({"a": rows(7)}, store.version())  # another writer comes first
+        return {"a": tables_["a"].select((F.col("v") + 1).alias("v")), "b": tables.replaced(tables_["b"], rows(6), "v")}
+
+    assert store.update(change) == 4 and len(tries) == 2 and seen() == {"a": [8], "b": [4, 6]}
+    assert len(store.vacuum(keep=1)) >= 4 and seen() == {"a": [8], "b": [4, 6]} and store.vacuum(keep=1) == []
+
+
+def test_postings(spark, tmp_path):
+    docs = [(1, "The red fox, the RED den"), (2, "red"), (3, None), (4, ""), (5, "fox red 7"), (6, "Füchse & fox")]
+    frame = spark.createDataFrame(docs, "document_id long, text string")
+    search.write_postings(frame, F.col("text"), f"{tmp_path}/index")
+    index = search.read_postings(spark, f"{tmp_path}/index")
+    queries = {"red": [1, 2, 5], "RED fox": [1, 5], "fox": [1, 5, 6], "füchse": [6], "none": [], "": [], "- &": [], "red red": [1, 2, 5], "7": [5]}
+    for query, want in queries.items():
+        assert sorted(r.document_id for r in search.matching(index, query).collect()) == want
+    asked = spark.createDataFrame([(q,) for q in queries], "text string").withColumn("query_id", F.col("text"))
+    got = {}
+    for r in search.matching_all(index, asked).collect():
+        got.setdefault(r.query_id, []).append(r.document_id)
+    assert {q: sorted(d) for q, d in got.items()} == {q: d for q, d in queries.items() if d}
+    plan = search.matching(index, "fox")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(token), EqualTo(token,fox)]" in plan
+    assert {r.document_id: r.n_words for r in search.counted(index).collect()} == {1: 4, 2: 1, 5: 3, 6: 2}
+
+
+def test_rules_plan(spark):
+    """All rules together read each table once for the invoices and once for their lines."""
+    plan = catalogue.QUERIES["r13_all_rules"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    single = catalogue.QUERIES["r02_line_sum_differs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") < 6 and plan.count("Union") <= 1 and single.count("Union") == 0
