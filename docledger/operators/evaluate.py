@@ -42,11 +42,19 @@ def scores(fields: DataFrame, lines: DataFrame, grounded: DataFrame, codes: Data
     return out.withColumn("passed", (F.col("fields") == F.col("fields_ok")) & (F.col("lines") == F.col("lines_ok")) & (F.col("missed") == "") & (F.col("extra") == ""))
 
 
+HEAD = ("document", "fields", "lines", "grounded", "missed", "extra", "pass")
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """A line of a Markdown table for each scored document: document_id, line."""
+    of = lambda one, all_: F.concat_ws("/", one, all_)
+    codes = lambda c: F.when(F.col(c) == "", "-").otherwise(F.col(c))
+    cells = (F.col("document_id").cast("string"), of("fields_ok", "fields"), of("lines_ok", "lines"), of("found", "values"), codes("missed"), codes("extra"), F.when(F.col("passed"), "yes").otherwise("no"))
+    return rows.select("document_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def report(rows: DataFrame) -> str:
-    """A Markdown table of scored samples, which are few."""
-    head = ("document", "fields", "lines", "grounded", "missed", "extra", "pass")
-    lines = ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
-    found = rows.orderBy("document_id").collect()
-    for r in found:
-        lines.append(f"| {r.document_id} | {r.fields_ok}/{r.fields} | {r.lines_ok}/{r.lines} | {r.found}/{r['values']} | {r.missed or '-'} | {r.extra or '-'} | {'yes' if r.passed else 'no'} |")
-    return "\n".join([*lines, "", f"{sum(r.passed for r in found)} of {len(found)} pass."])
+    """The whole table of a set of samples, which are few; larger results stay lines of a DataFrame."""
+    lines = [r.line for r in report_lines(rows).orderBy("document_id").collect()]
+    passed = rows.filter("passed").count()
+    return "\n".join(["| " + " | ".join(HEAD) + " |", "|" + " --- |" * len(HEAD), *lines, "", f"{passed} of {len(lines)} pass."])

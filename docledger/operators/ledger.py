@@ -21,6 +21,11 @@ def in_workspace(rows: DataFrame, workspace_id: Column | int, document_id: Colum
     return out if document_id is None else out.filter(F.col("document_id") == document_id)
 
 
+def by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of documents by their ids alone, whatever their workspace; for the pipeline, not for requests."""
+    return rows.join(ids.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def by_digest(documents: DataFrame, digests: DataFrame) -> DataFrame:
     """Documents whose (workspace_id, sha256) is among the digests."""
     return documents.join(digests.select("workspace_id", "sha256").distinct(), ["workspace_id", "sha256"], "left_semi")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, money, text
-from docledger.operators import ledger, queue, rules, tokens
+from docledger.operators import evaluate, ledger, queue, rules, tokens
 from docledger.plans.derived import CTES, Ledger
-from docledger.plans.function_queries import WORDS, word_pages
+from docledger.plans.function_queries import ORACLE_SQL as FUNCTION_SQL
+from docledger.plans.function_queries import WORDS, evaluation, word_pages
 from docledger.plans.ledger_queries import ISSUES, STATUS, issues, over, with_status
+from docledger.plans.rule_queries import amount
+from docledger.shared import shared_dir
 from docledger.sources import providers, tables
 
+EVALUATION = FUNCTION_SQL["e01_evaluation"]
+
 DAY = "date '2024-01-10'"
 
 
@@ -89,7 +97,42 @@ def finalised(x: Ledger):
     return new
 
 
+def truth(x: Ledger):
+    """Ground truth of all invoices, written as JSON and read again."""
+    n = F.col("document_id")
+    scalar = lambda c, shown=None: F.struct(F.col(c).cast("string").alias("value"), (F.lit(None) if shown is None else shown).cast("string").alias("display"), (n % 3 + 1).cast("int").alias("page"))
+    names = dict(zip(tables.HEADER, ("vendor_name", "invoice_number", "printed_issue_date", "printed_due_date", "currency", "subtotal", "tax", "shipping", "discount", "total"), strict=True))
+    fields = F.struct(*(scalar(c, F.when(n % 2 == 0, F.concat("symbol", F.col(c).cast("string"))) if c == "total" else None).alias(f) for f, c in names.items()))
+    rows = x.invoices.select(n.cast("string").alias("name"), F.lit("invoice").alias("docType"), fields.alias("fields"))
+    path = f"{shared_dir(x.spark)}/truth-{uuid.uuid4().hex}"
+    tables.write_truth(rows, path)
+    return tables.truth_fields(tables.read_json(x.spark, path, tables.GROUND_TRUTH)).select("name", "field_path", "value", "source_text", "page")
+
+
+def appended(x: Ledger):
+    """Usage recorded in two goes, and what all of it comes to."""
+    path = f"{shared_dir(x.spark)}/usage-{uuid.uuid4().hex}"
+    tables.append(x.usage.filter("id % 2 = 0"), path)
+    return tables.append(x.usage.filter("id % 2 = 1"), path).groupBy("workspace_id").agg(F.count("*").alias("n"), F.sum("cost_micros").alias("cost_micros"))
+
+
+def asked(x: Ledger):
+    """A provider that answers with the size of what it is shown."""
+
+    def answer(batch: pd.DataFrame) -> pd.DataFrame:
+        sizes = batch.content.map(lambda c: len(c or b""))
+        return pd.DataFrame({"document_id": batch.document_id, "sha256": batch.sha256, "kind": "initial", "result": sizes.astype(str) + " bytes, " + batch.focus, "model": "mock", "input_tokens": sizes // 4, "output_tokens": 3})
+
+    docs = x.read("documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("content"))
+    return providers.extracted(docs, answer, "totals").select("document_id", "result", "input_tokens", "output_tokens")
+
+
 QUERIES = {
+    "p02_unscoped": over(lambda x: ledger.by_id(x.invoices, x.runs).select("document_id", "workspace_id")),
+    "s10_truth": over(truth),
+    "s15_append": over(appended),
+    "s17_report": over(lambda x: evaluate.report_lines(evaluation(x))),
+    "u01_extract": over(asked),
     "p03_by_digest": over(lambda x: ledger.by_digest(uploads(x), uploads(x).filter("document_id % 10 = 0")).select("document_id")),
     "p04_active": over(lambda x: ledger.active(uploads(x)).select("document_id")),
     "p06_page_summaries": over(lambda x: ledger.page_summaries(word_pages(x)).select("document_id", "page_no")),
@@ -134,6 +177,13 @@ QUERIES = {
 ISO = "with s as (select o_orderkey as id, o_orderkey % 4 as k, cast(o_orderdate as date) as day, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%d.%m.%Y') when 2 then strftime(o_orderdate, '%Y') || '-02-31' end as shown from orders)"
 
 ORACLE_SQL = {
+    "p02_unscoped": CTES + "select document_id, workspace_id from invoices where document_id in (select document_id from runs)",
+    "s10_truth": CTES + f"""select cast(document_id as varchar) as name, f as field_path, v as value, case when v is not null and f = 'total' and document_id % 2 = 0 then symbol || v else v end as source_text, cast(document_id % 3 + 1 as integer) as page from (
+  select document_id, symbol, unnest(['vendorName', 'invoiceNumber', 'issueDate', 'dueDate', 'currency', 'subtotal', 'tax', 'shipping', 'discount', 'total']) as f,
+    unnest([vendor_name, invoice_number, printed_issue_date, strftime(due_date, '%Y-%m-%d'), currency, {', '.join(amount(c) for c in ('subtotal_c', 'tax_c', 'shipping_c', 'discount_c', 'total_c'))}]) as v from invoices)""",
+    "s15_append": CTES + "select workspace_id, count(*) as n, cast(sum(cost_micros) as bigint) as cost_micros from usage group by 1",
+    "s17_report": f"""select document_id, '| ' || document_id || ' | ' || fields_ok || '/' || fields || ' | ' || lines_ok || '/' || lines || ' | ' || found || '/' || "values" || ' | ' || case when missed = '' then '-' else missed end || ' | ' || case when extra = '' then '-' else extra end || ' | ' || case when passed then 'yes' else 'no' end || ' |' as line from ({EVALUATION})""",
+    "u01_extract": "select doc_id as document_id, coalesce(strlen(text), 0) || ' bytes, totals' as result, coalesce(strlen(text), 0) // 4 as input_tokens, cast(3 as bigint) as output_tokens from documents",
     "p03_by_digest": "with d as (select doc_id, source, sha256(text) as h from documents) select doc_id as document_id from d where (source, h) in (select (source, h) from d where doc_id % 10 = 0)",
     "p04_active": "select doc_id as document_id from documents where doc_id % 6 <> 0",
     "p06_page_summaries": "select doc_id as document_id, 1 as page_no from documents",

@@ -68,6 +68,20 @@ def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: s
     return old.unionByName(first.join(old.filter(live).select(*keys).distinct(), keys, "left_anti"))
 
 
+def append(rows: DataFrame, path: str) -> DataFrame:
+    """Adds rows to a table of records that are never changed; returns the whole table."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def write_truth(truth: DataFrame, path: str, files: int = 64) -> None:
+    """Ground truth (of the shape GROUND_TRUTH) as JSON, many documents to a file, nulls included."""
+    body = F.to_json(F.struct(*truth.columns), {"ignoreNullFields": "false"})
+    part = F.pmod(F.xxhash64("name"), F.lit(files))
+    rows = truth.select(part.alias("part"), body.alias("body")).groupBy("part").agg(F.array_join(F.collect_list("body"), ",").alias("all"))
+    rows.select("part", F.concat(F.lit("["), "all", F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+
+
 def publish(rows: DataFrame, path: str, version: str) -> str:
     """Writes a table's next version beside the ones before, so that readers of those are not disturbed; returns its path."""
     target = f"{path}/version={version}"
