@@ -1,5 +1,6 @@
 """Grounding cases: pages of plain lines, values looked for, and where they have to be found."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from docledger.operators import grounding, tokens
 from docledger.plans import function_queries
 from docledger.plans.derived import Ledger
+from tests import plain_grounding
 
 SUMS = ["Net amount 3.480,00", "Sales tax 661,20", "Amount due 41,41,200.00"]
 DAYS = ["Payable by 05.11.2025", "Issued Nov 19, 2025"]
@@ -144,3 +146,41 @@ def test_kinds(spark):
     pages = tokens.text_pages(spark.createDataFrame([(1, 1, many), (1, 2, "x"), (2, 1, "x"), (3, 1, "x")], "document_id long, page_no int, text string")).withColumns({"mime": F.when(F.col("document_id") == 3, "image/png").otherwise("application/pdf"), "has_image": F.lit(True)})
     assert {r.document_id: r.kind for r in tokens.document_kinds(pages).collect()} == {1: "pdf_text", 2: "pdf_scan", 3: "image"}
     assert sorted((r.document_id, r.page_no) for r in tokens.pages_to_read(pages).collect()) == [(1, 2), (2, 1), (3, 1)]
+
+
+VOCABULARY = ("Oak", "oak", "shelf", "Shelf,", "bracket", "brakcet", "Total", "Subtotal", "VAT", "Net", "due", "Invoice", "date", "3", "12", "21.50", "21,50", "1,021.50", "1.021,50", "2150", "$21.50", "EUR", "€", "(21.50)", "19", "May", "2025", "May,", "19.05.2025", "2025-05-19", "Marlow", "Marlo", "Ltd", "INV-2041", "INV-2014", "1021.5O")
+VALUES = {
+    "total": ("money", ("1021.50", "21.50")), "subtotal": ("money", ("21.50", "1021.50")), "tax": ("money", ("21.50", "3.00")), "vendorName": ("text", ("Marlow Ltd", "Marlow", "Oak shelf bracket Ltd")), "invoiceNumber": ("text", ("INV-2041", "2041")),
+    "issueDate": ("date", ("2025-05-19",)), "dueDate": ("date", ("2025-05-19", "2025-05-03")), "currency": ("currency", ("EUR", "USD")),
+}
+
+
+def test_against_plain(spark, labels):
+    """Random pages of few words, values that are printed often, nearly or not at all: the same places as by going through all windows."""
+    rng = random.Random(11)
+    texts, values = [], []
+    for doc in range(160):
+        for page in range(1, rng.choice([1, 1, 2]) + 1):
+            texts.append((doc, page, "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 5)))))
+        add = lambda path, kind, value: values.append((doc, path, kind, value, rng.choice([None, None, value, "1.021,50", "19 May 2025", "€ 21,50"]), rng.choice([None, 1, 2])))  # noqa: B023, E731
+        for path in rng.sample(list(VALUES), rng.randint(1, 8)):
+            add(path, VALUES[path][0], rng.choice(VALUES[path][1]))
+        for row in range(rng.choice([0, 1, 2, 4])):
+            cells = {"description": ("text", ("Oak shelf", "oak shelf", "bracket", "Oak brackte")), "quantity": ("number", ("3", "12")), "unitPrice": ("money", ("21.50",)), "amount": ("money", ("21.50", "1021.50"))}
+            for cell in rng.sample(list(cells), rng.randint(1, 4)):
+                add(f"lineItems.{row}.{cell}", cells[cell][0], rng.choice(cells[cell][1]))
+    pages = tokens.text_pages(spark.createDataFrame(texts, "document_id long, page_no int, text string"))
+    frame = spark.createDataFrame(values, "document_id long, field_path string, kind string, value string, source_text string, page int")
+    prepared, wanted = {}, {}
+    for r in grounding.prepared(pages).orderBy("document_id", "page_no").collect():
+        prepared.setdefault(r.document_id, []).append((r.page_no, r.tokens))
+    for r in grounding.candidates(frame).orderBy("ordinal").collect():
+        wanted.setdefault(r.document_id, {}).setdefault(r.field_path, []).append(r)
+    page_of = {(d, f): p for d, f, *_, p in values}
+    want = {}
+    for doc, fields in wanted.items():
+        for path, found in plain_grounding.ground(prepared[doc], fields, {f: page_of[doc, f] for f in fields}).items():
+            want[doc, path] = (*found[:3], math.floor(found[3] * 1000 + 0.5) / 1000, *found[4:])
+    got = {(r.document_id, r.field_path): (r.page, r.start, r.end, r.score, r.method, r.line) for r in grounding.ground(pages, frame, labels).collect()}
+    assert got == want
+    assert len(want) > 300 and {m for *_, m, _ in want.values()} == {"exact", "normalized", "fuzzy"}
