@@ -54,10 +54,13 @@ def candidates(values: DataFrame) -> DataFrame:
     """Strings worth looking for, of values (document_id, field_path, kind, value, source_text): the source text first, then the value."""
     source = F.when(source_agrees(F.col("kind"), F.col("value"), F.col("source_text")), F.col("source_text"))
     raws = F.array_distinct(F.filter(F.transform(F.array(source, F.col("value")), text.collapse), lambda x: x.isNotNull() & (x != "")))
-    rows = values.filter(F.col("value").isNotNull()).select("document_id", "field_path", "kind", F.posexplode(raws).alias("ordinal", "raw"))
+    page = F.col("page") if "page" in values.columns else F.lit(None).cast("int").alias("page")
+    rows = values.filter(F.col("value").isNotNull()).select("document_id", "field_path", "kind", page, F.posexplode(raws).alias("ordinal", "raw"))
     amount = F.when(F.col("kind").isin("money", "number"), money.parse_money(F.col("raw")))
     day = F.when(F.col("kind") == "date", F.coalesce(F.when(dates.is_iso_date(F.col("raw")), F.col("raw").try_cast("date")), dates.parse_date(F.col("raw"))))
-    return rows.select("*", text.normalize_words(F.col("raw")).alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), amount.alias("amount"), day.alias("day"))
+    norm = F.when(F.col("raw").contains(" "), text.normalize_words(F.col("raw"))).otherwise(text.normalize_text(F.col("raw")))
+    out = rows.select("*", norm.alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), amount.alias("amount"), day.alias("day"))
+    return out.repartition("document_id")  # shared by those who read them twice
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -76,7 +79,8 @@ def prepared(pages: DataFrame) -> DataFrame:
         plain = text.bound(lower, lambda low: made(t, low, F.when(low.isin(*text.CODES), "").otherwise(low), low.isin(*text.CODES), F.lit(False)))
         return F.when(word.rlike("^[A-Za-z]+$"), plain).otherwise(other)
 
-    return pages.select("document_id", "page_no", F.transform("tokens", token).alias("tokens"))
+    # dealt by page first, as this takes more time than reading; those who read the pages twice share the shuffle
+    return pages.select("document_id", "page_no", "tokens").repartition("document_id", "page_no").withColumn("tokens", F.transform("tokens", token))
 
 
 def first_word(column: Column) -> Column:
@@ -236,10 +240,13 @@ def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def matches(pages: DataFrame, values: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """All places of all values: score, method, box, line, and the distance to the field's nearest label (null without one)."""
-    ready = prepared(pages)
-    wanted = candidates(values)
+    return placed(prepared(pages), candidates(values), labels)
+
+
+def placed(ready: DataFrame, wanted: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The same of prepared pages and candidates."""
     found = scored(windows(ready, wanted), wanted)
-    rows = found.select("document_id", "field_path", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), "line", "x", "box")
+    rows = found.select("document_id", "field_path", "page", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), "line", "x", "box")
     if labels is None:
         return rows.withColumn("label_distance", F.lit(None).cast("double"))
     centres = label_centres(ready, labels).groupBy("document_id", "page_no", F.col("field").alias("field_path")).agg(F.collect_list(F.struct("cx", "cy")).alias("centres"))
@@ -255,6 +262,7 @@ def label_table(spark) -> DataFrame:  # noqa: ANN001
 def best_places(found: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
     """For each value by itself the best place: score, the preferred page, fewer tokens, a nearer label, then page order."""
     page = F.lit(None).cast("int")
+    found = found.drop("page")
     if preferred is not None:
         found = found.join(preferred.select("document_id", "field_path", F.col("page").alias("preferred")), ["document_id", "field_path"], "left")
         page = F.col("preferred")
@@ -315,7 +323,7 @@ def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
     right and others to the left. Without a description the amount goes first, and whatever is found first fixes
     the row; a quantity is only looked for once something has. Eager: places are written and claimed in rounds.
     """
-    found = matches(pages, values, labels).join(values.select("document_id", "field_path", "page"), ["document_id", "field_path"])
+    found = placed(checkpoint(prepared(pages)), checkpoint(candidates(values)), labels)  # both are read twice
     parts = F.split("field_path", r"\.")
     turns = F.create_map(*(F.lit(x) for i, name in enumerate(ORDER) for x in (name, i)))
     found = checkpoint(found.withColumns({"row": F.when(F.size(parts) == 3, parts[1].cast("int")), "cell": F.element_at(parts, -1)}))
