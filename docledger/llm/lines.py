@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing normalised lines and the sentences in them."""
+"""Substring deduplication by hashing normalised lines, and the sentences in them."""
 
 from __future__ import annotations
 
@@ -28,16 +28,38 @@ def normalise(unit: str) -> bytes:
     return b" ".join(unit.lower().encode().split())
 
 
-def units(text: str, least: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of a text's units in order, without gaps: sentences, joined until they have `least` characters."""
-    start = 0
+def units(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, normal form) of a text's lines and sentences that are not blank, each line before its sentences.
+
+    A line of one sentence is that sentence. A sentence takes the white space behind it, the line feeds at its line's end included.
+    """
+    line: list[tuple[int, int, bytes]] = []
+
+    def done() -> Iterator[tuple[int, int, bytes]]:
+        if len(line) > 1:
+            parts = [key + (b" " if text[end - 1] in BLANK else b"") for _, end, key in line]
+            yield line[0][0], line[-1][1], b"".join(parts).rstrip()
+        yield from line
+
     for m in SENTENCE.finditer(text):
-        end = m.end()
-        if end - start >= least and end > start:
-            yield start, end
-            start = end
-    if start < len(text):
-        yield start, len(text)
+        start, end = m.span()
+        if end > start:
+            unit = m.group()
+            if key := normalise(unit):
+                line.append((start, end, key))
+            if "\n" in unit:
+                yield from done()
+                line.clear()
+    yield from done()
+
+
+def outermost(cuts: list[dict]) -> list[dict]:
+    """Spans without those inside others."""
+    out: list[dict] = []
+    for cut in sorted(cuts, key=lambda c: (c["start"], -c["end"])):
+        if not out or cut["start"] >= out[-1]["end"]:
+            out.append(cut)
+    return out
 
 
 def spans(docs: DataFrame, least: int) -> DataFrame:
@@ -54,9 +76,9 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
             ids, versions, texts = batch.columns
             rows: list[tuple] = []
             for i, text in enumerate(texts.to_pylist()):
-                for n, (a, b) in enumerate(units(text or "", least)):
-                    if key := normalise(unit := text[a:b]):
-                        b = a + len(FEEDS.sub("", unit)) if a and text[a - 1] != "\n" else b  # the line before ends here
+                for n, (a, b, key) in enumerate(units(text or "")):
+                    if len(key) >= least:
+                        b = a + len(FEEDS.sub("", text[a:b])) if a and text[a - 1] != "\n" else b  # the line before ends here
                         rows.append((i, n, hashlib.blake2b(key, digest_size=16).digest(), a, b))
                         if len(rows) >= FLUSH:
                             yield batch_of(ids, versions, rows)
@@ -78,13 +100,13 @@ def without(text: str, cuts: list[dict]) -> str:
 def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Removes every line, and every sentence within a line, that has occurred before in the corpus.
 
-    A unit ends with a line or a sentence, once it has `least` characters: shorter ones are joined to
-    what follows, so that no part of a text is left out and a lone word is no unit (with 0, each line and sentence is one).
-    A repeated line is found by its sentences; so is a passage that begins or ends inside lines, but for the parts of
-    sentences at its ends. Units are compared by a 128-bit digest after white space is made uniform and case is folded;
-    of equal units the one of the smallest id, then the first within its document, stays. Returns id, text (what is
-    left), n_units (not blank), removed (the spans taken out, in characters of the original text; of a unit that does
-    not begin its line the line feeds behind it stay).
+    Lines and sentences are units of their own, whatever stands beside them: a line that occurred before goes whole, one that did
+    not loses the sentences that occurred before, as lines or as sentences. So a passage that begins or ends inside lines is
+    found but for the parts of sentences at its ends. Units whose normal form has under `least` bytes stay (a lone word is no
+    repeat), but go with their line. Units are compared by a 128-bit digest after white space is made uniform
+    and case is folded; of equal units the one of the smallest id, then the first within its document, stays. Returns id, text (what
+    is left), n_units (sentences that are not blank), removed (the spans taken out, in characters of the original text; of a
+    unit that does not begin its line the line feeds behind it stay).
 
     A null text has no units and stays null; an empty one stays empty. Null ids rank last. Rows with the same id and
     text are one document and get the same result; equal ids with different texts rank by a hash of the text. Extra
@@ -106,11 +128,12 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, cuts = batch.columns
-            left, counts = [], []
+            left, counts, spans_ = [], [], []
             for text, own in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-                counts.append(sum(1 for a, b in units(text or "", least) if text[a] not in BLANK or not BLANKS.fullmatch(text, a, b)))
-                left.append(without(text, own) if own else text)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(left, pa.string()), pa.array(counts, pa.int64()), cuts], names=schema.names)
+                counts.append(sum(1 for m in SENTENCE.finditer(text or "") if m.end() > m.start() and (text[m.start()] not in BLANK or not BLANKS.fullmatch(text, *m.span()))))
+                spans_.append(outermost(own))
+                left.append(without(text, spans_[-1]) if own else text)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(left, pa.string()), pa.array(counts, pa.int64()), pa.array(spans_, cuts.type)], names=schema.names)
 
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v"))
     joined = docs.join(dropped, same, "left").select("id", "text", F.coalesce("removed", F.from_json(F.lit("[]"), SPAN)).alias("removed"))
@@ -121,15 +144,17 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, id_col: str
 SQL = r"""
 with cut as (select doc_id, coalesce(text, '') as text,
     list_filter(regexp_extract_all(coalesce(text, ''), '(?:[^\n.!?。！？]+|[.!?]+[^\x20\x09-\x0D.!?。！？])*[.!?。！？]*[\x20\x09-\x0D]*'), lambda x: x <> '') as us from documents),
-counted as (select doc_id, text, list_transform(us, lambda x: [struct_pack(u := x, n := length(x))]) as us from cut where us <> []),
-joined as (select doc_id, text, list_reduce(us, lambda done, x: case when done[-1].n >= 24 then list_concat(done, x) else list_concat(done[:-2], [struct_pack(u := concat(done[-1].u, x[1].u), n := done[-1].n + x[1].n)]) end) as us from counted),
-units as (select doc_id, text, unnest(us).u as u, generate_subscripts(us, 1) as k from joined),
-placed as (select *, sum(length(u)) over (partition by doc_id order by k) - length(u) as a, lower(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as key from units),
-ranked as (select *, key <> '' and row_number() over (partition by key order by doc_id nulls last, k) > 1 as gone,
-    case when a > 0 and lag(u) over (partition by doc_id order by k) not like '%' || chr(10) then regexp_replace(u, '\n[\x20\x09-\x0D]*$', '') else u end as own from placed),
-done as (select doc_id, count(*) filter (where key <> '') as n_units, count(*) filter (where gone) as n_removed,
-    coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(own) as bigint), ';' order by a) filter (where gone), '') as removed,
-    coalesce(string_agg(case when gone then substr(u, length(own) + 1) else u end, '' order by a), '') as kept from ranked group by doc_id)
-select c.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed, cast(length(coalesce(kept, '')) as bigint) as n_chars, md5(coalesce(kept, '')) as kept_md5
+each as (select doc_id, unnest(us) as u, generate_subscripts(us, 1) as k from cut),
+placed as (select *, sum(length(u)) over (partition by doc_id order by k) - length(u) as a, coalesce(sum(contains(u, chr(10))::integer) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as ln,
+    lower(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as key from each),
+sentences as (select doc_id, ln, 1 as level, a, u, key from placed where key <> ''),
+whole as (select doc_id, ln, 0 as level, min(a) as a, string_agg(u, '' order by a) as u from sentences group by doc_id, ln having count(*) > 1),
+units as (select * from sentences union all select *, lower(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) from whole),
+ranked as (select *, row_number() over (partition by key order by doc_id nulls last, a, level) > 1 as again from units where strlen(key) >= 24),
+gone as (select r.doc_id, ln, level, cast(r.a as bigint) as a, cast(r.a + length(case when r.a > 0 and c.text[r.a::bigint] <> chr(10) then regexp_replace(u, '\n[\x20\x09-\x0D]*$', '') else u end) as bigint) as e
+    from ranked r join cut c on r.doc_id is not distinct from c.doc_id where again),
+outer_ as (select g.*, lag(e, 1, 0) over (partition by doc_id order by a) as before from gone g where level = 0 or not exists (select 1 from gone h where h.level = 0 and h.doc_id is not distinct from g.doc_id and h.ln = g.ln)),
+done as (select o.doc_id, count(*) as n_removed, string_agg(a || '-' || e, ';' order by a) as removed, string_agg(substr(c.text, before + 1, a - before), '' order by a) || substr(any_value(c.text), max(e) + 1) as kept from outer_ o join cut c on o.doc_id is not distinct from c.doc_id group by o.doc_id)
+select c.doc_id, (select count(*) from sentences s where s.doc_id is not distinct from c.doc_id) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed, cast(length(coalesce(kept, c.text)) as bigint) as n_chars, md5(coalesce(kept, c.text)) as kept_md5
 from cut c left join done d on c.doc_id is not distinct from d.doc_id
 """

@@ -80,8 +80,8 @@ def top(rows, k=20, every=20, scale=64):
 BLANK, MARKS, FULL = " \t\n\v\f\r", ".!?", "。！？"
 
 
-def units(text, least=24):
-    """(start, end) of sentences, joined until they have so many characters."""
+def units(text):
+    """(start, end) of sentences."""
     out, start, i = [], 0, 0
     while i < len(text):
         while i < len(text) and text[i] != "\n" and text[i] not in FULL:
@@ -97,33 +97,45 @@ def units(text, least=24):
             i += 1
         while i < len(text) and text[i] in BLANK:
             i += 1
-        if i - start >= least or i == len(text):
-            out.append((start, i))
-            start = i
+        out.append((start, i))
+        start = i
     return out
 
 
 def lines(rows, least=24):
-    """(doc, kept text, number of units taken out) of documents with different ids."""
+    """(doc, kept text, number of spans taken out) of documents with different ids."""
     seen, out = set(), {}
+
+    def key_of(unit):
+        key = " ".join(unit.translate(str.maketrans(BLANK, " " * 6)).split(" ")).strip(" ").lower()
+        while "  " in key:
+            key = key.replace("  ", " ")
+        return key
+
     for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        text, kept, gone = text or "", "", 0
-        for a, b in units(text, least):
-            key = " ".join(text[a:b].translate(str.maketrans(BLANK, " " * 6)).split(" ")).strip(" ").lower()
-            while "  " in key:
-                key = key.replace("  ", " ")
-            if key and key in seen:
-                gone += 1
-                end = b
-                if a and text[a - 1] != "\n":
-                    blank = len(text[a:b]) - len(text[a:b].rstrip(BLANK))
-                    feed = text.find("\n", b - blank, b)
-                    end = b if feed < 0 else feed
-                kept += text[end:b]
-            else:
+        text, rows_ = text or "", [[]]
+        for a, b in units(text):
+            if key_of(text[a:b]):
+                rows_[-1].append((a, b))
+            if "\n" in text[a:b]:
+                rows_.append([])
+        gone = []
+        for own in rows_:
+            for a, b in ([(own[0][0], own[-1][1])] if len(own) > 1 else []) + own:
+                key = key_of(text[a:b])
+                if len(key.encode()) < least:
+                    continue
+                if key in seen:
+                    if a and text[a - 1] != "\n":
+                        feed = text.find("\n", a + len(text[a:b].rstrip(BLANK)), b)
+                        b = b if feed < 0 else feed
+                    gone.append((a, b))
                 seen.add(key)
-                kept += text[a:b]
-        out[doc] = (kept, gone)
+        gone = [g for g in gone if not any(h != g and h[0] <= g[0] and g[1] <= h[1] for h in gone)]
+        at, kept = 0, ""
+        for a, b in sorted(gone):
+            kept, at = kept + text[at:a], b
+        out[doc] = (kept + text[at:], len(gone))
     return out
 
 

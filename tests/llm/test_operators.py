@@ -129,12 +129,12 @@ def test_lines(spark):
     rows = [(3, f"{line}\nshort\n{line}"), (1, f"other text here that is long enough\n{line.upper()}"), (2, None), (4, ""), (5, "short"), (None, f"x\n{line}\n"), (6, "y" * 100_000), (7, " \n\n"), (8, "a. " * 50_000)]
     frame = plain.clashing(spark.createDataFrame(texts(rows), DOCS))
     got = {r.doc_id: (r.text, len(r.removed)) for r in lines.remove_repeated_lines(frame).collect()}
-    assert {k: (t or "", n) for k, (t, n) in got.items()} == plain.lines(rows) and got[2][0] is None and got[3] == ("short\n" + line, 1)
+    assert {k: (t or "", n) for k, (t, n) in got.items()} == plain.lines(rows) and got[2][0] is None and got[3] == ("short\n", 2)
     repeated = lines.remove_repeated_lines(frame.union(frame)).collect()
     assert len(repeated) == 2 * len(rows) and {r.doc_id: (r.text, len(r.removed)) for r in repeated} == got
     assert lines.remove_repeated_lines(frame.limit(0)).count() == 0
     spans = next(r for r in lines.remove_repeated_lines(frame).collect() if r.doc_id == 3).removed
-    assert [rows[0][1][s.start : s.end] for s in spans] == [line + "\n"]
+    assert [rows[0][1][s.start : s.end] for s in spans] == [line + "\n", line]
     every = {r.doc_id: r.text for r in lines.remove_repeated_lines(frame, least=0).collect()}
     assert every == {k: v[0] if k != 2 else None for k, v in plain.lines(rows, 0).items()} and every[5] == "" and every[8] == "a. "
 
@@ -148,6 +148,26 @@ def test_lines_brute(spark):
     assert got == plain.lines(rows)
 
 
+def test_repeated_lines_go(spark):
+    """No line that stood before in the corpus is left, whatever short lines or sentences stand before it."""
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    key = lambda line: " ".join(line.lower().split())
+    seen, again = set(), {}
+    for doc, text in rows:
+        for line in text.split("\n"):
+            if len(key(line)) >= 24:
+                if key(line) in seen:
+                    again.setdefault(doc, []).append(key(line))
+                seen.add(key(line))
+    left = {r.doc_id: [key(x) for x in r.text.split("\n")] for r in lines.remove_repeated_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.doc_id in again}
+    firsts = {}
+    for doc, text in rows:
+        for line in text.split("\n"):
+            firsts.setdefault(key(line), doc)
+    assert sum(map(len, again.values())) > 1000
+    assert not [(doc, x) for doc, own in again.items() for x in own if x in left[doc] and firsts[x] != doc]
+
+
 def test_languages(spark):
     got = QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
     true = dict(rows_of_large(spark))
