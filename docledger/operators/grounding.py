@@ -1,14 +1,14 @@
 """Grounding: where on its pages each extracted value is printed.
 
-Tokens and candidates meet in an index of beginnings (first word, normal form, first character, digit, month) before any
-window is spelled, so that windows are only made where a candidate may start. Windows then meet the candidates of their
-document on what they spell, or on a part of it that so few edits leave whole. Values claim their tokens in rounds
-over all documents at once. All of it is joins, aggregates and Column expressions.
+Candidates are brought to the pages of their document once, and everything else is made where a page is: a candidate is
+tried only from tokens that it may begin with (first word, normal form, first character, digit, month), in windows of about
+its own length. The places of one document then claim their tokens by a fold. All of it is one join, one aggregate and Column
+expressions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from docledger.functions import dates, fuzzy, money, text
 from docledger.operators.tokens import box_of
 from docledger.plans.derived import FIELDS, MONEY_FIELDS
-from docledger.shared import checkpoint
 
 MOST_TOKENS = 12
 LEAST_SIMILAR, FUZZY_SHARE = 0.85, 0.8
@@ -59,15 +58,14 @@ def candidates(values: DataFrame) -> DataFrame:
     amount = F.when(F.col("kind").isin("money", "number"), money.parse_money(F.col("raw")))
     day = F.when(F.col("kind") == "date", F.coalesce(F.when(dates.is_iso_date(F.col("raw")), F.col("raw").try_cast("date")), dates.parse_date(F.col("raw"))))
     norm = F.when(F.col("raw").contains(" "), text.normalize_words(F.col("raw"))).otherwise(text.normalize_text(F.col("raw")))
-    out = rows.select("*", norm.alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), amount.alias("amount"), day.alias("day"))
-    return out.repartition("document_id")  # shared by those who read them twice
+    return rows.select("*", norm.alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), amount.alias("amount"), day.alias("day"))
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Pages (document_id, page_no, tokens) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
+    """Pages (document_id, page_no, tokens, and what else they have) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
 
     def made(t: Column, norm: Column, key: Column, money_: Column, digit: Column) -> Column:
-        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), norm.isin(*dates.MONTHS).alias("month"))
+        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), norm.isin(*dates.MONTHS).alias("month"), first_word(norm).alias("b_norm"), F.substring(key, 1, 1).alias("b_key"))
 
     def token(t: Column) -> Column:
         word = t["text"]
@@ -79,71 +77,64 @@ def prepared(pages: DataFrame) -> DataFrame:
         plain = text.bound(lower, lambda low: made(t, low, F.when(low.isin(*text.CODES), "").otherwise(low), low.isin(*text.CODES), F.lit(False)))
         return F.when(word.rlike("^[A-Za-z]+$"), plain).otherwise(other)
 
-    # dealt by page first, as this takes more time than reading; those who read the pages twice share the shuffle
-    return pages.select("document_id", "page_no", "tokens").repartition("document_id", "page_no").withColumn("tokens", F.transform("tokens", token))
+    return pages.withColumn("tokens", F.transform("tokens", token))
 
 
 def first_word(column: Column) -> Column:
-    return F.split(column, " ")[0]
+    return F.substring_index(column, " ", 1)
 
 
-def sign(kind: str, value: Column, when: Column | None = None) -> Column:
-    marked = F.concat(F.lit(kind), value)
-    return marked if when is None else F.when(when, marked)
+def asked(wanted: DataFrame) -> DataFrame:
+    """(document_id, wanted): the candidates of each document in one array, with what a place of theirs may begin with."""
+    amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
+    parts = F.split("field_path", r"\.")
+    begins = (first_word(F.col("raw")).alias("b_raw"), first_word(F.col("norm")).alias("b_norm"), F.when(keyed, F.substring("key", 1, 1)).otherwise("").alias("b_key"), (amount | day).alias("b_digit"), day.alias("b_month"))
+    named = F.when(F.size(parts) == 3, parts[1].cast("int")).alias("row"), F.element_at(parts, -1).alias("cell")
+    return wanted.groupBy("document_id").agg(F.collect_list(F.struct("field_path", *named, "page", "ordinal", "raw", "norm", "key", "words", "amount", "day", F.length("key").alias("n"), *begins)).alias("wanted"))
 
 
-def beginnings(raw: Column, norm: Column, key: Column, digit: Column, month: Column) -> Column:
-    """What a token begins with, or a candidate has to: R the word as printed, N its normal form, K the key's first character, F a digit, M a month."""
-    none = F.lit("")
-    return F.array(sign("R", raw), sign("N", norm, norm != ""), sign("K", F.substring(key, 1, 1), key != ""), sign("F", none, digit), sign("M", none, month))
+def run_of(tokens: Column, start: Column, size: Column) -> Column:
+    """Some tokens from a place on; reads these only, where a slice would go through all of them."""
+    return F.filter(F.transform(F.sequence(start, start + size - 1), lambda i: F.get(tokens, i)), lambda t: t.isNotNull())
 
 
-def with_sign(rows: DataFrame, signs: Column, *columns: str) -> DataFrame:
-    """Rows, or some columns of them, once for each sign that is not null."""
-    return rows.select(*(columns or ["*"]), F.explode(signs).alias("sign")).filter("sign is not null")
+def starts(tokens: Column, wanted: Column) -> Column:
+    """Places at which a candidate may begin: n, who may begin there, and the tokens ahead.
 
+    These are as many as a window from there may have: the words of the longest candidate that begins so, and two, at most 12.
+    """
 
-def starts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Places at which a candidate of the document may begin: (document_id, page_no, starts: array of n, most, amounts, days, shortest, longest, raw, norm).
+    def may(t: Column, c: Column) -> Column:
+        return (t["b_key"] != "") & (t["b_key"] == c["b_key"]) | t["digit"] & c["b_digit"] | (t["text"] == c["b_raw"]) | (t["b_norm"] != "") & (t["b_norm"] == c["b_norm"]) | t["month"] & c["b_month"]
 
-    `most` is how many tokens a window from there may have (the words of the longest candidate that begins so, and two, at
-    most 12); amounts, days, raw and norm tell whether a candidate admitted there is an amount, a day, or was admitted by its first word;
-    shortest and longest how long their keys are, null if too short for near matches.
-    """
-    amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
-    begins = beginnings(first_word(F.col("raw")), first_word(F.col("norm")), F.when(keyed, F.col("key")).otherwise(""), amount | day, day)
-    sought = (
-        with_sign(wanted, begins).select("document_id", "sign", F.least(F.lit(MOST_TOKENS), F.col("words") + 2).alias("most"), amount.alias("amounts"), day.alias("days"), F.when(keyed, F.length("key")).alias("length"))
-        .groupBy("document_id", "sign")
-        .agg(F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
-    )
-    each = pages.select("document_id", "page_no", F.posexplode("tokens").alias("n", "t"))
-    tokens = with_sign(each, beginnings(F.col("t.text"), first_word(F.col("t.norm")), F.col("t.key"), F.col("t.digit"), F.col("t.month")), "document_id", "page_no", "n")
-    met = tokens.join(sought, ["document_id", "sign"]).repartition("document_id", "page_no")
-    kind = F.substring("sign", 1, 1)
-    flags = [F.max("most").alias("most"), F.bool_or("amounts").alias("amounts"), F.bool_or("days").alias("days"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), F.bool_or(kind == "R").alias("raw"), F.bool_or(kind == "N").alias("norm")]
-    return met.groupBy("document_id", "page_no", "n").agg(*flags).groupBy("document_id", "page_no").agg(F.collect_list(F.struct("n", "most", "amounts", "days", "shortest", "longest", "raw", "norm")).alias("starts"))
+    some = F.filter(F.transform(tokens, lambda t, n: F.struct(n.alias("n"), F.filter(wanted, lambda c: may(t, c)).alias("who"))), lambda s: F.size(s["who"]) > 0)
+    most = lambda s: F.least(F.lit(MOST_TOKENS), F.array_max(F.transform(s["who"], lambda c: c["words"])) + 2)
+    return F.transform(some, lambda s: F.struct(s["n"].alias("n"), s["who"].alias("who"), run_of(tokens, s["n"], most(s)).alias("ahead")))
 
 
-def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows from admitted starts, of as many tokens as a candidate admitted there allows, and what they spell.
+def with_wanted(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pages with the candidates of their document, tokens prepared. All that follows is made page by page, where the page is."""
+    return prepared(pages.select("document_id", "page_no", "tokens").join(asked(wanted), "document_id"))
+
+
+def spelled(pages: DataFrame, *kept: str) -> DataFrame:
+    """Windows of pages with their candidates, from admitted starts, of as many tokens as a candidate admitted there allows, and what they spell.
 
     Amounts and days are only read where a candidate of the kind is admitted: amounts in up to three tokens, days in up to
     four.
     """
-    ahead = F.transform("starts", lambda s: F.struct(s.alias("s"), F.slice("tokens", s["n"] + 1, s["most"]).alias("ahead")))
-    rows = pages.join(starts(pages, wanted), ["document_id", "page_no"]).select("document_id", "page_no", F.explode(ahead).alias("x")).select("document_id", "page_no", "x.s", "x.ahead")
+    rows = pages.select("document_id", "page_no", *kept, F.explode(starts(F.col("tokens"), F.col("wanted"))).alias("s")).select("document_id", "page_no", *kept, F.col("s.n").alias("start"), "s.who", "s.ahead")
     sized = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("size")).withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
     part = lambda c: F.transform("own", lambda t: t[c])
-    spelled = sized.withColumns({"first": F.col("own")[0], "w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), "")})
-    shaped = F.col("s.amounts") & (F.col("size") <= 3) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
-    dated = F.col("s.days") & (F.col("size") <= 4)
-    return spelled.select(
-        "document_id", "page_no", F.col("s.n").alias("start"), "size", F.col("s.raw").alias("by_raw"), F.col("s.norm").alias("by_norm"), F.col("s.shortest").alias("shortest"), F.col("s.longest").alias("longest"), "w_raw", "w_norm", "w_key",
-        F.col("first.text").alias("first_text"), F.col("first.norm").alias("first_norm"), F.col("first.key").alias("first_key"), F.col("first.digit").alias("digit"), F.col("first.month").alias("month"),
-        F.col("first.line").alias("line"), F.col("first.x").alias("x"), box_of(F.col("own")).alias("box"),
-        F.when(shaped, money.parse_money(F.col("w_raw"))).alias("w_amount"), F.when(dated, dates.parse_date(F.col("w_raw"))).alias("w_day"),
-    )
+    words = sized.withColumns({"w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), "")})
+    shaped = (F.col("size") <= 3) & F.exists("who", lambda c: c["amount"].isNotNull()) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
+    dated = (F.col("size") <= 4) & F.exists("who", lambda c: c["day"].isNotNull())
+    return words.withColumns({"w_amount": F.when(shaped, money.parse_money(F.col("w_raw"))), "w_day": F.when(dated, dates.parse_date(F.col("w_raw")))})
+
+
+def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All windows in which a candidate may be printed, and what they spell."""
+    return spelled(with_wanted(pages, wanted)).select("document_id", "page_no", "start", "size", "w_raw", "w_norm", "w_key", "w_amount", "w_day")
 
 
 def edits(longest: Column) -> Column:
@@ -151,108 +142,59 @@ def edits(longest: Column) -> Column:
     return F.floor(longest * (1 - LEAST_SIMILAR) + 1e-9)
 
 
-ONE_EDIT, MORE_EDITS = 7, 14
-assert int(ONE_EDIT * (1 - LEAST_SIMILAR) + 1e-9) == 1 and int((MORE_EDITS - 1) * (1 - LEAST_SIMILAR) + 1e-9) == 1 and int((ONE_EDIT - 1) * (1 - LEAST_SIMILAR) + 1e-9) == 0
-
+def scored(found: DataFrame, *kept: str) -> DataFrame:
+    """Windows that match a candidate admitted there, with score and method: exact, normalized, or fuzzy where the strings nearly agree."""
+    m = F.length("w_key")
+    near = lambda c: (c["n"] >= 3) & (F.abs(m - c["n"]) <= F.greatest(F.lit(2), F.floor(c["n"] * 0.25))) & (F.abs(m - c["n"]) <= edits(F.greatest(c["n"], m)))
+    # alignment has at least half as many edits as without swaps
+    close = lambda c: near(c) & (F.levenshtein("w_key", c["key"]) <= 2 * edits(F.greatest(c["n"], m)))
+    normal = lambda c: (c["norm"] != "") & (F.col("w_norm") == c["norm"]) | F.coalesce(F.col("w_amount") == c["amount"], F.lit(False)) | F.coalesce(F.col("w_day") == c["day"], F.lit(False))
+    tried = F.filter("who", lambda c: (F.col("size") <= c["words"] + 2) & ((F.col("w_raw") == c["raw"]) | normal(c) | close(c)))
+    sure = lambda c: F.when(F.col("w_raw") == c["raw"], 1.0).when(normal(c), 0.9)
+    similar = lambda c: F.when(F.col("w_key") == c["key"], 1.0).otherwise(1 - fuzzy.osa_column(F.col("w_key"), c["key"]) / F.greatest(c["n"], m))
+    judged = F.transform(F.transform(tried, lambda c: F.struct(c.alias("c"), sure(c).alias("sure"))), lambda x: F.struct(x["c"].alias("c"), x["sure"].alias("sure"), F.when(x["sure"].isNull(), similar(x["c"])).alias("similar")))
+    # filtered in the array, as a filter of rows would move below the columns that it reads and make them once more for each candidate
+    met = F.filter(judged, lambda x: x["sure"].isNotNull() | (x["similar"] >= LEAST_SIMILAR))
+    rows = found.select("document_id", "page_no", *kept, "start", "size", "own", "w_raw", F.explode(met).alias("x")).select("*", "x.*")
+    method = F.when(F.col("sure") == 1.0, "exact").when(F.col("sure").isNotNull(), "normalized").otherwise("fuzzy")
+    first = F.col("own")[0]
+    return rows.select(
+        "document_id", "page_no", *kept, "c.field_path", "c.row", "c.cell", "c.page", "c.ordinal", "start", (F.col("start") + F.col("size")).alias("end"),
+        F.coalesce("sure", F.col("similar") * FUZZY_SHARE).alias("score"), method.alias("method"), F.col("w_raw").alias("matched_text"), first["line"].alias("line"), first["x"].alias("x"), box_of(F.col("own")).alias("box"),
+    )
 
-def halves(key: Column, length: Column) -> list[Column]:
-    """Beginning and end of a key that meets one of a length. One edit, even a swap in the middle, leaves one of them whole."""
-    part = F.floor((length - 2) / 2).cast("int")
-    tag = F.concat(length.cast("string"), F.lit(" "))
-    return [F.concat(F.lit("p"), tag, F.substring(key, F.lit(1), part)), F.concat(F.lit("s"), tag, F.right(key, part))]
 
+def label_phrases(labels: DataFrame) -> Column:
+    """Labels (field, label: a fixed list of some fifty) as an array of field, phrase, word (its first) and n (how many)."""
+    phrases = labels.select("field", text.normalize_words(F.col("label")).alias("phrase")).filter("phrase <> ''")
+    rows = [(r.field, r.phrase, r.phrase.split(" ")) for r in phrases.collect()]
+    return F.array(*(F.struct(F.lit(field).alias("field"), F.lit(phrase).alias("phrase"), F.lit(words[0]).alias("word"), F.lit(len(words)).alias("n")) for field, phrase, words in rows))
 
-def scored(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows that match a candidate, with score and method: exact, normalized, or fuzzy where the strings nearly agree.
 
-    Both sides carry signs of what they spell: r raw, n normal form, a amount, d day, and for near matches of their keys k
-    a short key, which has to agree whole; p and s the beginning or end of one that may have one edit; for longer ones how
-    they begin, with the length. A pair that meets by several signs counts at the first.
-    """
-    empty = F.array().cast("array<string>")
-    amount, day, keyed = F.col("amount").isNotNull(), F.col("day").isNotNull(), F.length("key") >= 3
-    n, m = F.length("key"), F.length("w_key")
-    sized = lambda signs, length: F.transform(signs, lambda x: F.concat(x, F.lit(" "), length.cast("string")))
-    # keys of lengths that no candidate admitted there comes near need no signs
-    may = F.coalesce((m >= F.ceil(F.col("shortest") * LEAST_SIMILAR - 1e-9)) & (m <= F.floor(F.col("longest") / LEAST_SIMILAR + 1e-9)), F.lit(False))
-    of_window = F.concat(
-        F.array(
-            sign("r", F.col("w_raw"), F.col("by_raw")), sign("n", F.col("w_norm"), (F.col("w_norm") != "") & (F.col("by_norm") | (F.col("first_norm") == ""))),
-            sign("a", F.col("w_amount").cast("string")), sign("d", F.col("w_day").cast("string")), sign("k", F.col("w_key"), may & (m < ONE_EDIT)),
-        ),
-        F.when(may & (m >= ONE_EDIT - 1) & (m < MORE_EDITS), F.array(*halves(F.col("w_key"), m))).otherwise(empty),
-        F.when(may & (m >= MORE_EDITS * LEAST_SIMILAR), sized(beginnings(F.col("first_text"), first_word(F.col("first_norm")), F.col("first_key"), F.col("digit"), F.col("month")), m)).otherwise(empty),
-    )
-    like = F.sequence(F.ceil(n * LEAST_SIMILAR - 1e-9).cast("int"), F.floor(n / LEAST_SIMILAR + 1e-9).cast("int"))
-    one = F.filter(F.array(n - 1, n, n + 1), lambda x: (F.greatest(x, n) >= ONE_EDIT) & (F.greatest(x, n) < MORE_EDITS))
-    more = F.filter(like, lambda x: F.greatest(x, n) >= MORE_EDITS)
-    begins_wanted = beginnings(first_word(F.col("raw")), first_word(F.col("norm")), F.col("key"), amount | day, day)
-    of_wanted = F.concat(
-        F.array(sign("r", F.col("raw")), sign("n", F.col("norm"), F.col("norm") != ""), sign("a", F.col("amount").cast("string")), sign("d", F.col("day").cast("string")), sign("k", F.col("key"), keyed & (n < ONE_EDIT))),
-        F.when(keyed, F.flatten(F.transform(one, lambda x: F.array(*halves(F.col("key"), x))))).otherwise(empty),
-        F.when(keyed, F.flatten(F.transform(more, lambda x: sized(begins_wanted, x)))).otherwise(empty),
-    )
-    met = with_sign(found, of_window).drop("shortest", "longest").join(with_sign(wanted, of_wanted), ["document_id", "sign"]).filter(F.col("size") <= F.col("words") + 2)
-    begins = {
-        "R": F.col("first_text") == first_word(F.col("raw")),
-        "N": (F.col("first_norm") != "") & (F.col("norm") != "") & (first_word(F.col("first_norm")) == first_word(F.col("norm"))),
-        "K": (F.col("first_key") != "") & keyed & (F.substring("first_key", 1, 1) == F.substring("key", 1, 1)),
-        "F": F.col("digit") & (amount | day),
-        "M": F.col("month") & day,
-    }
-    spells = {
-        "r": F.col("w_raw") == F.col("raw"),
-        "n": (F.col("norm") != "") & (F.col("w_norm") == F.col("norm")),
-        "a": F.coalesce(F.col("w_amount") == F.col("amount"), F.lit(False)),
-        "d": F.coalesce(F.col("w_day") == F.col("day"), F.lit(False)),
-    }
-    first = lambda tests: F.coalesce(*(F.when(test, kind) for kind, test in tests.items()))
-    longest, part = F.greatest(n, m), F.floor((m - 2) / 2).cast("int")
-    halved = F.when(F.substring(F.col("w_key"), F.lit(1), part) == F.substring(F.col("key"), F.lit(1), part), "p").when(F.right("w_key", part) == F.right("key", part), "s")
-    nearly = F.when(longest < ONE_EDIT, "k").when(longest < MORE_EDITS, halved).otherwise(F.col("begins"))
-    met = met.withColumns({"begins": first(begins), "spells": first(spells)}).filter(F.col("begins").isNotNull())
-    met = met.filter(F.substring("sign", 1, 1) == F.coalesce("spells", nearly))
-    sure = F.col("spells").isNotNull()
-    near = keyed & (F.abs(m - n) <= F.greatest(F.lit(2), F.floor(n * 0.25)))
-    # alignment has at least half as many edits as without swaps
-    close = near & (F.levenshtein("w_key", "key") <= 2 * edits(longest))
-    tried = met.filter(sure | close).withColumn("similar", F.when(~sure, 1 - fuzzy.osa_column(F.col("w_key"), F.col("key")) / longest)).filter(sure | (F.col("similar") >= LEAST_SIMILAR))
-    method = F.when(F.col("spells") == "r", "exact").when(sure, "normalized").otherwise("fuzzy")
-    score = F.when(F.col("spells") == "r", 1.0).when(sure, 0.9).otherwise(F.col("similar") * FUZZY_SHARE)
-    return tried.withColumns({"method": method, "score": score}).drop("similar")
+def centres(tokens: Column, phrases: Column) -> Column:
+    """Array of field, cx, cy: centres of the labels printed among tokens. Tokens are only followed where a label's first word stands."""
+    words = F.array_distinct(F.transform(phrases, lambda p: p["word"]))
+    begun = F.transform(F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(words, first_word(t["norm"])), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), first_word(F.get(tokens, i)["norm"]).alias("word")))
+    ahead = lambda b: F.transform(F.filter(phrases, lambda p: p["word"] == b["word"]), lambda p: F.struct(p["field"].alias("field"), p["phrase"].alias("phrase"), run_of(tokens, b["i"], p["n"]).alias("own")))
+    met = F.filter(F.flatten(F.transform(begun, ahead)), lambda x: F.array_join(F.transform(x["own"], lambda t: t["norm"]), " ") == x["phrase"])
+    boxed = F.transform(met, lambda x: F.struct(x["field"].alias("field"), box_of(x["own"]).alias("box")))
+    return F.transform(boxed, lambda x: F.struct(x["field"].alias("field"), (x["box"]["x"] + x["box"]["w"] / 2).alias("cx"), (x["box"]["y"] + x["box"]["h"] / 2).alias("cy")))
 
 
 def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(document_id, page_no, field, cx, cy): centres of the labels (field, label: a fixed list) printed on pages.
-
-    Tokens are only followed where a label's first word stands.
-    """
-    phrases = labels.select("field", text.normalize_words(F.col("label")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " "))).withColumn("word", first_word(F.col("phrase")))
-    words = [r.word for r in phrases.select("word").distinct().collect()]
-    begun = F.filter(F.transform("tokens", lambda t, i: F.when(first_word(t["norm"]).isin(words), i)), lambda i: i.isNotNull())
-    slim = lambda t: F.struct(*(t[c].alias(c) for c in ("norm", "x", "y", "w", "h")))
-    ahead = F.transform(begun, lambda i: F.transform(F.slice("tokens", i + 1, F.lit(MOST_TOKENS)), slim))
-    tokens = pages.select("document_id", "page_no", F.explode(ahead).alias("ahead")).withColumn("word", first_word(F.col("ahead")[0]["norm"]))
-    hits = tokens.join(F.broadcast(phrases), "word").withColumn("own", F.slice("ahead", F.lit(1), F.col("n")))  # a fixed list of some fifty labels
-    hits = hits.filter(F.array_join(F.transform("own", lambda t: t["norm"]), " ") == F.col("phrase")).withColumn("box", box_of(F.col("own")))
-    return hits.select("document_id", "page_no", "field", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"))
+    """(document_id, page_no, field, cx, cy): centres of the labels (field, label: a fixed list) printed on prepared pages."""
+    return pages.select("document_id", "page_no", F.explode(centres(F.col("tokens"), label_phrases(labels))).alias("c")).select("document_id", "page_no", "c.*")
 
 
 def matches(pages: DataFrame, values: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """All places of all values: score, method, box, line, and the distance to the field's nearest label (null without one)."""
-    return placed(prepared(pages), candidates(values), labels)
-
-
-def placed(ready: DataFrame, wanted: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The same of prepared pages and candidates."""
-    found = scored(windows(ready, wanted), wanted)
-    rows = found.select("document_id", "field_path", "page", "ordinal", "page_no", "start", (F.col("start") + F.col("size")).alias("end"), "score", "method", F.col("w_raw").alias("matched_text"), "line", "x", "box")
+    ready = with_wanted(pages, candidates(values))
     if labels is None:
-        return rows.withColumn("label_distance", F.lit(None).cast("double"))
-    centres = label_centres(ready, labels).groupBy("document_id", "page_no", F.col("field").alias("field_path")).agg(F.collect_list(F.struct("cx", "cy")).alias("centres"))
+        return scored(spelled(ready)).withColumn("label_distance", F.lit(None).cast("double"))
+    rows = scored(spelled(ready.withColumn("centres", centres(F.col("tokens"), label_phrases(labels))), "centres"), "centres")
     cx, cy = F.col("box.x") + F.col("box.w") / 2, F.col("box.y") + F.col("box.h") / 2
-    distance = F.array_min(F.transform("centres", lambda c: F.abs(c["cy"] - cy) * 3 + F.abs(c["cx"] - cx)))
-    return rows.join(centres, ["document_id", "page_no", "field_path"], "left").withColumn("label_distance", distance).drop("centres")
+    own = F.filter("centres", lambda c: c["field"] == F.col("field_path"))
+    return rows.withColumn("label_distance", F.array_min(F.transform(own, lambda c: F.abs(c["cy"] - cy) * 3 + F.abs(c["cx"] - cx)))).drop("centres")
 
 
 def label_table(spark) -> DataFrame:  # noqa: ANN001
@@ -270,49 +212,51 @@ def best_places(found: DataFrame, preferred: DataFrame | None = None) -> DataFra
     return found.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place", "preferred").withColumn("score", F.floor(F.col("score") * 1000 + 0.5) / 1000)
 
 
-PLACE = ("page_no", "start", "end", "score", "method", "matched_text", "line", "box")
+CELLS = ("quantity", "unitPrice", "amount")
+PLACE = ("field_path", "row", "cell", "page", "ordinal", "page_no", "start", "end", "score", "method", "matched_text", "line", "x", "box")
 
 
-def preference(page: Column, *more: Column) -> Column:
-    """What is least for the best place: score, the preferred page, fewer tokens, then further terms, page order."""
-    far = F.lit(float("inf"))
-    return F.struct(-F.col("score"), ~F.coalesce(F.col("page_no") == page, F.lit(False)), F.col("end") - F.col("start"), *more, F.coalesce("label_distance", far), *(F.col(c) for c in ("page_no", "start", "ordinal")))
+def overlapping(one: Column, other: Column) -> Column:
+    return (one["page_no"] == other["page_no"]) & (one["start"] < other["end"]) & (one["end"] > other["start"])
 
 
-def best(places: DataFrame, *keys: str) -> DataFrame:
-    """The place of least rank for each key, with its keys; combines before the shuffle."""
-    return places.groupBy(*keys).agg(F.min_by(F.struct(*PLACE), "rank").alias("place")).select(*keys, *(f"place.{c}" for c in PLACE))
+def preference(of: Callable[[str], Column], page: Column, *more: Column) -> Column:
+    """What is least for the best place: score, the preferred page, fewer tokens, then further terms, page order."""
+    return F.struct(-of("score"), ~F.coalesce(of("page_no") == page, F.lit(False)), of("end") - of("start"), *more, of("page_no"), of("start"), of("ordinal"))
 
 
-def overlapping(one: str, other: str) -> Column:
-    return (F.col(f"{one}.page_no") == F.col(f"{other}.page_no")) & (F.col(f"{one}.start") < F.col(f"{other}.end")) & (F.col(f"{one}.end") > F.col(f"{other}.start"))
+def claimed(queue: Column) -> Column:
+    """The places that fields get, of all places (turn, rank, p) of a document: in order of turn and rank, each field takes the first that shares no token with what was given."""
+    none = F.transform(F.filter(queue, lambda x: F.lit(False)), lambda x: x["p"])
 
+    def step(given: Column, x: Column) -> Column:
+        served = F.coalesce(F.try_element_at(given, F.lit(-1))["field_path"] == x["p"]["field_path"], F.lit(False))
+        return F.when(served | F.exists(given, lambda g: overlapping(g, x["p"])), given).otherwise(F.concat(given, F.array(x["p"])))
 
-def claimed(places: DataFrame) -> DataFrame:
-    """The places (document_id, claim, turn, field_path, rank, ...) that fields get, each claiming its tokens from those of later turns.
+    return F.aggregate(F.sort_array(queue), none, step)
 
-    All documents at once: in each round every open field has its best free place, and gets it unless a field of an earlier
-    turn may still want one of its tokens. The first open field of a document always gets its place, and so do all that do not
-    stand in each other's way, so that there are as many rounds as fields wait for one another. Places that overlap what was
-    given are then free no longer.
-    """
-    keys = ["document_id", "claim"]
-    tokens = lambda rows: rows.withColumn("token", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    open_, given = checkpoint(places), []
-    while not open_.isEmpty():
-        wanted = best(open_, *keys, "turn", "field_path")
-        # the earliest field that may still want a token
-        first = tokens(open_).groupBy(*keys, "page_no", "token").agg(F.min("turn").alias("first"))
-        waits = tokens(wanted).join(first, [*keys, "page_no", "token"]).groupBy(*keys, "turn").agg(F.bool_or(F.col("first") < F.col("turn")).alias("waits"))
-        now = checkpoint(wanted.join(waits.filter("not waits").drop("waits"), [*keys, "turn"]))
-        given.append(now)
-        left = open_.join(now.select(*keys, "turn"), [*keys, "turn"], "left_anti")
-        same = reduce(Column.__and__, (F.col(f"o.{k}") == F.col(f"g.{k}") for k in keys))
-        open_ = checkpoint(left.alias("o").join(now.alias("g"), same & overlapping("o", "g"), "left_anti"))
-    return reduce(DataFrame.unionByName, given) if given else best(open_, *keys, "turn", "field_path")
 
+def drawn(rows: DataFrame) -> DataFrame:
+    """Rows (cells: the places of one row's cells; described: that of its description or null) with `taken`: what they get, one after the other."""
+    there = F.col("described").isNotNull()
+    anchor = F.struct(F.col("described.page_no").alias("page"), F.col("described.line").alias("line"), F.col("described.end").alias("after"))
+    none = F.filter("cells", lambda p: F.lit(False))
+    rows = rows.select("*", F.when(there, anchor).alias("anchor"), F.when(there, F.array("described")).otherwise(none).alias("taken"))
+    for step, cell in enumerate(CELLS):
+        own = F.when(there, cell).otherwise(CELLS[-1 - step])
+        anchor = F.col("anchor")
+        able = F.filter("cells", lambda p: (p["cell"] == own) & ((p["cell"] != "quantity") | anchor.isNotNull()) & ~F.exists("taken", lambda t: overlapping(t, p)))  # noqa: B023
 
-CELLS = ("quantity", "unitPrice", "amount")
+        def rank(p: Column) -> Column:
+            here = F.coalesce(anchor["page"] == p["page_no"], F.lit(False))  # noqa: B023
+            far = F.when(here, F.abs(p["line"] - anchor["line"]).cast("double")).otherwise(float("inf"))  # noqa: B023
+            before = F.when(anchor["after"].isNotNull(), ~(here & (p["start"] >= anchor["after"]))).otherwise(False)  # noqa: B023
+            return preference(lambda c: p[c], F.coalesce(p["page"], anchor["page"]), far, before, F.when(p["cell"] == "amount", -p["x"]).otherwise(p["x"]))  # noqa: B023
+
+        rows = rows.withColumn("best", F.array_min(F.transform(able, lambda p: F.struct(rank(p).alias("rank"), p.alias("p"))))["p"])
+        fixed = F.when(F.col("best").isNotNull(), F.struct(F.col("best.page_no").alias("page"), F.col("best.line").alias("line"), F.lit(None).cast("int").alias("after")))
+        rows = rows.withColumns({"anchor": F.coalesce("anchor", fixed), "taken": F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("best")))}).drop("best")
+    return rows.drop("anchor")
 
 
 def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,43 +265,26 @@ def ground(pages: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
     Header fields claim their tokens in a fixed order, amounts first, and descriptions of line items in that of their rows.
     Then the cells of a row, which may only not share tokens within the row, are drawn to its description's line, amounts to the
     right and others to the left. Without a description the amount goes first, and whatever is found first fixes
-    the row; a quantity is only looked for once something has. Eager: places are written and claimed in rounds.
+    the row; a quantity is only looked for once something has. Nothing but pages and candidates is shuffled: the places of one
+    document are claimed where its pages are.
     """
-    found = placed(checkpoint(prepared(pages)), checkpoint(candidates(values)), labels)  # both are read twice
-    parts = F.split("field_path", r"\.")
+    found = matches(pages, values, labels)
     turns = F.create_map(*(F.lit(x) for i, name in enumerate(ORDER) for x in (name, i)))
-    found = checkpoint(found.withColumns({"row": F.when(F.size(parts) == 3, parts[1].cast("int")), "cell": F.element_at(parts, -1)}))
-    header = found.filter(F.col("row").isNull()).withColumns({"claim": F.lit("header"), "turn": F.try_element_at(turns, F.col("field_path"))}).filter("turn is not null")
-    texts = found.filter((F.col("row").isNotNull()) & (F.col("cell") == "description")).withColumns({"claim": F.lit("rows"), "turn": F.col("row"), "label_distance": F.lit(None).cast("double")})
-    texts = texts.select(*header.columns)
-    given = claimed(header.unionByName(texts).withColumn("rank", preference(F.col("page"))))
-    cells = found.filter(F.col("row").isNotNull() & F.col("cell").isin(*CELLS))
-    rows = cells.select("document_id", "row").distinct()
-    described = given.filter("claim = 'rows'").select("document_id", F.col("turn").alias("row"), F.struct(F.col("page_no").alias("page"), F.col("line").alias("line"), F.col("end").alias("after")).alias("anchor"), F.array(F.struct("page_no", "start", "end")).alias("taken"))
-    state = checkpoint(rows.join(described, ["document_id", "row"], "left").withColumn("described", F.col("anchor").isNotNull()))
-    out = [given.drop("claim", "turn")]
-    for step, cell in enumerate(CELLS):
-        own = F.when(F.col("described"), cell).otherwise(CELLS[-1 - step])
-        anchor = F.col("anchor")
-        near = cells.join(state, ["document_id", "row"]).filter((F.col("cell") == own) & ((F.col("cell") != "quantity") | anchor.isNotNull()))
-        clear = ~F.exists(F.coalesce("taken", F.array().cast("array<struct<page_no:int,start:int,end:int>>")), lambda t: (t["page_no"] == F.col("page_no")) & (F.col("start") < t["end"]) & (F.col("end") > t["start"]))
-        there = F.coalesce(anchor["page"] == F.col("page_no"), F.lit(False))
-        far = F.when(there, F.abs(F.col("line") - anchor["line"]).cast("double")).otherwise(float("inf"))
-        before = F.when(anchor["after"].isNotNull(), ~(there & (F.col("start") >= anchor["after"]))).otherwise(False)
-        side = F.when(F.col("cell") == "amount", -F.col("x")).otherwise(F.col("x"))
-        rank = F.struct(-F.col("score"), ~F.coalesce(F.col("page_no") == F.coalesce("page", anchor["page"]), F.lit(False)), F.col("end") - F.col("start"), far, before, side, "page_no", "start", "ordinal")
-        chosen = checkpoint(best(near.filter(clear).withColumn("rank", rank), "document_id", "row", "field_path"))
-        out.append(chosen.drop("row"))
-        taken = chosen.select("document_id", "row", F.struct(F.col("page_no").alias("page"), "line", F.lit(None).cast("int").alias("after")).alias("fixed"), F.struct("page_no", "start", "end").alias("own"))
-        state = checkpoint(
-            state.join(taken, ["document_id", "row"], "left").select(
-                "document_id", "row", "described", F.coalesce("anchor", "fixed").alias("anchor"),
-                F.when(F.col("own").isNull(), F.col("taken")).otherwise(F.concat(F.coalesce("taken", F.array().cast("array<struct<page_no:int,start:int,end:int>>")), F.array("own"))).alias("taken"),
-            )
-        )
-    places = reduce(DataFrame.unionByName, out)
-    score = F.floor(F.col("score") * 1000 + 0.5) / 1000
-    return places.select("document_id", "field_path", F.col("page_no").alias("page"), "start", "end", score.alias("score"), "method", "matched_text", "line", *(F.col(f"box.{c}").alias(c) for c in "xywh"))
+    turn = F.when(F.col("row").isNull(), F.try_element_at(turns, F.col("field_path"))).when(F.col("cell") == "description", F.col("row"))
+    label = F.when(F.col("row").isNull(), F.coalesce("label_distance", F.lit(float("inf")))).otherwise(0.0)
+    rows = found.select("document_id", turn.alias("turn"), preference(F.col, F.col("page"), label).alias("rank"), F.struct(*PLACE).alias("p"))
+    queue = lambda own: F.collect_list(F.when(own & F.col("turn").isNotNull(), F.struct("turn", "rank", "p")))
+    of_row = F.col("p.row").isNotNull()
+    all_ = rows.groupBy("document_id").agg(queue(~of_row).alias("header"), queue(of_row).alias("texts"), F.collect_list(F.when(of_row & F.col("p.cell").isin(*CELLS), F.col("p"))).alias("cells"))
+    given = all_.select("document_id", "cells", claimed(F.col("header")).alias("header"), claimed(F.col("texts")).alias("texts"))
+    own = lambda row: F.struct(F.filter("cells", lambda c: c["row"] == row).alias("cells"), F.get(F.filter("texts", lambda t: t["row"] == row), 0).alias("described"))
+    lines = F.transform(F.array_distinct(F.transform(F.concat("texts", "cells"), lambda c: c["row"])), own)
+    # the header is a row of its own, which has no cells
+    whole = F.struct(F.filter("cells", lambda c: F.lit(False)).alias("cells"), F.get("header", 0).alias("described"))
+    parts = given.select("document_id", "header", F.posexplode(F.concat(F.array(whole), lines)).alias("n", "x")).select("document_id", "n", F.when(F.col("n") == 0, F.col("header")).alias("header"), "x.cells", "x.described")
+    places = drawn(parts).select("document_id", F.explode(F.coalesce("header", "taken")).alias("p"))
+    score = F.floor(F.col("p.score") * 1000 + 0.5) / 1000
+    return places.select("document_id", "p.field_path", F.col("p.page_no").alias("page"), "p.start", "p.end", score.alias("score"), "p.method", "p.matched_text", "p.line", *(F.col(f"p.box.{c}").alias(c) for c in "xywh"))
 
 
 def count_values(values: DataFrame) -> DataFrame:

@@ -184,3 +184,13 @@ def test_against_plain(spark, labels):
     got = {(r.document_id, r.field_path): (r.page, r.start, r.end, r.score, r.method, r.line) for r in grounding.ground(pages, frame, labels).collect()}
     assert got == want
     assert len(want) > 300 and {m for *_, m, _ in want.values()} == {"exact", "normalized", "fuzzy"}
+
+
+@pytest.mark.parametrize("name", ["g05_windows", "g10_ground_exact", "g11_ground_document"])
+def test_no_window_is_shuffled(spark, name):
+    """Documents and candidates are dealt by document; tokens, windows and places stay where their page is, and none is written."""
+    query = function_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert set(keys) <= {"document_id", "l_orderkey"} and not any("page_no" in line or "sign" in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+    assert "RDDScan" not in plan and "ExistingRDD" not in plan
