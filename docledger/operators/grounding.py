@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, fuzzy, money, text
-from docledger.operators.tokens import box_of
+from docledger.operators.tokens import box_of, run_of
 from docledger.plans.derived import FIELDS, MONEY_FIELDS
 
 MOST_TOKENS = 12
@@ -93,11 +93,6 @@ def asked(wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("document_id").agg(F.collect_list(F.struct("field_path", *named, "page", "ordinal", "raw", "norm", "key", "words", "amount", "day", F.length("key").alias("n"), *begins)).alias("wanted"))
 
 
-def run_of(tokens: Column, start: Column, size: Column) -> Column:
-    """Some tokens from a place on; reads these only, where a slice would go through all of them."""
-    return F.filter(F.transform(F.sequence(start, start + size - 1), lambda i: F.get(tokens, i)), lambda t: t.isNotNull())
-
-
 def starts(tokens: Column, wanted: Column) -> Column:
     """Places at which a candidate may begin: n, who may begin there, and the tokens ahead.
 

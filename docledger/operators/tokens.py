@@ -39,6 +39,11 @@ def readable(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t["text"].rlike(r"[\p{L}\p{N}]")))
 
 
+def run_of(items: Column, start: Column, size: Column) -> Column:
+    """Some elements from a place (from 0) on; reads these only, where a slice would go through the whole array each time."""
+    return F.filter(F.transform(F.sequence(start, start + size - 1), lambda i: F.get(items, i)), lambda t: t.isNotNull())
+
+
 def assign_lines(tokens: Column) -> Column:
     """Tokens (text, x, y, w, h) with the line that they stand on, in reading order.
 
@@ -46,7 +51,7 @@ def assign_lines(tokens: Column) -> Column:
     line's first token than half the taller of both. The anchor moves with the lines, so this is a fold and not a window; it
     keeps only where each line begins, so that no token is copied for those after it.
     """
-    sorted_ = F.array_sort(F.transform(tokens, lambda t, i: F.struct((t["y"] + t["h"]).alias("base"), t["x"].alias("x"), i.alias("i"), t.alias("t"))))
+    sorted_ = F.sort_array(F.transform(tokens, lambda t, i: F.struct((t["y"] + t["h"]).alias("base"), t["x"].alias("x"), i.alias("i"), t.alias("t"))))
     start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("begins"), F.lit(0).alias("n"))
 
     def step(state: Column, token: Column) -> Column:
@@ -57,11 +62,12 @@ def assign_lines(tokens: Column) -> Column:
     def placed(all_: Column, begins: Column) -> Column:
         def row(begin: Column, line: Column) -> Column:
             end = F.coalesce(F.get(begins, line + 1), F.size(all_))
-            own = F.array_sort(F.transform(F.slice(all_, begin + 1, end - begin), lambda t, i: F.struct(t["x"].alias("x"), i.alias("i"), t["t"].cast(BOX).alias("t"))))
+            own = F.sort_array(F.transform(run_of(all_, begin, end - begin), lambda t, i: F.struct(t["x"].alias("x"), i.alias("i"), t["t"].cast(BOX).alias("t"))))
             return F.transform(own, lambda p: F.struct(*(p["t"][c].alias(c) for c in ("text", "x", "y", "w", "h")), line.alias("line")))
 
         return F.flatten(F.transform(begins, row))
 
+    # sort_array, as array_sort interprets a comparison for each pair of tokens
     # an array of one element names what is used more than once, so that it is made once
     folded = F.transform(F.array(sorted_), lambda all_: F.struct(all_.alias("all"), F.aggregate(all_, start, step)["begins"].alias("begins")))
     return F.transform(folded, lambda x: placed(x["all"], x["begins"]))[0]
