@@ -36,7 +36,7 @@ def scores(fields: DataFrame, lines: DataFrame, grounded: DataFrame, codes: Data
 
     `grounded` has document_id, values, found; `codes` has document_id, code, kind (missed or extra).
     """
-    off = codes.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "missed", F.col("code")))), ",").alias("missed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "extra", F.col("code")))), ",").alias("extra"))
+    off = codes.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "missed", F.col("code")))), ",").alias("missed"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "extra", F.col("code")))), ",").alias("extra"))
     out = fields.join(lines, "document_id", "left").join(grounded, "document_id", "left").join(off, "document_id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lines", "lines_ok", "values", "found")}).withColumns({c: F.coalesce(c, F.lit("")) for c in ("missed", "extra")})
     return out.withColumn("passed", (F.col("fields") == F.col("fields_ok")) & (F.col("lines") == F.col("lines_ok")) & (F.col("missed") == "") & (F.col("extra") == ""))

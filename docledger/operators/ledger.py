@@ -73,7 +73,7 @@ def set_status(documents: DataFrame, status: str, code: str | None = None, messa
 
 def with_lines(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """Invoices with their lines as an array in order; an invoice's lines are bounded by its pages."""
-    grouped = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", "description", "quantity", "unit_price", "amount"))).alias("lines"))
+    grouped = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("idx", "description", "quantity", "unit_price", "amount"))).alias("lines"))
     return invoices.join(grouped, "document_id", "left")
 
 
@@ -158,7 +158,7 @@ def grounding_stats(fields: DataFrame, groundings: DataFrame) -> DataFrame:
 def issue_stats(issues: DataFrame) -> DataFrame:
     """Issues of each document by severity, and their codes in the order in which they are listed."""
     counts = (F.sum((F.col("severity") == s).cast("bigint")).alias(s) for s in ("blocking", "warning", "info"))
-    codes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "code"))), lambda x: x["code"]))
+    codes = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "code"))), lambda x: x["code"]))
     return issues.groupBy("document_id").agg(*counts, F.array_join(codes, ",").alias("codes"))
 
 
@@ -186,7 +186,7 @@ def finalise_stats(fields: DataFrame, issues: DataFrame) -> DataFrame:
 def search_text(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """What a ledger search looks at: vendor, number, currency and line descriptions, null and empty ones left out."""
     full = lambda c: F.nullif(F.col(c), F.lit(""))
-    words = lines.filter(F.col("description") != "").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "description"))), lambda x: x["description"]).alias("words"))
+    words = lines.filter(F.col("description") != "").groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "description"))), lambda x: x["description"]).alias("words"))
     return invoices.join(words, "document_id", "left").select("document_id", F.concat_ws(" ", full("vendor_name"), full("invoice_number"), full("currency"), F.col("words")).alias("search_text"))
 
 
@@ -281,7 +281,7 @@ def global_rank(jobs: DataFrame, most: int) -> DataFrame:
 
 def field_paths(issues: DataFrame) -> DataFrame:
     """Of each document the distinct fields that its issues name, in order."""
-    return issue_fields(issues).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("field_path")), ",").alias("field_paths"))
+    return issue_fields(issues).groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set("field_path")), ",").alias("field_paths"))
 
 
 def health(usage: DataFrame, day: Column, cap_micros: int) -> DataFrame:

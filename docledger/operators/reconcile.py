@@ -37,7 +37,7 @@ class Reconciled:
 def focus(issues: DataFrame) -> DataFrame:
     """Documents that need a second look: document_id, the field paths that do not agree, and why, in the order of their issues."""
     wrong = issues.filter((F.col("severity") == "blocking") & F.col("code").isin(*ARITHMETIC))
-    own = F.array_sort(F.collect_list(F.struct("code", "place", "field_paths", "message")))  # a few issues of one document
+    own = F.sort_array(F.collect_list(F.struct("code", "place", "field_paths", "message")))  # a few issues of one document
     rows = wrong.groupBy("document_id").agg(own.alias("own"))
     return rows.select("document_id", F.array_distinct(F.flatten(F.transform("own", lambda x: x["field_paths"]))).alias("field_paths"), F.array_join(F.transform("own", lambda x: x["message"]), " ").alias("reason"))
 

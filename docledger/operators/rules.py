@@ -50,7 +50,7 @@ def listed(rows: DataFrame, *issues: Column) -> DataFrame:
 def gathered(invoices: DataFrame, lines: DataFrame, groundings: DataFrame | None = None) -> DataFrame:
     """Invoices with all that the rules look at: their lines in order (items), the amounts among them with sum and number, and which fields are located."""
     amount = F.col("amount")
-    own = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", "quantity", "unit_price", "amount"))).alias("items"), F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count(amount).alias("n_lines"))
+    own = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("idx", "quantity", "unit_price", "amount"))).alias("items"), F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count(amount).alias("n_lines"))
     own = own.withColumn("amounts", F.filter("items", lambda x: x["amount"].isNotNull()))
     # rules take more time than reading: invoices are dealt by document with their lines, however small their table is
     rows = invoices.join(own.hint("merge"), "document_id", "left")
@@ -69,7 +69,7 @@ def line_path(idx: Column, name: str = "amount") -> Column:
 
 def line_sums(lines: DataFrame) -> DataFrame:
     """Of each document with a printed line amount: their exact sum, their number and themselves in order."""
-    return lines.filter(F.col("amount").isNotNull()).groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("idx", "amount"))).alias("items"))
+    return lines.filter(F.col("amount").isNotNull()).groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("idx", "amount"))).alias("items"))
 
 
 def missing_issues(columns_there: list[str]) -> Column:
@@ -288,5 +288,5 @@ def validate(invoices: DataFrame, lines: DataFrame, groundings: DataFrame, today
         rows = rows.join(bad.groupBy("document_id").agg(F.collect_list(F.struct("page_no", "ocr_mean_confidence")).alias("bad_pages")), "document_id", "left")
         found.append(every(F.transform("bad_pages", read_issue)))
     order = lambda x: F.struct(severity_rank(x["severity"]).alias("rank"), x["code"].alias("code"), x["place"].alias("place"), x.alias("issue"))
-    ranked = F.array_sort(F.transform(F.concat(*found), order))
+    ranked = F.sort_array(F.transform(F.concat(*found), order))
     return rows.select("document_id", F.posexplode(ranked).alias("n", "x")).select("document_id", "x.issue.*", (F.col("n") + 1).alias("ordinal"))
