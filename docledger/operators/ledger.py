@@ -222,7 +222,12 @@ def first_files(files: DataFrame, most: int = 5) -> DataFrame:
 def missed_and_extra(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(document_id, code, kind): codes expected and not there, and there but not expected."""
     side = lambda rows, is_expected: rows.select("document_id", "code", F.lit(is_expected).alias("expected"))
-    seen = side(expected, True).unionByName(side(actual, False)).groupBy("document_id", "code").agg(F.bool_or("expected").alias("expected"), F.bool_and("expected").alias("missed"))
+    return off(side(expected, True).unionByName(side(actual, False)))
+
+
+def off(rows: DataFrame) -> DataFrame:
+    """The same of one table with codes of both sides (document_id, code, expected: whether the row is of the expected ones), which is read once."""
+    seen = rows.groupBy("document_id", "code").agg(F.bool_or("expected").alias("expected"), F.bool_and("expected").alias("missed"))
     return seen.filter(F.col("missed") | ~F.col("expected")).select("document_id", "code", F.when(F.col("missed"), "missed").otherwise("extra").alias("kind"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -17,29 +18,33 @@ SEVERITIES = ("blocking", "warning", "info")
 LOW_CONFIDENCE = 0.6
 
 
-ISSUE = "struct<code:string,severity:string,field_paths:array<string>,message:string,suggest_path:string,suggest_value:string,suggest_reason:string,place:int>"
+ISSUE = {"code": "string", "severity": "string", "field_paths": "array<string>", "message": "string", "suggest_path": "string", "suggest_value": "string", "suggest_reason": "string", "place": "int"}
+#: What is made of an issue; a caller that needs less names it, and the rest is not computed (Spark does not prune it out of arrays).
+ALL = tuple(ISSUE)
+SUGGESTED = ("suggest_path", "suggest_value", "suggest_reason")
 
 
-def issue(code: str, severity: Column | str, paths: Column, message: Column, path: Column | None = None, value: Column | None = None, reason: Column | None = None, place: Column | None = None) -> Column:
-    """One issue, as a struct."""
+def issue(code: str, severity: Column | str, paths: Column, message: Column, path: Column | None = None, value: Column | None = None, reason: Column | None = None, place: Column | None = None, columns: Sequence[str] = ALL) -> Column:
+    """One issue, as a struct of some columns."""
     text_ = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    return F.struct(
-        F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), paths.cast("array<string>").alias("field_paths"), message.alias("message"),
-        text_(path).alias("suggest_path"), text_(value).alias("suggest_value"), text_(reason).alias("suggest_reason"), (F.lit(0) if place is None else place).cast("int").alias("place"),
-    )
+    made = {
+        "code": F.lit(code), "severity": F.lit(severity) if isinstance(severity, str) else severity, "field_paths": paths.cast("array<string>"), "message": message,
+        "suggest_path": text_(path), "suggest_value": text_(value), "suggest_reason": text_(reason), "place": (F.lit(0) if place is None else place).cast("int"),
+    }
+    return F.struct(*(made[c].alias(c) for c in columns))
 
 
-def nothing() -> Column:
-    return F.array().cast(f"array<{ISSUE}>")
+def nothing(columns: Sequence[str] = ALL) -> Column:
+    return F.array().cast(f"array<struct<{','.join(f'{c}:{ISSUE[c]}' for c in columns)}>>")
 
 
-def if_(wrong: Column, found: Column) -> Column:
+def if_(wrong: Column, found: Column, columns: Sequence[str] = ALL) -> Column:
     """The issue where something is wrong, in an array that is empty elsewhere."""
-    return F.when(F.coalesce(wrong, F.lit(False)), F.array(found)).otherwise(nothing())
+    return F.when(F.coalesce(wrong, F.lit(False)), F.array(found)).otherwise(nothing(columns))
 
 
-def every(issues: Column) -> Column:
-    return F.coalesce(issues, nothing())
+def every(issues: Column, columns: Sequence[str] = ALL) -> Column:
+    return F.coalesce(issues, nothing(columns))
 
 
 def listed(rows: DataFrame, *issues: Column) -> DataFrame:
@@ -72,7 +77,7 @@ def line_sums(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("amount").isNotNull()).groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("idx", "amount"))).alias("items"))
 
 
-def missing_issues(columns_there: list[str]) -> Column:
+def missing_issues(columns_there: list[str], wanted: Sequence[str] = ALL) -> Column:
     """V001: a required field is empty, or was printed but could not be read."""
     columns = {"vendorName": ("vendor_name", None, ""), "invoiceNumber": ("invoice_number", None, ""), "issueDate": ("issue_date", "printed_issue_date", "a date"), "currency": ("currency", None, ""), "total": ("total", "printed_total", "an amount")}
     found = []
@@ -80,7 +85,7 @@ def missing_issues(columns_there: list[str]) -> Column:
         own, printed, reads_as = columns[path]
         shown = F.col(printed) if printed in columns_there else F.lit(None).cast("string")
         message = F.coalesce(say(f"{label} could not be read as {reads_as} (printed as ", shown, ")."), F.lit(f"{label} is missing or could not be read."))
-        found.append(if_(F.col(own).isNull(), issue("V001", "blocking", F.array(F.lit(path)), message, place=F.lit(n))))
+        found.append(if_(F.col(own).isNull(), issue("V001", "blocking", F.array(F.lit(path)), message, place=F.lit(n), columns=wanted), wanted))
     return F.concat(*found)
 
 
@@ -88,7 +93,7 @@ def missing_fields(invoices: DataFrame) -> DataFrame:
     return listed(invoices, missing_issues(invoices.columns))
 
 
-def line_sum_issues() -> Column:
+def line_sum_issues(columns: Sequence[str] = ALL) -> Column:
     """V002: line amounts do not add up to the subtotal, by more than a cent a line and five cents at least."""
     subtotal, total = F.col("subtotal"), F.col("line_sum")
     off = F.abs(money.to_cents(total) - money.to_cents(subtotal)) > F.greatest(F.lit(5), F.col("n_lines"))
@@ -97,22 +102,26 @@ def line_sum_issues() -> Column:
     whole = money.is_digit_swap(subtotal, total)
     paths = F.concat(F.array(F.lit("subtotal")), F.transform("amounts", lambda x: line_path(x["idx"])))
 
+    message = say("The line items add up to ", total, " but the subtotal reads ", subtotal, ".")
+    if not set(columns) & set(SUGGESTED):
+        return if_(off, issue("V002", "blocking", paths, message, columns=columns), columns)
+
     def made(x: Column) -> Column:
         line = x["line"]
         path = F.when(x["whole"], F.lit("subtotal")).otherwise(line_path(line["idx"]))
         value = F.when(x["whole"], total).otherwise(need(line))
         reason = F.when(x["whole"], F.lit("Two adjacent digits in the subtotal look swapped.")).otherwise(say("Two adjacent digits in line ", line["idx"] + 1, " look swapped."))
-        return issue("V002", "blocking", paths, say("The line items add up to ", total, " but the subtotal reads ", subtotal, "."), path, value, reason)
+        return issue("V002", "blocking", paths, message, path, value, reason, columns=columns)
 
     known = text.bound(whole, lambda w: F.struct(w.alias("whole"), F.when(~w, F.try_element_at(fits, F.lit(1))).alias("line")))
-    return if_(off, text.bound(known, made))
+    return if_(off, text.bound(known, made), columns)
 
 
 def line_sum_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     return listed(gathered(invoices, lines), line_sum_issues())
 
 
-def total_issues() -> Column:
+def total_issues(columns: Sequence[str] = ALL) -> Column:
     """V003: subtotal (or lines), tax and shipping less the discount are not the total, by more than five cents."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(money.MONEY))
     sum_ = (F.coalesce("subtotal", "line_sum") + zero("tax") + zero("shipping") - F.abs(zero("discount"))).cast(money.MONEY)
@@ -130,9 +139,9 @@ def total_issues() -> Column:
         path = F.when(swap, "total").when(untaxed, "tax")
         value = F.when(swap, expected).when(untaxed, (F.col("total") - expected).cast(money.MONEY))
         reason = F.when(swap, "Two adjacent digits in the total look swapped.").when(untaxed, "The difference looks like a tax amount that was not extracted.")
-        return issue("V003", "blocking", paths, say(clause, " but the total reads ", F.col("total"), "."), path, value, reason)
+        return issue("V003", "blocking", paths, say(clause, " but the total reads ", F.col("total"), "."), path, value, reason, columns=columns)
 
-    return if_(F.abs(sum_ - F.col("total")) > 0.05, text.bound(sum_, made))
+    return if_(F.abs(sum_ - F.col("total")) > 0.05, text.bound(sum_, made), columns)
 
 
 def total_differs(invoices: DataFrame, lines: DataFrame) -> DataFrame:
@@ -147,16 +156,16 @@ def product_differs(line: Column) -> Column:
     return F.coalesce(F.abs(product_of(line) - line["amount"]) > 0.02, F.lit(False))
 
 
-def product_issue(line: Column) -> Column:
+def product_issue(line: Column, columns: Sequence[str] = ALL) -> Column:
     """V004: quantity times unit price is not the line's amount, by more than two cents."""
     idx, plain = line["idx"], lambda c: text.trim_zeros(line[c].cast("string"))
     paths = F.array(line_path(idx), line_path(idx, "quantity"), line_path(idx, "unitPrice"))
     message = say("Line ", idx + 1, ": ", plain("quantity"), " times ", plain("unit_price"), " is ", product_of(line), ", not ", line["amount"], ".")
-    return issue("V004", "warning", paths, message, line_path(idx), product_of(line), F.lit("Quantity times unit price."), idx)
+    return issue("V004", "warning", paths, message, line_path(idx), product_of(line), F.lit("Quantity times unit price."), idx, columns)
 
 
-def product_issues() -> Column:
-    return every(F.transform(F.filter("items", product_differs), product_issue))
+def product_issues(columns: Sequence[str] = ALL) -> Column:
+    return every(F.transform(F.filter("items", product_differs), lambda x: product_issue(x, columns)), columns)
 
 
 def line_product_differs(lines: DataFrame) -> DataFrame:
@@ -164,9 +173,9 @@ def line_product_differs(lines: DataFrame) -> DataFrame:
     return lines.filter(product_differs(line)).select("document_id", product_issue(line).alias("x")).select("document_id", "x.*")
 
 
-def due_issues() -> Column:
+def due_issues(columns: Sequence[str] = ALL) -> Column:
     """V005."""
-    return if_(F.col("due_date") < F.col("issue_date"), issue("V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ").")))
+    return if_(F.col("due_date") < F.col("issue_date"), issue("V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ")."), columns=columns), columns)
 
 
 def due_before_issue(invoices: DataFrame) -> DataFrame:
@@ -230,16 +239,16 @@ def duplicate_invoice(invoices: DataFrame) -> DataFrame:
     return listed(duplicates(invoices), duplicate_issues())
 
 
-def negative_issues() -> Column:
+def negative_issues(columns: Sequence[str] = ALL) -> Column:
     """V009."""
-    return if_(F.col("total") < 0, issue("V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note.")))
+    return if_(F.col("total") < 0, issue("V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note."), columns=columns), columns)
 
 
 def negative_total(invoices: DataFrame) -> DataFrame:
     return listed(invoices, negative_issues())
 
 
-def located_issues() -> Column:
+def located_issues(columns: Sequence[str] = ALL) -> Column:
     """V010: an amount that was not found on the document; blocking for the header, a warning for lines."""
     kind = lambda path, label, value, severity, place: F.struct(path.alias("path"), label.alias("label"), value.alias("value"), F.lit(severity).alias("severity"), place.cast("int").alias("place"))
     header = F.array(*(kind(F.lit(c), F.lit(c.capitalize()), F.col(c), "blocking", F.lit(n)) for n, c in enumerate(MONEY_FIELDS)))
@@ -247,7 +256,7 @@ def located_issues() -> Column:
     values = F.concat(header, F.coalesce(own, F.filter(header, lambda x: F.lit(False))))
     located = F.coalesce("located", F.array().cast("array<string>"))
     lost = F.filter(values, lambda x: x["value"].isNotNull() & ~F.array_contains(located, x["path"]))
-    return F.transform(lost, lambda x: issue("V010", x["severity"], F.array(x["path"]), say(x["label"], " (", x["value"], ") could not be found on the document."), place=x["place"]))
+    return F.transform(lost, lambda x: issue("V010", x["severity"], F.array(x["path"]), say(x["label"], " (", x["value"], ") could not be found on the document."), place=x["place"], columns=columns))
 
 
 def not_located(invoices: DataFrame, lines: DataFrame, groundings: DataFrame) -> DataFrame:
