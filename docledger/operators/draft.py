@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, money, risk, text
-from docledger.operators.ledger import field_issue_counts, with_grounding
+from docledger.operators.ledger import beside, field_issue_counts, with_grounding
 from docledger.plans.derived import MONEY_FIELDS
 
 
@@ -15,7 +15,7 @@ def field_metadata(fields: DataFrame, groundings: DataFrame, issues: DataFrame)
 
     A null value has nothing to be located: its risk counts it as located, its stored score is 0.
     """
-    joined = with_grounding(fields, groundings).join(field_issue_counts(issues), ["document_id", "field_path"], "left")
+    joined = beside(with_grounding(fields, groundings), field_issue_counts(issues))
     found = F.coalesce("score", F.lit(0.0))
     for_risk = F.when(F.col("value").isNull(), 1.0).otherwise(found)
     count = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -111,7 +111,17 @@ def issue_fields(issues: DataFrame) -> DataFrame:
 
 
 def with_grounding(fields: DataFrame, groundings: DataFrame) -> DataFrame:
-    return fields.join(groundings, ["document_id", "field_path"], "left")
+    """Fields with their groundings; both are brought together by document and not dealt anew by field, a document's are bounded by its pages."""
+    return beside(fields, groundings)
+
+
+def beside(fields: DataFrame, rows: DataFrame) -> DataFrame:
+    """The left join by document_id and field_path; a document's `rows` become an array, so that the many fields stay dealt by document."""
+    rest = [c for c in rows.columns if c not in ("document_id", "field_path")]
+    own = rows.filter("field_path is not null").groupBy("document_id").agg(F.collect_list(F.struct("field_path", *rest)).alias("_own"))
+    found = F.filter("_own", lambda r: r["field_path"] == F.col("field_path"))
+    first = ["document_id", "field_path", *(c for c in fields.columns if c not in ("document_id", "field_path"))]
+    return fields.join(own, "document_id", "left").select(*first, F.explode_outer(found).alias("_one")).select(*first, *(F.col(f"_one.{c}").alias(c) for c in rest))
 
 
 def aligned(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
