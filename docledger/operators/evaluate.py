@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.functions.text import comparable
+from docledger.functions.text import same_value
 from docledger.plans.derived import MONEY_FIELDS
 
 
+def paired(expected: DataFrame, actual: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows of both sides by their keys, one for each key on a side: keys, e and a, structs of the values, null where the side has no such row.
+
+    The sides are put together and grouped, not joined: rows that are dealt by document, as those made of an invoice and its
+    lines are, stay where they are, while a join by two keys would deal both sides anew. Null keys meet nothing.
+    """
+    side = lambda rows, name: rows.select(*keys, F.lit(name).alias("side"), F.struct(*values).alias("own"))
+    every = side(expected, "e").unionByName(side(actual, "a"))
+    lone = F.when(F.greatest(*(F.col(k).isNull() for k in keys)), F.col("side"))
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("own"))).alias(name)
+    return every.groupBy(*keys, lone.alias("lone")).agg(of("e"), of("a")).drop("lone")
+
+
+def alike(kind: str, one: Column, other: Column) -> Column:
+    """`same_value`; what is printed the same is not read."""
+    return one.eqNullSafe(other) | same_value(kind, one, other)
+
+
 def field_scores(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Of each document the header fields that agree (rows: document_id, field_path, value); a field that one side lacks counts as null."""
-    money = F.col("field_path").isin(*MONEY_FIELDS)
-    # values are read before the join, so that the join and the sums handle them as they are
-    side = lambda rows, name: rows.select("document_id", "field_path", F.when(money, comparable("money", F.col("value"))).alias(f"{name}_money"), F.when(~money, comparable("text", F.col("value"))).alias(f"{name}_text"))
-    rows = side(expected, "e").join(side(actual, "a"), ["document_id", "field_path"], "full_outer")
-    empty = lambda name: F.coalesce(F.col(f"{name}_money.missing"), F.col(f"{name}_text.missing"), F.lit(True))
-    ok = (empty("e") & empty("a")) | (F.col("e_money").eqNullSafe(F.col("a_money")) & F.col("e_text").eqNullSafe(F.col("a_text")))
-    return rows.groupBy("document_id").agg(F.count("*").alias("fields"), F.sum(ok.cast("bigint")).alias("fields_ok"))
+    """Of each document the header fields that agree (rows: document_id, field_path, value, one for each field); a field that one side lacks counts as null."""
+    both = paired(expected, actual, ["document_id", "field_path"], ["value"])
+    e, a = F.col("e.value"), F.col("a.value")
+    ok = (e.isNull() & a.isNull()) | F.when(F.col("field_path").isin(*MONEY_FIELDS), alike("money", e, a)).otherwise(alike("text", e, a))
+    return both.groupBy("document_id").agg(F.count("*").alias("fields"), F.sum(ok.cast("bigint")).alias("fields_ok"))
 
 
 def line_scores(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Of each document the lines that agree in all their cells, by position (document_id, idx, description, quantity, unit_price, amount as printed)."""
+    """Of each document the lines that agree in all their cells, by position (document_id, idx, description, quantity, unit_price, amount as printed; one for each position)."""
     cells = {"description": "text", "quantity": "decimal", "unit_price": "decimal", "amount": "money"}
-    side = lambda rows, name: rows.select("document_id", "idx", F.lit(True).alias(f"has_{name}"), *(comparable(kind, F.col(c).cast("string")).alias(f"{name}_{c}") for c, kind in cells.items()))
-    rows = side(expected, "e").join(side(actual, "a"), ["document_id", "idx"], "full_outer")
-    ok = F.col("has_e") & F.col("has_a")
-    for cell in cells:
-        ok = ok & F.col(f"e_{cell}").eqNullSafe(F.col(f"a_{cell}"))
-    return rows.groupBy("document_id").agg(F.count("has_e").alias("lines"), F.sum(F.coalesce(ok, F.lit(False)).cast("bigint")).alias("lines_ok"))
+    both = paired(expected, actual, ["document_id", "idx"], list(cells))
+    ok = F.col("e").isNotNull() & F.col("a").isNotNull()
+    for cell, kind in cells.items():
+        ok = ok & alike(kind, F.col(f"e.{cell}").cast("string"), F.col(f"a.{cell}").cast("string"))
+    return both.groupBy("document_id").agg(F.count("e").alias("lines"), F.sum(F.coalesce(ok, F.lit(False)).cast("bigint")).alias("lines_ok"))
 
 
 def scores(fields: DataFrame, lines: DataFrame, grounded: DataFrame, codes: DataFrame) -> DataFrame:
