@@ -14,6 +14,8 @@ from docledger.sources.tables import replaced
 
 #: The issues of sums that do not agree.
 ARITHMETIC = ("V002", "V003")
+#: What of an issue is looked at here.
+LOOKED_AT = ("code", "severity", "field_paths", "message", "place")
 
 
 @dataclass
@@ -62,10 +64,11 @@ def reconcile(
 
     Issues that depend on other documents are made anew for all adopted documents once their answers have taken
     effect. Calling it again with the looks it gave as `looked` changes nothing. Tables may be empty; a document's rows all
-    go or all stay. Eager: each round's answers, counts and decisions are checkpointed before they take effect.
+    go or all stay. Eager: each round's second answers, counts and decisions are checkpointed before they take effect.
     """
     answer, looks = first, []
     asked = looked.select("document_id").distinct() if looked is not None else None
+    issues = checkpoint(issues)  # gone through for the focus, for the counts and for what stays as it is
     wanted = focus(issues)
     for number in range(1, rounds + 1):
         skipped = F.lit(None).cast("string") if paused is None else F.when(paused, "budget_paused")
@@ -91,7 +94,9 @@ def reconcile(
         without = lambda rows: rows.join(adopted, "document_id", "left_anti")  # noqa: B023, E731
         # lines go with their document even where the new answer has none
         lines = without(answer.lines).unionByName(own(found.lines).select(*answer.lines.columns))
-        answer = Answer(checkpoint(replaced(answer.invoices, own(found.invoices).select(*answer.invoices.columns))), checkpoint(lines), answer.types)
+        answer = Answer(replaced(answer.invoices, own(found.invoices).select(*answer.invoices.columns)), lines, answer.types)
+        if number < rounds:  # after the last round they are two checkpoints put together, and not copied once more
+            answer = Answer(checkpoint(answer.invoices), checkpoint(answer.lines), answer.types)
         issues = checkpoint(without(issues).unionByName(own(validate(answer.invoices, answer.lines)).select(*issues.columns)))
         asked, wanted = None, focus(own(issues))
     every = looks[0]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import money, text
+from docledger.shared import checkpoint
 
 MONEY_FIELDS = ("subtotal", "tax", "shipping", "discount", "total")
 FIELDS = ("vendorName", "invoiceNumber", "issueDate", "dueDate", "currency", *MONEY_FIELDS)
@@ -27,6 +28,13 @@ class Ledger:
     spark: SparkSession
     folder: str
 
+    def fixed(self) -> Ledger:
+        """The same with lines and invoices from checkpoints, for work that goes through them many times; they stay dealt by document."""
+        out = Ledger(self.spark, self.folder)
+        out.lines = checkpoint(self.lines)
+        out.invoices = checkpoint(out.invoices)
+        return out
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
