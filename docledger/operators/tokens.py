@@ -85,19 +85,20 @@ def prefix_sums(values: Column) -> Column:
 def words_of_item(text: Column, box: Column) -> Column:
     """Tokens of one printed item (box: x, y, w, h as fractions of the page): each word takes its share of the width by characters."""
     word = lambda p: F.regexp_replace(p, f"[{SPACES}]+", "")
-    lead = lambda p: F.length(p) - F.length(F.regexp_replace(p, f"^[{SPACES}]+", ""))
     none = F.array().cast(f"array<{BOX}>")
 
     def item(known: Column) -> Column:
         x, y, w, h = (known["box"][c] for c in "xywh")
 
-        def token(p: Column, before: Column) -> Column:
-            left = clamp(x + w * (before + lead(p)) / known["length"])
-            right = clamp(x + w * (before + lead(p) + F.length(word(p))) / known["length"])
+        def token(p: Column) -> Column:
+            left = clamp(x + w * p["before"] / known["length"])
+            right = clamp(x + w * (p["before"] + F.length(p["word"])) / known["length"])
             top, bottom = clamp(y), clamp(y + h)
-            return F.struct(word(p).alias("text"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+            return F.struct(p["word"].alias("text"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
 
-        kept = F.filter(F.zip_with(known["pieces"], prefix_sums(known["sizes"]), token), lambda t: t["text"] != "")
+        # a piece that has a word begins with it: blanks at the start of the text are a piece of their own, which is dropped
+        words = F.zip_with(known["pieces"], prefix_sums(known["sizes"]), lambda p, before: F.struct(word(p).alias("word"), before.alias("before")))
+        kept = F.transform(F.filter(words, lambda p: p["word"] != ""), token)
         return F.when(known["blank"] | (w <= 0) | (h <= 0), none).otherwise(kept.cast(f"array<{BOX}>"))
 
     # what is used for each word is made once
