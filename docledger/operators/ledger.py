@@ -90,16 +90,17 @@ def latest_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     return documents.join(newest, "document_id", "left")
 
 
-def details(invoices: DataFrame, lines: DataFrame, issues: DataFrame, runs: DataFrame, usage: DataFrame) -> DataFrame:
-    """One row for each invoice with counts and sums of its children; each child is aggregated before the join."""
-    parts = [
-        lines.groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum("amount").cast(money.MONEY).alias("line_total")),
-        issues.groupBy("document_id").agg(F.count("*").alias("n_issues"), F.sum((F.col("severity") == "blocking").cast("bigint")).alias("n_blocking")),
-        runs.groupBy("document_id").agg(F.count("*").alias("n_runs"), F.max("started_at").alias("last_run")),
-        usage_totals(usage),
-    ]
-    out = invoices.select("document_id", "workspace_id", "filename", "total")
-    for part in parts:
+def counted(invoices: DataFrame, lines: DataFrame, issues: DataFrame) -> DataFrame:
+    """Invoices with counts and sums of their lines and issues, each aggregated before the join; `rules.tallied` counts issues without listing them."""
+    own = lines.groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum("amount").cast(money.MONEY).alias("line_total"))
+    found = issues.groupBy("document_id").agg(F.count("*").alias("n_issues"), F.sum((F.col("severity") == "blocking").cast("bigint")).alias("n_blocking"))
+    return invoices.join(own, "document_id", "left").join(found, "document_id", "left")
+
+
+def details(counted: DataFrame, runs: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row for each invoice with counts and sums of its children: those of lines and issues that it has, and of runs and usage, aggregated before the join."""
+    out = counted.select("document_id", "workspace_id", "filename", "total", "n_lines", "line_total", "n_issues", "n_blocking")
+    for part in (runs.groupBy("document_id").agg(F.count("*").alias("n_runs"), F.max("started_at").alias("last_run")), usage_totals(usage)):
         out = out.join(part, "document_id", "left")
     counts = ("n_lines", "n_issues", "n_blocking", "n_runs", "calls", "input_tokens", "output_tokens", "cache_read_tokens", "cost_micros")
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})

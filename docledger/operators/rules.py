@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import money, text
@@ -60,10 +61,35 @@ def gathered(invoices: DataFrame, lines: DataFrame, groundings: DataFrame | None
     # rules take more time than reading: invoices are dealt by document with their lines, however small their table is
     rows = invoices.join(own.hint("merge"), "document_id", "left")
     if groundings is not None:
-        rows = rows.join(groundings.groupBy("document_id").agg(F.collect_set("field_path").alias("located")), "document_id", "left")
+        wanted = F.col("field_path").isin(*MONEY_FIELDS) | of_line(F.col("field_path"))
+        rows = rows.join(groundings.filter(wanted).groupBy("document_id").agg(F.collect_set("field_path").alias("located")), "document_id", "left")
     return rows
 
 
+def tallied(invoices: DataFrame, lines: DataFrame, groundings: DataFrame) -> DataFrame:
+    """Invoices with their numbers of lines and of issues (V002, V004, V005, V009, V010), and how many of these are blocking.
+
+    The rules are the same as those that list issues, but are counted line by line: of a document, only the paths of its
+    located lines are gathered, and neither its lines nor its issues become an array.
+    """
+    path, line = F.col("field_path"), F.struct("idx", "quantity", "unit_price", "amount")
+    located = groundings.filter(of_line(path)).groupBy("document_id").agg(F.collect_set(path).alias("located"))
+    heads = groundings.filter(path.isin(*MONEY_FIELDS)).groupBy("document_id").agg(*(F.bool_or(path == c).alias(f"{c}_located") for c in MONEY_FIELDS))
+    own = lines.join(located, "document_id", "left").groupBy("document_id").agg(
+        F.count("*").alias("n_all"), F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("amount").alias("n_lines"),
+        F.count_if(product_differs(line)).alias("n_products"), F.count_if(is_lost(F.col("amount"), line_path(F.col("idx")))).alias("n_lost"),
+    )
+    one = lambda wrong: F.coalesce(wrong, F.lit(False)).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    blocking = sum((one(F.col(c).isNotNull() & ~F.coalesce(f"{c}_located", F.lit(False))) for c in MONEY_FIELDS), one(sum_differs()))
+    others = one(due_is_early()) + one(is_negative()) + F.coalesce("n_products", none) + F.coalesce("n_lost", none)
+    rows = invoices.join(own, "document_id", "left").join(heads, "document_id", "left")
+    rows = rows.select(*(F.col(c) for c in invoices.columns), F.col("n_all").alias("n_lines"), F.col("line_sum").alias("line_total"), (blocking + others).alias("n_issues"), blocking.alias("n_blocking"))
+    # issues are a document's: rows of one id share them, and without an id there are none
+    shared = lambda c: F.when(F.col("document_id").isNotNull(), F.sum(c).over(Window.partitionBy("document_id"))).otherwise(none)
+    return rows.withColumns({c: shared(c) for c in ("n_issues", "n_blocking")})
+
+
 def say(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -72,6 +98,11 @@ def line_path(idx: Column, name: str = "amount") -> Column:
     return say("lineItems.", idx, f".{name}")
 
 
+def of_line(path: Column) -> Column:
+    """Whether a path is that of a line's amount."""
+    return path.startswith("lineItems.") & path.endswith(".amount")
+
+
 def line_sums(lines: DataFrame) -> DataFrame:
     """Of each document with a printed line amount: their exact sum, their number and themselves in order."""
     return lines.filter(F.col("amount").isNotNull()).groupBy("document_id").agg(F.sum("amount").cast(money.MONEY).alias("line_sum"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("idx", "amount"))).alias("items"))
@@ -93,10 +124,14 @@ def missing_fields(invoices: DataFrame) -> DataFrame:
     return listed(invoices, missing_issues(invoices.columns))
 
 
+def sum_differs() -> Column:
+    return F.abs(money.to_cents(F.col("line_sum")) - money.to_cents(F.col("subtotal"))) > F.greatest(F.lit(5), F.col("n_lines"))
+
+
 def line_sum_issues(columns: Sequence[str] = ALL) -> Column:
     """V002: line amounts do not add up to the subtotal, by more than a cent a line and five cents at least."""
     subtotal, total = F.col("subtotal"), F.col("line_sum")
-    off = F.abs(money.to_cents(total) - money.to_cents(subtotal)) > F.greatest(F.lit(5), F.col("n_lines"))
+    off = sum_differs()
     need = lambda x: (subtotal - (total - x["amount"])).cast(money.MONEY)
     fits = F.filter("amounts", lambda x: (need(x) > 0) & money.is_digit_swap(x["amount"], need(x)))
     whole = money.is_digit_swap(subtotal, total)
@@ -153,7 +188,7 @@ def product_of(line: Column) -> Column:
 
 
 def product_differs(line: Column) -> Column:
-    return F.coalesce(F.abs(product_of(line) - line["amount"]) > 0.02, F.lit(False))
+    return F.coalesce(F.abs(product_of(line) - line["amount"]) > F.lit(Decimal("0.02")), F.lit(False))
 
 
 def product_issue(line: Column, columns: Sequence[str] = ALL) -> Column:
@@ -173,9 +208,13 @@ def line_product_differs(lines: DataFrame) -> DataFrame:
     return lines.filter(product_differs(line)).select("document_id", product_issue(line).alias("x")).select("document_id", "x.*")
 
 
+def due_is_early() -> Column:
+    return F.col("due_date") < F.col("issue_date")
+
+
 def due_issues(columns: Sequence[str] = ALL) -> Column:
     """V005."""
-    return if_(F.col("due_date") < F.col("issue_date"), issue("V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ")."), columns=columns), columns)
+    return if_(due_is_early(), issue("V005", "warning", F.array(F.lit("dueDate"), F.lit("issueDate")), say("The due date (", F.col("due_date"), ") is before the issue date (", F.col("issue_date"), ")."), columns=columns), columns)
 
 
 def due_before_issue(invoices: DataFrame) -> DataFrame:
@@ -239,23 +278,36 @@ def duplicate_invoice(invoices: DataFrame) -> DataFrame:
     return listed(duplicates(invoices), duplicate_issues())
 
 
+def is_negative() -> Column:
+    return F.col("total") < 0
+
+
 def negative_issues(columns: Sequence[str] = ALL) -> Column:
     """V009."""
-    return if_(F.col("total") < 0, issue("V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note."), columns=columns), columns)
+    return if_(is_negative(), issue("V009", "info", F.array(F.lit("total")), say("The total is negative (", F.col("total"), "). This may be a credit note."), columns=columns), columns)
 
 
 def negative_total(invoices: DataFrame) -> DataFrame:
     return listed(invoices, negative_issues())
 
 
+def is_lost(value: Column, path: Column) -> Column:
+    """Whether an amount is printed, but not among the located fields."""
+    return value.isNotNull() & ~F.array_contains(F.coalesce("located", F.array().cast("array<string>")), path)
+
+
 def located_issues(columns: Sequence[str] = ALL) -> Column:
     """V010: an amount that was not found on the document; blocking for the header, a warning for lines."""
-    kind = lambda path, label, value, severity, place: F.struct(path.alias("path"), label.alias("label"), value.alias("value"), F.lit(severity).alias("severity"), place.cast("int").alias("place"))
+
+    def kind(path: Column, label: Column, value: Column, severity: str, place: Column) -> Column:
+        # what an issue is found by, and what the columns that are made of it need
+        found = {"path": path, "value": value, "label": label, "severity": F.lit(severity), "place": place.cast("int")}
+        needed = {"path", "value", "label" if "message" in columns else "path", *columns}
+        return F.struct(*(c.alias(name) for name, c in found.items() if name in needed))
+
     header = F.array(*(kind(F.lit(c), F.lit(c.capitalize()), F.col(c), "blocking", F.lit(n)) for n, c in enumerate(MONEY_FIELDS)))
     own = F.transform("amounts", lambda x: kind(line_path(x["idx"]), say("Line ", x["idx"] + 1, " amount"), x["amount"], "warning", x["idx"] + len(MONEY_FIELDS)))
-    values = F.concat(header, F.coalesce(own, F.filter(header, lambda x: F.lit(False))))
-    located = F.coalesce("located", F.array().cast("array<string>"))
-    lost = F.filter(values, lambda x: x["value"].isNotNull() & ~F.array_contains(located, x["path"]))
+    lost = F.filter(F.concat(header, F.coalesce(own, F.filter(header, lambda x: F.lit(False)))), lambda x: is_lost(x["value"], x["path"]))
     return F.transform(lost, lambda x: issue("V010", x["severity"], F.array(x["path"]), say(x["label"], " (", x["value"], ") could not be found on the document."), place=x["place"], columns=columns))
 
 

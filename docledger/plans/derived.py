@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,7 +55,7 @@ class Ledger:
             .select(
                 "document_id", "idx", "description", "cents",
                 F.col("qty").cast(money.EXACT).alias("quantity"),
-                (F.col("price").cast("decimal(18,0)") / 10000).cast(money.EXACT).alias("unit_price"),
+                (F.col("price").cast("decimal(18,0)") * F.lit(Decimal("0.0001"))).cast(money.EXACT).alias("unit_price"),
                 F.when(key % 41 != 0, money.from_cents(F.when((F.col("document_id") % 6 == 5) & (F.col("idx") == 0), swapped(F.col("cents"))).otherwise(F.col("cents")))).alias("amount"),
             )
         )
@@ -131,7 +132,10 @@ class Ledger:
     def groundings(self) -> DataFrame:
         """(document_id, field_path, score, method) of header fields and line amounts; some are not found."""
         header = self.invoices.select("document_id", F.posexplode(F.array(*map(F.lit, FIELDS))).alias("n", "field_path"))
-        lines = self.lines.select("document_id", (F.col("idx") + 10).alias("n"), F.concat(F.lit("lineItems."), "idx", F.lit(".amount")).alias("field_path"))
+        # a document's lines are numbered without gaps, so their number is enough, and they need not be put in order again
+        numbers = self.lines.groupBy("document_id").agg(F.count("*").cast("int").alias("lines"))
+        lines = numbers.select("document_id", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("idx"))
+        lines = lines.select("document_id", (F.col("idx") + 10).alias("n"), F.concat(F.lit("lineItems."), "idx", F.lit(".amount")).alias("field_path"))
         turn = (F.col("document_id") + F.col("n")) % 8
         method = F.when(turn < 4, "exact").when(turn < 6, "normalized").otherwise("fuzzy")
         return header.unionByName(lines).filter(turn != 7).select("document_id", "field_path", F.when(turn < 4, 1.0).when(turn < 6, 0.9).otherwise(0.7).alias("score"), method.alias("method"))
