@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.text import CODES, MARKS, SPACES, bound
@@ -16,6 +16,34 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"(?i)[{MARKS}]|\b(?:{'|'.join(CODES)})\b", ""), f"[{SPACES}']+", "")
 
 
+def _is_alone(text: Column) -> Column:
+    """Digits and separators alone have nothing to take off."""
+    return text.rlike(r"^[\d.,]*\z")
+
+
+def _negative(bare: Column) -> Column:
+    return bare.rlike(r"(?i)^\(.*\)$|^-|-$|cr$")
+
+
+def _plain(bare: Column) -> Column:
+    return F.regexp_replace(bare, r"[^\d.,]", "")
+
+
+def _digits(plain: Column) -> Column:
+    return F.replace(F.replace(plain, F.lit(","), F.lit("")), F.lit("."), F.lit(""))
+
+
+def _fraction(plain: Column) -> Column:
+    """What is behind the last separator; all, if there is none."""
+    return F.substring_index(F.replace(plain, F.lit(","), F.lit(".")), ".", -1)
+
+
+def _point(plain: Column, digits: Column, fraction: Column) -> Column:
+    grouped = (F.length(fraction) == 3) & plain.rlike(r"^[1-9][\d,]*,\d{3}\z|^[1-9][\d.]*\.\d{3}\z")
+    point = F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(fraction)), F.lit("."), fraction)
+    return F.when((F.length(plain) == F.length(digits)) | grouped, digits).otherwise(point)
+
+
 def split_decimal(text: Column) -> Column:
     """STRUCT<negative, digits> of a printed number, digits with at most a dot as its decimal point; null without a digit.
 
@@ -24,23 +52,43 @@ def split_decimal(text: Column) -> Column:
     thousands; otherwise its last occurrence is the decimal point.
     """
 
-    def read(bare: Column) -> Column:
-        plain = F.regexp_replace(bare, r"[^\d.,]", "")
-        grouped = plain.rlike(r"^[1-9][\d,]*,\d{3}$|^[1-9][\d.]*\.\d{3}$")
-        point = F.regexp_replace(F.regexp_replace(plain, r"[.,](?=.*[.,])", ""), ",", ".")
-        digits = F.when(grouped, F.regexp_replace(plain, "[.,]", "")).otherwise(point)
-        return F.when(bare.rlike(r"\d"), F.struct(bare.rlike(r"(?i)^\(.*\)$|^-|-$|cr$").alias("negative"), digits.alias("digits")))
+    def cut(bare: Column) -> Column:
+        return F.struct(_negative(bare).alias("negative"), _plain(bare).alias("plain"))
 
-    return bound(_bare(text), read)
+    def pointed(x: Column) -> Column:
+        return F.struct(x["negative"].alias("negative"), x["plain"].alias("plain"), _digits(x["plain"]).alias("digits"), _fraction(x["plain"]).alias("fraction"))
 
+    def read(x: Column) -> Column:
+        return F.when(x["digits"] != "", F.struct(x["negative"].alias("negative"), _point(x["plain"], x["digits"], x["fraction"]).alias("digits")))
+
+    alone = F.struct(F.lit(False).alias("negative"), text.alias("plain"))
+    return bound(bound(F.when(_is_alone(text), alone).otherwise(bound(_bare(text), cut)), pointed), read)
 
-def _parsed(text: Column, kind: str) -> Column:
 
-    def value(parts: Column) -> Column:
-        amount = F.concat(F.lit("0"), parts["digits"]).try_cast(kind)  # rounds half up, null where it does not fit
-        return F.when(parts["negative"], -amount).otherwise(amount).cast(kind)
+def _value(negative: Column, digits: Column, kind: str) -> Column:
+    amount = F.concat(F.lit("0"), digits).try_cast(kind)  # rounds half up, null where it does not fit
+    return F.when(negative, -amount).otherwise(amount).cast(kind)
 
-    return bound(split_decimal(text), value)
+
+def _parsed(text: Column, kind: str) -> Column:
+    return bound(split_decimal(text), lambda parts: _value(parts["negative"], parts["digits"], kind))
+
+
+def with_money(rows: DataFrame, source: str, where: Column, name: str) -> DataFrame:
+    """Rows with `parse_money` of a column where a condition holds, else null. A column for each step, so that all of it is compiled, which `bound` is not."""
+    own = lambda step: f"_{name}_{step}"
+    text, alone, bare, plain, digits, fraction = (F.col(own(step)) for step in ("text", "alone", "bare", "plain", "digits", "fraction"))
+    for step, value in (
+        ("text", F.when(where, F.col(source))),
+        ("alone", _is_alone(text)),
+        ("bare", F.when(alone, text).otherwise(_bare(text))),
+        ("plain", F.when(alone, bare).otherwise(_plain(bare))),
+        ("digits", _digits(plain)),
+        ("fraction", _fraction(plain)),
+    ):
+        rows = rows.withColumn(own(step), value)
+    amount = F.when(digits != "", _value(~alone & _negative(bare), _point(plain, digits, fraction), MONEY))
+    return rows.withColumn(name, amount).drop(*(own(step) for step in ("text", "alone", "bare", "plain", "digits", "fraction")))
 
 
 def parse_money(text: Column) -> Column:

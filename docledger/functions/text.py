@@ -30,22 +30,35 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Trims, and makes each run of white space one space."""
-    return F.regexp_replace(strip(text), f"[{SPACES}]+", " ")
+    return F.when(text.rlike(f"[{SPACES}]"), F.regexp_replace(strip(text), f"[{SPACES}]+", " ")).otherwise(text)
 
 
 def is_money_shaped(text: Column) -> Column:
     """Whether a string reads as an amount: a digit, no percent sign, and a currency mark, a separator between digits or two decimals at the end."""
-    amount = text.rlike(f"[{MARKS}]") | text.rlike(r"\d[.,']\d") | text.rlike(r"[.,]\d{2}\D*\z")
+    amount = text.rlike(rf"[{MARKS}]|\d[.,']\d|[.,]\d{{2}}\D*\z")
     return text.rlike(r"\d") & ~text.contains("%") & amount
 
 
 def normalize_text(text: Column) -> Column:
     """An amount in plain decimals; other text in lower case, with marks and punctuation as single spaces."""
+    # letters alone and digits alone, as most words are, need not be read
+    return F.when(is_plain(text), F.lower(text)).otherwise(bound(strip(text), normalize_stripped))
+
+
+def is_plain(text: Column) -> Column:
+    return text.rlike(r"^(?:[A-Za-z]+|[0-9]+)\z")
+
+
+def normalize_stripped(text: Column) -> Column:
+    """`normalize_text` of text without spaces around it."""
     from docledger.functions.money import parse_money
 
-    trimmed = strip(text)
-    words = F.regexp_replace(F.regexp_replace(F.lower(trimmed), f"[{MARKS}]", " "), r"[^\p{L}\p{N}]+", " ")
-    return F.coalesce(F.when(is_money_shaped(trimmed), parse_money(trimmed).cast("string")), F.trim(words))
+    return F.coalesce(F.when(is_money_shaped(text), parse_money(text).cast("string")), bare_words(text))
+
+
+def bare_words(text: Column) -> Column:
+    """Letters and digits in lower case, all between them as single spaces; marks are neither."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def normalize_words(text: Column) -> Column:
@@ -55,7 +68,8 @@ def normalize_words(text: Column) -> Column:
 
 def fuzzy_key(text: Column) -> Column:
     """Lower case without currency codes, white space and currency marks."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), rf"\b(?:{'|'.join(CODES)})\b", ""), f"[{SPACES}{MARKS}]", "")
+    key = F.regexp_replace(F.regexp_replace(F.lower(text), rf"\b(?:{'|'.join(CODES)})\b", ""), f"[{SPACES}{MARKS}]", "")
+    return F.when(text.rlike(r"^[0-9.,]+\z"), text).otherwise(key)
 
 
 def vendor_key(name: Column) -> Column:

@@ -33,6 +33,7 @@ LABELS = {
     "discount": ("discount", "less", "rabatt"),
     "total": ("total", "total due", "amount due", "balance due", "grand total", "amount payable", "total payable", "gesamtbetrag", "payable"),
 }
+LETTERS = r"^[A-Za-z]+\z"
 MONEY_TOKEN = rf"(?i)^(?:[(-]?[\d.,']*\d[\d.,']*[-)]?|[{text.MARKS}]|(?:{'|'.join(text.CODES)}))$"
 
 
@@ -52,34 +53,41 @@ def source_agrees(kind: Column, value: Column, source: Column) -> Column:
 def candidates(values: DataFrame) -> DataFrame:
     """Strings worth looking for, of values (document_id, field_path, kind, value, source_text): the source text first, then the value."""
     source = F.when(source_agrees(F.col("kind"), F.col("value"), F.col("source_text")), F.col("source_text"))
-    raws = F.array_distinct(F.filter(F.transform(F.array(source, F.col("value")), text.collapse), lambda x: x.isNotNull() & (x != "")))
+    raws = F.array_except(F.array(text.collapse(source), text.collapse(F.col("value"))), F.array(F.lit(""), F.lit(None)))  # distinct, in their order
     page = F.col("page") if "page" in values.columns else F.lit(None).cast("int").alias("page")
     rows = values.filter(F.col("value").isNotNull()).select("document_id", "field_path", "kind", page, F.posexplode(raws).alias("ordinal", "raw"))
-    amount = F.when(F.col("kind").isin("money", "number"), money.parse_money(F.col("raw")))
+    amount = F.col("kind").isin("money", "number")
+    rows = money.with_money(rows.withColumn("shaped", text.is_money_shaped(F.col("raw"))), "raw", amount | F.col("shaped"), "read")
     day = F.when(F.col("kind") == "date", F.coalesce(F.when(dates.is_iso_date(F.col("raw")), F.col("raw").try_cast("date")), dates.parse_date(F.col("raw"))))
-    norm = F.when(F.col("raw").contains(" "), text.normalize_words(F.col("raw"))).otherwise(text.normalize_text(F.col("raw")))
-    return rows.select("*", norm.alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), amount.alias("amount"), day.alias("day"))
+    norm = F.when(F.col("raw").contains(" "), text.normalize_words(F.col("raw"))).when(F.col("shaped"), F.col("read").cast("string"))
+    norm = F.coalesce(norm, text.bare_words(F.col("raw")))
+    return rows.select("*", norm.alias("norm"), text.fuzzy_key(F.col("raw")).alias("key"), F.size(F.split("raw", " ")).alias("words"), F.when(amount, F.col("read")).alias("amount"), day.alias("day")).drop("shaped", "read")
 
 
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_no, tokens, and what else they have) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
 
-    def made(t: Column, norm: Column, key: Column, money_: Column, digit: Column) -> Column:
-        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), norm.isin(*dates.MONTHS).alias("month"), first_word(norm).alias("b_norm"), F.substring(key, 1, 1).alias("b_key"))
+    def made(t: Column, norm: Column, key: Column, money_: Column, digit: Column, month: Column, first: Column) -> Column:
+        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), month.alias("month"), first.alias("b_norm"), F.substring(key, 1, 1).alias("b_key"))
 
     def token(t: Column) -> Column:
         word = t["text"]
-        lower = F.lower(word)
-        norm = F.when(word.rlike(f"[{text.SPACES}]"), text.normalize_words(word)).when(word.rlike(r"\d"), text.normalize_text(word)).otherwise(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")))
-        named = lambda n: F.struct(n.alias("norm"))
-        other = text.bound(named(norm), lambda k: made(t, k["norm"], text.fuzzy_key(word), word.rlike(MONEY_TOKEN), word.rlike(r"\d")))
-        # most words are plain letters
-        plain = text.bound(lower, lambda low: made(t, low, F.when(low.isin(*text.CODES), "").otherwise(low), low.isin(*text.CODES), F.lit(False)))
-        return F.when(word.rlike("^[A-Za-z]+$"), plain).otherwise(other)
+        spelled_ = F.struct(normal_form(word).alias("norm"), text.fuzzy_key(word).alias("key"))
+        other = text.bound(spelled_, lambda k: made(t, k["norm"], k["key"], word.rlike(MONEY_TOKEN), word.rlike(r"\d"), k["norm"].isin(*dates.MONTHS), first_word(k["norm"])))
+        # most words are plain letters or digits
+        named = lambda low: F.struct(low.alias("low"), low.isin(*text.CODES).alias("code"))
+        plain = text.bound(text.bound(F.lower(word), named), lambda k: made(t, k["low"], F.when(k["code"], "").otherwise(k["low"]), k["code"], F.lit(False), k["low"].isin(*dates.MONTHS), k["low"]))
+        number = made(t, word, word, F.lit(True), F.lit(True), F.lit(False), word)
+        return F.when(word.rlike(LETTERS), plain).when(word.rlike(r"^[0-9]+\z"), number).otherwise(other)
 
     return pages.withColumn("tokens", F.transform("tokens", token))
 
 
+def normal_form(word: Column) -> Column:
+    """That of a token."""
+    return F.when(word.rlike(f"[{text.SPACES}]"), text.normalize_words(word)).otherwise(text.normalize_stripped(word))
+
+
 def first_word(column: Column) -> Column:
     return F.substring_index(column, " ", 1)
 
@@ -100,7 +108,7 @@ def starts(tokens: Column, wanted: Column) -> Column:
     """
 
     def may(t: Column, c: Column) -> Column:
-        return (t["b_key"] != "") & (t["b_key"] == c["b_key"]) | t["digit"] & c["b_digit"] | (t["text"] == c["b_raw"]) | (t["b_norm"] != "") & (t["b_norm"] == c["b_norm"]) | t["month"] & c["b_month"]
+        return t["digit"] & c["b_digit"] | (t["b_key"] != "") & (t["b_key"] == c["b_key"]) | (t["text"] == c["b_raw"]) | (t["b_norm"] != "") & (t["b_norm"] == c["b_norm"]) | t["month"] & c["b_month"]
 
     some = F.filter(F.transform(tokens, lambda t, n: F.struct(n.alias("n"), F.filter(wanted, lambda c: may(t, c)).alias("who"))), lambda s: F.size(s["who"]) > 0)
     most = lambda s: F.least(F.lit(MOST_TOKENS), F.array_max(F.transform(s["who"], lambda c: c["words"])) + 2)
@@ -120,11 +128,13 @@ def spelled(pages: DataFrame, *kept: str) -> DataFrame:
     """
     rows = pages.select("document_id", "page_no", *kept, F.explode(starts(F.col("tokens"), F.col("wanted"))).alias("s")).select("document_id", "page_no", *kept, F.col("s.n").alias("start"), "s.who", "s.ahead")
     sized = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("size")).withColumn("own", F.slice("ahead", F.lit(1), F.col("size"))).drop("ahead")
-    part = lambda c: F.transform("own", lambda t: t[c])
-    words = sized.withColumns({"w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.filter(part("norm"), lambda x: x != ""), " "), "w_key": F.array_join(part("key"), "")})
-    shaped = (F.col("size") <= 3) & F.exists("who", lambda c: c["amount"].isNotNull()) & F.forall("own", lambda t: t["money"]) & text.is_money_shaped(F.col("w_raw"))
-    dated = (F.col("size") <= 4) & F.exists("who", lambda c: c["day"].isNotNull())
-    return words.withColumns({"w_amount": F.when(shaped, money.parse_money(F.col("w_raw"))), "w_day": F.when(dated, dates.parse_date(F.col("w_raw")))})
+    # fields of arrays, and no functions of their elements: these are compiled
+    part = lambda c: F.col(f"own.{c}")
+    words = sized.withColumns({"w_raw": F.array_join(part("text"), " "), "w_norm": F.array_join(F.array_remove(part("norm"), ""), " "), "w_key": F.array_join(part("key"), "")})
+    asked_for = lambda c: F.array_max(F.col(f"who.{c}")).isNotNull()
+    shaped = (F.col("size") <= 3) & asked_for("amount") & ~F.array_contains(part("money"), False) & text.is_money_shaped(F.col("w_raw"))
+    dated = (F.col("size") <= 4) & asked_for("day")
+    return money.with_money(words, "w_raw", shaped, "w_amount").withColumn("w_day", F.when(dated, dates.parse_date(F.col("w_raw"))))
 
 
 def windows(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,13 +154,16 @@ def scored(found: DataFrame, *kept: str) -> DataFrame:
     # alignment has at least half as many edits as without swaps
     close = lambda c: near(c) & (F.levenshtein("w_key", c["key"]) <= 2 * edits(F.greatest(c["n"], m)))
     normal = lambda c: (c["norm"] != "") & (F.col("w_norm") == c["norm"]) | F.coalesce(F.col("w_amount") == c["amount"], F.lit(False)) | F.coalesce(F.col("w_day") == c["day"], F.lit(False))
-    tried = F.filter("who", lambda c: (F.col("size") <= c["words"] + 2) & ((F.col("w_raw") == c["raw"]) | normal(c) | close(c)))
-    sure = lambda c: F.when(F.col("w_raw") == c["raw"], 1.0).when(normal(c), 0.9)
-    similar = lambda c: F.when(F.col("w_key") == c["key"], 1.0).otherwise(1 - fuzzy.osa_column(F.col("w_key"), c["key"]) / F.greatest(c["n"], m))
-    judged = F.transform(F.transform(tried, lambda c: F.struct(c.alias("c"), sure(c).alias("sure"))), lambda x: F.struct(x["c"].alias("c"), x["sure"].alias("sure"), F.when(x["sure"].isNull(), similar(x["c"])).alias("similar")))
-    # filtered in the array, as a filter of rows would move below the columns that it reads and make them once more for each candidate
+    c = F.col("c")
+    # rows and not an array of candidates, so that what is asked of each pair is compiled
+    pairs = found.select("*", F.explode("who").alias("c")).drop("who")
+    tried = pairs.filter((F.col("size") <= c["words"] + 2) & ((F.col("w_raw") == c["raw"]) | normal(c) | close(c)))
+    sure = F.when(F.col("w_raw") == c["raw"], 1.0).when(normal(c), 0.9)
+    similar = F.when(F.col("w_key") == c["key"], 1.0).otherwise(1 - fuzzy.osa_column(F.col("w_key"), c["key"]) / F.greatest(c["n"], m))
+    judged = F.transform(F.array(F.struct(sure.alias("sure"))), lambda x: F.struct(x["sure"].alias("sure"), F.when(x["sure"].isNull(), similar).alias("similar")))
+    # filtered in an array, as a filter of rows would move below the columns that it reads and make them once more
     met = F.filter(judged, lambda x: x["sure"].isNotNull() | (x["similar"] >= LEAST_SIMILAR))
-    rows = found.select("document_id", "page_no", *kept, "start", "size", "own", "w_raw", F.explode(met).alias("x")).select("*", "x.*")
+    rows = tried.select("document_id", "page_no", *kept, "start", "size", "own", "w_raw", "c", F.explode(met).alias("x")).select("*", "x.*")
     method = F.when(F.col("sure") == 1.0, "exact").when(F.col("sure").isNotNull(), "normalized").otherwise("fuzzy")
     first = F.col("own")[0]
     return rows.select(
@@ -159,25 +172,38 @@ def scored(found: DataFrame, *kept: str) -> DataFrame:
     )
 
 
-def label_phrases(labels: DataFrame) -> Column:
-    """Labels (field, label: a fixed list of some fifty) as an array of field, phrase, word (its first) and n (how many)."""
+def label_phrases(labels: DataFrame) -> list[tuple[str, str]]:
+    """Labels (field, label: a fixed list of some fifty) as field and phrase."""
     phrases = labels.select("field", text.normalize_words(F.col("label")).alias("phrase")).filter("phrase <> ''")
-    rows = [(r.field, r.phrase, r.phrase.split(" ")) for r in phrases.collect()]
-    return F.array(*(F.struct(F.lit(field).alias("field"), F.lit(phrase).alias("phrase"), F.lit(words[0]).alias("word"), F.lit(len(words)).alias("n")) for field, phrase, words in rows))
+    return [(r.field, r.phrase) for r in phrases.collect()]
+
+
+def label_norm(word: Column, phrases: list[tuple[str, str]]) -> Column:
+    """The normal form of a token that may belong to a label, as far as labels need it: null where the token has a digit and no label does, which it keeps in any normal form."""
+    plain = F.when(word.rlike(LETTERS), F.lower(word))
+    return (plain if any(c.isdigit() for _, phrase in phrases for c in phrase) else plain.when(word.rlike(r"\d"), None)).otherwise(normal_form(word))
 
 
-def centres(tokens: Column, phrases: Column) -> Column:
+def centres(tokens: Column, phrases: list[tuple[str, str]]) -> Column:
     """Array of field, cx, cy: centres of the labels printed among tokens. Tokens are only followed where a label's first word stands."""
-    words = F.array_distinct(F.transform(phrases, lambda p: p["word"]))
-    begun = F.transform(F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(words, first_word(t["norm"])), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), first_word(F.get(tokens, i)["norm"]).alias("word")))
-    ahead = lambda b: F.transform(F.filter(phrases, lambda p: p["word"] == b["word"]), lambda p: F.struct(p["field"].alias("field"), p["phrase"].alias("phrase"), run_of(tokens, b["i"], p["n"]).alias("own")))
-    met = F.filter(F.flatten(F.transform(begun, ahead)), lambda x: F.array_join(F.transform(x["own"], lambda t: t["norm"]), " ") == x["phrase"])
+    by_word: dict[str, list[tuple[str, str]]] = {}
+    for field, phrase in phrases:
+        by_word.setdefault(phrase.split(" ")[0], []).append((field, phrase))
+    none = F.array().cast("array<struct<field:string,phrase:string,n:int>>")
+    named = lambda rows: F.array(*(F.struct(F.lit(field).alias("field"), F.lit(phrase).alias("phrase"), F.lit(phrase.count(" ") + 1).alias("n")) for field, phrase in rows))
+    # the phrases are told by the word once it is known that one begins there: they stand in literals, which no token goes through
+    of_word = lambda word: F.coalesce(*(F.when(word == first, named(rows)) for first, rows in by_word.items()), none)
+    norm = lambda t: label_norm(t["text"], phrases)
+    starts_ = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), first_word(norm(t)).alias("word"))), lambda b: b["word"].isin(*by_word))
+    ahead = lambda b: F.transform(of_word(b["word"]), lambda p: F.struct(p["field"].alias("field"), p["phrase"].alias("phrase"), run_of(tokens, b["i"], p["n"]).alias("own")))
+    # a token that no label has must not drop out of what is joined
+    met = F.filter(F.flatten(F.transform(starts_, ahead)), lambda x: F.array_join(F.transform(x["own"], norm), " ", "0") == x["phrase"])
     boxed = F.transform(met, lambda x: F.struct(x["field"].alias("field"), box_of(x["own"]).alias("box")))
     return F.transform(boxed, lambda x: F.struct(x["field"].alias("field"), (x["box"]["x"] + x["box"]["w"] / 2).alias("cx"), (x["box"]["y"] + x["box"]["h"] / 2).alias("cy")))
 
 
 def label_centres(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(document_id, page_no, field, cx, cy): centres of the labels (field, label: a fixed list) printed on prepared pages."""
+    """(document_id, page_no, field, cx, cy): centres of the labels (field, label: a fixed list) printed on pages."""
     return pages.select("document_id", "page_no", F.explode(centres(F.col("tokens"), label_phrases(labels))).alias("c")).select("document_id", "page_no", "c.*")
 
 

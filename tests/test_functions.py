@@ -198,3 +198,14 @@ def test_risk(spark):
     assert [r[0] for r in frame.orderBy("i").select(risk.risk_band(value)).collect()] == ["low", "high", "high", "high", "medium"]
     cost = risk.cost_micros(F.col("m"), F.lit(1000), F.lit(500), F.lit(2000), F.lit(10000))
     assert [r[0] for r in spark.createDataFrame([("some-model",), ("mock",)], "m string").select(cost).collect()] == [14000, 0]
+
+
+def test_with_money(spark):
+    """Amounts read step by step are those that the function reads, and null where the condition does not hold."""
+    texts = ["1,234.56", "1.234,56 €", "(12.50)", "USD 1,000-", "1.234", "0.123", "12.", ".5", "1,2,3", "-7 CR", "-7,5-", "", ".,", "€", "x", None, "9" * 17 + ".5", "1'234.50", "12 345,6", "1,234.567", "12,345", "01,234", "10.00\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("u", money.parse_money(F.col("t")))
+    got = money.with_money(rows, "t", F.col("i") % 2 == 0, "even")
+    got = money.with_money(got, "t", F.lit(True), "every").collect()
+    assert got[0].asDict().keys() == {"i", "t", "u", "even", "every"}
+    assert [r.every for r in got] == [r.u for r in got] and [r.even for r in got] == [r.u if r.i % 2 == 0 else None for r in got]
+    assert sum(r.u is not None for r in got) > 12

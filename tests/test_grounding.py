@@ -194,3 +194,25 @@ def test_no_window_is_shuffled(spark, name):
     keys = [line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert set(keys) <= {"document_id", "l_orderkey"} and not any("page_no" in line or "sign" in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
     assert "RDDScan" not in plan and "ExistingRDD" not in plan
+
+
+def test_windows_are_compiled(spark):
+    """What a window spells, and whether it reads as an amount, is made of fields of arrays; functions of single elements are not compiled."""
+    plan = function_queries.QUERIES["g05_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spelled = [line for line in plan.splitlines() if " AS w_" in line or " AS _w_amount" in line]
+    assert spelled and not any("lambdafunction" in line.split(" AS w_day")[0] for line in spelled if " AS w_raw" in line or " AS _w_amount" in line)
+
+
+def test_labels_are_literals(spark):
+    """The first words of labels are not gathered anew for each token, and no amount is read to find them."""
+    plan = function_queries.QUERIES["g09_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "mwst" in plan
+
+
+def test_labels_with_digits(spark):
+    """Labels may have digits; then tokens with digits are read, and one that is not part of the label never drops out of it."""
+    pages = page_rows(spark, [["2nd payment 5.00", "Total 7 due", "Total, due"]])
+    labels = spark.createDataFrame([("a", "2nd payment"), ("b", "total due")], "field string, label string")
+    found = lambda rows: sorted((r.field, round(r.cy, 6)) for r in grounding.label_centres(pages, rows).collect())
+    assert found(labels) == [("a", 0.01), ("b", 0.11)]
+    assert found(labels.filter("field = 'b'")) == [("b", 0.11)]
