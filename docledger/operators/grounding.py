@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import dates, fuzzy, money, text
-from docledger.operators.tokens import box_of, run_of
+from docledger.operators.tokens import box_of, rounded, run_of
 from docledger.plans.derived import FIELDS, MONEY_FIELDS
 
 MOST_TOKENS = 12
@@ -68,7 +68,7 @@ def prepared(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_no, tokens, and what else they have) whose tokens carry their normal form, key, and whether they can spell an amount or begin a day."""
 
     def made(t: Column, norm: Column, key: Column, money_: Column, digit: Column, month: Column, first: Column) -> Column:
-        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), month.alias("month"), first.alias("b_norm"), F.substring(key, 1, 1).alias("b_key"))
+        return F.struct(*(t[c].alias(c) for c in ("text", "x", "y", "w", "h", "line")), (t["x"] + t["w"]).alias("right"), (t["y"] + t["h"]).alias("bottom"), norm.alias("norm"), key.alias("key"), money_.alias("money"), digit.alias("digit"), month.alias("month"), first.alias("b_norm"), F.substring(key, 1, 1).alias("b_key"))
 
     def token(t: Column) -> Column:
         word = t["text"]
@@ -147,8 +147,15 @@ def edits(longest: Column) -> Column:
     return F.floor(longest * (1 - LEAST_SIMILAR) + 1e-9)
 
 
+def distance(one: Column, other: Column) -> Column:
+    """Optimal string alignment of keys that are few edits apart. Only a swap makes it less than edits without swaps do, and it leaves the characters as they are."""
+    plain = F.levenshtein(one, other)
+    swapped = F.sort_array(F.split(one, "")) == F.sort_array(F.split(other, ""))
+    return F.when((plain < 2) | (plain == 2) & ~swapped, plain).otherwise(fuzzy.osa_column(one, other))
+
+
 def scored(found: DataFrame, *kept: str) -> DataFrame:
-    """Windows that match a candidate admitted there, with score and method: exact, normalized, or fuzzy where the strings nearly agree."""
+    """Windows that match a candidate admitted there, with score and method (exact, normalized, or fuzzy where the strings nearly agree) and, if `centres` are kept, the distance to the field's nearest label."""
     m = F.length("w_key")
     near = lambda c: (c["n"] >= 3) & (F.abs(m - c["n"]) <= F.greatest(F.lit(2), F.floor(c["n"] * 0.25))) & (F.abs(m - c["n"]) <= edits(F.greatest(c["n"], m)))
     # alignment has at least half as many edits as without swaps
@@ -159,16 +166,22 @@ def scored(found: DataFrame, *kept: str) -> DataFrame:
     pairs = found.select("*", F.explode("who").alias("c")).drop("who")
     tried = pairs.filter((F.col("size") <= c["words"] + 2) & ((F.col("w_raw") == c["raw"]) | normal(c) | close(c)))
     sure = F.when(F.col("w_raw") == c["raw"], 1.0).when(normal(c), 0.9)
-    similar = F.when(F.col("w_key") == c["key"], 1.0).otherwise(1 - fuzzy.osa_column(F.col("w_key"), c["key"]) / F.greatest(c["n"], m))
+    similar = F.when(F.col("w_key") == c["key"], 1.0).otherwise(1 - distance(F.col("w_key"), c["key"]) / F.greatest(c["n"], m))
     judged = F.transform(F.array(F.struct(sure.alias("sure"))), lambda x: F.struct(x["sure"].alias("sure"), F.when(x["sure"].isNull(), similar).alias("similar")))
     # filtered in an array, as a filter of rows would move below the columns that it reads and make them once more
     met = F.filter(judged, lambda x: x["sure"].isNotNull() | (x["similar"] >= LEAST_SIMILAR))
-    rows = tried.select("document_id", "page_no", *kept, "start", "size", "own", "w_raw", "c", F.explode(met).alias("x")).select("*", "x.*")
+    rows = tried.select("document_id", "page_no", *kept, "start", "size", "own", "w_raw", "c", F.explode(met).alias("x")).select("*", "x.*").drop("x")
+    edges = {"b_x": F.array_min("own.x"), "b_y": F.array_min("own.y"), "b_right": F.array_max("own.right"), "b_bottom": F.array_max("own.bottom")}
+    rows = rows.withColumns({name: rounded(edge) for name, edge in edges.items()})
+    rows = rows.withColumns({"b_w": rounded(F.col("b_right") - F.col("b_x")), "b_h": rounded(F.col("b_bottom") - F.col("b_y"))})
+    own = F.filter("centres", lambda l: l["field"] == F.col("c.field_path")) if "centres" in kept else None
+    far = F.lit(None).cast("double") if own is None else F.array_min(F.transform(own, lambda l: F.abs(l["cy"] - F.col("mid_y")) * 3 + F.abs(l["cx"] - F.col("mid_x"))))
+    rows = rows.withColumns({"mid_x": F.col("b_x") + F.col("b_w") / 2, "mid_y": F.col("b_y") + F.col("b_h") / 2}).withColumn("label_distance", far)
     method = F.when(F.col("sure") == 1.0, "exact").when(F.col("sure").isNotNull(), "normalized").otherwise("fuzzy")
     first = F.col("own")[0]
     return rows.select(
-        "document_id", "page_no", *kept, "c.field_path", "c.row", "c.cell", "c.page", "c.ordinal", "start", (F.col("start") + F.col("size")).alias("end"),
-        F.coalesce("sure", F.col("similar") * FUZZY_SHARE).alias("score"), method.alias("method"), F.col("w_raw").alias("matched_text"), first["line"].alias("line"), first["x"].alias("x"), box_of(F.col("own")).alias("box"),
+        "document_id", "page_no", "c.field_path", "c.row", "c.cell", "c.page", "c.ordinal", "start", (F.col("start") + F.col("size")).alias("end"),
+        F.coalesce("sure", F.col("similar") * FUZZY_SHARE).alias("score"), method.alias("method"), F.col("w_raw").alias("matched_text"), first["line"].alias("line"), first["x"].alias("x"), F.struct(*(F.col(f"b_{c}").alias(c) for c in "xywh")).alias("box"), "label_distance",
     )
 
 
@@ -211,11 +224,8 @@ def matches(pages: DataFrame, values: DataFrame, labels: DataFrame | None = None
     """All places of all values: score, method, box, line, and the distance to the field's nearest label (null without one)."""
     ready = with_wanted(pages, candidates(values))
     if labels is None:
-        return scored(spelled(ready)).withColumn("label_distance", F.lit(None).cast("double"))
-    rows = scored(spelled(ready.withColumn("centres", centres(F.col("tokens"), label_phrases(labels))), "centres"), "centres")
-    cx, cy = F.col("box.x") + F.col("box.w") / 2, F.col("box.y") + F.col("box.h") / 2
-    own = F.filter("centres", lambda c: c["field"] == F.col("field_path"))
-    return rows.withColumn("label_distance", F.array_min(F.transform(own, lambda c: F.abs(c["cy"] - cy) * 3 + F.abs(c["cx"] - cx)))).drop("centres")
+        return scored(spelled(ready))
+    return scored(spelled(ready.withColumn("centres", centres(F.col("tokens"), label_phrases(labels))), "centres"), "centres")
 
 
 def label_table(spark) -> DataFrame:  # noqa: ANN001

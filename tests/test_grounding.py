@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docledger.functions import fuzzy
 from docledger.operators import grounding, tokens
 from docledger.plans import function_queries
 from docledger.plans.derived import Ledger
@@ -216,3 +217,22 @@ def test_labels_with_digits(spark):
     found = lambda rows: sorted((r.field, round(r.cy, 6)) for r in grounding.label_centres(pages, rows).collect())
     assert found(labels) == [("a", 0.01), ("b", 0.11)]
     assert found(labels.filter("field = 'b'")) == [("b", 0.11)]
+
+
+def test_few_edits(spark):
+    """The distance of keys that are alike is that of optimal string alignment, swaps included."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        one = [rng.choice("ab12") for _ in range(rng.randint(1, 7))]
+        other = list(one)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(other) + 1)
+            if rng.random() < 0.5 and 0 < at < len(other):
+                other[at - 1], other[at] = other[at], other[at - 1]
+            else:
+                other[at : at + rng.randint(0, 1)] = [rng.choice("ab12")] * rng.randint(0, 1)
+        rows.append(("".join(one), "".join(other)))
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a string, b string").filter("b <> ''").select(grounding.distance(a, b).alias("x"), fuzzy.osa_column(a, b).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and {r.x for r in got} >= {0, 1, 2, 3}
