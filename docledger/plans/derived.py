@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docledger.functions import money, text
-from docledger.shared import checkpoint
+from docledger.shared import written
 
 MONEY_FIELDS = ("subtotal", "tax", "shipping", "discount", "total")
 FIELDS = ("vendorName", "invoiceNumber", "issueDate", "dueDate", "currency", *MONEY_FIELDS)
@@ -30,10 +30,10 @@ class Ledger:
     folder: str
 
     def fixed(self) -> Ledger:
-        """The same with lines and invoices from checkpoints, for work that goes through them many times; they stay dealt by document."""
+        """The same with lines and invoices written once, for work that goes through them many times."""
         out = Ledger(self.spark, self.folder)
-        out.lines = checkpoint(self.lines)
-        out.invoices = checkpoint(out.invoices)
+        out.lines = written(self.lines)
+        out.invoices = written(out.invoices)
         return out
 
     def read(self, name: str) -> DataFrame:
